@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hazardspark.llm import mix, shard, simhash
+from hazardspark.llm import mix, pack, shard, simhash
 from hazardspark.llm.common import table, text_bytes
 
 
@@ -15,6 +15,10 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_online_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack.pack(table(spark, sf_dir, "documents")).drop("ids")
+
+
 def op7_hypergeometric_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = text_bytes()
     rows = table(spark, sf_dir, "documents").select(
@@ -31,7 +35,7 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_simhash_near_dedup, op7_hypergeometric_sharding, op10_source_mixing)
+    f.__name__: f for f in (op1_simhash_near_dedup, op3_online_packing, op7_hypergeometric_sharding, op10_source_mixing)
 }
 
 #: DuckDB SQL of the queries that SQL can express whole.
