@@ -24,7 +24,7 @@ from hazardspark.llm.common import WORD_PATTERN, materialize
 
 MAX_SOURCES = 100_000
 #: Rows that a bucket of a source holds on average.
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 4_000
 
 
 def word_count(text: Column) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hazardspark.llm import mix, pack, shard, simhash
+from hazardspark.llm import html, linededup, mix, ordinal, pack, shard, simhash
 from hazardspark.llm.common import table, text_bytes
 
 
@@ -19,6 +19,11 @@ def op3_online_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack.pack(table(spark, sf_dir, "documents")).drop("ids")
 
 
+def op4_line_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return linededup.dedup_lines(rows)
+
+
 def op7_hypergeometric_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = text_bytes()
     rows = table(spark, sf_dir, "documents").select(
@@ -29,13 +34,22 @@ def op7_hypergeometric_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
+def op9_ordinal_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return ordinal.toxicity(rows, table(spark, sf_dir, "labels"))
+
+
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "documents").select("doc_id", "source", mix.word_count(F.col("text")).alias("__size"))
     return mix.mix(rows).select("doc_id", "size", "source_size", "target", "taken")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_simhash_near_dedup, op3_online_packing, op7_hypergeometric_sharding, op10_source_mixing)
+    f.__name__: f for f in (op1_simhash_near_dedup, op3_online_packing, op4_line_chunk_dedup, op7_hypergeometric_sharding, op8_html_extraction, op9_ordinal_toxicity, op10_source_mixing)
 }
 
 #: DuckDB SQL of the queries that SQL can express whole.
