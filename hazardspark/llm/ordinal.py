@@ -3,8 +3,9 @@
 P(grade <= k) = sigmoid(threshold_k - w . x): all ordered thresholds share the weights. The model is
 fitted on the driver on a bounded sample of labelled rows (``sample`` toxic and twice as many others, by
 hash of doc_id); scoring is one pass over all whole texts. Labels say only whether a document is toxic,
-so toxic rows of the sample are graded 1 to 3 by terciles of the density of the words that, in the sample,
-tell toxic from other rows.
+so toxic rows of the sample are graded 1 to 3 by terciles of the amount of the features that, in the sample,
+tell toxic from other rows (words and beginnings of words over four times as frequent among them, with a
+likelihood-ratio statistic of ``least`` or more).
 """
 
 from __future__ import annotations
@@ -30,6 +31,22 @@ def words_of(text: bytes) -> list[bytes]:
     return [w for w in (w.strip(_STRIP) for w in text.lower().split()) if w]
 
 
+def features_of(counts: Counter) -> Counter:
+    """Words, and their beginnings of 4 to 8 bytes (with a mark that no word has)."""
+    out = Counter(counts)
+    for w, n in counts.items():
+        for k in range(4, min(8, len(w) - 1) + 1):
+            out[w[:k] + b" "] += n
+    return out
+
+
+def evidence(a: int, n: int, b: int, m: int) -> float:
+    """Likelihood-ratio statistic of a in n against b in m."""
+    p = (a + b) / (n + m)
+    term = lambda x, k: (x * math.log(x / k / p) if x else 0.0) + ((k - x) * math.log((1 - x / k) / (1 - p)) if x < k else 0.0)
+    return 2 * (term(a, n) + term(b, m)) if 0 < p < 1 else 0.0
+
+
 @dataclass(frozen=True)
 class Model:
     words: dict[bytes, int]
@@ -41,40 +58,44 @@ class Model:
         return self.of(Counter(words_of(text)))
 
     def of(self, counts: Counter) -> np.ndarray:
-        get = self.words.get
-        total = sum(self.weights[i] * (1 + math.log(n)) for w, n in counts.items() if (i := get(w)) is not None)
-        total += self.weights[-1] * math.log(1 + counts.total())
+        get, found = self.words.get, Counter()
+        for w, n in counts.items():
+            for k in (len(w), *range(4, min(8, len(w) - 1) + 1)):
+                if (i := get(w if k == len(w) else w[:k] + b" ")) is not None:
+                    found[i] += n
+        total = sum(self.weights[i] * (1 + math.log(n)) for i, n in found.items())
         below = 1 / (1 + np.exp(np.clip(total - self.thresholds, -50, 50)))
         return np.diff(np.concatenate([[0.0], below, [1.0]]))
 
 
-def fit(rows: list[tuple[int, Counter]], grades: int = 4, features: int = 1000, steps: int = 300, decay: float = 1e-3) -> Model:
+def fit(rows: list[tuple[int, Counter]], grades: int = 4, features: int = 500, least: float = 20.0, steps: int = 500, decay: float = 1e-4) -> Model:
     """rows: (toxic 0 or 1, word counts). With one class only, every text gets the grade of that class with certainty."""
-    toxic = [c for y, c in rows if y]
-    clean = [c for y, c in rows if not y]
+    toxic = [features_of(c) for y, c in rows if y]
+    clean = [features_of(c) for y, c in rows if not y]
     if not toxic or not clean:
-        return Model({}, np.zeros(1), np.full(grades - 1, 50.0 if not toxic else -50.0))
+        return Model({}, np.zeros(0), np.full(grades - 1, 50.0 if not toxic else -50.0))
     in_toxic, in_clean = Counter(w for c in toxic for w in c), Counter(w for c in clean for w in c)
-    log_odds = {w: math.log((in_toxic[w] + 0.5) / (len(toxic) + 1)) - math.log((in_clean[w] + 0.5) / (len(clean) + 1)) for w in in_toxic | in_clean}
-    telling = {w: o for w, o in log_odds.items() if in_toxic[w] + in_clean[w] >= 5}
-    gain = lambda w: abs(telling[w]) * math.sqrt(in_toxic[w] / len(toxic) + in_clean[w] / len(clean))
-    chosen = sorted(telling, key=lambda w: (-gain(w), w))[:features]
+    gain = {w: evidence(n, len(toxic), in_clean[w], len(clean)) for w, n in in_toxic.items() if n * len(clean) > 4 * in_clean[w] * len(toxic)}
+    strong = sorted((w for w in gain if gain[w] >= least), key=lambda w: (-gain[w], w))
+    longest = {}  # of features that begin alike and are in as many rows, only the longest
+    for w in sorted(strong, key=lambda w: (len(w.rstrip()), w)):
+        longest[w[:4], in_toxic[w], in_clean[w]] = w
+    kept = set(longest.values())
+    chosen = [w for w in strong if w in kept][:features]
     words = {w: i for i, w in enumerate(chosen)}
-    marked = {w for w in chosen if telling[w] > 2 and in_toxic[w] >= 3}
-    density = [sum(n for w, n in c.items() if w in marked) / max(1, c.total()) for c in toxic]
-    cuts = np.quantile(density, np.arange(1, grades - 1) / (grades - 1))
-    y = np.array([1 + int(np.searchsorted(cuts, d, side="right")) for d in density] + [0] * len(clean))
-    x = np.zeros((len(rows), len(words) + 1), dtype=np.float32)
+    amount = [sum(1 + math.log(n) for w, n in c.items() if w in words) for c in toxic]
+    cuts = np.quantile(amount, np.arange(1, grades - 1) / (grades - 1))
+    y = np.array([1 + int(np.searchsorted(cuts, a, side="right")) for a in amount] + [0] * len(clean))
+    x = np.zeros((len(rows), len(words)), dtype=np.float32)
     for r, c in enumerate([*toxic, *clean]):
         for w, n in c.items():
             if (i := words.get(w)) is not None:
                 x[r, i] = 1 + math.log(n)
-        x[r, -1] = math.log(1 + c.total())
     w, t = np.zeros(x.shape[1]), np.concatenate([[1.0], np.zeros(grades - 2)])  # thresholds: t[0], then steps exp(t)
     moments = [np.zeros(len(w) + len(t)) for _ in range(2)]
     for step in range(1, steps + 1):
         th = np.cumsum(np.concatenate([t[:1], np.exp(t[1:])]))
-        eta = x @ w
+        eta = (x @ w.astype(np.float32)).astype(np.float64)
         edges = np.concatenate([[-np.inf], th, [np.inf]])
         hi, lo = (1 / (1 + np.exp(np.clip(eta - edges[y + s], -50, 50))) for s in (1, 0))
         p = np.maximum(hi - lo, 1e-9)
@@ -82,7 +103,7 @@ def fit(rows: list[tuple[int, Counter]], grades: int = 4, features: int = 1000,
         g_eta = (d_hi - d_lo) / len(y)  # of the mean negative log-likelihood
         g_th = np.array([(-(d_hi * (y == k)) + d_lo * (y == k + 1)).sum() for k in range(grades - 1)]) / len(y)
         g_t = np.concatenate([[g_th.sum()], [g_th[k:].sum() * math.exp(t[k]) for k in range(1, grades - 1)]])
-        g = np.concatenate([x.T @ g_eta + decay * w, g_t])
+        g = np.concatenate([x.T @ g_eta.astype(np.float32) + decay * w, g_t])
         moments[0] = 0.9 * moments[0] + 0.1 * g
         moments[1] = 0.99 * moments[1] + 0.01 * g * g
         move = 0.1 * (moments[0] / (1 - 0.9**step)) / (np.sqrt(moments[1] / (1 - 0.99**step)) + 1e-8)

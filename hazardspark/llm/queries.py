@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hazardspark.llm import html, linededup, mix, ordinal, pack, shard, simhash
+from hazardspark.llm import html, linededup, mix, ordinal, pack, quality, shard, simhash
 from hazardspark.llm.common import table, text_bytes
 
 
@@ -24,6 +24,13 @@ def op4_line_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.dedup_lines(rows)
 
 
+def op5_token_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    return quality.quality(rows).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+    )
+
+
 def op7_hypergeometric_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = text_bytes()
     rows = table(spark, sf_dir, "documents").select(
@@ -49,7 +56,7 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_simhash_near_dedup, op3_online_packing, op4_line_chunk_dedup, op7_hypergeometric_sharding, op8_html_extraction, op9_ordinal_toxicity, op10_source_mixing)
+    f.__name__: f for f in (op1_simhash_near_dedup, op3_online_packing, op4_line_chunk_dedup, op5_token_fertility, op7_hypergeometric_sharding, op8_html_extraction, op9_ordinal_toxicity, op10_source_mixing)
 }
 
 #: DuckDB SQL of the queries that SQL can express whole.
