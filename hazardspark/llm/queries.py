@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hazardspark.llm import html, linededup, mix, ordinal, pack, quality, shard, simhash
+from hazardspark.llm import html, linededup, lm, mix, ordinal, pack, quality, shard, simhash
 from hazardspark.llm.common import table, text_bytes
 
 
@@ -15,6 +15,10 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_attention_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op3_online_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack.pack(table(spark, sf_dir, "documents")).drop("ids")
 
@@ -56,7 +60,7 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_simhash_near_dedup, op3_online_packing, op4_line_chunk_dedup, op5_token_fertility, op7_hypergeometric_sharding, op8_html_extraction, op9_ordinal_toxicity, op10_source_mixing)
+    f.__name__: f for f in (op1_simhash_near_dedup, op2_attention_scoring, op3_online_packing, op4_line_chunk_dedup, op5_token_fertility, op7_hypergeometric_sharding, op8_html_extraction, op9_ordinal_toxicity, op10_source_mixing)
 }
 
 #: DuckDB SQL of the queries that SQL can express whole.
