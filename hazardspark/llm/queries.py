@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hazardspark.llm import html, linededup, lm, mix, ordinal, pack, quality, shard, simhash
+from hazardspark.llm import html, linededup, lm, mix, ordinal, pack, quality, search, shard, simhash
 from hazardspark.llm.common import table, text_bytes
 
 
@@ -35,6 +35,11 @@ def op5_token_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_block_max_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return search.top_k(rows, rows.where("doc_id % 100 = 0"))
+
+
 def op7_hypergeometric_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = text_bytes()
     rows = table(spark, sf_dir, "documents").select(
@@ -60,8 +65,23 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_simhash_near_dedup, op2_attention_scoring, op3_online_packing, op4_line_chunk_dedup, op5_token_fertility, op7_hypergeometric_sharding, op8_html_extraction, op9_ordinal_toxicity, op10_source_mixing)
+    f.__name__: f for f in (op1_simhash_near_dedup, op2_attention_scoring, op3_online_packing, op4_line_chunk_dedup, op5_token_fertility, op6_block_max_search, op7_hypergeometric_sharding, op8_html_extraction, op9_ordinal_toxicity, op10_source_mixing)
 }
 
 #: DuckDB SQL of the queries that SQL can express whole.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op6_block_max_search": """
+        WITH w AS (
+            SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')) AS word
+            FROM documents),
+        tf AS (SELECT doc_id, word, count(*) AS tf FROM w GROUP BY ALL),
+        dl AS (SELECT doc_id, sum(tf) AS dl FROM tf GROUP BY ALL),
+        stats AS (SELECT (SELECT count(*) FROM documents) AS n, (SELECT sum(dl) FROM dl) / (SELECT count(*) FROM documents) AS average),
+        idf AS (SELECT word, ln(1 + (n - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM tf, stats GROUP BY word, n),
+        scored AS (
+            SELECT q.doc_id AS query_id, d.doc_id, round(sum(idf * d.tf * 2.2 / (d.tf + 1.2 * (0.25 + 0.75 * dl / average))), 6) AS score
+            FROM tf q JOIN tf d USING (word) JOIN idf USING (word) JOIN dl ON dl.doc_id = d.doc_id, stats
+            WHERE q.doc_id % 100 = 0 GROUP BY ALL),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM scored)
+        SELECT query_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked WHERE rank <= 10""",
+}
