@@ -122,6 +122,8 @@ def main_text(html: str, window: int = 3, surge: int = 86) -> str:
         if sums[i] <= least:
             i += 1
             continue
+        while not weights[i]:  # the window's first lines may be the menu's last
+            i += 1
         while i < len(lines) and sums[i]:
             if not lines[i][3] and (lines[i][2] or not inside) and (weights[i] or not inside):
                 out.append(lines[i][0])
