@@ -159,3 +159,25 @@ def concordance(df: DataFrame, score: str, start: str = "start", stop: str = "st
     out = counts.crossJoin(F.broadcast(ties))
     total = F.col("concordant") + F.col("discordant") + F.col("tied_x")
     return out.withColumn("concordance", (F.col("concordant") + F.col("tied_x") / 2) / total)
+
+
+def concordance_error(df: DataFrame, score: str, start: str = "start", stop: str = "stop", event: str = "event") -> DataFrame:
+    """concordance and its standard error by the infinitesimal jackknife over rows.
+
+    A row's influence is the score of its pairs (1 concordant, 1/2 tied) less their expected score, over all pairs. Rows
+    that are equal in (start, stop, event, score) share it, so pairs are of distinct values here too.
+    """
+    groups = df.groupBy(F.col(start).alias("s"), F.col(stop).alias("t"), F.col(event).alias("d"), F.round(score, 9).alias("x")).agg(F.count("*").alias("n"))
+    fails = groups.where("d = 1").groupBy("t", "x").agg(F.sum("n").alias("m")).withColumnsRenamed({"t": "t1", "x": "x1"})
+    pairs = fails.join(groups, (F.col("s") < F.col("t1")) & (F.col("t1") <= F.col("t")) & ~((F.col("d") == 1) & (F.col("t") == F.col("t1"))))
+    pairs = pairs.withColumn("won", F.when(F.col("x1") > F.col("x"), 1.0).when(F.col("x1") == F.col("x"), 0.5).otherwise(0.0))
+    as_dead = pairs.groupBy(F.col("t1").alias("t"), F.col("x1").alias("x")).agg(F.sum(F.col("n") * F.col("won")).alias("w1"), F.sum("n").alias("p1")).withColumn("d", F.lit(1))
+    at_risk = pairs.groupBy("s", "t", "d", "x").agg(F.sum(F.col("m") * F.col("won")).alias("w2"), F.sum("m").alias("p2"))
+    zero = F.lit(0.0)
+    each = groups.join(as_dead, ["t", "x", "d"], "left").join(at_risk, ["s", "t", "d", "x"], "left").select(
+        "n", (F.coalesce("w1", zero) + F.coalesce("w2", zero)).alias("w"), (F.coalesce("p1", zero) + F.coalesce("p2", zero)).alias("p")
+    )
+    # every pair counts once for each of its rows; squares of w - c p are summed by their parts
+    total = each.agg(*[F.sum(F.col("n") * c).alias(k) for k, c in {"w": F.col("w"), "p": F.col("p"), "ww": F.col("w") ** 2, "wp": F.col("w") * F.col("p"), "pp": F.col("p") ** 2}.items()])
+    c = F.col("w") / F.col("p")
+    return total.select(c.alias("concordance"), (F.sqrt(F.greatest(zero, F.col("ww") - 2 * c * F.col("wp") + c * c * F.col("pp"))) / (F.col("p") / 2)).alias("se"))

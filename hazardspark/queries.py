@@ -425,6 +425,16 @@ def concordance_counts(spark, sf_dir):
     return _rounded(riskset.concordance(_risky(spark, sf_dir), "risk"))
 
 
+@query(f"""WITH {RISK_SQL}, s AS (SELECT start, stop, event, round(risk, 9) AS x, id FROM r),
+    p AS (SELECT a.id AS i, a.stop AS it, b.id AS j, b.stop AS jt, CASE WHEN a.x > b.x THEN 1.0 WHEN a.x = b.x THEN 0.5 ELSE 0.0 END::DOUBLE AS won
+        FROM s a JOIN s b ON b.start < a.stop AND a.stop <= b.stop AND NOT (b.event = 1 AND b.stop = a.stop) WHERE a.event = 1),
+    u AS (SELECT sum(won) AS w, count(*) AS n FROM (SELECT i AS id, it AS t, won FROM p UNION ALL SELECT j, jt, won FROM p) q GROUP BY id, t),
+    c AS (SELECT sum(won) / count(*) AS c, count(*) AS pairs FROM p)
+    SELECT round(any_value(c), 6) AS concordance, round(sqrt(sum((w - c * n) * (w - c * n))) / any_value(pairs), 6) AS se FROM u, c""")
+def concordance_error(spark, sf_dir):
+    return _rounded(riskset.concordance_error(_risky(spark, sf_dir), "risk"))
+
+
 # --- ordered operators
 
 
@@ -603,13 +613,31 @@ def wce_knot_selection(spark, sf_dir):
     return _rounded(spark.createDataFrame([(k, v, k == best.nknots) for k, v in values.items()], "nknots int, bic double, chosen boolean"), 4)
 
 
-@query()
-def wce_bootstrap_curve(spark, sf_dir):
+def _bootstrapped(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, np.ndarray]:
+    """Replicates of the right-constrained exposure model."""
     values = splines.atoms(CUTOFF, KNOTS, constrained="Right")
     df = _panel(spark, sf_dir)
     rows = df.select("id", "stop", "event", "sex", "age").join(exposure.features(df, values), ["id", "stop"])
     names = [f"D{k + 1}" for k in range(values.shape[1])]
-    fits = replicates.bootstrap_fits(rows, ["sex", "age", *names], 20)
+    return replicates.bootstrap_fits(rows, ["sex", "age", *names], 20), values
+
+
+@query()
+def hr_bootstrap_ci(spark, sf_dir):
+    fits, values = _bootstrapped(spark, sf_dir)
+    log = replicates.total_risk(fits, {f"D{k + 1}": float(a) for k, a in enumerate(values.sum(0))}, ["b"])
+    return _rounded(replicates.quantiles(log.select(F.lit("ever against never").alias("contrast"), F.exp("risk").alias("hr")), ["contrast"], "hr"), 5)
+
+
+@query()
+def wce_total_risk(spark, sf_dir):
+    t = _wce(spark, sf_dir).total_risk()
+    return _rounded(spark.createDataFrame([(t["risk"], t["sd"], t["risk"] - 1.959964 * t["sd"], t["risk"] + 1.959964 * t["sd"])], "risk double, sd double, lo double, hi double"), 5)
+
+
+@query()
+def wce_bootstrap_curve(spark, sf_dir):
+    fits, values = _bootstrapped(spark, sf_dir)
     # a row for each lag and spline, both few
     atoms = splines.atoms_table(spark, values).withColumn("term", F.concat(F.lit("D"), "k"))
     curve = fits.join(F.broadcast(atoms), "term").groupBy("b", "lag").agg(F.sum(F.col("coef") * F.col("value")).alias("weight"))
