@@ -50,6 +50,12 @@ def materialize(df: DataFrame, compression: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def few(df: DataFrame, most: int = 10_000) -> DataFrame:
+    """df written to scratch, and marked for broadcast if it has at most so many rows; else joined like any other."""
+    df = materialize(df)
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def text_bytes(column: str = "text") -> Column:
     """A text as UTF-8 bytes, null as empty."""
     return F.coalesce(F.col(column).cast("binary"), F.lit(b"").cast("binary"))

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hazardspark.llm import vocab
-from hazardspark.llm.common import materialize, text_bytes
+from hazardspark.llm.common import few, materialize, text_bytes
 
 #: Characters that count as symbols (fixed values of the contract).
 SYMBOLS = b"#*$%&|<>"
@@ -163,16 +163,18 @@ def judge(measured: DataFrame, lang: str = "lang", combined: float = -4.0, singl
     rows = rows.withColumn("__lang", F.coalesce(F.col(f"`{lang}`"), F.lit(""))).withColumn("__class", F.floor(F.log2(F.greatest("n_words", F.lit(1)))))
     good = rows.where(~F.col("base_failed"))
     by_class = good.groupBy("__class").agg(F.element_at(_middle("entropy", 3, 0.5), 1).alias("__e_class"))
+    by_class = few(by_class)
     good = good.join(by_class, "__class").withColumn("__e1", F.col("entropy") - F.col("__e_class"))
     by_lang = good.groupBy("__lang").agg(
         F.count("*").alias("__rows"), F.element_at(_middle("piece_chars", 3, 0.5), 1).alias("__p_lang"),
         F.element_at(_middle("__e1", 3, 0.5), 1).alias("__e_lang"), F.element_at(_middle("fallback", 3, 0.5), 1).alias("__f_lang"),
     )
+    by_lang = few(by_lang)
     good = good.join(by_lang, "__lang").withColumn("__e2", F.col("__e1") - F.col("__e_lang"))
     good = good.withColumn("__p2", (F.col("piece_chars") - F.col("__p_lang")) * F.sqrt("n_words"))
     e_scale = good.groupBy("__class").agg(F.count("*").alias("__class_rows"), _scale("__e2", 3).alias("__e_scale"))
     p_scale = good.groupBy("__lang").agg(_scale("__p2", 2).alias("__p_scale"))
-    rows = rows.join(by_class.join(e_scale, "__class"), "__class", "left").join(by_lang.join(p_scale, "__lang"), "__lang", "left")
+    rows = rows.join(few(by_class.join(e_scale, "__class")), "__class", "left").join(few(by_lang.join(p_scale, "__lang")), "__lang", "left")
     enough = F.col("__rows") >= least_rows
     z_piece = F.when(enough & (F.col("__p_scale") > 0), (F.col("piece_chars") - F.col("__p_lang")) * F.sqrt("n_words") / F.col("__p_scale")).otherwise(0.0)
     z_entropy = F.when(
