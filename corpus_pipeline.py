@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from hazardspark.llm import linededup, mix, pack, quality, simhash
+from hazardspark.llm import jaccard, linededup, mix, pack, quality
 from hazardspark.llm.common import materialize, table
 
 #: Documents' columns that the stages use; others pass through.
@@ -38,8 +38,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest doc_id of each group of near-duplicates; of repeated doc_ids one row."""
-    groups = simhash.near_duplicates(docs)
+    """The document of smallest doc_id of each group of near-duplicates (0.8 of five-word shingles); of repeated doc_ids one row."""
+    groups = jaccard.near_duplicates(docs)
     kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept")).distinct()
     rows = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi")
     one = Window.partitionBy("doc_id", F.when(F.col("doc_id").isNull(), F.xxhash64("text"))).orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))

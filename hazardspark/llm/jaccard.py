@@ -1,0 +1,157 @@
+"""Near-duplicates by Jaccard similarity of word shingles, exact.
+
+Shingles are put in one order for all texts, rarest first. Two sets of sizes m and n of similarity t or more
+share one of the first n - ceil(t * n) + 1 shingles of each (prefix filtering), so sharing one makes a candidate,
+and candidates are verified on the whole sets. Any order gives the same groups; the counts behind it are of a sample.
+
+A shared shingle of very many like texts is not paired: its members are first compared with one of them, and
+only members that are then still in different groups are paired.
+"""
+
+from __future__ import annotations
+
+from itertools import accumulate
+
+import numpy as np
+import xxhash
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from hazardspark.llm.common import materialize, text_bytes
+from hazardspark.llm.components import connected_components
+
+#: Rows whose shingles are counted for the order, and shingles whose counts are used.
+ORDER_ROWS, ORDER_SHINGLES = 20_000, 50_000
+
+
+def shingles(text: bytes, width: int = 5) -> np.ndarray:
+    """Distinct hashes, ascending, of width consecutive words, A-Z lower-cased; fewer words: the whole sequence; no words: none."""
+    words = text.lower().split()
+    if not words:
+        return np.zeros(0, dtype=np.int64)
+    digest, joined = xxhash.xxh64_intdigest, b" ".join(words)
+    if len(words) <= width:
+        return np.array([digest(joined)], dtype=np.uint64).view(np.int64)
+    ends = list(accumulate(map(len, words), lambda end, n: end + 1 + n))
+    starts = [0, *(e + 1 for e in ends[: len(words) - width])]
+    return np.unique(np.array([digest(joined[s:e]) for s, e in zip(starts, ends[width - 1 :])], dtype=np.uint64).view(np.int64))
+
+
+def _map(df: DataFrame, schema: str, make) -> DataFrame:
+    """df's columns but __text, and the columns that make()'s function gives for a text."""
+    import pyarrow as pa
+
+    new = T._parse_datatype_string(schema).fields
+    kinds = [pa.list_(pa.int64()) if isinstance(f.dataType, T.ArrayType) else pa.int64() for f in new]
+    kept = [f for f in df.schema.fields if f.name != "__text"]
+
+    def run(batches):
+        of = make()
+        for batch in batches:
+            rows = [of(x.as_py() or b"") for x in batch.column("__text")]
+            columns = [batch.column(f.name) for f in kept] + [pa.array([r[i] for r in rows], type=k) for i, k in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays(columns, [f.name for f in kept] + [f.name for f in new])
+
+    return df.mapInArrow(run, T.StructType(kept + new))
+
+
+def _common(rows: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles of several rows of a sample, ascending, and their counts."""
+    share = min(1.0, ORDER_ROWS / max(1, rows.count()))
+    some = rows.where(F.pmod(F.xxhash64(F.lit(5), "__text"), F.lit(1 << 31)) < int(share * (1 << 31))).select("__text")
+    counts = _map(some, "s array<long>", lambda: lambda t: (shingles(t, width),)).select(F.explode("s").alias("s"))
+    counts = counts.groupBy("s").count().where("count > 2").orderBy(F.desc("count"), "s").limit(ORDER_SHINGLES).toPandas()
+    counts = counts.sort_values("s")
+    return counts["s"].to_numpy(dtype=np.int64), counts["count"].to_numpy(dtype=np.int64)
+
+
+def _keys(rows: DataFrame, width: int, percent: int) -> DataFrame:
+    """rows without __text: node (a hash of the set), its size n, and the shingles of its prefix."""
+    order = rows.sparkSession.sparkContext.broadcast(_common(rows, width))
+
+    def make():
+        common, count = order.value
+
+        def of(text: bytes) -> tuple:
+            s = shingles(text, width)
+            n = len(s)
+            if not n:
+                return 0, 0, []
+            node = np.uint64(xxhash.xxh64_intdigest(s.tobytes(), 7)).astype(np.int64)
+            weight = np.zeros(n, dtype=np.int64)
+            if len(common):
+                at = np.minimum(np.searchsorted(common, s), len(common) - 1)
+                weight = np.where(common[at] == s, count[at], 0)
+            return node, n, s[np.lexsort((s, weight))[: n - -(-n * percent // 100) + 1]]
+
+        return of
+
+    return _map(rows, "node long, n long, keys array<long>", make)
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sets are alike."""
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("y")), "b")
+    both = both.withColumn("i", F.size(F.array_intersect("x", "y")))
+    return materialize(both.where(F.col("i") * 100 >= percent * (F.size("x") + F.size("y") - F.col("i"))).select("a", "b"))
+
+
+def _sized(x: str, y: str, percent: int) -> Column:
+    return F.least(x, y) * 100 >= F.greatest(x, y) * percent
+
+
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80, stars: int = 3, bucket: int = 16) -> DataFrame:
+    """One row per row of docs: its doc_id and component_id, the smallest doc_id that pairs of similarity percent or more lead to.
+
+    Null texts, empty texts and texts without words are alike. component_id is null only if all those doc_ids are
+    null. Keys of more than bucket members go through at most stars rounds of comparisons with one member.
+    """
+    rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), text_bytes(f"`{text}`").alias("__text"))
+    prints = materialize(_keys(rows, width, percent))
+    first = prints.groupBy("node").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("keys").alias("keys"))
+    first = materialize(first)
+    keyed = first.select("node", "n", F.explode("keys").alias("key"))
+    shared = keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    live = materialize(keyed.join(shared, "key"))
+    # whole sets, of those that share a key only
+    wanted = live.select("node").distinct()
+    texts = prints_of(rows, width).join(wanted, "node", "left_semi").dropDuplicates(["node"])
+    sets = materialize(texts)
+    links = None
+    for salt in range(stars):
+        crowded = live.where(F.col("size") > bucket)
+        head = crowded.groupBy("key").agg(F.min(F.struct(F.xxhash64(F.lit(salt), "node").alias("h"), F.col("node").alias("b"), F.col("n").alias("m"))).alias("r"))
+        pairs = crowded.join(head, "key").select(F.col("node").alias("a"), "n", "r.*").where((F.col("a") != F.col("b")) & _sized("n", "m", percent))
+        # one comparison a member and round: with the head of least hash
+        pairs = pairs.groupBy("a").agg(F.min(F.struct("h", "b")).alias("r")).select("a", "r.b")
+        found = _verified(pairs, sets, percent)
+        links = found if links is None else links.union(found)
+        roots = connected_components(links)
+        live = _parted(live.select("key", "node", "n"), roots)
+        if live.where(F.col("size") > bucket).isEmpty():
+            break
+    x, y = live.alias("x"), live.alias("y")
+    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root")))
+    pairs = pairs.where(_sized("x.n", "y.n", percent)).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    roots = connected_components(links.union(_verified(pairs, sets, percent)))
+    of = first.join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
+    smallest = of.groupBy("root").agg(F.min("first").alias("component_id"))
+    return prints.select("doc_id", "node").join(of.join(smallest, "root").select("node", "component_id"), "node").select("doc_id", "component_id")
+
+
+def prints_of(rows: DataFrame, width: int) -> DataFrame:
+    """(node, s): each row's whole set of shingles."""
+
+    def of(text: bytes) -> tuple:
+        s = shingles(text, width)
+        return (np.uint64(xxhash.xxh64_intdigest(s.tobytes(), 7)).astype(np.int64) if len(s) else 0), s
+
+    return _map(rows.select("__text"), "node long, s array<long>", lambda: of)
+
+
+def _parted(live: DataFrame, roots: DataFrame) -> DataFrame:
+    """Rows of keys whose members are in several groups, with their group and the key's number of members."""
+    now = materialize(live.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    several = now.groupBy("key").agg(F.count("*").alias("size"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
+    return materialize(now.join(several.select("key", "size"), "key"))

@@ -1,0 +1,60 @@
+import random
+
+import pytest
+
+import corpus_pipeline
+from hazardspark.llm import jaccard
+from tests.llm import data
+
+
+def edited(rng, words, edits):
+    words = list(words)
+    for _ in range(edits):
+        words[rng.randrange(len(words))] = f"e{rng.randrange(10**6)}"
+    return words
+
+
+def planted():
+    """Texts of their own, and edits of some at similarities on both sides of 0.8."""
+    rng, rows = random.Random(4), []
+    for base in range(40):
+        words = [f"w{rng.randrange(3000)}" for _ in range(rng.choice((6, 30, 80, 200)))]
+        rows += [" ".join(edited(rng, words, k)) for k in (0, 0, 1, 2, 3, 5)]
+    words = [f"v{i}" for i in range(150)]
+    rows += [" ".join(edited(rng, words, rng.randrange(4))) for _ in range(120)]
+    return list(enumerate([*rows, "", "  ", "one two", "One two"]))
+
+
+def brute(rows):
+    sets = [set(jaccard.shingles((t or "").encode()).tolist()) for _, t in rows]
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if a == b or 5 * len(a & b) >= 4 * len(a | b):
+                x, y = find(i), find(j)
+                root[max(x, y)] = min(x, y)
+    return {rows[i][0]: rows[find(i)][0] for i in range(len(rows))}
+
+
+@pytest.mark.parametrize("bucket", [1, 16, 10_000])
+def test_groups_against_brute_force(spark, bucket):
+    rows = planted()
+    want = brute(rows)
+    assert len(set(want.values())) < len(rows) - 150
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in jaccard.near_duplicates(df, bucket=bucket).collect()} == want
+
+
+def test_stage_drops_edited_copies_of_documents(spark):
+    rng, docs = random.Random(5), [r for r in data.documents("sf0.01", 400) if len(r[1].split()) >= 50]
+    copies = [(10_000 + d, " ".join(edited(rng, t.split(), 1 + len(t.split()) // 100)), *rest) for d, t, *rest in docs[::4]]
+    rows = docs + copies
+    want = brute([(r[0], r[1]) for r in rows])
+    kept = {r.doc_id for r in corpus_pipeline.near_dedup(spark, data.frame(spark, rows), None).collect()}
+    assert kept == {d for d, c in want.items() if d == c} and sum(r[0] in kept for r in copies) < len(copies) / 10
