@@ -30,9 +30,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without line chunks that occur earlier; a text that loses all its words goes. n_chars follows the text."""
+    """Texts without line chunks and runs of lines that occur earlier; a text that loses all its words goes. n_chars follows the text."""
     own = docs.columns
-    rows = linededup.dedup_lines(docs).where((F.col("removed_chunks") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    rows = linededup.dedup_lines(docs, passage_words=linededup.PASSAGE_WORDS).where((F.col("removed_chunks") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     new = [F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in own]
     return rows.select(*new)
 

@@ -25,7 +25,7 @@ def op3_online_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_line_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return linededup.dedup_lines(rows)
+    return linededup.dedup_lines(rows, passage_words=linededup.PASSAGE_WORDS)
 
 
 def op5_token_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
