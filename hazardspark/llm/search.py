@@ -1,185 +1,294 @@
 """Exact top-k search by BM25 over an inverted index with block-max pruning.
 
-Documents are dealt into shards of bounded size and queries into blocks; each (shard, query block) task
-indexes its documents' postings of the block's terms, cut into blocks of neighbouring documents, with the
-largest impact of each term in each block. As in block-max WAND, a block of documents is skipped when the sum of its
-terms' maxima can't reach the score of the k-th best document so far; blocks are tried from the most promising one, and
-what is tried is scored in full. Statistics (documents, lengths, document frequencies) are those of all
-documents, so the shards' best k merge to the exact result.
+One pass over the texts writes the index: each task turns the rows it reads into shards of bounded size, one row
+with the postings of a shard, without a shuffle. Queries are taken in blocks of bounded size; the index is read once for
+each block, whose terms travel to the tasks. In a shard, documents lie in blocks of like neighbours. A block's bound for a query is
+the best of its documents by the query's rare terms, which are scored from their postings, plus the block's largest impacts
+of the common terms. As in block-max WAND, a block whose bound can't reach the score of the k-th best document so far is skipped; the
+first blocks tried are the most promising ones, and the k-th best scores pass on from shard to shard of a task. Statistics (documents,
+lengths, document frequencies) are those of all documents, so the tasks' best k merge to the exact result.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hazardspark.llm.common import materialize, text_bytes
+from hazardspark.llm.common import materialize
 
 K1, B = 1.2, 0.75
-#: Text bytes of a shard and queries of a block, on average; distinct words a task counts before it hands them on.
-SHARD_BYTES, BLOCK_QUERIES, COUNTED = 24 << 20, 4096, 400_000
-#: Neighbouring documents of an index block; scores are rounded to so many digits before ties go to the smaller doc_id.
-BLOCK_DOCS, DIGITS = 64, 6
-
-
-def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(word, documents with it, 0); the empty word: (documents, their words, their bytes)."""
-    counts: Counter = Counter()
-    docs = words = size = 0
-
-    def out(last: bool) -> pa.RecordBatch:
-        w, c = list(counts), list(counts.values())
-        more = ([b""], [docs], [words], [size]) if last else ([], [], [], [])
-        batch = pa.RecordBatch.from_arrays(
-            [pa.array(w + more[0], type=pa.binary()), pa.array(c + more[1], type=pa.int64()), pa.array([0] * len(c) + more[2], type=pa.int64()), pa.array([0] * len(c) + more[3], type=pa.int64())],
-            ["word", "df", "words", "bytes"],
-        )
-        counts.clear()
-        return batch
+#: Text bytes of a shard; queries and query terms of a block, on average.
+SHARD_BYTES, BLOCK_QUERIES, BLOCK_TERMS = 16 << 20, 4096, 1_000_000
+#: Neighbouring documents of an index block; queries scored at a time; scores are rounded to so many digits before ties go to the smaller doc_id.
+BLOCK_DOCS, GROUP, DIGITS = 64, 256, 6
+#: A term is common in a shard where this share of all pairs of documents and queries has it; postings of others are cheaper than columns.
+COMMON = 0.005
+
+_INDEX = "ids array<long>, lengths array<int>, words array<string>, df array<int>, docs binary, tf binary, n long, total long"
+_INDEX_NAMES = [x.split()[0] for x in _INDEX.split(", ")]
+
+
+def _ranges(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """All integers of the ranges, one after another."""
+    n = high - low
+    return np.arange(int(n.sum())) + np.repeat(low - (np.cumsum(n) - n), n)
+
+
+def _words(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """Words with A-Z lower-cased, and the number of the text of each."""
+    split = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    words, of = split.flatten(), np.repeat(np.arange(len(texts)), np.diff(split.offsets.to_numpy()))
+    some = pc.greater(pc.binary_length(words), 0)  # spaces at the ends of a text give empty strings
+    return words.filter(some).dictionary_encode(), of[some.to_numpy(zero_copy_only=False)]
+
+
+def shard_of(ids: pa.Array, texts: pa.Array) -> pa.RecordBatch:
+    """The index row of these documents."""
+    words, of = _words(texts)
+    term, count, n = words.indices.to_numpy().astype(np.int64), max(1, len(words.dictionary)), len(ids)
+    lengths = np.bincount(of, minlength=n)
+    key = np.sort(of * count + term)
+    at = np.flatnonzero(np.diff(key, prepend=-1))
+    tf = np.diff(at, append=len(key))
+    doc, term = np.divmod(key[at], count)
+    # documents whose commonest terms agree are neighbours, so their blocks' maxima are alike
+    first = np.full(n, -1)
+    if len(doc):
+        begins = np.flatnonzero(np.diff(doc, prepend=-1))
+        most = np.flatnonzero(tf == np.repeat(np.maximum.reduceat(tf, begins), np.diff(begins, append=len(doc))))[::-1]
+        first[doc[most]] = term[most]
+    order = np.lexsort((lengths, first))
+    place = np.empty(n, dtype=np.int64)
+    place[order] = np.arange(n)
+    doc = place[doc]
+    by = np.lexsort((doc, term))
+    lists = (ids.take(pa.array(order)), pa.array(lengths[order], pa.int32()), words.dictionary, pa.array(np.bincount(term, minlength=len(words.dictionary)), pa.int32()))
+    values = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in lists]
+    values += [pa.array([x[by].astype("<i4").tobytes()], pa.binary()) for x in (doc, tf)] + [pa.array([x], pa.int64()) for x in (n, int(lengths.sum()))]
+    return pa.RecordBatch.from_arrays(values, _INDEX_NAMES)
 
-    for batch in batches:
-        for x in batch.column(0):
-            text = x.as_py() or b""
-            found = text.lower().split()
-            counts.update(set(found))
-            docs, words, size = docs + 1, words + len(found), size + len(text)
-            if len(counts) >= COUNTED:
-                yield out(False)
-    yield out(True)
+
+def _build(shard_bytes: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def out() -> pa.RecordBatch:
+            whole = pa.Table.from_batches(held).combine_chunks()
+            held.clear()
+            return shard_of(*(c.chunk(0) if c.num_chunks else pa.array([], c.type) for c in whole.columns))
+
+        for batch in batches:
+            ends, low = np.cumsum(pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False)), 0
+            while low < batch.num_rows:
+                before = int(ends[low - 1]) if low else 0
+                high = min(batch.num_rows, int(np.searchsorted(ends, before + shard_bytes - size)) + 1)
+                held.append(batch.slice(low, high - low))
+                size += int(ends[high - 1]) - before
+                low = high
+                if size >= shard_bytes:
+                    yield out()
+                    size = 0
+        if held:
+            yield out()
+
+    return run
 
 
 def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = [sorted(set((x.as_py() or b"").lower().split())) for x in batch.column(1)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, type=pa.list_(pa.binary()))], ["query_id", "terms"])
-
-
-class Index:
-    """Postings of a shard's documents for given terms."""
-
-    def __init__(self, ids: list, texts: list[bytes], terms: dict[bytes, int], average: float, block_docs: int = BLOCK_DOCS):
-        get = terms.get
-        rows, lengths, first = [], [], []
-        for t in texts:
-            words = t.lower().split()
-            found = np.array([i for w in words if (i := get(w)) is not None], dtype=np.int64)
-            term, tf = np.unique(found, return_counts=True)
-            rows.append((term, tf))
-            lengths.append(len(words))
-            first.append(int(term[tf.argmax()]) if len(term) else -1)
-        # documents whose commonest terms agree are neighbours, so their blocks' maxima are alike
-        order = sorted(range(len(ids)), key=lambda i: (first[i], lengths[i], i))
-        self.ids = [ids[i] for i in order]
-        n = [len(rows[i][0]) for i in order]
-        term = np.concatenate([rows[i][0] for i in order] or [np.zeros(0, np.int64)])
-        tf = np.concatenate([rows[i][1] for i in order] or [np.zeros(0, np.int64)]).astype(np.float64)
-        doc = np.repeat(np.arange(len(order)), n)
-        norm = K1 * (1 - B + B * np.array([lengths[i] for i in order], dtype=np.float64) / max(average, 1e-9))
-        impact = tf * (K1 + 1) / (tf + norm[doc]) if len(doc) else tf
-        by = np.argsort(term, kind="stable")
-        self.doc, self.impact, term = doc[by], impact[by], term[by]
-        cell = term * (len(order) // block_docs + 1) + self.doc // block_docs
-        self.cells = np.flatnonzero(np.diff(cell, prepend=-1))  # first posting of each (term, block)
-        self.cell_ends = np.append(self.cells[1:], len(cell))
-        self.cell_block = self.doc[self.cells] // block_docs if len(cell) else cell
-        self.cell_max = np.maximum.reduceat(self.impact, self.cells) if len(cell) else self.impact
-        cell_term = term[self.cells]
-        self.low = np.searchsorted(cell_term, np.arange(len(terms)))
-        self.high = np.searchsorted(cell_term, np.arange(len(terms)), side="right")
-        self.blocks = len(order) // block_docs + 1
-
-    def search(self, terms: np.ndarray, weights: np.ndarray, k: int) -> list[tuple[float, int]]:
-        """The best k as (rounded score, document's place), of those with a term in common."""
-        cells, w = _ranges(self.low[terms], self.high[terms], weights)
-        if not len(cells):
-            return []
-        block = self.cell_block[cells]
-        bound = np.bincount(block, weights=w * self.cell_max[cells], minlength=self.blocks)
-        by_block = np.argsort(block, kind="stable")
-        cells, w = cells[by_block], w[by_block]
-        edge = np.searchsorted(block[by_block], np.arange(self.blocks + 1))
-        order = np.argsort(-bound, kind="stable")
-        order = order[bound[order] > 0]
-        best: list[tuple[float, int]] = []
-        at, step = 0, 1
-        while at < len(order):
-            threshold = best[-1][0] if len(best) == k else -math.inf
-            tried = order[at : at + step]
-            tried = tried[bound[tried] >= threshold - 2 * 10.0**-DIGITS]
-            if not len(tried):
-                break  # bounds fall from here on
-            at, step = at + len(tried), step * 4
-            mine, of = _ranges(edge[tried], edge[tried + 1], np.zeros(len(tried)))
-            post, weight = _ranges(self.cells[cells[mine]], self.cell_ends[cells[mine]], w[mine])
-            docs, place = np.unique(self.doc[post], return_inverse=True)
-            scores = np.round(np.bincount(place, weights=weight * self.impact[post]), DIGITS)
-            if len(scores) > 4 * k:
-                keep = scores >= np.partition(scores, -k)[-k]
-                docs, scores = docs[keep], scores[keep]
-            best = sorted([*best, *zip(scores.tolist(), docs.tolist())], key=lambda x: (-x[0], self.ids[x[1]] is None, self.ids[x[1]] or 0))[:k]
-        return best
-
-
-def _ranges(low: np.ndarray, high: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All integers of the ranges one after another, and the ranges' values beside them."""
-    n = high - low
-    total = int(n.sum())
-    if not total:
-        return np.zeros(0, dtype=np.int64), np.zeros(0)
-    shift = np.repeat(low - (np.cumsum(n) - n), n)
-    return np.arange(total) + shift, np.repeat(values, n)
+        words, of = _words(batch.column(1))
+        count = max(1, len(words.dictionary))
+        q, term = np.divmod(np.unique(of * count + words.indices.to_numpy().astype(np.int64)), count)
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(q)), words.dictionary.take(pa.array(term))], ["query_id", "word"])
+
+
+@dataclass
+class Queries:
+    """A block of queries: query i has the terms numbered terms[ends[i - 1]:ends[i]]."""
+
+    ids: np.ndarray
+    words: pa.Array
+    idf: np.ndarray
+    terms: np.ndarray
+    ends: np.ndarray
 
 
-def top_k(docs: DataFrame, queries: DataFrame, doc_id: str = "doc_id", query_id: str = "doc_id", text: str = "text", k: int = 10, shard_bytes: int = SHARD_BYTES, block_queries: int = BLOCK_QUERIES) -> DataFrame:
+class Best:
+    """The best k documents of each query so far: scores, doc_ids and whether these are null, best first."""
+
+    def __init__(self, queries: int, k: int):
+        self.k = k
+        self.score = np.full((queries, k), -np.inf)
+        self.doc = np.zeros((queries, k), dtype=np.int64)
+        self.null = np.zeros((queries, k), dtype=bool)
+
+    def add(self, q: np.ndarray, score: np.ndarray, doc: np.ndarray, null: np.ndarray) -> None:
+        """Found documents, scores rounded."""
+        some = np.unique(q)
+        q = np.concatenate([q, np.repeat(some, self.k)])
+        score, doc, null = (np.concatenate([x, old[some].ravel()]) for x, old in ((score, self.score), (doc, self.doc), (null, self.null)))
+        order = np.lexsort((doc, null, -score, q))
+        q = q[order]
+        place = np.arange(len(q)) - np.searchsorted(q, q)
+        order, q, place = (x[place < self.k] for x in (order, q, place))
+        self.score[q, place], self.doc[q, place], self.null[q, place] = score[order], doc[order], null[order]
+
+
+class Shard:
+    """An index row prepared for the terms of a block of queries."""
+
+    def __init__(self, row: pa.RecordBatch, asked: Queries, average: float, block_docs: int = BLOCK_DOCS):
+        ids, lengths, words, df, docs, tf = (row.column(c)[0] for c in ("ids", "lengths", "words", "df", "docs", "tf"))
+        self.asked, self.block_docs = asked, block_docs
+        self.ids = ids.values.fill_null(0).to_numpy(zero_copy_only=False)
+        self.null = ids.values.is_null().to_numpy(zero_copy_only=False)
+        n = len(self.ids)
+        self.blocks = -(-n // block_docs)
+        number = pc.index_in(words.values, asked.words).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        here = np.flatnonzero(number >= 0)
+        df = df.values.to_numpy(zero_copy_only=False).astype(np.int64)
+        high = np.cumsum(df)
+        post = _ranges((high - df)[here], high[here])
+        self.doc = np.frombuffer(docs.as_buffer(), dtype="<i4")[post].astype(np.int64)
+        tf = np.frombuffer(tf.as_buffer(), dtype="<i4")[post].astype(np.float64)
+        norm = K1 * (1 - B + B * lengths.values.to_numpy(zero_copy_only=False).astype(np.float64) / max(average, 1e-9))
+        df, number = df[here], number[here]
+        self.weight = np.repeat(asked.idf[number], df) * (tf * (K1 + 1) / (tf + norm[self.doc]))
+        self.high = np.cumsum(df)
+        self.low = self.high - df
+        # terms of the queries as places among the shard's
+        place = np.full(len(asked.idf), -1, dtype=np.int64)
+        place[number] = np.arange(len(number))
+        of = np.repeat(np.arange(len(asked.ids)), np.diff(asked.ends, prepend=0))
+        term = place[asked.terms]
+        of, term = of[term >= 0], term[term >= 0]
+        asking = np.bincount(term, minlength=len(number))
+        common = np.flatnonzero(df * asking > COMMON * n * len(asked.ids))
+        column = np.full(len(number), -1, dtype=np.int64)
+        column[common] = np.arange(len(common))
+        # common terms as columns: weights of the documents, their largest in each block, and who asks for them
+        self.columns = np.zeros((self.blocks * block_docs, len(common)))
+        post = _ranges(self.low[common], self.high[common])
+        self.columns[self.doc[post], np.repeat(np.arange(len(common)), df[common])] = self.weight[post]
+        self.top = self.columns.reshape(self.blocks, block_docs, len(common)).max(axis=1, initial=0.0)
+        wanted = column[term] >= 0
+        self.wants = np.zeros((len(common), len(asked.ids)))
+        self.wants[column[term[wanted]], of[wanted]] = 1.0
+        self.rare, rare_of = term[~wanted], of[~wanted]
+        self.rare_ends = np.searchsorted(rare_of, np.arange(len(asked.ids)), side="right")
+        self.scored = 0
+
+    def search(self, best: Best) -> None:
+        for low in range(0, len(self.asked.ids), GROUP):
+            self._search(low, min(low + GROUP, len(self.asked.ids)), best)
+
+    def _search(self, first: int, last: int, best: Best) -> None:
+        """Queries first to last against all blocks."""
+        size, n = self.block_docs, self.blocks * self.block_docs
+        rare = np.zeros((last - first, n))
+        for q in range(first, last):
+            t = self.rare[self.rare_ends[q - 1] if q else 0 : self.rare_ends[q]]
+            if len(t):
+                post = _ranges(self.low[t], self.high[t])
+                rare[q - first] = np.bincount(self.doc[post], weights=self.weight[post], minlength=n)
+        rare = rare.reshape(last - first, self.blocks, size)
+        bound = rare.max(axis=2) + (self.top @ self.wants[:, first:last]).T
+        tried = np.argmax(bound, axis=1)
+        go = np.zeros(bound.shape, dtype=bool)
+        go[np.arange(len(tried)), tried] = True
+        go &= bound > 0
+        self._score(go, first, rare, best)
+        done = go
+        reach = best.score[first:last, -1] - 2 * 10.0**-DIGITS
+        self._score((bound >= reach[:, None]) & (bound > 0) & ~done, first, rare, best)
+
+    def _score(self, go: np.ndarray, first: int, rare: np.ndarray, best: Best) -> None:
+        """Score the (query, block) cells of go in full, and keep what is among the best."""
+        size, out = self.block_docs, []
+        reach = best.score[first : first + len(go), -1]
+        for b in np.flatnonzero(go.any(axis=0)):
+            q = np.flatnonzero(go[:, b])
+            at = slice(b * size, (b + 1) * size)
+            scores = np.round(rare[q, b] + (self.columns[at] @ self.wants[:, first + q]).T, DIGITS)
+            self.scored += len(q)
+            good = (scores > 0) & (scores >= reach[q, None])
+            if scores.shape[1] > best.k:  # of one block only the best k, and ties with the last of them
+                good &= scores >= np.partition(scores, -best.k, axis=1)[:, -best.k, None]
+            i, d = np.nonzero(good)
+            out.append((q[i], scores[i, d], b * size + d))
+        if out:
+            q, score, d = (np.concatenate(x) for x in zip(*out))
+            best.add(first + q, score, self.ids[d], self.null[d])
+
+
+def top_k(docs: DataFrame, queries: DataFrame, doc_id: str = "doc_id", query_id: str = "doc_id", text: str = "text", k: int = 10, shard_bytes: int = SHARD_BYTES, block_queries: int = BLOCK_QUERIES, block_terms: int = BLOCK_TERMS) -> DataFrame:
     """query_id, rank, doc_id, score: the k documents of most BM25 score for each query text, its own row included.
 
     Terms are words with A-Z lower-cased; a query's terms count once. Documents without a common term are no result, so
     a null or empty query or document has none. Scores are rounded to 6 digits, ties go to the smaller doc_id (null
-    last); queries with equal query_id must not occur; repeated documents are results each; an empty table gives none.
+    last). Rows of queries with one query_id are one query of all their terms; repeated documents are results each; whole texts are
+    indexed, however long; other columns are ignored; an empty table gives none. Ids are whole numbers (or text of one).
     """
-    texts = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), text_bytes(f"`{text}`").alias("__text"))
-    counts = materialize(
-        texts.select("__text").mapInArrow(_frequencies, "word binary, df long, words long, bytes long").groupBy("word").agg(F.sum("df").alias("df"), F.sum("words").alias("words"), F.sum("bytes").alias("bytes"))
-    )
-    total = counts.where(F.length("word") == 0).first()
-    n, words, size = (total["df"], total["words"], total["bytes"]) if total else (0, 0, 0)
+    texts = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("__text"))
+    index = materialize(texts.mapInArrow(_build(shard_bytes), _INDEX))
+    n, words = (int(x or 0) for x in index.agg(F.sum("n"), F.sum("total")).first())
     average = words / n if n else 0.0
-    shards = max(1, math.ceil(size / shard_bytes))
-    asked = queries.select(F.col(f"`{query_id}`").cast("long").alias("query_id"), text_bytes(f"`{text}`").alias("__text"))
-    blocks = max(1, math.ceil(asked.count() / block_queries))
-    terms = asked.mapInArrow(_terms, "query_id long, terms array<binary>").select("query_id", F.explode("terms").alias("word"))
-    weights = terms.join(counts.select("word", "df").where(F.length("word") > 0), "word")
+    counts = index.select(F.inline(F.arrays_zip(F.col("words").alias("word"), F.col("df").alias("df")))).groupBy("word").agg(F.sum("df").alias("df"))
+    asked = queries.select(F.col(f"`{query_id}`").cast("long").alias("query_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("__text"))
+    terms = asked.mapInArrow(_terms, "query_id long, word string")
     idf = F.log(1 + (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     # a query's own distinct terms make one row
-    packed = weights.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("word", idf.alias("weight")))).alias("terms"))
-    packed = materialize(packed.select("query_id", F.col("terms.word").alias("words"), F.col("terms.weight").alias("weights"), F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("block")))
-    every = lambda count, name: F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias(name)
-    left = texts.select("doc_id", "__text", F.pmod(F.xxhash64("doc_id", "__text"), F.lit(shards)).alias("shard")).select("*", every(blocks, "block"))
-    right = packed.select("query_id", "words", "weights", F.col("block").cast("int"), every(shards, "shard"))
-
-    def run(documents: pa.Table, asked: pa.Table) -> pa.Table:
-        words = asked.column("words").to_pylist()
-        numbers: dict[bytes, int] = {}
-        for ws in words:
-            for w in ws:
-                numbers.setdefault(w, len(numbers))
-        index = Index(documents.column("doc_id").to_pylist(), documents.column("__text").to_pylist(), numbers, average)
-        found = [
-            (q, index.ids[d], s)
-            for q, ws, x in zip(asked.column("query_id").to_pylist(), words, asked.column("weights").to_pylist())
-            for s, d in index.search(np.array([numbers[w] for w in ws], dtype=np.int64), np.array(x), k)
-        ]
-        columns = list(zip(*found)) or [(), (), ()]
-        return pa.table([pa.array(c, type=t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64()))], names=["query_id", "doc_id", "score"])
-
-    left, right = (x.withColumn("shard", F.col("shard").cast("int")) for x in (left, right))
-    best = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInArrow(run, "query_id long, doc_id long, score double")
-    # at most shards * k rows a query
+    weighed = terms.join(counts, "word").groupBy("query_id").agg(F.sort_array(F.collect_set(F.struct("word", idf.alias("weight")))).alias("terms"))
+    weighed = materialize(weighed.select("query_id", F.col("terms.word").alias("words"), F.col("terms.weight").alias("weights")))
+    many, size = (int(x or 0) for x in weighed.agg(F.count("*"), F.sum(F.size("words"))).first())
+    blocks = max(1, math.ceil(many / block_queries), math.ceil(size / block_terms))
+    done = []
+    for i in range(blocks):
+        # of bounded size: block_queries queries and block_terms terms on average
+        part = weighed.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i).collect()
+        best = materialize(_block_best(index, _block(part), average, k))
+        done.append(best)
+    found = done[0]
+    for best in done[1:]:
+        found = found.union(best)
+    return found
+
+
+def _block(rows: list) -> Queries:
+    rows = sorted(rows, key=lambda r: (r["query_id"] is None, r["query_id"]))
+    words, idf, terms = {}, [], []
+    for r in rows:
+        for w, x in zip(r["words"], r["weights"]):
+            i = words.setdefault(w, len(words))
+            if i == len(idf):
+                idf.append(x)
+            terms.append(i)
+    ids = np.array([r["query_id"] for r in rows], dtype=object)
+    return Queries(ids, pa.array(list(words), pa.string()), np.array(idf, dtype=np.float64), np.array(terms, dtype=np.int64), np.cumsum([len(r["words"]) for r in rows], dtype=np.int64))
+
+
+def _block_best(index: DataFrame, asked: Queries, average: float, k: int) -> DataFrame:
+    """query_id, rank, doc_id, score of a block of queries: the index is read once."""
+    sent = index.sparkSession.sparkContext.broadcast(asked)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked = sent.value
+        best = Best(len(asked.ids), k)
+        for batch in batches:
+            for i in range(batch.num_rows):
+                Shard(batch.slice(i, 1), asked, average).search(best)
+        q, place = np.nonzero(best.score > 0)
+        doc = pa.array(best.doc[q, place], mask=best.null[q, place])
+        yield pa.RecordBatch.from_arrays([pa.array(asked.ids[q].tolist(), type=pa.int64()), doc, pa.array(best.score[q, place])], ["query_id", "doc_id", "score"])
+
+    found = index.select("ids", "lengths", "words", "df", "docs", "tf").mapInArrow(run, "query_id long, doc_id long, score double")
+    # at most k rows of each task a query
     rank = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc_nulls_last("doc_id"))
-    return best.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
+    return found.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")

@@ -3,6 +3,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from hazardspark.llm import lm, search
@@ -86,7 +87,7 @@ def brute_top(rows, queries, k):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("options", [{}, {"shard_bytes": 20_000, "block_queries": 3, "k": 4}])
+@pytest.mark.parametrize("options", [{}, {"shard_bytes": 20_000, "block_queries": 3, "k": 4}, {"shard_bytes": 50_000, "block_terms": 100}])
 def test_search_is_exact(spark, options):
     rows = data.documents("sf0.01", 600)
     df = data.frame(spark, rows)
@@ -96,16 +97,33 @@ def test_search_is_exact(spark, options):
     assert all(abs(a[3] - b[3]) < 2e-6 for a, b in zip(sorted(got, key=str), want))
 
 
+def searched(texts, asked, k, block_docs):
+    """Best of the texts for queries of (word, weight), and the share of blocks that were scored."""
+    row = search.shard_of(pa.array(range(len(texts))), pa.array(texts))
+    rows = [{"query_id": i, "words": [w for w, _ in q], "weights": [x for _, x in q]} for i, q in enumerate(asked)]
+    block, best = search._block(rows), search.Best(len(asked), k)
+    shard = search.Shard(row, block, 50.0, block_docs)
+    shard.search(best)
+    return best.score, best.doc, shard.scored / (shard.blocks * len(asked))
+
+
 def test_blocks_are_pruned_and_results_stay():
     rng = np.random.default_rng(4)
-    texts = [(" ".join(f"w{x}" for x in rng.zipf(1.5, 50) % 300)).encode() for _ in range(500)]
-    terms = {f"w{i}".encode(): i for i in range(300)}
-    index = search.Index(list(range(500)), texts, terms, 50.0, block_docs=8)
-    whole = search.Index(list(range(500)), texts, terms, 50.0, block_docs=1000)
-    for t in ([250], [7, 99, 180], [1, 2, 3, 40, 41, 42]):
-        a = index.search(np.array(t), np.linspace(1, 2, len(t)), 5)
-        b = whole.search(np.array(t), np.linspace(1, 2, len(t)), 5)
-        assert [(s, index.ids[d]) for s, d in a] == [(s, whole.ids[d]) for s, d in b]
+    texts = [" ".join(f"w{x}" for x in rng.zipf(1.5, 50) % 300) for _ in range(500)]
+    asked = [[(f"w{i}", x) for i, x in zip(t, np.linspace(1, 2, len(t)))] for t in ([250], [7, 99, 180], [1, 2, 3, 40, 41, 42], [260, 261, 262, 1])]
+    small, whole = (searched(texts, asked, 5, n) for n in (8, 1000))
+    assert np.allclose(small[0], whole[0]) and (small[1] == whole[1]).all()
+    assert small[2] < 0.8 and whole[2] == 1
+
+
+def test_thresholds_pass_from_shard_to_shard():
+    asked = search._block([{"query_id": 1, "words": ["a", "b"], "weights": [1.0, 2.0]}])
+    best, scored = search.Best(1, 2), []
+    for texts in (["a b", "a b b", "b"] * 20, ["a x y z"] * 64):
+        shard = search.Shard(search.shard_of(pa.array(range(len(texts))), pa.array(texts)), asked, 2.0, 4)
+        shard.search(best)
+        scored.append(shard.scored)
+    assert scored[1] <= 1 < scored[0]  # after the first, no block of the second can reach the best two
 
 
 @pytest.mark.parametrize("kind", ["odd", "clashing", "empty"])
