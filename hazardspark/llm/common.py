@@ -61,6 +61,16 @@ def text_bytes(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("binary"), F.lit(b"").cast("binary"))
 
 
+def packed(names: list[str]) -> Column:
+    """The named columns as one struct, under which a caller's names can't clash with an operator's own."""
+    return F.struct(*[F.col(f"`{c}`") for c in names]) if names else F.struct(F.lit(True).alias("none"))
+
+
+def unpacked(names: list[str], struct: str = "own") -> list[Column]:
+    """The columns of packed() again."""
+    return [F.col(struct).getField(c).alias(c) for c in names]
+
+
 def map_texts(df: DataFrame, schema: T.StructType, make: Callable[[], Callable[[bytes], tuple]]) -> DataFrame:
     """Replace the binary column ``__text`` by columns computed from each value.
 

@@ -1,21 +1,23 @@
 """Main text of web pages by line-block distribution.
 
-Markup is stripped to lines, one for each block of the page. A line weighs its characters outside
-links, or nothing in a container that is no part of an article (menus, footers, adverts and such). Weights
-are summed over a sliding window of lines: where the sum surges above a threshold text begins, where it
-dives to zero text ends, and what lies between is kept in page order.
+Markup is stripped to lines, one for each block of the page. Weights are summed over a sliding window of lines: a run of
+lines between two dives, where the sum is zero, is text if the sum surges above a threshold in it, and text is kept in page
+order. A line weighs its characters outside links; nothing in a container that is no part of an article (menus, footers, adverts
+and such). Where articles hold much of a page's characters, lines outside them weigh less and lines in them more, in proportion, so that markup tips the
+scales but the sums decide.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html import unescape
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hazardspark.llm.common import map_texts, text_bytes
+from hazardspark.llm.common import map_texts, packed, text_bytes, unpacked
 
 _MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -36,6 +38,21 @@ _ASIDE = frozenset("nav footer aside form menu dialog head".split())
 _ASIDE_WORDS = frozenset("ad ads advert advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies contentinfo disclaimer footer masthead menu menubar nav navbar navigation newsletter notice notices notification pagination popup promo promoted related share sharing sidebar social sponsor sponsored subscribe toolbar widget".split())
 #: Of these only outside articles.
 _TOP_WORDS = frozenset("header banner".split())
+#: Of these on an article element itself: a teaser, an advert or a reader's comment.
+_NOT_ARTICLE = frozenset("ad ads advert advertisement comment comments promo promoted related sponsored teaser".split())
+#: Words that make a class say what a container holds or lacks, not what it is.
+_HOLDS = frozenset("has with without no hide".split())
+
+
+def _names(attributes: str) -> set[str]:
+    """Words of class, id and role."""
+    out = set()
+    for m in _CLASS.finditer(attributes):
+        for token in (m[1] or m[2] or m[3] or "").lower().split():
+            words = re.split(r"[^a-z0-9]+", token)
+            if words[0] not in _HOLDS:
+                out.update(words)
+    return out
 
 
 class _Page:
@@ -44,6 +61,7 @@ class _Page:
         self.parts: list[str] = []
         self.plain = 0
         self.stack: list[tuple[str, bool, bool]] = []
+        self.open: Counter = Counter()  # names on the stack
         self.articles = self.asides = self.links = 0
 
     def text(self, raw: str) -> None:
@@ -64,18 +82,24 @@ class _Page:
     def begin(self, name: str, attributes: str) -> None:
         article = name in ("article", "main")
         aside = name in _ASIDE or (name == "header" and not self.articles)
-        if attributes and not article and name not in ("body", "html"):
-            words = {w for m in _CLASS.finditer(attributes) for w in re.split(r"[^a-z0-9]+", (m[1] or m[2] or m[3] or "").lower())}
-            aside = aside or not words.isdisjoint(_ASIDE_WORDS) or (not self.articles and not words.isdisjoint(_TOP_WORDS)) or bool(_HIDDEN.search(attributes))
+        if attributes and name not in ("body", "html"):
+            words = _names(attributes)
+            if article:
+                aside = name == "article" and not words.isdisjoint(_NOT_ARTICLE)
+            else:
+                aside = aside or not words.isdisjoint(_ASIDE_WORDS) or (not self.articles and not words.isdisjoint(_TOP_WORDS))
+            aside = aside or bool(_HIDDEN.search(attributes))
         if self.stack and self.stack[-1][0] in _LOOSE and name in _LOOSE:
             self._pop()  # a new loose block ends the last
         if name not in _LOOSE or aside:
             self.stack.append((name, article, aside))
+            self.open[name] += 1
             self.articles += article
             self.asides += aside
 
     def _pop(self) -> str:
         name, article, aside = self.stack.pop()
+        self.open[name] -= 1
         self.articles -= article
         self.asides -= aside
         return name
@@ -83,7 +107,7 @@ class _Page:
     def finish(self, name: str) -> None:
         if name in _LOOSE and not (self.stack and self.stack[-1][0] == name):
             return
-        if any(x[0] == name for x in self.stack):
+        if self.open[name]:
             while self._pop() != name:
                 pass
 
@@ -107,40 +131,51 @@ def page_lines(html: str) -> list[tuple[str, int, bool, bool]]:
     return page.lines
 
 
+def line_weights(lines: list[tuple[str, int, bool, bool]], surge: int) -> list[float]:
+    """What each line adds to the sums of its windows.
+
+    With share the part of the characters that are in articles: a line in one weighs its characters and up to surge more (in full from a
+    share of a half), a line outside weighs its characters times what twice the share leaves of one.
+    """
+    inside = sum(len(text) for text, _, article, aside in lines if article and not aside)
+    total = sum(len(text) if article else plain for text, plain, article, aside in lines if not aside)
+    pull = min(1.0, 2 * inside / total) if total else 0.0
+    return [0.0 if aside else plain + pull * (surge + len(text) - plain) if article else plain * (1 - pull) for text, plain, article, aside in lines]
+
+
 def main_text(html: str, window: int = 3, surge: int = 86) -> str:
     """Kept lines of the page joined by a line feed; empty if there are none.
 
-    With an article or main element, only its lines count and any text is a surge.
+    On pages of little text the threshold is a quarter of the largest sum, so the densest run of lines is text.
     """
     lines = page_lines(html)
-    inside = any(line[2] and not line[3] for line in lines)
-    weights = [0 if aside or (inside and not article) else len(text) if inside else plain for text, plain, article, aside in lines]
+    weights = line_weights(lines, surge)
     sums = [sum(weights[i : i + window]) for i in range(len(weights))]
-    least = 0 if inside else min(surge, max(sums, default=0) // 4)
+    least = min(surge, max(sums, default=0) / 4)
     out, i = [], 0
     while i < len(lines):
-        if sums[i] <= least:
+        if not sums[i]:
             i += 1
             continue
-        while not weights[i]:  # the window's first lines may be the menu's last
-            i += 1
-        while i < len(lines) and sums[i]:
-            if not lines[i][3] and (lines[i][2] or not inside) and (weights[i] or not inside):
-                out.append(lines[i][0])
-            i += 1
+        dive = i
+        while dive < len(lines) and sums[dive]:
+            dive += 1
+        if max(sums[i:dive]) > least:
+            out += [lines[n][0] for n in range(i, dive) if weights[n] > 0]
+        i = dive
     return "\n".join(out)
 
 
 def extract(pages: DataFrame, html: str = "html", window: int = 3, surge: int = 86) -> DataFrame:
     """pages without html, with text and n_chars (code points).
 
-    Null or empty html, and pages without text, give an empty text; every row gives one row; other columns stay,
-    but for ones named text or n_chars, which are replaced.
+    Null or empty html, and pages without text, give an empty text; every row gives one row, repeated rows alike; pages are read whole,
+    however long or deep, in time that grows with their length; an empty table gives an empty table; other columns stay, but for ones named text or n_chars, which are replaced.
     """
 
     def make():
         return lambda raw: (main_text(raw.decode("utf-8", "replace"), window, surge),)
 
-    own = [F.col(f"`{c}`") for c in pages.columns if c not in (html, "text", "n_chars")]
-    rows = map_texts(pages.select(*own, text_bytes(f"`{html}`").alias("__text")), T.StructType([T.StructField("text", T.StringType())]), make)
-    return rows.withColumn("n_chars", F.length("text").cast("long"))
+    own = [c for c in pages.columns if c not in (html, "text", "n_chars")]
+    rows = map_texts(pages.select(packed(own).alias("own"), text_bytes(f"`{html}`").alias("__text")), T.StructType([T.StructField("text", T.StringType())]), make)
+    return rows.select(*unpacked(own), "text", F.length("text").cast("long").alias("n_chars"))

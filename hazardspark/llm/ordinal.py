@@ -2,16 +2,17 @@
 
 P(grade <= k) = sigmoid(threshold_k - w . x): all ordered thresholds share the weights. The model is
 fitted on the driver on a bounded sample of labelled rows (``sample`` toxic and twice as many others, by
-hash of doc_id); scoring is one pass over all whole texts. Labels say only whether a document is toxic,
-so toxic rows of the sample are graded 1 to 3 by terciles of the amount of the features that, in the sample,
-tell toxic from other rows (words and beginnings of words over four times as frequent among them, with a
-likelihood-ratio statistic of ``least`` or more).
+hash of doc_id; their whole texts); scoring is one pass over all whole texts. Labels say only whether a document is toxic,
+so toxic rows of the sample are graded 1 to 3 by terciles of the amount of telling features (words and beginnings of words over four times
+as frequent in toxic rows as in others, with a likelihood-ratio statistic of ``least`` or more). The features that grade a row
+are chosen on the other half of the sample, so a row's severity does not rest on its own label or words.
 """
 
 from __future__ import annotations
 
 import math
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,10 +20,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hazardspark.llm.common import map_texts, text_bytes
+from hazardspark.llm.common import map_texts, packed, text_bytes, unpacked
 
-#: Toxic rows that the sample takes at most, and words of a row of the sample.
-SAMPLE, SAMPLE_WORDS = 2000, 5000
+#: Toxic rows that the sample takes at most.
+SAMPLE = 2000
 _STRIP = b".,;:!?\"'()[]{}<>*#$%&|-_/\\"
 
 
@@ -31,12 +32,20 @@ def words_of(text: bytes) -> list[bytes]:
     return [w for w in (w.strip(_STRIP) for w in text.lower().split()) if w]
 
 
-def features_of(counts: Counter) -> Counter:
-    """Words, and their beginnings of 4 to 8 bytes (with a mark that no word has)."""
-    out = Counter(counts)
+def spread(word: bytes) -> Iterator[bytes]:
+    """A word and its beginnings of 4 to 8 bytes (with a mark that no word has)."""
+    yield word
+    for k in range(4, min(8, len(word) - 1) + 1):
+        yield word[:k] + b" "
+
+
+def features_of(counts: Counter, kept: set[bytes] | dict[bytes, int]) -> Counter:
+    """Counts of the kept features in a row."""
+    out: Counter = Counter()
     for w, n in counts.items():
-        for k in range(4, min(8, len(w) - 1) + 1):
-            out[w[:k] + b" "] += n
+        for f in spread(w):
+            if f in kept:
+                out[f] += n
     return out
 
 
@@ -58,52 +67,67 @@ class Model:
         return self.of(Counter(words_of(text)))
 
     def of(self, counts: Counter) -> np.ndarray:
-        get, found = self.words.get, Counter()
-        for w, n in counts.items():
-            for k in (len(w), *range(4, min(8, len(w) - 1) + 1)):
-                if (i := get(w if k == len(w) else w[:k] + b" ")) is not None:
-                    found[i] += n
-        total = sum(self.weights[i] * (1 + math.log(n)) for i, n in found.items())
+        total = sum(self.weights[self.words[f]] * (1 + math.log(n)) for f, n in features_of(counts, self.words).items())
         below = 1 / (1 + np.exp(np.clip(total - self.thresholds, -50, 50)))
         return np.diff(np.concatenate([[0.0], below, [1.0]]))
 
 
+def telling(toxic: list[Counter], clean: list[Counter], features: int, least: float) -> list[bytes]:
+    """Features that tell toxic rows from others, the strongest first; if none reaches ``least``, the twenty strongest.
+
+    Of features that begin alike and are in as many rows only the longest counts.
+    """
+    if not toxic or not clean:
+        return []
+    in_toxic = Counter(f for c in toxic for f in {f for w in c for f in spread(w)})
+    in_clean = Counter(f for c in clean for f in {f for w in c for f in spread(w) if f in in_toxic})
+    gain = {f: evidence(n, len(toxic), in_clean[f], len(clean)) for f, n in in_toxic.items() if n * len(clean) > 4 * in_clean[f] * len(toxic)}
+    order = sorted(gain, key=lambda f: (-gain[f], f))
+    strong = [f for f in order if gain[f] >= least] or order[:20]
+    longest = {}
+    for f in sorted(strong, key=lambda f: (len(f.rstrip()), f)):
+        longest[f[:4], in_toxic[f], in_clean[f]] = f
+    kept = set(longest.values())
+    return [f for f in strong if f in kept][:features]
+
+
+def loss(x: np.ndarray, y: np.ndarray, w: np.ndarray, t: np.ndarray, decay: float) -> tuple[float, np.ndarray]:
+    """Mean negative log-likelihood with its penalty, and the gradient by weights and t: the first threshold, then the logs of the steps."""
+    k = len(t)
+    th = np.cumsum(np.concatenate([t[:1], np.exp(t[1:])]))
+    eta = x @ w
+    edges = np.concatenate([[-np.inf], th, [np.inf]])
+    hi, lo = (1 / (1 + np.exp(np.clip(eta - edges[y + s], -50, 50))) for s in (1, 0))
+    p = np.maximum(hi - lo, 1e-9)
+    d_hi, d_lo = hi * (1 - hi) / p, lo * (1 - lo) / p
+    g_eta = (d_hi - d_lo) / len(y)
+    g_th = np.array([(-(d_hi * (y == j)) + d_lo * (y == j + 1)).sum() for j in range(k)]) / len(y)
+    g_t = np.concatenate([[g_th.sum()], [g_th[j:].sum() * math.exp(t[j]) for j in range(1, k)]])
+    return float(-np.log(p).mean() + decay / 2 * (w @ w)), np.concatenate([x.T @ g_eta + decay * w, g_t])
+
+
 def fit(rows: list[tuple[int, Counter]], grades: int = 4, features: int = 500, least: float = 20.0, steps: int = 500, decay: float = 1e-4) -> Model:
     """rows: (toxic 0 or 1, word counts). With one class only, every text gets the grade of that class with certainty."""
-    toxic = [features_of(c) for y, c in rows if y]
-    clean = [features_of(c) for y, c in rows if not y]
+    toxic, clean = ([c for y, c in rows if y == kind] for kind in (1, 0))
     if not toxic or not clean:
         return Model({}, np.zeros(0), np.full(grades - 1, 50.0 if not toxic else -50.0))
-    in_toxic, in_clean = Counter(w for c in toxic for w in c), Counter(w for c in clean for w in c)
-    gain = {w: evidence(n, len(toxic), in_clean[w], len(clean)) for w, n in in_toxic.items() if n * len(clean) > 4 * in_clean[w] * len(toxic)}
-    strong = sorted((w for w in gain if gain[w] >= least), key=lambda w: (-gain[w], w))
-    longest = {}  # of features that begin alike and are in as many rows, only the longest
-    for w in sorted(strong, key=lambda w: (len(w.rstrip()), w)):
-        longest[w[:4], in_toxic[w], in_clean[w]] = w
-    kept = set(longest.values())
-    chosen = [w for w in strong if w in kept][:features]
+    chosen = telling(toxic, clean, features, least)
     words = {w: i for i, w in enumerate(chosen)}
-    amount = [sum(1 + math.log(n) for w, n in c.items() if w in words) for c in toxic]
+    # a half's rows are graded by the other half's features; a single toxic row by its own
+    amount = np.zeros(len(toxic))
+    for half in (0, 1):
+        other = set(telling(toxic[1 - half :: 2], clean[1 - half :: 2], features, least)) or words
+        amount[half::2] = [sum(1 + math.log(n) for n in features_of(c, other).values()) for c in toxic[half::2]]
     cuts = np.quantile(amount, np.arange(1, grades - 1) / (grades - 1))
-    y = np.array([1 + int(np.searchsorted(cuts, a, side="right")) for a in amount] + [0] * len(clean))
-    x = np.zeros((len(rows), len(words)), dtype=np.float32)
+    y = np.concatenate([1 + np.searchsorted(cuts, amount, side="right"), np.zeros(len(clean), dtype=np.int64)])
+    x = np.zeros((len(rows), len(words)))
     for r, c in enumerate([*toxic, *clean]):
-        for w, n in c.items():
-            if (i := words.get(w)) is not None:
-                x[r, i] = 1 + math.log(n)
-    w, t = np.zeros(x.shape[1]), np.concatenate([[1.0], np.zeros(grades - 2)])  # thresholds: t[0], then steps exp(t)
+        for f, n in features_of(c, words).items():
+            x[r, words[f]] = 1 + math.log(n)
+    w, t = np.zeros(x.shape[1]), np.concatenate([[1.0], np.zeros(grades - 2)])
     moments = [np.zeros(len(w) + len(t)) for _ in range(2)]
     for step in range(1, steps + 1):
-        th = np.cumsum(np.concatenate([t[:1], np.exp(t[1:])]))
-        eta = (x @ w.astype(np.float32)).astype(np.float64)
-        edges = np.concatenate([[-np.inf], th, [np.inf]])
-        hi, lo = (1 / (1 + np.exp(np.clip(eta - edges[y + s], -50, 50))) for s in (1, 0))
-        p = np.maximum(hi - lo, 1e-9)
-        d_hi, d_lo = hi * (1 - hi) / p, lo * (1 - lo) / p
-        g_eta = (d_hi - d_lo) / len(y)  # of the mean negative log-likelihood
-        g_th = np.array([(-(d_hi * (y == k)) + d_lo * (y == k + 1)).sum() for k in range(grades - 1)]) / len(y)
-        g_t = np.concatenate([[g_th.sum()], [g_th[k:].sum() * math.exp(t[k]) for k in range(1, grades - 1)]])
-        g = np.concatenate([x.T @ g_eta.astype(np.float32) + decay * w, g_t])
+        g = loss(x, y, w, t, decay)[1]
         moments[0] = 0.9 * moments[0] + 0.1 * g
         moments[1] = 0.99 * moments[1] + 0.01 * g * g
         move = 0.1 * (moments[0] / (1 - 0.9**step)) / (np.sqrt(moments[1] / (1 - 0.99**step)) + 1e-8)
@@ -119,7 +143,7 @@ def sample_rows(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, toxi
 
     def make():
         def of(value: bytes) -> tuple[bytes]:
-            counts = Counter(words_of(value)).most_common(SAMPLE_WORDS)
+            counts = Counter(words_of(value)).items()
             return (b"\n".join(b"%d %s" % (n, w) for w, n in counts),)
 
         return of
@@ -134,9 +158,10 @@ def sample_rows(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, toxi
 def toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", toxic: str = "toxic", sample: int = SAMPLE) -> DataFrame:
     """docs without text, with severity (expected grade, 0 to 3), grade (the median grade) and toxic (grade above 0).
 
-    A null or empty text is scored as one without words; rows with null doc_id are scored but never learnt from;
+    A null or empty text is scored as one without words, a very long one whole; rows with null doc_id are scored but never learnt from;
+    of several labels of a doc_id the toxic one holds, and repeated rows with a label are learnt from each;
     with no labels of one kind all rows get the other kind's grade; an empty table gives an empty table. Columns of
-    docs with these names are replaced.
+    docs with these names are replaced, all others stay.
     """
     model = fit(sample_rows(docs, labels, doc_id, text, toxic, sample))
 
@@ -148,6 +173,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: s
 
         return of
 
-    own = [F.col(f"`{c}`") for c in docs.columns if c not in (text, "severity", "grade", "toxic")]
+    own = [c for c in docs.columns if c not in (text, "severity", "grade", "toxic")]
     new = T.StructType([T.StructField("severity", T.DoubleType()), T.StructField("grade", T.IntegerType()), T.StructField("toxic", T.BooleanType())])
-    return map_texts(docs.select(*own, text_bytes(f"`{text}`").alias("__text")), new, make)
+    rows = map_texts(docs.select(packed(own).alias("own"), text_bytes(f"`{text}`").alias("__text")), new, make)
+    return rows.select(*unpacked(own), *new.names)

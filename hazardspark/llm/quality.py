@@ -16,11 +16,12 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from hazardspark.llm import vocab
-from hazardspark.llm.common import few, materialize, text_bytes
+from hazardspark.llm.common import few, materialize, packed, text_bytes, unpacked
 
 #: Characters that count as symbols (fixed values of the contract).
 SYMBOLS = b"#*$%&|<>"
@@ -128,10 +129,10 @@ def measure(docs: DataFrame, text: str = "text", piece_file: str | None = None,
             columns = [c for i, c in enumerate(batch.columns) if i != at]
             yield pa.RecordBatch.from_arrays(columns + new, [x for i, x in enumerate(batch.schema.names) if i != at] + names)
 
-    own = [F.col(f"`{c}`") for c in docs.columns if c != text and c not in names]
-    rows = docs.select(*own, text_bytes(f"`{text}`").alias("__text"))
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "__text"] + [BASE, SIGNALS])
-    return rows.mapInArrow(run, schema)
+    own = [c for c in docs.columns if c != text and c not in names]
+    rows = docs.select(packed(own).alias("own"), text_bytes(f"`{text}`").alias("__text"))
+    schema = T.StructType([rows.schema["own"], *T._parse_datatype_string(f"{BASE}, {SIGNALS}").fields])
+    return rows.mapInArrow(run, schema).select(*unpacked(own), *names)
 
 
 #: Base rules of the contract: words at least, and repeated words in percent at most.
@@ -148,51 +149,53 @@ def _scale(column: str, digits: int):
     return (F.element_at(q, 2) - F.element_at(q, 1)) / 1.349
 
 
-def judge(measured: DataFrame, lang: str = "lang", combined: float = -4.0, single: float = -3.5, most_fallback: float = 0.2, least_rows: int = 20) -> DataFrame:
-    """measured with base_failed and kept.
+def judge(measured: DataFrame, lang: str = "lang", combined: float = -4.0, single: float = -3.5, most: float = 8.0, most_fallback: float = 0.2, least_rows: int = 20) -> DataFrame:
+    """measured with z_piece, z_byte, z_entropy, base_failed and kept.
 
-    Of the rows that pass the base rules, per language: characters per piece against their median, in scaled quartile
+    Of the rows that pass the base rules, per language: characters per token of both vocabularies against their median, in scaled quartile
     distances of deviations times sqrt(words); and entropy against the median of its length class (powers of two
     of words, all languages together) and then of its language, in scaled quartile distances of its length class. Rejected
-    are rows whose two distances sum to less than ``combined``, whose entropy lies below ``single``, or with over
+    are rows whose distances of pieces (the lesser of both vocabularies') and of entropy sum to less than ``combined``, whose entropy lies below
+    ``single``, one of whose three distances is above ``most``, or with over
     ``most_fallback`` byte fallbacks when their language's median has less than half of that. A language or length class with fewer than
     ``least_rows`` rows, or without spread, gives distance 0.
     """
     own = measured.columns
-    rows = measured.withColumn("base_failed", (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words")))
-    rows = rows.withColumn("__lang", F.coalesce(F.col(f"`{lang}`"), F.lit(""))).withColumn("__class", F.floor(F.log2(F.greatest("n_words", F.lit(1)))))
-    good = rows.where(~F.col("base_failed"))
-    by_class = good.groupBy("__class").agg(F.element_at(_middle("entropy", 3, 0.5), 1).alias("__e_class"))
-    by_class = few(by_class)
-    good = good.join(by_class, "__class").withColumn("__e1", F.col("entropy") - F.col("__e_class"))
-    by_lang = good.groupBy("__lang").agg(
-        F.count("*").alias("__rows"), F.element_at(_middle("piece_chars", 3, 0.5), 1).alias("__p_lang"),
-        F.element_at(_middle("__e1", 3, 0.5), 1).alias("__e_lang"), F.element_at(_middle("fallback", 3, 0.5), 1).alias("__f_lang"),
+    names = [x.split()[0] for x in f"{BASE}, {SIGNALS}".split(", ")]
+    rows = measured.select(packed(own).alias("own"), F.coalesce(F.col(f"`{lang}`"), F.lit("")).alias("of"), *names)
+    rows = rows.withColumn("base_failed", (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words")))
+    rows = rows.withColumn("class", F.floor(F.log2(F.greatest("n_words", F.lit(1)))))
+    good = rows.where(~F.col("base_failed")).drop("own")
+    by_class = few(good.groupBy("class").agg(F.element_at(_middle("entropy", 3, 0.5), 1).alias("e_class")))
+    good = good.join(by_class, "class").withColumn("e1", F.col("entropy") - F.col("e_class"))
+    by_lang = good.groupBy("of").agg(
+        F.count("*").alias("rows"), F.element_at(_middle("piece_chars", 3, 0.5), 1).alias("p_lang"), F.element_at(_middle("byte_chars", 3, 0.5), 1).alias("b_lang"),
+        F.element_at(_middle("e1", 3, 0.5), 1).alias("e_lang"), F.element_at(_middle("fallback", 3, 0.5), 1).alias("f_lang"),
     )
     by_lang = few(by_lang)
-    good = good.join(by_lang, "__lang").withColumn("__e2", F.col("__e1") - F.col("__e_lang"))
-    good = good.withColumn("__p2", (F.col("piece_chars") - F.col("__p_lang")) * F.sqrt("n_words"))
-    e_scale = good.groupBy("__class").agg(F.count("*").alias("__class_rows"), _scale("__e2", 3).alias("__e_scale"))
-    p_scale = good.groupBy("__lang").agg(_scale("__p2", 2).alias("__p_scale"))
-    rows = rows.join(few(by_class.join(e_scale, "__class")), "__class", "left").join(few(by_lang.join(p_scale, "__lang")), "__lang", "left")
-    enough = F.col("__rows") >= least_rows
-    z_piece = F.when(enough & (F.col("__p_scale") > 0), (F.col("piece_chars") - F.col("__p_lang")) * F.sqrt("n_words") / F.col("__p_scale")).otherwise(0.0)
-    z_entropy = F.when(
-        enough & (F.col("__class_rows") >= least_rows) & (F.col("__e_scale") > 0),
-        (F.col("entropy") - F.col("__e_class") - F.col("__e_lang")) / F.col("__e_scale"),
-    ).otherwise(0.0)
-    rows = rows.withColumn("z_piece", z_piece).withColumn("z_entropy", z_entropy)
-    odd = (F.col("z_piece") + F.col("z_entropy") < combined) | (F.col("z_entropy") < single)
-    odd = odd | (enough & (F.col("fallback") > most_fallback) & (F.col("__f_lang") < most_fallback / 2))
-    return rows.select(*[F.col(f"`{c}`") for c in own], "z_piece", "z_entropy", "base_failed", (~F.col("base_failed") & ~F.coalesce(odd, F.lit(False))).alias("kept"))
+    good = good.join(by_lang, "of").withColumn("e2", F.col("e1") - F.col("e_lang"))
+    good = good.withColumn("p2", (F.col("piece_chars") - F.col("p_lang")) * F.sqrt("n_words")).withColumn("b2", (F.col("byte_chars") - F.col("b_lang")) * F.sqrt("n_words"))
+    e_scale = good.groupBy("class").agg(F.count("*").alias("class_rows"), _scale("e2", 3).alias("e_scale"))
+    scales = good.groupBy("of").agg(_scale("p2", 2).alias("p_scale"), _scale("b2", 2).alias("b_scale"))
+    rows = rows.join(few(by_class.join(e_scale, "class")), "class", "left").join(few(by_lang.join(scales, "of")), "of", "left")
+    enough = F.col("rows") >= least_rows
+
+    def distance(value: str, middle: str, scale: str) -> Column:
+        return F.when(enough & (F.col(scale) > 0), (F.col(value) - F.col(middle)) * F.sqrt("n_words") / F.col(scale)).otherwise(0.0)
+
+    z_entropy = F.when(enough & (F.col("class_rows") >= least_rows) & (F.col("e_scale") > 0), (F.col("entropy") - F.col("e_class") - F.col("e_lang")) / F.col("e_scale")).otherwise(0.0)
+    rows = rows.withColumn("z_piece", distance("piece_chars", "p_lang", "p_scale")).withColumn("z_byte", distance("byte_chars", "b_lang", "b_scale")).withColumn("z_entropy", z_entropy)
+    odd = (F.least("z_piece", "z_byte") + F.col("z_entropy") < combined) | (F.col("z_entropy") < single) | (F.greatest("z_piece", "z_byte", "z_entropy") > most)
+    odd = odd | (enough & (F.col("fallback") > most_fallback) & (F.col("f_lang") < most_fallback / 2))
+    return rows.select(*unpacked(own), "z_piece", "z_byte", "z_entropy", "base_failed", (~F.col("base_failed") & ~F.coalesce(odd, F.lit(False))).alias("kept"))
 
 
 def quality(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
     """docs without text, with base counts, fertility signals, distances, base_failed and kept.
 
-    A null or empty text has no words and fails the base rules; null lang is a language of its own; repeated rows
-    are judged alike; an empty table gives an empty table. Columns of docs with the new names are replaced.
+    A null or empty text has no words and fails the base rules; null lang is a language of its own; whole texts are measured, however
+    long; repeated rows are judged alike; an empty table gives an empty table. Columns of docs with the new names are replaced, all others stay.
     """
-    new = {"z_piece", "z_entropy", "base_failed", "kept", "__lang", "__class"}
+    new = {"z_piece", "z_byte", "z_entropy", "base_failed", "kept"}
     own = [F.col(f"`{c}`") for c in docs.columns if c not in new]
     return judge(materialize(measure(docs.select(*own), text)), lang)

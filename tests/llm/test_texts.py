@@ -32,6 +32,48 @@ def test_pages_without_article_by_line_blocks():
     assert html.main_text(page) == "\n".join(text)
 
 
+def test_sums_decide_with_and_without_article_tags():
+    from html import unescape
+
+    pages = ds.dataset(f"{data.DATA}/sf0.01/pages.parquet").to_table().to_pylist()
+    for p in pages:
+        body = p["html"].split("<article>")[1].split("</article>")[0]
+        blocks = [" ".join(unescape(re.sub("<[^>]*>?", " ", b)).split()) for b in re.split("</?(?:p|h1)>", body)]
+        want = "\n".join(b for b in blocks if b)
+        assert html.main_text(p["html"]) == html.main_text(p["html"].replace("article>", "div>")) == want
+
+
+TEXT = [f"Paragraph {i} has a good number of words so that its block of lines surges above the threshold." for i in range(6)]
+BODY = "".join(f"<p>{t}</p>" for t in TEXT)
+
+
+@pytest.mark.parametrize("page", [
+    f"<div>{BODY}</div><nav><a href=x>x</a></nav><article class=teaser><h3>Another story</h3><p>Read on.</p></article>",
+    f"<div>{BODY}</div><ul>{'<li><a href=x>Menu</a>' * 3}</ul><article><p>Another story</p></article>",
+    f"<article>{BODY}</article><ul><li><a href=x>Menu</a></ul><article class='comment'><p>A reader says quite a lot about this, with many words.</p></article>",
+    f"<article>{BODY}</article><div>This notice has no class and comes after the text, but it is no part of the article at all.</div>",
+    f"<div class='content has-sidebar'>{BODY}</div><div class=sidebar><p>Side text that is long enough to be a paragraph of an article by itself, yes.</p></div>",
+    f"<main class='no-menu'>{BODY}</main><section><p><a href=x>More</a></p></section>",
+])
+def test_articles_tip_the_scales_only(page):
+    assert html.main_text(f"<html><body>{page}</body></html>") == "\n".join(TEXT)
+
+
+def test_weights_of_lines():
+    lines = [("menu", 0, False, False), ("in article", 10, True, False), ("linked", 0, True, False), ("outside", 7, False, False), ("aside", 5, True, True)]
+    assert html.line_weights(lines, 50) == [0, 60, 56, 0, 0]
+    lines[3] = ("outside " * 16, 112, False, False)  # articles have 16 of 128 characters, so a quarter of the pull
+    assert html.line_weights(lines, 50) == [0, 10 + 50 / 4, (50 + 6) / 4, 84, 0]
+
+
+def test_deep_pages_take_linear_time():
+    import time
+
+    begun = time.time()
+    html.main_text("<div>" * 100_000 + "</section>" * 100_000)
+    assert time.time() - begun < 10
+
+
 @pytest.mark.parametrize("cut", range(0, len(PAGE), 37))
 def test_cut_pages_do_not_fail(cut):
     assert isinstance(html.main_text(PAGE[:cut]), str)
@@ -97,6 +139,53 @@ def test_toxicity_edge_tables(spark, kind):
     assert all(not r.toxic for r in none)
 
 
+def test_gradient_of_the_ordinal_likelihood():
+    rng = np.random.default_rng(2)
+    x, y, w, t = rng.normal(size=(40, 5)), rng.integers(0, 4, 40), rng.normal(size=5), np.array([0.3, -0.2, 0.4])
+    whole = np.concatenate([w, t])
+    f = lambda v: ordinal.loss(x, y, v[:5], v[5:], 0.01)[0]
+    numeric = [(f(whole + 1e-6 * e) - f(whole - 1e-6 * e)) / 2e-6 for e in np.eye(8)]
+    assert np.allclose(numeric, ordinal.loss(x, y, w, t, 0.01)[1], atol=1e-6)
+    th = [0.3, 0.3 + math.exp(-0.2), 0.3 + math.exp(-0.2) + math.exp(0.4)]
+    below = lambda k, e: 0.0 if k < 0 else 1.0 if k > 2 else 1 / (1 + math.exp(e - th[k]))
+    brute = -sum(math.log(below(k, e) - below(k - 1, e)) for k, e in zip(y, x @ w)) / 40 + 0.005 * (w @ w)
+    assert math.isclose(f(whole), brute, rel_tol=1e-9)
+
+
+def test_fit_is_at_the_minimum():
+    rows = _labelled(600)
+    m = ordinal.fit(rows, steps=4000, decay=0.05)
+    toxic, clean = ([c for y, c in rows if y == k] for k in (1, 0))
+    assert set(m.words) == set(ordinal.telling(toxic, clean, 500, 20.0))
+    x = np.array([[1 + math.log(n) if (n := ordinal.features_of(c, m.words)[f]) else 0.0 for f in m.words] for c in [*toxic, *clean]])
+    # the grades that the model was fitted to, from the other half's features
+    amount = np.zeros(len(toxic))
+    for h in (0, 1):
+        other = set(ordinal.telling(toxic[1 - h :: 2], clean[1 - h :: 2], 500, 20.0)) or m.words
+        amount[h::2] = [sum(1 + math.log(n) for n in ordinal.features_of(c, other).values()) for c in toxic[h::2]]
+    y = np.array([1 + sum(a >= c for c in np.quantile(amount, [1 / 3, 2 / 3])) for a in amount] + [0] * len(clean))
+    t = np.concatenate([m.thresholds[:1], np.log(np.diff(m.thresholds))])
+    assert np.abs(ordinal.loss(x, y, m.weights, t, 0.05)[1]).max() < 2e-3
+
+
+def test_scores_against_brute_force(spark):
+    docs = data.documents("sf0.01", 300)
+    labels = spark.read.parquet(f"{data.DATA}/sf0.01/labels.parquet")
+    got = {r.doc_id: r for r in ordinal.toxicity(data.frame(spark, docs), labels).collect()}
+    model = ordinal.fit(ordinal.sample_rows(data.frame(spark, docs), labels, "doc_id", "text", "toxic", ordinal.SAMPLE))
+    strip = ordinal._STRIP.decode()
+    for d, text, *_ in docs:
+        words = [w for w in (w.strip(strip) for w in "".join(c.lower() if c.isascii() else c for c in text).split()) if w]
+        total = 0.0
+        for f, i in model.words.items():
+            name = f.decode("utf-8", "surrogateescape")
+            n = sum(w == name if not f.endswith(b" ") else w.encode().startswith(f[:-1]) and len(w.encode()) > len(f) - 1 for w in words)
+            total += model.weights[i] * (1 + math.log(n)) if n else 0.0
+        below = [1 / (1 + math.exp(max(-50, min(50, total - t)))) for t in model.thresholds] + [1.0]
+        p = np.diff([0.0, *below])
+        assert math.isclose(got[d].severity, p @ np.arange(4), abs_tol=1e-6) and got[d].toxic == (got[d].grade > 0) and got[d].grade == sum(c < 0.5 for c in below)
+
+
 # --- quality
 
 
@@ -134,6 +223,30 @@ def test_quality_against_brute_force_and_labels(spark):
     assert sum(not k for q, k in judged if not q) >= 0.7 * sum(not q for q, _ in judged)
 
 
+def test_kept_against_brute_force_bands(spark):
+    df = quality.quality(spark.read.parquet(f"{data.DATA}/sf0.01/documents.parquet"))
+    rows = [r.asDict() for r in quality.measure(spark.read.parquet(f"{data.DATA}/sf0.01/documents.parquet")).collect()]
+    good = [r for r in rows if r["n_words"] >= 50 and 100 * r["n_repeat_words"] <= 50 * r["n_words"]]
+    of = lambda values, q, digits: np.quantile([math.copysign(math.floor(abs(v) * 10**digits + 0.5) / 10**digits, v) for v in values], q)
+    scale = lambda values, digits: (of(values, 0.75, digits) - of(values, 0.25, digits)) / 1.349
+    size = lambda r: int(math.log2(r["n_words"]))
+    classes, langs = {size(r) for r in good}, {r["lang"] for r in good}
+    e_class = {c: of([r["entropy"] for r in good if size(r) == c], 0.5, 3) for c in classes}
+    middle = {(n, x): of([r[n] for r in good if r["lang"] == x], 0.5, 3) for n in ("piece_chars", "byte_chars") for x in langs}
+    e_lang = {x: of([r["entropy"] - e_class[size(r)] for r in good if r["lang"] == x], 0.5, 3) for x in langs}
+    e_scale = {c: scale([r["entropy"] - e_class[c] - e_lang[r["lang"]] for r in good if size(r) == c], 3) for c in classes}
+    away = lambda r, n: (r[n] - middle[n, r["lang"]]) * math.sqrt(r["n_words"])
+    spread = {(n, x): scale([away(r, n) for r in good if r["lang"] == x], 2) for n in ("piece_chars", "byte_chars") for x in langs}
+    want = {}
+    for r in good:
+        many = sum(size(o) == size(r) for o in good) >= 20
+        zp, zb = (away(r, n) / spread[n, r["lang"]] for n in ("piece_chars", "byte_chars"))
+        ze = (r["entropy"] - e_class[size(r)] - e_lang[r["lang"]]) / e_scale[size(r)] if many and e_scale[size(r)] > 0 else 0.0
+        want[r["doc_id"]] = not (min(zp, zb) + ze < -4 or ze < -3.5 or max(zp, zb, ze) > 8 or r["fallback"] > 0.2)
+    got = {r.doc_id: r.kept for r in df.collect()}
+    assert all(got[r["doc_id"]] == want.get(r["doc_id"], False) for r in rows) and 20 < sum(not k for k in want.values()) < len(want) / 4
+
+
 def test_entropy_and_fertility_of_a_text():
     meter = quality.fertility(quality.vocab.path("piece_bpe_32k.model"), quality.vocab.path("byte_bpe_50k.tiktoken"))
     words = b"aa bb aa \xf0\x9f\x98\x80".split()
