@@ -60,8 +60,8 @@ def op9_ordinal_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").select("doc_id", "source", mix.word_count(F.col("text")).alias("__size"))
-    return mix.mix(rows).select("doc_id", "size", "source_size", "target", "taken")
+    rows = table(spark, sf_dir, "documents").select("doc_id", "source", mix.word_count(F.col("text")).alias("n_words"))
+    return mix.mix(rows, size="n_words").select("doc_id", "size", "source_size", "target", "taken", "pieces")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hazardspark.llm.common import materialize
+from hazardspark.llm.common import materialize, packed, unpacked
 
 #: Rows that a virtual partition or a block of a shard holds on average.
 GROUP_ROWS = 50_000
@@ -36,22 +36,30 @@ def communication_matrix(sizes: list[int], shards: list[int], seed: int) -> np.n
         rest, total = n, int(left.sum())
         for s in range(len(shards) - 1):
             total -= int(left[s])
-            out[p, s] = _hypergeometric(rng, int(left[s]), total, rest)
+            out[p, s] = hypergeometric(rng, int(left[s]), total, rest)
             rest -= int(out[p, s])
         out[p, -1] = rest
         left = left - out[p]
     return out
 
 
-def _hypergeometric(rng: np.random.Generator, good: int, bad: int, draws: int) -> int:
-    """One cell of the matrix; numpy's exact sampler takes fewer than 1e9 of a kind, beyond it the normal limit law."""
-    if good < 1_000_000_000 and bad < 1_000_000_000:
-        return int(rng.hypergeometric(good, bad, draws)) if draws and good + bad else 0
-    # normal approximation of the law, clipped to its support: its relative error is below 1e-4 at such sizes
+def hypergeometric(rng: np.random.Generator, good: int, bad: int, draws: int) -> int:
+    """How many of draws are good ones, exact at any size: by inversion of the law around its mode.
+
+    The chances are built up from ratios of neighbours, over 40 standard deviations on both sides and at least 100 values: what lies beyond is
+    less than a double resolves.
+    """
+    low, high = max(0, draws - bad), min(good, draws)
+    if low == high:
+        return low
     total = good + bad
-    mean = draws * good / total
-    sd = math.sqrt(max(0.0, mean * (bad / total) * (total - draws) / max(1, total - 1)))
-    return int(min(max(round(rng.normal(mean, sd)), draws - bad, 0), good, draws))
+    mode = min(max((draws + 1) * (good + 1) // (total + 2), low), high)
+    spread = 100 + int(40 * math.sqrt(draws * (good / total) * (bad / total) * ((total - draws) / max(1, total - 1))))
+    k = np.arange(max(low, mode - spread), min(high, mode + spread) + 1, dtype=np.float64)
+    steps = np.log((good - k[:-1]) / (k[1:])) + np.log((draws - k[:-1]) / (float(bad - draws) + k[1:]))
+    logs = np.concatenate([[0.0], np.cumsum(steps)])
+    chances = np.cumsum(np.exp(logs - logs.max()))
+    return int(k[np.searchsorted(chances, rng.random() * chances[-1], side="right")])
 
 
 def shard(df: DataFrame, shards: int = 16, seed: int = 7, group_rows: int = GROUP_ROWS) -> DataFrame:
@@ -59,29 +67,28 @@ def shard(df: DataFrame, shards: int = 16, seed: int = 7, group_rows: int = GROU
 
     Shard sizes differ by one row at most. Rows are told apart by a hash over all their columns: which
     shard equal rows get is settled among themselves. Nulls are values like others; an empty table gives
-    an empty table; columns of df named shard or slot are replaced.
+    an empty table; columns of df named shard or slot are replaced, all others stay. Texts of any length are a hash here.
     """
-    df = df.drop("shard", "slot")
+    own = [c for c in df.columns if c not in ("shard", "slot")]
+    df = df.select(packed(own).alias("own"), F.xxhash64(F.lit(seed), *[F.col(f"`{c}`") for c in own]).alias("key"))
     n = df.count()
     blocks = max(1, min(MAX_PARTITIONS, math.ceil(n / group_rows)))
     inner = max(1, min(MAX_PARTITIONS // shards, math.ceil(n / shards / group_rows)))
-    own = list(df.columns)
-    row = [F.lit(seed), *[F.col(f"`{c}`") for c in own]]
-    keyed = df.withColumn("__key", F.xxhash64(*row))
-    keyed = keyed.withColumn("__part", F.pmod(F.xxhash64(F.lit(seed + 1), "__key"), F.lit(blocks)).cast("int"))
-    counts = dict(keyed.groupBy("__part").count().collect())
+    keyed = df.withColumn("part", F.pmod(F.xxhash64(F.lit(seed + 1), "key"), F.lit(blocks)).cast("int"))
+    counts = dict(keyed.groupBy("part").count().collect())
     sizes = [counts.get(p, 0) for p in range(blocks)]
     matrix = communication_matrix(sizes, [n // shards + (s < n % shards) for s in range(shards)], seed)
-    ends = df.sparkSession.createDataFrame([(p, [int(x) for x in row]) for p, row in enumerate(matrix.cumsum(axis=1))], "__part int, __ends array<long>")
-    local = Window.partitionBy("__part").orderBy(F.xxhash64(F.lit(seed + 2), "__key"), "__key")
-    dealt = keyed.withColumn("__rank", F.row_number().over(local) - 1).join(F.broadcast(ends), "__part")
-    dealt = dealt.withColumn("shard", F.size(F.filter("__ends", lambda e: e <= F.col("__rank"))))
-    dealt = dealt.withColumn("__block", F.pmod(F.xxhash64(F.lit(seed + 3), "__key"), F.lit(inner)).cast("int"))
-    dealt = materialize(dealt.select(*[F.col(f"`{c}`") for c in own], "__key", "shard", "__block"))
-    before = dealt.groupBy("shard", "__block").agg(F.count("*").alias("__n"))
-    before = before.withColumn("__base", F.coalesce(F.sum("__n").over(Window.partitionBy("shard").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    again = Window.partitionBy("shard", "__block").orderBy(F.xxhash64(F.lit(seed + 4), "__key"), "__key")
-    out = dealt.withColumn("__at", F.row_number().over(again) - 1)
+    ends = df.sparkSession.createDataFrame([(p, [int(x) for x in row]) for p, row in enumerate(matrix.cumsum(axis=1))], "part int, ends array<long>")
+    local = Window.partitionBy("part").orderBy(F.xxhash64(F.lit(seed + 2), "key"), "key")
+    # ends: at most MAX_PARTITIONS rows
+    dealt = keyed.withColumn("rank", F.row_number().over(local) - 1).join(F.broadcast(ends), "part")
+    dealt = dealt.withColumn("shard", F.size(F.filter("ends", lambda e: e <= F.col("rank"))))
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64(F.lit(seed + 3), "key"), F.lit(inner)).cast("int"))
+    dealt = materialize(dealt.select("own", "key", "shard", "block"))
+    before = dealt.groupBy("shard", "block").agg(F.count("*").alias("n"))
+    before = before.withColumn("base", F.coalesce(F.sum("n").over(Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    again = Window.partitionBy("shard", "block").orderBy(F.xxhash64(F.lit(seed + 4), "key"), "key")
+    out = dealt.withColumn("at", F.row_number().over(again) - 1)
     # before: at most MAX_PARTITIONS rows
-    out = out.join(F.broadcast(before.select("shard", "__block", "__base")), ["shard", "__block"])
-    return out.select(*[F.col(f"`{c}`") for c in own], "shard", (F.col("__base") + F.col("__at")).cast("long").alias("slot"))
+    out = out.join(F.broadcast(before.select("shard", "block", "base")), ["shard", "block"])
+    return out.select(*unpacked(own), "shard", (F.col("base") + F.col("at")).cast("long").alias("slot"))

@@ -1,5 +1,7 @@
+import math
 import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -22,6 +24,25 @@ def test_matrix_is_hypergeometric():
     assert abs(np.mean(cell) - 3) < 0.08 and abs(np.var(cell) - 36 * 36 / (144 * 11)) < 0.08
 
 
+def test_draws_follow_the_law():
+    rng = np.random.Generator(np.random.PCG64(5))
+    good, bad, draws = 9, 14, 11
+    seen = Counter(shard.hypergeometric(rng, good, bad, draws) for _ in range(20_000))
+    total = math.comb(good + bad, draws)
+    law = {k: math.comb(good, k) * math.comb(bad, draws - k) / total for k in range(good + 1)}
+    assert set(seen) <= {k for k, p in law.items() if p} and sum((seen[k] - 20_000 * p) ** 2 / (20_000 * p) for k, p in law.items() if 20_000 * p > 5) < 30
+    assert shard.hypergeometric(rng, 5, 0, 3) == 3 and shard.hypergeometric(rng, 0, 5, 3) == 0 and shard.hypergeometric(rng, 4, 4, 8) == 4
+
+
+@pytest.mark.parametrize("good,bad,draws", [(3 * 10**9, 10**10, 50_000), (10**12, 10**9, 10**6)])
+def test_draws_of_very_many_rows(good, bad, draws):
+    rng = np.random.Generator(np.random.PCG64(6))
+    x = np.array([shard.hypergeometric(rng, good, bad, draws) for _ in range(2000)])
+    p = good / (good + bad)
+    sd = math.sqrt(draws * p * (1 - p))
+    assert abs(x.mean() - draws * p) < 5 * sd / math.sqrt(2000) and abs(x.std() / sd - 1) < 0.08
+
+
 def placed(df, shards=16, **options):
     return shard.shard(df, shards, **options).select("doc_id", "shard", "slot").collect()
 
@@ -71,6 +92,23 @@ def test_splitting_tree_keeps_quotas():
     assert t.sum(axis=0).tolist() == [5, 0, 17, 3] and t.sum(axis=1).max() - t.sum(axis=1).min() <= 1
 
 
+def test_permutations_are_bijections(spark):
+    for n in (1, 2, 3, 8, 37, 1000):
+        df = spark.range(n).select(*[mix.permuted(F.col("id"), F.lit(n).cast("long"), k, 7).alias(f"p{k}") for k in (1, 2)])
+        rows = df.collect()
+        assert all(sorted(r[k] for r in rows) == list(range(n)) for k in (0, 1))
+    assert [r[0] for r in rows] != [r[1] for r in rows] and sum(abs(r[0] - i) for i, r in enumerate(rows)) > 1000 * 200
+
+
+def brute_targets(sizes, weights, most=3):
+    """By exact bisection of the common level."""
+    total, low, high = sum(sizes), Fraction(0), Fraction(most * sum(sizes))
+    for _ in range(200):
+        level = (low + high) / 2
+        low, high = (level, high) if sum(min(w * level, most * s) for w, s in zip(weights, sizes)) < total else (low, level)
+    return [float(min(w * high, most * s)) for w, s in zip(weights, sizes)]
+
+
 def mixed(df, **options):
     return [r.asDict(True) for r in mix.mix(df, **options).collect()]
 
@@ -128,8 +166,9 @@ def test_op10_against_brute_targets(spark):
     for t, s in docs.values():
         sizes[s] += len(t.split())
     names = sorted(sizes)
-    want = dict(zip(names, mix.targets([sizes[n] for n in names], [i % 3 + 1 for i in range(len(names))])))
+    want = dict(zip(names, brute_targets([sizes[n] for n in names], [i % 3 + 1 for i in range(len(names))])))
     taken = Counter()
+    hold([{**r.asDict(True), "source": docs[r.doc_id][1]} for r in rows])
     for r in rows:
         t, s = docs[r.doc_id]
         assert r.size == len(t.split()) and r.source_size == sizes[s] and abs(r.target - want[s]) < 1e-6
