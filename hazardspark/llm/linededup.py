@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hazardspark.llm.common import WORD_PATTERN, materialize
+from hazardspark.llm.common import WORD_PATTERN, materialize, packed
 
 KEY = ["__k1", "__k2"]
 #: Least words of a repeated run of lines, of the query and the pipeline.
@@ -128,14 +128,16 @@ def dedup_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", windo
 
     Lines are separated by \\n. The first occurrence, by doc_id (null first) and then position, stays; equal rows
     count as one document and share its fate. A null text stays null with one empty line; lines without words are
-    never a chunk by themselves; an empty table gives an empty table. Without passage_words only chunks are removed. Columns of df with the new names are replaced.
+    never a chunk by themselves; an empty table gives an empty table. Without passage_words only chunks are removed. Very long
+    texts are cut like others, a row at a time; columns of df with the new names are replaced, all others stay.
     """
-    own = [c for c in df.columns if c not in ("n_lines", "removed_lines", "removed_chunks", *KEY)]
-    rows = df.select(*[F.col(f"`{c}`") for c in own])
-    body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    key = [F.xxhash64(F.lit(salt), F.col(f"`{doc_id}`"), body).alias(k) for salt, k in enumerate(KEY, 1)]
-    steps, chunks = _chunks(text, window, one_in, long_words)
-    cut = rows.select(F.col(f"`{doc_id}`").alias("__id"), F.col(f"`{text}`"), *key)
+    own = [c for c in df.columns if c not in ("n_lines", "removed_lines", "removed_chunks")]
+    rest = [c for c in own if c != text]
+    rows = df.select(packed(rest).alias("own"), F.col(f"`{doc_id}`").alias("__id"), F.col(f"`{text}`").alias("__text"))
+    body = F.coalesce(F.col("__text"), F.lit(""))
+    key = [F.xxhash64(F.lit(salt), F.col("__id"), body).alias(k) for salt, k in enumerate(KEY, 1)]
+    steps, chunks = _chunks("__text", window, one_in, long_words)
+    cut = rows.select("__id", "__text", *key)
     for name, column in steps:
         cut = _once(cut, name, column)
     cut = cut.withColumn("__chunks", F.filter(chunks, lambda c: ((c["n"] > 1) & (c["words"] > 0)) | (c["words"] >= long_words)))
@@ -153,13 +155,13 @@ def dedup_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", windo
     if passage_words:
         gone = gone.union(_passages(cut, rows.select(*key, body.alias("__text")), passage_words))
     gone = gone.groupBy(*KEY).agg(F.collect_set(F.struct("low", "size")).alias("__gone"))
-    out = rows.select("*", *key).join(gone, KEY, "left")
+    out = rows.select("own", "__text", *key).join(gone, KEY, "left")
     out = _once(out, "__lines", F.split(body, "\n"))
     drop = F.array_distinct(F.flatten(F.transform("__gone", lambda g: F.sequence(g["low"], g["low"] + g["size"] - 1))))
     out = _once(out, "__drop", drop)
     out = _once(out, "__kept", F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__drop")))
     clean = F.array_join(F.transform("__kept", lambda i: F.element_at("__lines", i + 1)), "\n")
-    result = [F.when(F.col("__gone").isNull(), F.col(f"`{c}`")).otherwise(clean).alias(c) if c == text else F.col(f"`{c}`") for c in own]
+    result = [F.when(F.col("__gone").isNull(), F.col("__text")).otherwise(clean).alias(c) if c == text else F.col("own").getField(c).alias(c) for c in own]
     none = F.lit(0)
     return out.select(
         *result, F.size("__lines").alias("n_lines"),
