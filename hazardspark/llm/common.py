@@ -12,7 +12,9 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -61,6 +63,14 @@ def text_bytes(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("binary"), F.lit(b"").cast("binary"))
 
 
+def split_words(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """The words of string texts, A-Z lower-cased, and the number of the text of each."""
+    split = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    words, of = split.flatten(), np.repeat(np.arange(len(texts)), np.diff(split.offsets.to_numpy()))
+    some = pc.greater(pc.binary_length(words), 0)  # spaces at the ends of a text give empty strings
+    return words.filter(some).dictionary_encode(), of[some.to_numpy(zero_copy_only=False)]
+
+
 def packed(names: list[str]) -> Column:
     """The named columns as one struct, under which a caller's names can't clash with an operator's own."""
     return F.struct(*[F.col(f"`{c}`") for c in names]) if names else F.struct(F.lit(True).alias("none"))

@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hazardspark.llm.common import materialize
+from hazardspark.llm.common import materialize, split_words
 
 K1, B = 1.2, 0.75
 #: Text bytes of a shard; queries and query terms of a block, on average.
@@ -41,17 +41,9 @@ def _ranges(low: np.ndarray, high: np.ndarray) -> np.ndarray:
     return np.arange(int(n.sum())) + np.repeat(low - (np.cumsum(n) - n), n)
 
 
-def _words(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
-    """Words with A-Z lower-cased, and the number of the text of each."""
-    split = pc.ascii_split_whitespace(pc.ascii_lower(texts))
-    words, of = split.flatten(), np.repeat(np.arange(len(texts)), np.diff(split.offsets.to_numpy()))
-    some = pc.greater(pc.binary_length(words), 0)  # spaces at the ends of a text give empty strings
-    return words.filter(some).dictionary_encode(), of[some.to_numpy(zero_copy_only=False)]
-
-
 def shard_of(ids: pa.Array, texts: pa.Array) -> pa.RecordBatch:
     """The index row of these documents."""
-    words, of = _words(texts)
+    words, of = split_words(texts)
     term, count, n = words.indices.to_numpy().astype(np.int64), max(1, len(words.dictionary)), len(ids)
     lengths = np.bincount(of, minlength=n)
     key = np.sort(of * count + term)
@@ -103,7 +95,7 @@ def _build(shard_bytes: int):
 
 def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        words, of = _words(batch.column(1))
+        words, of = split_words(batch.column(1))
         count = max(1, len(words.dictionary))
         q, term = np.divmod(np.unique(of * count + words.indices.to_numpy().astype(np.int64)), count)
         yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(q)), words.dictionary.take(pa.array(term))], ["query_id", "word"])

@@ -1,8 +1,9 @@
-"""Near-duplicates by Jaccard similarity of word shingles, exact.
+"""Texts of similar sets of word shingles: candidates, pigeonring pruning and verification for the SimHash operator.
 
 Shingles are put in one order for all texts, rarest first. Two sets of sizes m and n of similarity t or more
-share one of the first n - ceil(t * n) + 1 shingles of each (prefix filtering), so sharing one makes a candidate,
-and candidates are verified on the whole sets. Any order gives the same groups; the counts behind it are of a sample.
+share one of the first n - ceil(t * n) + 1 shingles of each (prefix filtering), so sharing one makes a candidate. Candidates whose
+fingerprints (of the sets) fail the chains of a ring of segments within ``radius`` bits are pruned. Only the others' texts are read
+again; the last 16 bits of their shingles bound the overlap from above, and whole sets decide. Any order gives the same groups; the counts behind it are of a sample.
 
 A shared shingle of very many like texts is not paired: its members are first compared with one of them, and
 only members that are then still in different groups are paired.
@@ -10,144 +11,179 @@ only members that are then still in different groups are paired.
 
 from __future__ import annotations
 
-from itertools import accumulate
+from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hazardspark.llm.common import materialize, text_bytes
+from hazardspark.llm.common import few, materialize, split_words
 from hazardspark.llm.components import connected_components
+from hazardspark.llm.ring import BITS, within
 
 #: Rows whose shingles are counted for the order, and shingles whose counts are used.
 ORDER_ROWS, ORDER_SHINGLES = 20_000, 50_000
+#: Texts whose words are held at a time.
+CHUNK = 256
+#: Texts to be read again whose hashes (16 bytes each) are broadcast; more are joined.
+AGAIN = 1_000_000
+#: Differing bits of fingerprints, and segments. At similarity 0.8 fingerprints differ in 9.6 bits, with a standard deviation of 2.9 (sets of
+#: five shingles: 12 and 3.1), so pairs beyond 28 bits are less than one in a million even there; unrelated pairs are beyond it in four of five cases.
+RADIUS, SEGMENTS = 28, 8
 
 
-def shingles(text: bytes, width: int = 5) -> np.ndarray:
-    """Distinct hashes, ascending, of width consecutive words, A-Z lower-cased; fewer words: the whole sequence; no words: none."""
-    words = text.lower().split()
-    if not words:
-        return np.zeros(0, dtype=np.int64)
-    digest, joined = xxhash.xxh64_intdigest, b" ".join(words)
-    if len(words) <= width:
-        return np.array([digest(joined)], dtype=np.uint64).view(np.int64)
-    ends = list(accumulate(map(len, words), lambda end, n: end + 1 + n))
-    starts = [0, *(e + 1 for e in ends[: len(words) - width])]
-    return np.unique(np.array([digest(joined[s:e]) for s, e in zip(starts, ends[width - 1 :])], dtype=np.uint64).view(np.int64))
+#: Odd multipliers of the words of a shingle, from the last to the first, and of the final mix (fixed values).
+_FACTORS = np.array([pow(0x9E3779B97F4A7C15, k, 1 << 64) for k in range(1, 9)], dtype=np.uint64)
 
 
-def _map(df: DataFrame, schema: str, make) -> DataFrame:
-    """df's columns but __text, and the columns that make()'s function gives for a text."""
-    import pyarrow as pa
+def shingles(texts: pa.Array, width: int = 5) -> list[np.ndarray]:
+    """Of each text the distinct hashes, ascending, of width consecutive words, A-Z lower-cased; fewer words: the whole sequence; no words: none.
 
+    Words are hashed once each and combined, so all texts of a batch are hashed together.
+    """
+    words, of = split_words(texts)
+    digest = xxhash.xxh64_intdigest
+    each = np.array([digest(w) for w in words.dictionary.to_pylist()] or [0], dtype=np.uint64)
+    h = each[words.indices.to_numpy()] if len(words) else np.zeros(0, dtype=np.uint64)
+    counts = np.bincount(of, minlength=len(texts))
+    starts = np.cumsum(counts) - counts
+    whole = np.zeros(len(h), dtype=np.uint64)
+    for k in range(width):  # a text of fewer words has one shingle, of the words that there are
+        there = np.zeros(len(h), dtype=bool)
+        there[: len(h) - k] = of[: len(h) - k] == of[k:]
+        whole[there] += h[np.flatnonzero(there) + k] * _FACTORS[k]
+    whole ^= whole >> np.uint64(31)
+    whole *= _FACTORS[7]
+    whole ^= whole >> np.uint64(29)
+    values = whole.view(np.int64)
+    return [np.unique(values[a : a + max(1, n - width + 1)]) if n else values[:0] for a, n in zip(starts.tolist(), counts.tolist())]
+
+
+def set_print(s: np.ndarray) -> int:
+    """Signed 64-bit fingerprint of a set of hashes: bits that are set in over half of them; no hashes: 0."""
+    if not len(s):
+        return 0
+    counts = np.zeros(BITS, dtype=np.int64)
+    for at in range(0, len(s), 8192):
+        counts += np.unpackbits(s[at : at + 8192].astype(">i8").view(np.uint8)).reshape(-1, BITS).sum(axis=0, dtype=np.int32)
+    return int.from_bytes(np.packbits(2 * counts > len(s)).tobytes(), "big", signed=True)
+
+
+def _map(df: DataFrame, schema: str, width: int, of: Callable[[np.ndarray], tuple]) -> DataFrame:
+    """df's columns but the string __text, and the columns that of gives for the text's shingles."""
     new = T._parse_datatype_string(schema).fields
-    kinds = [pa.list_(pa.int64()) if isinstance(f.dataType, T.ArrayType) else pa.int64() for f in new]
+    kinds = [pa.list_(pa.int16() if f.dataType.elementType == T.ShortType() else pa.int64()) if isinstance(f.dataType, T.ArrayType) else pa.int64() for f in new]
     kept = [f for f in df.schema.fields if f.name != "__text"]
 
     def run(batches):
-        of = make()
         for batch in batches:
-            rows = [of(x.as_py() or b"") for x in batch.column("__text")]
+            texts = batch.column("__text")
+            rows = [of(s) for at in range(0, len(texts), CHUNK) for s in shingles(texts[at : at + CHUNK], width)]
             columns = [batch.column(f.name) for f in kept] + [pa.array([r[i] for r in rows], type=k) for i, k in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays(columns, [f.name for f in kept] + [f.name for f in new])
 
     return df.mapInArrow(run, T.StructType(kept + new))
 
 
+def _node(s: np.ndarray) -> int:
+    return np.uint64(xxhash.xxh64_intdigest(s.tobytes(), 7)).astype(np.int64) if len(s) else 0
+
+
 def _common(rows: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Shingles of several rows of a sample, ascending, and their counts."""
     share = min(1.0, ORDER_ROWS / max(1, rows.count()))
     some = rows.where(F.pmod(F.xxhash64(F.lit(5), "__text"), F.lit(1 << 31)) < int(share * (1 << 31))).select("__text")
-    counts = _map(some, "s array<long>", lambda: lambda t: (shingles(t, width),)).select(F.explode("s").alias("s"))
+    counts = _map(some, "s array<long>", width, lambda s: (s,)).select(F.explode("s").alias("s"))
     counts = counts.groupBy("s").count().where("count > 2").orderBy(F.desc("count"), "s").limit(ORDER_SHINGLES).toPandas()
     counts = counts.sort_values("s")
     return counts["s"].to_numpy(dtype=np.int64), counts["count"].to_numpy(dtype=np.int64)
 
 
 def _keys(rows: DataFrame, width: int, percent: int) -> DataFrame:
-    """rows without __text: node (a hash of the set), its size n, and the shingles of its prefix."""
+    """rows without __text: node (a hash of the set), its size n, its fingerprint, and the shingles of its prefix."""
     order = rows.sparkSession.sparkContext.broadcast(_common(rows, width))
 
-    def make():
+    def of(s: np.ndarray) -> tuple:
         common, count = order.value
-
-        def of(text: bytes) -> tuple:
-            s = shingles(text, width)
-            n = len(s)
-            if not n:
-                return 0, 0, []
-            node = np.uint64(xxhash.xxh64_intdigest(s.tobytes(), 7)).astype(np.int64)
-            weight = np.zeros(n, dtype=np.int64)
-            if len(common):
-                at = np.minimum(np.searchsorted(common, s), len(common) - 1)
-                weight = np.where(common[at] == s, count[at], 0)
-            return node, n, s[np.lexsort((s, weight))[: n - -(-n * percent // 100) + 1]]
-
-        return of
-
-    return _map(rows, "node long, n long, keys array<long>", make)
-
-
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets are alike."""
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("y")), "b")
-    both = both.withColumn("i", F.size(F.array_intersect("x", "y")))
-    return materialize(both.where(F.col("i") * 100 >= percent * (F.size("x") + F.size("y") - F.col("i"))).select("a", "b"))
-
-
-def _sized(x: str, y: str, percent: int) -> Column:
-    return F.least(x, y) * 100 >= F.greatest(x, y) * percent
-
-
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80, stars: int = 3, bucket: int = 16) -> DataFrame:
-    """One row per row of docs: its doc_id and component_id, the smallest doc_id that pairs of similarity percent or more lead to.
-
-    Null texts, empty texts and texts without words are alike. component_id is null only if all those doc_ids are
-    null. Keys of more than bucket members go through at most stars rounds of comparisons with one member.
+        n = len(s)
+        if not n:
+            return 0, 0, 0, []
+        most = n - -(-n * percent // 100) + 1
+        at = np.minimum(np.searchsorted(common, s), max(0, len(common) - 1))
+        known = common[at] == s if len(common) else np.zeros(n, dtype=bool)
+        rare = s[~known]  # ascending, before all others
+        if len(rare) < most:
+            rest, weight = s[known], count[at[known]]
+            rare = np.concatenate([rare, rest[np.lexsort((rest, weight))]])
+        return _node(s), n, set_print(s), rare[:most]
+
+    return _map(rows, "node long, n long, fingerprint long, keys array<long>", width, of)
+
+
+def _verified(pairs: DataFrame, rows: DataFrame, nodes: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sets are alike. rows: t1, t2 and __text; nodes: node, n and the t1 and t2 of one of its texts."""
+    pairs = materialize(pairs)
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    wanted = few(nodes.join(wanted, "node", "left_semi").select("t1", "t2"), AGAIN)
+    # equal texts are read as often as they occur and kept once
+    sets = _map(rows.join(wanted, ["t1", "t2"], "left_semi").select("__text"), "node long, low array<short>, s array<long>", width, lambda s: (_node(s), np.unique(s.astype(np.int16)), s))
+    sets = materialize(sets.groupBy("node").agg(F.first("low").alias("low"), F.first("s").alias("s")))
+    side = lambda name, values, out: sets.select(F.col("node").alias(name), F.size("s").alias(f"{out}_n"), F.col(values).alias(out))
+    # shared elements have shared ends; as many as a set's elements exceed its distinct ends may be missed
+    likely = pairs.join(side("a", "low", "x"), "a").join(side("b", "low", "y"), "b")
+    most = F.size(F.array_intersect("x", "y")) + F.col("x_n") - F.size("x")
+    likely = likely.where(most * 100 >= percent * (F.col("x_n") + F.col("y_n") - most)).select("a", "b")
+    both = likely.join(side("a", "s", "x"), "a").join(side("b", "s", "y"), "b").withColumn("i", F.size(F.array_intersect("x", "y")))
+    return materialize(both.where(F.col("i") * 100 >= percent * (F.col("x_n") + F.col("y_n") - F.col("i"))).select("a", "b"))
+
+
+def _close(percent: int) -> Column:
+    """Whether a pair of rows x and y may be similar, by sizes and fingerprints."""
+    n, m = F.col("x.n"), F.col("y.n")
+    diff = F.col("x.fingerprint").bitwiseXOR(F.col("y.fingerprint"))
+    return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & within(diff, RADIUS, SEGMENTS)
+
+
+def similar(docs: DataFrame, width: int = 5, percent: int = 80, stars: int = 6, bucket: int = 16) -> tuple[DataFrame, DataFrame]:
+    """docs: doc_id, text. (doc_id, node, fingerprint) of its rows, node naming a set of shingles, and (node, root) of nodes with links.
+
+    Null texts, empty texts and texts without words have the empty set. Keys of more than bucket members go through at most stars rounds of
+    comparisons with one member, as long as rounds link a tenth of them.
     """
-    rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), text_bytes(f"`{text}`").alias("__text"))
+    text = F.coalesce(F.col("text"), F.lit(""))
+    rows = docs.select("doc_id", F.xxhash64(F.lit(1), text).alias("t1"), F.xxhash64(F.lit(2), text).alias("t2"), text.alias("__text"))
     prints = materialize(_keys(rows, width, percent))
-    first = prints.groupBy("node").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("keys").alias("keys"))
-    first = materialize(first)
-    keyed = first.select("node", "n", F.explode("keys").alias("key"))
+    nodes = prints.groupBy("node").agg(F.min(F.struct("t1", "t2")).alias("t"), *[F.first(c).alias(c) for c in ("n", "fingerprint", "keys")])
+    nodes = materialize(nodes.select("node", "t.t1", "t.t2", "n", "fingerprint", "keys"))
+    keyed = nodes.select("node", F.explode("keys").alias("key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    live = materialize(keyed.join(shared, "key"))
-    # whole sets, of those that share a key only
-    wanted = live.select("node").distinct()
-    texts = prints_of(rows, width).join(wanted, "node", "left_semi").dropDuplicates(["node"])
-    sets = materialize(texts)
-    links = None
+    live = materialize(keyed.join(shared, "key").join(nodes.select("node", "n", "fingerprint"), "node"))
+    verified = lambda pairs: _verified(pairs, rows.select("t1", "t2", "__text"), nodes.select("node", "t1", "t2"), width, percent)
+    links, before = None, None
     for salt in range(stars):
         crowded = live.where(F.col("size") > bucket)
-        head = crowded.groupBy("key").agg(F.min(F.struct(F.xxhash64(F.lit(salt), "node").alias("h"), F.col("node").alias("b"), F.col("n").alias("m"))).alias("r"))
-        pairs = crowded.join(head, "key").select(F.col("node").alias("a"), "n", "r.*").where((F.col("a") != F.col("b")) & _sized("n", "m", percent))
-        # one comparison a member and round: with the head of least hash
-        pairs = pairs.groupBy("a").agg(F.min(F.struct("h", "b")).alias("r")).select("a", "r.b")
-        found = _verified(pairs, sets, percent)
-        links = found if links is None else links.union(found)
-        roots = connected_components(links)
-        live = _parted(live.select("key", "node", "n"), roots)
-        if live.where(F.col("size") > bucket).isEmpty():
+        many = crowded.count()
+        if not many or (before and many > 0.9 * before):
             break
+        before = many
+        # heads: the members of most crowded keys, which are most like the others, and in later rounds any
+        degree = crowded.groupBy("node").agg((-F.count("*") if not salt else F.min(F.xxhash64(F.lit(salt), "node"))).alias("h"))
+        head = crowded.join(degree, "node").groupBy("key").agg(F.min(F.struct("h", "node", "n", "fingerprint")).alias("r")).select("key", "r.*")
+        x, y = crowded.alias("x"), head.alias("y")
+        pairs = x.join(y, F.col("x.key") == F.col("y.key")).where((F.col("x.node") != F.col("y.node")) & _close(percent))
+        # one comparison a member and round: with the head of least h
+        pairs = pairs.groupBy(F.col("x.node").alias("a")).agg(F.min(F.struct("y.h", "y.node")).alias("r")).select("a", F.col("r.node").alias("b"))
+        found = verified(pairs)
+        links = found if links is None else links.union(found)
+        live = _parted(live.select("key", "node", "n", "fingerprint"), connected_components(links))
     x, y = live.alias("x"), live.alias("y")
-    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root")))
-    pairs = pairs.where(_sized("x.n", "y.n", percent)).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-    roots = connected_components(links.union(_verified(pairs, sets, percent)))
-    of = first.join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
-    smallest = of.groupBy("root").agg(F.min("first").alias("component_id"))
-    return prints.select("doc_id", "node").join(of.join(smallest, "root").select("node", "component_id"), "node").select("doc_id", "component_id")
-
-
-def prints_of(rows: DataFrame, width: int) -> DataFrame:
-    """(node, s): each row's whole set of shingles."""
-
-    def of(text: bytes) -> tuple:
-        s = shingles(text, width)
-        return (np.uint64(xxhash.xxh64_intdigest(s.tobytes(), 7)).astype(np.int64) if len(s) else 0), s
-
-    return _map(rows.select("__text"), "node long, s array<long>", lambda: of)
+    other = F.col("x.root") != F.col("y.root") if links is not None else F.lit(True)
+    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & other)
+    found = verified(pairs.where(_close(percent)).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct())
+    return prints.select("doc_id", "node", "fingerprint"), connected_components(found if links is None else links.union(found))
 
 
 def _parted(live: DataFrame, roots: DataFrame) -> DataFrame:

@@ -1,15 +1,17 @@
 """SimHash near-duplicates, found with pigeonring filtering.
 
-Two 64-bit fingerprints within ``radius`` differing bits, seen as a ring of m segments, have a
-segment from which every run of l segments differs in at most l * radius / m bits, rounded down
-(the strong form of the pigeonhole principle on a ring). The leading lengths whose budget is zero
-make an equality key, of consecutive whole segments, that Spark can join on; the longer runs are
+Fingerprints within a small ``radius`` share, by ring.py, consecutive whole segments: the leading run lengths whose budget is zero
+make an equality key that Spark can join on; the longer runs are
 then checked one by one, each against its proportional budget, before the full Hamming distance.
 
 A bucket of one key may hold very many fingerprints (thousands of edits of one text). Buckets over
 ``bucket_pairs`` members are not paired: each member there names itself and all its single-bit
 neighbours, and members that name a common value are linked to the smallest of them. Those links
 are at most 2 bits long and join all pairs within 2 bits, with at most 65 rows a member.
+
+With ``percent`` near-duplicates are texts whose sets of shingles are that similar (Jaccard). Their fingerprints differ in 10 bits of 64 or
+more at 80 percent, where no whole segment need agree, so candidates there share a rare shingle (shingles.py); chains and Hamming distance
+prune them, and whole sets decide.
 """
 
 from __future__ import annotations
@@ -24,8 +26,8 @@ from pyspark.sql import types as T
 
 from hazardspark.llm.common import map_texts, materialize, text_bytes
 from hazardspark.llm.components import connected_components
-
-BITS = 64
+from hazardspark.llm.ring import BITS, chained, masks, ring, signed
+from hazardspark.llm.shingles import similar
 
 
 def simhash(text: bytes, width: int = 3, seed: int = 42) -> int:
@@ -65,30 +67,6 @@ def fingerprints(docs: DataFrame, text: str = "text", width: int = 3, seed: int
     return map_texts(rows, T.StructType([T.StructField(out, T.LongType())]), make)
 
 
-def ring(radius: int, segments: int) -> tuple[list[tuple[int, int]], list[int], int]:
-    """Segments as (shift, width), the budget of each run length from 1, and how many leading budgets are zero."""
-    cuts = [BITS * i // segments for i in range(segments + 1)]
-    parts = [(cuts[i], cuts[i + 1] - cuts[i]) for i in range(segments)]
-    budgets = [n * radius // segments for n in range(1, segments + 1)]
-    return parts, budgets, sum(b == 0 for b in budgets)
-
-
-def _signed(x: int) -> int:
-    x &= (1 << BITS) - 1
-    return x - (1 << BITS) if x >> (BITS - 1) else x
-
-
-def _masks(parts: list[tuple[int, int]], start: int, runs: range) -> list[int]:
-    """Bit masks of the runs of segments from start, by length."""
-    out, mask = [], 0
-    for n in range(1, runs.stop):
-        shift, width = parts[(start + n - 1) % len(parts)]
-        mask |= ((1 << width) - 1) << shift
-        if n in runs:
-            out.append(_signed(mask))
-    return out
-
-
 def near_links(prints: DataFrame, fingerprint: str = "fingerprint", radius: int = 2, segments: int = 5, bucket_pairs: int = 64) -> DataFrame:
     """Links (a, b), a < b as longs, whose components are those of all pairs within radius bits.
 
@@ -98,7 +76,7 @@ def near_links(prints: DataFrame, fingerprint: str = "fingerprint", radius: int
     parts, budgets, zero = ring(radius, segments)
     if not zero:
         raise ValueError("need more segments than radius")
-    keys = [F.struct(F.lit(i).alias("i"), F.col("fp").bitwiseAND(F.lit(_masks(parts, i, range(zero, zero + 1))[0])).alias("key")) for i in range(segments)]
+    keys = [F.struct(F.lit(i).alias("i"), F.col("fp").bitwiseAND(F.lit(masks(parts, i, range(zero, zero + 1))[0])).alias("key")) for i in range(segments)]
     keyed = prints.select(F.col(fingerprint).alias("fp")).select("fp", F.inline(F.array(*keys)))
     shared = keyed.groupBy("i", "key").agg(F.count("*").alias("n")).where("n > 1")
     live = materialize(keyed.join(shared, ["i", "key"]))
@@ -106,10 +84,7 @@ def near_links(prints: DataFrame, fingerprint: str = "fingerprint", radius: int
     diff: Column = F.col("x.fp").bitwiseXOR(F.col("y.fp"))
     chain = F.lit(False)
     for i in range(segments):
-        ok = F.col("x.i") == i
-        for n, mask in zip(range(zero + 1, segments), _masks(parts, i, range(zero + 1, segments))):
-            ok = ok & (F.bit_count(diff.bitwiseAND(F.lit(mask))) <= budgets[n - 1])
-        chain = chain | ok
+        chain = chain | ((F.col("x.i") == i) & chained(diff, parts, budgets, i, zero))
     pairs = (
         small.alias("x").join(small.alias("y"), (F.col("x.i") == F.col("y.i")) & (F.col("x.key") == F.col("y.key")) & (F.col("x.fp") < F.col("y.fp")))
         .where(chain).where(F.bit_count(diff) <= radius)
@@ -118,26 +93,31 @@ def near_links(prints: DataFrame, fingerprint: str = "fingerprint", radius: int
     if radius > 2:
         return pairs.distinct()
     crowded = live.where(F.col("n") > bucket_pairs).select("fp").distinct()
-    flips = F.array(F.lit(0).cast("long"), *[F.lit(_signed(1 << i)) for i in range(BITS)])
+    flips = F.array(F.lit(0).cast("long"), *[F.lit(signed(1 << i)) for i in range(BITS)])
     named = crowded.select("fp", F.explode(F.transform(flips, lambda f: F.col("fp").bitwiseXOR(f))).alias("z"))
     stars = named.groupBy("z").agg(F.min("fp").alias("a"), F.collect_set("fp").alias("all")).where(F.size("all") > 1)
     stars = stars.select("a", F.explode("all").alias("b")).where("a <> b")
     return pairs.union(stars).distinct()
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 3, seed: int = 42, radius: int = 2, segments: int = 5, bucket_pairs: int = 64) -> DataFrame:
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 3, seed: int = 42, radius: int = 2, segments: int = 5, bucket_pairs: int | None = None, percent: int | None = None) -> DataFrame:
     """One row per row of docs: its doc_id, fingerprint (16 hex digits), component_id.
 
-    component_id is the smallest doc_id that links lead to, itself included; null only if all of those are null.
-    Null texts, empty texts and texts without words have fingerprint zero and are linked like any other; repeated
+    Linked are fingerprints within radius bits or, with percent, texts of that similarity by sets of shingles (the fingerprint is then that of
+    the set; radius and segments are shingles.similar's own). component_id is the smallest doc_id that links lead to, itself included; null only if all of those are null.
+    Null texts, empty texts and texts without words have fingerprint zero and are linked like any other; very long texts are read whole; repeated
     rows give repeated results; other columns are ignored; an empty table gives an empty table.
     """
-    prints = materialize(fingerprints(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), width=width, seed=seed))
-    first = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("first"))
-    roots = connected_components(near_links(first, radius=radius, segments=segments, bucket_pairs=bucket_pairs))
-    of = first.join(roots, F.col("fingerprint") == F.col("node"), "left").select("fingerprint", "first", F.coalesce("root", "fingerprint").alias("root"))
+    if percent is not None:
+        prints, of = similar(docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")), width, percent, bucket=bucket_pairs or 16)
+    else:
+        prints = fingerprints(docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")), width=width, seed=seed)
+        prints = materialize(prints.withColumn("node", F.col("fingerprint")))
+        of = None
+    first = prints.groupBy("node").agg(F.min("doc_id").alias("first"))
+    if of is None:
+        of = connected_components(near_links(first, "node", radius, segments, bucket_pairs or 64))
+    of = first.join(of.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select("node", "first", F.coalesce("root", "node").alias("root"))
     smallest = of.groupBy("root").agg(F.min("first").alias("component_id"))
-    of = of.join(smallest, "root").select("fingerprint", "component_id")
-    return prints.join(of, "fingerprint").select(
-        "doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id"
-    )
+    of = of.join(smallest, "root").select("node", "component_id")
+    return prints.join(of, "node").select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")

@@ -35,11 +35,15 @@ def frame(spark, rows):
     return spark.createDataFrame(rows, SCHEMA)
 
 
+#: Names that operators use inside.
+INTERNAL = ["own", "key", "k1", "k2", "part", "block", "node", "of", "class", "rows", "i", "at", "p", "n", "z_piece", "__text", "__id", "__key", "__size", "__kept", "__lines", "__k1", "__k2"]
+
+
 def clashing(df):
     """Extra columns whose names the operators use themselves."""
     from pyspark.sql import functions as F
 
-    names = ["size", "shard", "slot", "taken", "target", "source_size", "pieces", "fingerprint", "component_id", "n_words", "kept", "base_failed", "n_lines", "removed_lines", "removed_chunks", "severity", "grade", "toxic", "score", "rank", "word", "row", "hash", "start", "length", "ids"]
+    names = ["size", "shard", "slot", "taken", "target", "source_size", "pieces", "fingerprint", "component_id", "n_words", "kept", "base_failed", "n_lines", "removed_lines", "removed_chunks", "severity", "grade", "toxic", "score", "rank", "word", "row", "hash", "start", "length", "ids", *INTERNAL]
     return df.select("*", *[F.lit("extra").alias(n) for n in names])
 
 

@@ -3,7 +3,7 @@ import random
 import pytest
 import xxhash
 
-from hazardspark.llm import simhash
+from hazardspark.llm import ring, simhash
 from hazardspark.llm.components import connected_components
 from tests.llm import data
 
@@ -75,11 +75,11 @@ def test_crowded_buckets_lose_no_link(spark, bucket_pairs):
             v ^= 1 << rng.randrange(64)
         values.add(v)
     prints = list(enumerate(sorted(values)))
-    df = spark.createDataFrame([(simhash._signed(v),) for _, v in prints], "fingerprint long")
+    df = spark.createDataFrame([(ring.signed(v),) for _, v in prints], "fingerprint long")
     roots = {r.node: r.root for r in connected_components(simhash.near_links(df, bucket_pairs=bucket_pairs)).collect()}
     groups = {}
     for i, v in prints:
-        groups.setdefault(roots.get(simhash._signed(v), simhash._signed(v)), []).append(i)
+        groups.setdefault(roots.get(ring.signed(v), ring.signed(v)), []).append(i)
     want = {}
     for (i, _), c in zip(prints, brute_components(prints)):
         want.setdefault(c, []).append(i)
@@ -87,7 +87,7 @@ def test_crowded_buckets_lose_no_link(spark, bucket_pairs):
 
 
 def test_ring_budgets():
-    parts, budgets, zero = simhash.ring(2, 5)
+    parts, budgets, zero = ring.ring(2, 5)
     assert sum(w for _, w in parts) == 64 and budgets == [0, 0, 1, 1, 2] and zero == 2
 
 

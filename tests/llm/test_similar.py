@@ -1,9 +1,10 @@
 import random
 
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from hazardspark.llm import jaccard
+from hazardspark.llm import ring, shingles, simhash
 from tests.llm import data
 
 
@@ -25,8 +26,13 @@ def planted():
     return list(enumerate([*rows, "", "  ", "one two", "One two"]))
 
 
+def shingled(text):
+    words = text.encode().lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
 def brute(rows):
-    sets = [set(jaccard.shingles((t or "").encode()).tolist()) for _, t in rows]
+    sets = [shingled(t or "") for _, t in rows]
     root = list(range(len(rows)))
 
     def find(i):
@@ -48,7 +54,7 @@ def test_groups_against_brute_force(spark, bucket):
     want = brute(rows)
     assert len(set(want.values())) < len(rows) - 150
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    assert {r.doc_id: r.component_id for r in jaccard.near_duplicates(df, bucket=bucket).collect()} == want
+    assert {r.doc_id: r.component_id for r in simhash.near_duplicates(df, width=5, percent=80, bucket_pairs=bucket).collect()} == want
 
 
 def test_stage_drops_edited_copies_of_documents(spark):
@@ -58,3 +64,30 @@ def test_stage_drops_edited_copies_of_documents(spark):
     want = brute([(r[0], r[1]) for r in rows])
     kept = {r.doc_id for r in corpus_pipeline.near_dedup(spark, data.frame(spark, rows), None).collect()}
     assert kept == {d for d, c in want.items() if d == c} and sum(r[0] in kept for r in copies) < len(copies) / 10
+
+
+def test_fingerprints_of_similar_sets_stay_within_the_radius():
+    rng = random.Random(6)
+    far = []
+    for _ in range(3000):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(rng.choice((9, 12, 40, 150)))]
+        a, b = (shingles.shingles(pa.array([" ".join(x)]))[0] for x in (words, edited(rng, words, 1) if len(words) > 30 else [*words, "x"]))
+        if 5 * len(set(a) & set(b)) >= 4 * len(set(a) | set(b)):
+            far.append((shingles.set_print(a) ^ shingles.set_print(b)) & (1 << 64) - 1)
+    assert len(far) > 1000 and max(x.bit_count() for x in far) <= shingles.RADIUS
+
+
+def test_chains_hold_for_all_pairs_within_the_radius(spark):
+    rng = random.Random(7)
+    rows = [(ring.signed(sum(1 << b for b in rng.sample(range(64), rng.randrange(0, 50)))),) for _ in range(2000)]
+    df = spark.createDataFrame(rows, "diff long")
+    for radius, segments in ((2, 5), (28, 8)):
+        got = {r.diff for r in df.where(ring.within(df.diff, radius, segments)).collect()}
+        assert got == {d for d, in rows if (d & (1 << 64) - 1).bit_count() <= radius}
+
+
+def test_shingles_of_texts():
+    texts = ["", " a ", "a b c d", "A b c d e", "x y a b c d e f a b c d e", "a b c d e a b c d e a b c d e"]
+    got = shingles.shingles(pa.array(texts))
+    assert [len(s) for s in got] == [len(shingled(t)) for t in texts] and all((s[:-1] < s[1:]).all() for s in got)
+    assert got[3][0] in got[4] and set(got[4].tolist()).isdisjoint(got[2].tolist())
