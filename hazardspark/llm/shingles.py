@@ -53,7 +53,8 @@ def shingles(texts: pa.Array, width: int = 5) -> list[np.ndarray]:
     whole = np.zeros(len(h), dtype=np.uint64)
     for k in range(width):  # a text of fewer words has one shingle, of the words that there are
         there = np.zeros(len(h), dtype=bool)
-        there[: len(h) - k] = of[: len(h) - k] == of[k:]
+        m = max(0, len(h) - k)
+        there[:m] = of[:m] == of[k:]
         whole[there] += h[np.flatnonzero(there) + k] * _FACTORS[k]
     whole ^= whole >> np.uint64(31)
     whole *= _FACTORS[7]

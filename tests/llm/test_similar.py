@@ -87,6 +87,7 @@ def test_chains_hold_for_all_pairs_within_the_radius(spark):
 
 
 def test_shingles_of_texts():
+    assert [len(s) for s in shingles.shingles(pa.array(["", "a b", ""]))] == [0, 1, 0]
     texts = ["", " a ", "a b c d", "A b c d e", "x y a b c d e f a b c d e", "a b c d e a b c d e a b c d e"]
     got = shingles.shingles(pa.array(texts))
     assert [len(s) for s in got] == [len(shingled(t)) for t in texts] and all((s[:-1] < s[1:]).all() for s in got)
