@@ -160,7 +160,9 @@ def similar(docs: DataFrame, width: int = 5, percent: int = 80, stars: int = 6,
     nodes = prints.groupBy("node").agg(F.min(F.struct("t1", "t2")).alias("t"), *[F.first(c).alias(c) for c in ("n", "fingerprint", "keys")])
     nodes = materialize(nodes.select("node", "t.t1", "t.t2", "n", "fingerprint", "keys"))
     keyed = nodes.select("node", F.explode("keys").alias("key"))
-    shared = keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    shared = keyed.groupBy("key").agg(F.count("*").alias("size"), F.bit_xor("node").alias("x"), F.bit_xor(F.xxhash64(F.lit(3), "node")).alias("y")).where("size > 1")
+    # keys of the same members make the same pairs: one of them is enough
+    shared = shared.groupBy("size", "x", "y").agg(F.min("key").alias("key")).select("key", "size")
     live = materialize(keyed.join(shared, "key").join(nodes.select("node", "n", "fingerprint"), "node"))
     verified = lambda pairs: _verified(pairs, rows.select("t1", "t2", "__text"), nodes.select("node", "t1", "t2"), width, percent)
     links, before = None, None
