@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from hazardspark.operators import ordered
+
 
 def expand(df: DataFrame, id: str, follow_up: str, status: str) -> DataFrame:
     """Unit intervals up to follow_up; the event, if any, on the last."""
@@ -20,24 +22,29 @@ def drop_missing(df: DataFrame, used: Sequence[str]) -> DataFrame:
     return df.na.drop(subset=list(used))
 
 
-def validate(df: DataFrame, stop: str, event: str, covariates: Sequence[str], start: str | None = None) -> None:
-    """One aggregate over the used columns; a clear error for what can't be fitted."""
+def validate(df: DataFrame, stop: str, event: str, covariates: Sequence[str], start: str | None = None, weight: str | None = None, whole: bool = False) -> int:
+    """The number of events, from one aggregate over the used columns; a clear error for what can't be fitted. whole: weights must be whole numbers."""
     checks = [F.count("*").alias("n"), F.max(F.when(~F.col(event).isin(0, 1), 1)).alias("codes"), F.sum(F.col(event).cast("long")).alias("deaths")]
     checks += [F.max(F.when(F.abs(F.col(c).cast("double")).isin(float("inf")) | F.isnan(F.col(c).cast("double")), 1)).alias(f"bad_{i}") for i, c in enumerate(covariates)]
     if start:
         checks.append(F.max(F.when(F.col(start) >= F.col(stop), 1)).alias("order"))
+    if weight:
+        checks += [F.max(F.when(F.col(weight) < 0, 1)).alias("below"), F.max(F.when(F.col(weight) != F.floor(weight), 1)).alias("parts")]
     got = df.agg(*checks).first()
     if not got["n"]:
-        raise ValueError("no (non-missing) observations")
+        raise ValueError("no rows are left after those with nulls are dropped")
     if got["codes"]:
         raise ValueError(f"{event} must be 0 or 1")
-    if not got["deaths"]:
-        raise ValueError("no events")
     for i, c in enumerate(covariates):
         if got[f"bad_{i}"]:
-            raise ValueError(f"data contains an infinite predictor: {c}")
+            raise ValueError(f"{c} has values that are not finite")
     if start and got["order"]:
         raise ValueError("stop must be after start")
+    if weight and got["below"]:
+        raise ValueError(f"{weight} must not be negative")
+    if weight and whole and got["parts"]:
+        raise ValueError("with Efron's ties weights are numbers of equal rows; use Breslow's for fractions")
+    return int(got["deaths"])
 
 
 def death_times(df: DataFrame, stop: str = "stop", event: str = "event", by: Sequence[str] = ()) -> DataFrame:
@@ -51,8 +58,8 @@ def at_death_times(df: DataFrame, stop: str = "stop", event: str = "event") -> D
 
 def ever_at_risk(df: DataFrame, start: str = "start", stop: str = "stop", event: str = "event") -> DataFrame:
     """Rows whose interval covers a death time (start < t <= stop); the others bear on no risk set."""
-    t = death_times(df, stop, event).select(F.col(stop).alias("__t"))
-    return df.join(t, (F.col(start) < F.col("__t")) & (F.col("__t") <= F.col(stop)), "left_semi")
+    t = df.where(F.col(event) == 1).select(F.col(stop).alias("__t")).distinct().withColumn("__n", F.lit(1).cast("long"))
+    return ordered.up_to(df, t, "__t", ["__n"], [start, stop]).where(F.col(f"__n_{start}") < F.col(f"__n_{stop}")).select(*df.columns)
 
 
 def up_to_event(df: DataFrame, event: str = "event") -> DataFrame:
@@ -67,21 +74,47 @@ def flag_after_event(df: DataFrame, id: str, time: str, event: str) -> DataFrame
 
 
 def split_at(df: DataFrame, cuts: DataFrame, start: str = "start", stop: str = "stop", event: str = "event") -> DataFrame:
-    """Cut intervals at the times of cuts (one column); the event stays on an interval's last part."""
+    """Cut intervals at the times of cuts (one column); the event stays on an interval's last part. Equal rows stay as many.
+
+    A row's cuts are those numbered from the first after its start to the last before its stop, and meet their times by number.
+    """
     t = cuts.columns[0]
-    at = cuts.select(F.col(t).alias("__t")).distinct()
-    keyed = df.select("*", F.xxhash64(*df.columns).alias("__row"))
-    inner = keyed.join(at, (F.col(start) < F.col("__t")) & (F.col("__t") < F.col(stop)), "left").groupBy(*keyed.columns).agg(F.sort_array(F.collect_set("__t")).alias("__ts"))
-    ends = F.concat(F.col("__ts"), F.array(F.col(stop)))
-    parts = inner.select(*df.columns, F.posexplode(ends).alias("__i", "__end"), F.concat(F.array(F.col(start)), F.col("__ts")).alias("__starts"))
-    last = F.col("__end") == F.col(stop)
-    changed = {start: F.element_at("__starts", F.col("__i") + 1), stop: F.col("__end"), event: F.when(last, F.col(event)).otherwise(0)}
+    at = ordered.dense_ranks(cuts.select(F.col(t).alias("__t")), "__t", "__no").withColumn("__n", F.lit(1).cast("long"))
+    rows = ordered.up_to(df, at, "__t", ["__n"], [start, stop])
+    # before the stop: a cut at the stop itself is the end that the interval has anyway
+    ends = rows.join(at.select(F.col("__t").alias("__at_stop"), F.lit(1).alias("__is")), F.col(stop) == F.col("__at_stop"), "left")
+    last = F.col(f"__n_{stop}") - F.coalesce("__is", F.lit(0))
+    parts = ends.select(*df.columns, F.explode(F.sequence(F.col(f"__n_{start}"), F.greatest(last, F.col(f"__n_{start}")))).alias("__no"), last.alias("__last"), F.col(f"__n_{start}").alias("__first"))
+    times = at.select("__no", "__t")
+    parts = parts.join(times, "__no", "left").withColumnRenamed("__t", "__end").withColumn("__before", F.col("__no") - 1)
+    parts = parts.join(times.select(F.col("__no").alias("__before"), F.col("__t").alias("__begin")), "__before", "left")
+    is_last = F.col("__no") >= F.col("__last")
+    changed = {
+        start: F.when(F.col("__no") == F.col("__first"), F.col(start)).otherwise(F.col("__begin")), stop: F.when(is_last, F.col(stop)).otherwise(F.col("__end")),
+        event: F.when(is_last, F.col(event)).otherwise(0),
+    }
     return parts.select(*[changed[c].alias(c) if c in changed else F.col(c) for c in df.columns])
 
 
 def merge_times(df: DataFrame, column: str, digits: int = 9) -> DataFrame:
-    """Make times that differ by less than the tolerance equal."""
-    return df.withColumn(column, F.round(column, digits))
+    """Make times equal that a chain of steps of less than 10**-digits joins: each becomes the least of its chain.
+
+    Chains are found over distinct times, in ranges of times and then across the ranges' edges.
+    """
+    step = 10.0**-digits
+    times = df.select(F.col(column).alias("__t")).where("__t IS NOT NULL").distinct()
+    ends = times.agg(F.min("__t").cast("double"), F.max("__t").cast("double")).first()
+    width = ((ends[1] or 0.0) - (ends[0] or 0.0)) / ordered.BUCKETS or 1.0
+    times = times.withColumn("__range", F.floor((F.col("__t").cast("double") - F.lit(ends[0] or 0.0)) / width))
+    edges = times.groupBy("__range").agg(F.max("__t").alias("__last"))
+    # at most BUCKETS + 1 rows
+    edges = edges.select("__range", F.max("__last").over(Window.partitionBy(F.lit(0)).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)).alias("__edge"))
+    before = F.coalesce(F.lag("__t").over(Window.partitionBy("__range").orderBy("__t")), F.col("__edge"))
+    marked = times.join(edges, "__range").withColumn("__new", (before.isNull() | (F.col("__t") - before >= step)).cast("long"))
+    chains = ordered.prefix_sums(marked.select("__t", "__new"), "__t", ["__new"])
+    least = chains.groupBy("__new").agg(F.min("__t").alias("__least"))
+    named = chains.join(least, "__new").select("__t", "__least")
+    return df.join(named, F.col(column) == F.col("__t"), "left").select(*[F.col("__least").alias(c) if c == column else F.col(c) for c in df.columns])
 
 
 def one_hot(df: DataFrame, column: str, levels: Sequence) -> DataFrame:
@@ -100,6 +133,18 @@ def interval_check(df: DataFrame, id: str = "id", start: str = "start", stop: st
     return df.select(id, start, stop, (first.cast("int") + 2 * last.cast("int")).alias("position"), F.signum(F.col(start) - before).cast("int").alias("gap"))
 
 
+def state_check(df: DataFrame, id: str, start: str, stop: str, before: str, after: str) -> DataFrame:
+    """Counts of subjects' intervals that overlap the one before, follow it after a gap, jump (another state after a gap) or teleport (another state without one).
+
+    before and after: the state at an interval's start and end.
+    """
+    order = Window.partitionBy(id).orderBy(stop, start)
+    rows = df.select(F.col(start).alias("s"), F.lag(stop).over(order).alias("e"), (F.col(before) != F.lag(after).over(order)).alias("other"))
+    gap = F.signum(F.col("s") - F.col("e"))
+    count = lambda c, name: F.count(F.when(c, 1)).alias(name)
+    return rows.agg(count(gap < 0, "overlaps"), count(gap > 0, "gaps"), count((gap > 0) & F.col("other"), "jumps"), count((gap == 0) & F.col("other"), "teleports"))
+
+
 def transitions(df: DataFrame, id: str, time: str, state: str) -> DataFrame:
     """Counts of (state before, state now) along each subject's rows."""
     order = Window.partitionBy(id).orderBy(time)

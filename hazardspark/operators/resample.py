@@ -67,9 +67,17 @@ def repeat_rows(df: DataFrame, weight: str = "w", copy: str = "copy") -> DataFra
 
 
 def permutations(ids: DataFrame, count: int, seed: int = 1, id: str = "id") -> DataFrame:
-    """(p, id, other): in permutation p, id gets the exposure of other; permutation 0 is the identity."""
-    rows = dense_index(ids.select(id).distinct(), id, id).select(id, "i", F.explode(F.sequence(F.lit(0), F.lit(count))).alias("p"))
-    key = F.when(F.col("p") == 0, F.col("i")).otherwise(_columns(F.col("i"), F.col("p"), seed))
-    rows = rows.withColumn("k", F.row_number().over(Window.partitionBy("p").orderBy(key, "i")) - 1)
-    left = rows.select("p", F.col("i").alias("__at"), F.col(id).alias(id))
-    return left.join(rows.select("p", F.col("k").alias("__at"), F.col(id).alias("other")), ["p", "__at"]).drop("__at")
+    """(p, id, other): in permutation p, id gets the exposure of other; permutation 0 is the identity.
+
+    Places of a permutation are ranks of a hash, taken within ranges of the hash and over the ranges' counts.
+    """
+    base = dense_index(ids.select(id).distinct(), id, id).select(id, "i")
+    rows = base.select(id, "i", F.explode(F.sequence(F.lit(1), F.lit(count))).alias("p")) if count else base.select(id, "i", F.lit(1).alias("p")).limit(0)
+    rows = rows.withColumn("h", _columns(F.col("i"), F.col("p"), seed)).withColumn("range", F.floor(F.col("h") / (P // BUCKETS + 1)))
+    counts = rows.groupBy("p", "range").agg(F.count("*").alias("n"))
+    # at most BUCKETS rows a permutation
+    before = counts.select("p", "range", F.coalesce(F.sum("n").over(Window.partitionBy("p").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    rank = F.row_number().over(Window.partitionBy("p", "range").orderBy("h", "i")) - 1
+    rows = rows.join(before, ["p", "range"]).withColumn("k", F.col("before") + rank)
+    moved = rows.select("p", F.col("i").alias("at"), id).join(rows.select("p", F.col("k").alias("at"), F.col(id).alias("other")), ["p", "at"]).select("p", id, "other")
+    return base.select(F.lit(0).alias("p"), id, F.col(id).alias("other")).union(moved)

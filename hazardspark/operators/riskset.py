@@ -10,9 +10,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import combinations_with_replacement
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hazardspark.operators import ordered
+
 
 def compact(df: DataFrame, covariates: Sequence[str], stop: str = "stop", event: str = "event", start: str | None = None, weight: str | None = None, by: Sequence[str] = ()) -> DataFrame:
     """Equal rows as one with their weight in ``n``; aligned data lose the rows that no death time reads."""
@@ -25,11 +27,11 @@ def compact(df: DataFrame, covariates: Sequence[str], stop: str = "stop", event:
     return out.join(deaths, [*by, stop], "left_semi")
 
 
-def predictor(covariates: Sequence[str], beta: Sequence[float], centre: Sequence[float] | None = None) -> Column:
-    """Sum of beta * (x - centre)."""
+def predictor(covariates: Sequence[str], beta: Sequence[float | Column], centre: Sequence[float] | None = None) -> Column:
+    """Sum of beta * (x - centre); beta are numbers or columns."""
     out = F.lit(0.0)
     for i, (c, b) in enumerate(zip(covariates, beta)):
-        out = out + F.lit(float(b)) * (F.col(c) - F.lit(float(centre[i] if centre else 0.0)))
+        out = out + (b if isinstance(b, Column) else F.lit(float(b))) * (F.col(c) - F.lit(float(centre[i] if centre else 0.0)))
     return out
 
 
@@ -48,7 +50,7 @@ def _name(kind: str, m: tuple[int, ...]) -> str:
     return "_".join([kind, *map(str, m)])
 
 
-def sums(rows: DataFrame, covariates: Sequence[str], beta: Sequence[float], stop: str = "stop", event: str = "event", start: str | None = None, by: Sequence[str] = (), shift: float = 0.0) -> DataFrame:
+def sums(rows: DataFrame, covariates: Sequence[str], beta: Sequence[float | Column], stop: str = "stop", event: str = "event", start: str | None = None, by: Sequence[str] = (), shift: float = 0.0) -> DataFrame:
     """Per death time: a_* (survivors) and d_* (dead) sums of n exp(lp - shift) times 1, x_i, x_i x_j; deaths; lp; x_i of the dead."""
     lp = predictor(covariates, beta)
     rows = rows.withColumn("__lp", lp).withColumn("__r", F.col("n") * F.exp(F.col("__lp") - F.lit(float(shift))))
@@ -75,9 +77,7 @@ def sums(rows: DataFrame, covariates: Sequence[str], beta: Sequence[float], stop
         *[F.sum(_name("s", m)).alias(_name("s", m)) for m in names],
         *[F.coalesce(F.sum(c), none).alias(c) for c in [*[_name("d", m) for m in names], "deaths", "lp", *[f"x_{i}" for i in range(len(covariates))]]],
     )
-    # the window is over distinct times
-    later = Window.partitionBy(*by).orderBy(F.desc("t")).rowsBetween(Window.unboundedPreceding, 0) if by else Window.orderBy(F.desc("t")).rowsBetween(Window.unboundedPreceding, 0)
-    at_risk = both.select(*by, "t", "deaths", "lp", *[f"x_{i}" for i in range(len(covariates))], *[_name("d", m) for m in names], *[F.sum(_name("s", m)).over(later).alias(_name("s", m)) for m in names])
+    at_risk = ordered.prefix_sums(both, "t", [_name("s", m) for m in names], by, descending=True)
     alive = [(F.col(_name("s", m)) - F.col(_name("d", m))).alias(_name("a", m)) for m in names]
     return at_risk.select("*", *alive).drop(*[_name("s", m) for m in names]).where("deaths > 0")
 
@@ -100,9 +100,10 @@ def likelihood(stops: DataFrame, d: int, ties: str = "efron", by: Sequence[str]
 
 
 def members(df: DataFrame, id: str = "id", start: str = "start", stop: str = "stop", event: str = "event") -> DataFrame:
-    """(t, id) for every death time and row at risk then; as many rows as risk sets have members."""
-    t = df.where(F.col(event) == 1).select(F.col(stop).alias("t")).distinct()
-    return df.join(t, (F.col(start) < F.col("t")) & (F.col("t") <= F.col(stop))).select("t", id)
+    """(t, id) for every death time and row at risk then; as many rows as risk sets have members. Times are met by their numbers."""
+    t = ordered.dense_ranks(df.where(F.col(event) == 1).select(F.col(stop).alias("t")), "t", "no").withColumn("n", F.lit(1).cast("long"))
+    rows = ordered.up_to(df.select(id, start, stop), t, "t", ["n"], [start, stop]).where(F.col(f"n_{start}") < F.col(f"n_{stop}"))
+    return rows.select(id, F.explode(F.sequence(F.col(f"n_{start}"), F.col(f"n_{stop}") - 1)).alias("no")).join(t.select("t", "no"), "no").select("t", id)
 
 
 def hazards(df: DataFrame, risk: str = "risk", start: str | None = "start", stop: str = "stop", event: str = "event", ties: str = "efron") -> DataFrame:
@@ -114,8 +115,7 @@ def hazards(df: DataFrame, risk: str = "risk", start: str | None = "start", stop
     if start:
         begins = df.groupBy(F.col(start).alias("t")).agg((-F.sum(risk)).alias("s"), F.lit(0.0).alias("eden"), F.lit(0).cast("long").alias("deaths"))
         ends = ends.union(begins).groupBy("t").agg(F.sum("s").alias("s"), F.sum("eden").alias("eden"), F.sum("deaths").alias("deaths"))
-    # the windows are over distinct times
-    t = ends.withColumn("den", F.sum("s").over(Window.orderBy(F.desc("t")))).where("deaths > 0")
+    t = ordered.prefix_sums(ends.withColumn("den", F.col("s")), "t", ["den"], descending=True).where("deaths > 0")
     i = F.sequence(F.lit(0), (F.col("deaths") - 1).cast("int"))
     if ties == "efron":
         part = lambda k: 1.0 / (F.col("den") - k / F.col("deaths") * F.col("eden"))
@@ -123,61 +123,82 @@ def hazards(df: DataFrame, risk: str = "risk", start: str | None = "start", stop
         e = F.aggregate(i, F.lit(0.0), lambda a, k: a + (1 - k / F.col("deaths")) * part(k))
     else:
         h = e = F.col("deaths") / F.col("den")
-    return t.select("t", "deaths", h.alias("h"), e.alias("e")).withColumn("cumhaz", F.sum("h").over(Window.orderBy("t")))
+    return ordered.prefix_sums(t.select("t", "deaths", h.alias("h"), e.alias("e"), h.alias("cumhaz")), "t", ["cumhaz"])
 
 
 def martingale(df: DataFrame, risk: str = "risk", start: str | None = "start", stop: str = "stop", event: str = "event", ties: str = "efron", keys: Sequence[str] = ("id", "stop")) -> DataFrame:
-    """keys and resid = event - risk * hazard over (start, stop], with the dead's own reduced increment."""
-    h = hazards(df, risk, start, stop, event, ties)
-    after = (F.col(start) < F.col("t")) if start else F.lit(True)
-    rows = df.join(h, after & (F.col("t") <= F.col(stop)), "left")
-    own = (F.col(event) == 1) & (F.col("t") == F.col(stop))
-    used = F.sum(F.coalesce(F.when(own, F.col("e")).otherwise(F.col("h")), F.lit(0.0)))
-    return rows.groupBy(*keys, event, risk).agg((F.col(event) - F.col(risk) * used).alias("resid")).select(*keys, "resid")
+    """keys and resid = event - risk * hazard over (start, stop], with the dead's own reduced increment; a row for each row of df.
+
+    The cumulative hazard is looked up at both ends of an interval, so no row meets more than its own times.
+    """
+    h = hazards(df, risk, start, stop, event, ties).select(F.col("t").alias("__t"), F.col("h").alias("__h"), (F.col("h") - F.col("e")).alias("__less"))
+    rows = ordered.up_to(df, h, "__t", ["__h"], [start, stop] if start else [stop])
+    rows = rows.join(h.select("__t", "__less"), (F.col(stop) == F.col("__t")) & (F.col(event) == 1), "left")
+    used = F.col(f"__h_{stop}") - (F.col(f"__h_{start}") if start else F.lit(0.0)) - F.coalesce("__less", F.lit(0.0))
+    return rows.select(*keys, (F.col(event) - F.col(risk) * used).alias("resid"))
+
+
+def _pairs_by_score(df: DataFrame, score: str, start: str, stop: str, event: str) -> tuple[DataFrame, DataFrame]:
+    """(s, t, d, x, n, rank and places) of distinct rows, and per failing (t, x): m and, of the rows at risk that do not fail then, below, equal, above.
+
+    A time t takes the places 2 r (rows that fail at t) and 2 r + 1 (the event at t itself, other rows that end or begin there), so those
+    that fail together are no pairs.
+    """
+    groups = df.groupBy(F.col(start).alias("s"), F.col(stop).alias("t"), F.col(event).alias("d"), F.round(score, 9).alias("x")).agg(F.count("*").alias("n"))
+    times = ordered.dense_ranks(groups.select("t").union(groups.select(F.col("s").alias("t"))), "t", "r")
+    ranks = ordered.dense_ranks(groups, "x", "rank")
+    groups = groups.join(ranks, "x").join(times.select("t", (2 * F.col("r")).alias("end")), "t").join(times.select(F.col("t").alias("s"), (2 * F.col("r") + 1).alias("begin")), "s")
+    # a row is counted from its end back, and taken away from its beginning back
+    ends = groups.select((F.col("end") + (F.col("d") != 1).cast("long")).alias("pos"), "rank", "n")
+    points = ends.union(groups.select(F.col("begin").alias("pos"), "rank", -F.col("n")))
+    fails = groups.where("d = 1").groupBy("t", "x", "rank", "end").agg(F.sum("n").alias("m"))
+    levels = max(1, (ranks.count() or 1).bit_length())
+    asked = fails.select(F.struct("t", "x").alias("q"), (F.col("end") + 1).alias("pos"), "rank")
+    found = ordered.counts_below(points, asked, levels).select("q.t", "q.x", "below", "equal", (F.col("all") - F.col("below") - F.col("equal")).alias("above"))
+    return groups, fails.join(found, ["t", "x"]).withColumn("levels", F.lit(levels))
 
 
 def concordance(df: DataFrame, score: str, start: str = "start", stop: str = "stop", event: str = "event") -> DataFrame:
     """Counts of concordant, discordant and tied pairs: an event at t against rows at risk then that don't fail then.
 
-    Rows are first counted by (start, stop, event, score), so pairs are of distinct values. A pair is concordant if the
-    one that fails has the higher score.
+    A pair is concordant if the one that fails has the higher score. Pairs are counted by sums over a tree of scores, not made.
     """
-    groups = df.groupBy(F.col(start).alias("s"), F.col(stop).alias("t"), F.col(event).alias("d"), F.round(score, 9).alias("x")).agg(F.count("*").alias("n"))
-    fails = groups.where("d = 1").groupBy("t", "x").agg(F.sum("n").alias("m")).withColumnsRenamed({"t": "t1", "x": "x1"})
-    pairs = fails.join(groups, (F.col("s") < F.col("t1")) & (F.col("t1") <= F.col("t")) & ~((F.col("d") == 1) & (F.col("t") == F.col("t1"))))
-    n = F.col("m") * F.col("n")
-    counts = pairs.agg(
-        F.coalesce(F.sum(F.when(F.col("x1") > F.col("x"), n)), F.lit(0)).alias("concordant"),
-        F.coalesce(F.sum(F.when(F.col("x1") < F.col("x"), n)), F.lit(0)).alias("discordant"),
-        F.coalesce(F.sum(F.when(F.col("x1") == F.col("x"), n)), F.lit(0)).alias("tied_x"),
-    )
-    same = fails.groupBy("t1").agg(F.sum("m").alias("a"), F.sum(F.col("m") * F.col("m")).alias("b"), F.sum(F.col("m") * (F.col("m") - 1) / 2).alias("c"))
+    fails = _pairs_by_score(df, score, start, stop, event)[1]
+    total = lambda c, name: F.coalesce(F.sum(F.col("m") * F.col(c)), F.lit(0)).cast("long").alias(name)
+    counts = fails.agg(total("below", "concordant"), total("above", "discordant"), total("equal", "tied_x"))
+    same = fails.groupBy("t").agg(F.sum("m").alias("a"), F.sum(F.col("m") * F.col("m")).alias("b"), F.sum(F.col("m") * (F.col("m") - 1) / 2).alias("c"))
     ties = same.agg(
         F.coalesce(F.sum((F.col("a") * F.col("a") - F.col("b")) / 2), F.lit(0.0)).cast("long").alias("tied_y"), F.coalesce(F.sum("c"), F.lit(0.0)).cast("long").alias("tied_xy")
     )
     # one row each
     out = counts.crossJoin(F.broadcast(ties))
-    total = F.col("concordant") + F.col("discordant") + F.col("tied_x")
-    return out.withColumn("concordance", (F.col("concordant") + F.col("tied_x") / 2) / total)
+    total_ = F.col("concordant") + F.col("discordant") + F.col("tied_x")
+    return out.withColumn("concordance", (F.col("concordant") + F.col("tied_x") / 2) / F.when(total_ > 0, total_))
 
 
 def concordance_error(df: DataFrame, score: str, start: str = "start", stop: str = "stop", event: str = "event") -> DataFrame:
     """concordance and its standard error by the infinitesimal jackknife over rows.
 
     A row's influence is the score of its pairs (1 concordant, 1/2 tied) less their expected score, over all pairs. Rows
-    that are equal in (start, stop, event, score) share it, so pairs are of distinct values here too.
+    that are equal in (start, stop, event, score) share it. Both sides of the pairs are counted as in concordance.
     """
-    groups = df.groupBy(F.col(start).alias("s"), F.col(stop).alias("t"), F.col(event).alias("d"), F.round(score, 9).alias("x")).agg(F.count("*").alias("n"))
-    fails = groups.where("d = 1").groupBy("t", "x").agg(F.sum("n").alias("m")).withColumnsRenamed({"t": "t1", "x": "x1"})
-    pairs = fails.join(groups, (F.col("s") < F.col("t1")) & (F.col("t1") <= F.col("t")) & ~((F.col("d") == 1) & (F.col("t") == F.col("t1"))))
-    pairs = pairs.withColumn("won", F.when(F.col("x1") > F.col("x"), 1.0).when(F.col("x1") == F.col("x"), 0.5).otherwise(0.0))
-    as_dead = pairs.groupBy(F.col("t1").alias("t"), F.col("x1").alias("x")).agg(F.sum(F.col("n") * F.col("won")).alias("w1"), F.sum("n").alias("p1")).withColumn("d", F.lit(1))
-    at_risk = pairs.groupBy("s", "t", "d", "x").agg(F.sum(F.col("m") * F.col("won")).alias("w2"), F.sum("m").alias("p2"))
+    groups, fails = _pairs_by_score(df, score, start, stop, event)
+    levels = fails.select("levels").limit(1).collect()
+    half = lambda a, b: F.col(a) + F.col(b) / 2
+    as_dead = fails.select("t", "x", half("below", "equal").alias("w1"), (F.col("below") + F.col("equal") + F.col("above")).alias("p1"), F.lit(1).alias("d"))
+    # of a row at risk: the events from its beginning (not at it) to its end (before it, if the row itself fails then)
+    events = fails.select((F.col("end") + 1).alias("pos"), "rank", F.col("m").alias("n"))
+    key = F.struct("s", "t", "d", "x")
+    after = lambda place: ordered.counts_below(events, groups.select(key.alias("q"), place.alias("pos"), "rank"), levels[0][0] if levels else 1)
+    above = (F.col("all") - F.col("below") - F.col("equal")).alias("above")
+    begun = after(F.col("begin") + 1).select("q", above, "equal", "all")
+    ended = after(F.when(F.col("d") == 1, F.col("end") + 1).otherwise(F.col("end") + 2)).select("q", above.alias("above2"), F.col("equal").alias("equal2"), F.col("all").alias("all2"))
+    at_risk = begun.join(ended, "q").select("q.*", (half("above", "equal") - half("above2", "equal2")).alias("w2"), (F.col("all") - F.col("all2")).alias("p2"))
     zero = F.lit(0.0)
     each = groups.join(as_dead, ["t", "x", "d"], "left").join(at_risk, ["s", "t", "d", "x"], "left").select(
         "n", (F.coalesce("w1", zero) + F.coalesce("w2", zero)).alias("w"), (F.coalesce("p1", zero) + F.coalesce("p2", zero)).alias("p")
     )
     # every pair counts once for each of its rows; squares of w - c p are summed by their parts
     total = each.agg(*[F.sum(F.col("n") * c).alias(k) for k, c in {"w": F.col("w"), "p": F.col("p"), "ww": F.col("w") ** 2, "wp": F.col("w") * F.col("p"), "pp": F.col("p") ** 2}.items()])
-    c = F.col("w") / F.col("p")
-    return total.select(c.alias("concordance"), (F.sqrt(F.greatest(zero, F.col("ww") - 2 * c * F.col("wp") + c * c * F.col("pp"))) / (F.col("p") / 2)).alias("se"))
+    c = F.col("w") / F.when(F.col("p") > 0, F.col("p"))
+    return total.select(c.alias("concordance"), (F.sqrt(F.greatest(zero, F.col("ww") - 2 * c * F.col("wp") + c * c * F.col("pp"))) / (F.when(F.col("p") > 0, F.col("p")) / 2)).alias("se"))

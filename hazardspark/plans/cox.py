@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from hazardspark.functions import tails
 from hazardspark.operators import panel, riskset
+from hazardspark.plans import replicates
 from hazardspark.plans.formula import parse
 from hazardspark.plans.newton import Kernel, Optimum, newton
 
@@ -35,6 +36,7 @@ class CoxModel:
     alpha: float = 0.0
     init: np.ndarray = field(default_factory=lambda: np.zeros(0))
     evaluations: int = 0
+    penalty: float = 0.0
 
     @property
     def se(self) -> np.ndarray:
@@ -42,7 +44,7 @@ class CoxModel:
 
     @property
     def loglik_data(self) -> float:
-        return self.loglik + self.alpha * float(self.coef @ self.coef)
+        return self.loglik + self.penalty
 
     def tests(self) -> dict[str, float]:
         """Likelihood-ratio, Wald and score tests, their p values, pseudo R squared and its maximum."""
@@ -62,8 +64,18 @@ class CoxModel:
         rows = []
         for name, b, s in zip(self.covariates, self.coef, self.se):
             z = b / s if s > 0 else float("nan")
-            rows.append((name, float(b), math.exp(b), float(s), float(z), tails.normal_two_sided(z), float(b - q * s), float(b + q * s), math.exp(b - q * s), math.exp(b + q * s)))
-        return spark.createDataFrame(rows, "term string, coef double, exp_coef double, se double, z double, p double, coef_lo double, coef_hi double, lo double, hi double")
+            rows.append((name, float(b), math.exp(b), math.exp(-b), float(s), float(z), tails.normal_two_sided(z), float(b - q * s), float(b + q * s), math.exp(b - q * s), math.exp(b + q * s)))
+        return spark.createDataFrame(rows, "term string, coef double, exp_coef double, exp_minus_coef double, se double, z double, p double, coef_lo double, coef_hi double, lo double, hi double")
+
+    def confint(self, spark: SparkSession, terms: Sequence[str | int] | None = None, level: float = 0.95) -> DataFrame:
+        """(term, lo, hi) of the coefficients: all, or those given by name or by number from 1."""
+        q, rows = tails.normal_quantile((1 + level) / 2), []
+        for t in self.covariates if terms is None else terms:
+            if (t not in self.covariates) if isinstance(t, str) else not 1 <= t <= len(self.covariates):
+                raise ValueError(f"no such term: {t}")
+            i = self.covariates.index(t) if isinstance(t, str) else t - 1
+            rows.append((self.covariates[i], float(self.coef[i] - q * self.se[i]), float(self.coef[i] + q * self.se[i])))
+        return spark.createDataFrame(rows, "term string, lo double, hi double")
 
     def aic(self) -> float:
         return -2 * self.loglik + 2 * len(self.coef)
@@ -84,6 +96,13 @@ class CoxModel:
         return rows.withColumn(out, F.exp(F.col("__lp") - F.lit(max(0.0, top - 709.0)))).drop("__lp")
 
 
+def scaled(df: DataFrame, column: str, out: str, unit: float = 1.0) -> DataFrame:
+    """df with the column's deviation from its mean over the sum of absolute deviations, times unit; of a constant column zero."""
+    mean = df.agg(F.avg(column)).first()[0] or 0.0
+    total = df.agg(F.sum(F.abs(F.col(column) - F.lit(mean)))).first()[0] or 1.0
+    return df.withColumn(out, (F.col(column) - F.lit(mean)) / F.lit(total) * F.lit(float(unit)))
+
+
 def evaluate(rows: DataFrame, covariates: Sequence[str], beta: np.ndarray, stop: str, event: str, start: str | None, ties: str, alpha: float, span: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
     """One aggregation job over compacted rows; span: largest absolute value of each covariate."""
     d, shift = len(covariates), float(np.abs(beta) @ span)
@@ -99,33 +118,36 @@ def evaluate(rows: DataFrame, covariates: Sequence[str], beta: np.ndarray, stop:
 def cox_fit(df: DataFrame, covariates: Sequence[str], stop: str = "stop", event: str = "event", start: str | None = None, ties: str = "efron", risk_set: str = "aligned", alpha: float = 0.0, maxiter: int = 20, init: Sequence[float] | None = None, doscale: bool = False, weight: str | None = None, singular_ok: bool = False, driver_rows: int = DRIVER_ROWS) -> CoxModel:
     """Fit by Newton iterations on compacted rows, on the driver if these are few and by Spark aggregations if not.
 
-    risk_set: aligned (rows with equal stop) or interval (start < t <= stop, needs start). doscale standardises
-    the covariates for the iterations; results are on the original scale. Rows with nulls in used columns are dropped.
+    risk_set: aligned (rows with equal stop) or interval (start < t <= stop, needs start). doscale divides covariates by the sum of absolute
+    deviations from their mean for the iterations (constant ones stay), and the penalty alpha is on that scale; results are on the original one. Rows with nulls in
+    used columns are dropped. weight: numbers of equal rows, or any with Breslow's ties. Without events the coefficients are not a number, with zero variance.
     """
     covariates = list(covariates)
     if risk_set not in ("aligned", "interval") or (risk_set == "interval" and not start):
         raise ValueError("risk_set is aligned, or interval with start")
+    if ties not in ("efron", "breslow"):
+        raise ValueError("ties is efron or breslow")
     used = start if risk_set == "interval" else None
     init = np.zeros(len(covariates)) if init is None else np.asarray(init, dtype=float)
     if len(init) != len(covariates):
-        raise ValueError("wrong length for init argument")
-    rows = panel.drop_missing(df.select(*{c: None for c in [*([start] if start else []), stop, event, *covariates, *([weight] if weight else [])]}), [stop, event, *covariates])
+        raise ValueError("init needs a value for each covariate")
+    columns = [*([start] if start else []), stop, event, *covariates, *([weight] if weight else [])]
+    rows = panel.drop_missing(df.select(*{c: None for c in columns}), columns)
     rows = rows.withColumns({c: F.col(c).cast("double") for c in covariates})
-    panel.validate(rows, stop, event, covariates, start)
+    events = panel.validate(rows, stop, event, covariates, start, weight, ties == "efron")
     facts = rows.agg(
-        F.count("*").alias("n"), F.sum(event).alias("events"), *[F.avg(c).alias(f"m_{i}") for i, c in enumerate(covariates)],
-        *[F.stddev_pop(c).alias(f"s_{i}") for i, c in enumerate(covariates)], *[F.max(F.abs(c)).alias(f"a_{i}") for i, c in enumerate(covariates)],
+        F.count("*").alias("n"), *[F.avg(c).alias(f"m_{i}") for i, c in enumerate(covariates)], *[F.max(F.abs(c)).alias(f"a_{i}") for i, c in enumerate(covariates)],
     ).first()
     means = np.array([facts[f"m_{i}"] for i in range(len(covariates))])
-    scale = np.array([(facts[f"s_{i}"] or 1.0) if doscale else 1.0 for i in range(len(covariates))])
-    span = np.array([facts[f"a_{i}"] for i in range(len(covariates))]) / scale
+    if not events:
+        none = np.full(len(covariates), np.nan)
+        return CoxModel(tuple(covariates), none, np.zeros((len(none), len(none))), 0.0, 0.0, 0.0, np.zeros(len(none)), means, int(facts["n"]), 0, ties, alpha, init)
+    scale = np.ones(len(covariates))
     if doscale:
+        spread = rows.agg(*[F.sum(F.abs(F.col(c) - F.lit(float(m)))).alias(f"s_{i}") for i, (c, m) in enumerate(zip(covariates, means))]).first()
+        scale = np.array([x or 1.0 for x in spread])
         rows = rows.withColumns({c: F.col(c) / float(s) for c, s in zip(covariates, scale)})
-        penalty = 1 / scale**2
-    else:
-        penalty = np.ones(len(covariates))
-    if alpha and doscale and not np.allclose(penalty, 1):
-        raise ValueError("a penalty is defined on the original scale: use it without doscale")
+    span = np.array([facts[f"a_{i}"] for i in range(len(covariates))]) / scale
     small = riskset.compact(rows, covariates, stop, event, used, weight).persist()
     try:
         if small.limit(driver_rows + 1).count() <= driver_rows:
@@ -136,7 +158,7 @@ def cox_fit(df: DataFrame, covariates: Sequence[str], stop: str = "stop", event:
         found = newton(loss, init * scale, maxiter, singular_ok=singular_ok)
     finally:
         small.unpersist()
-    return model_of(found, covariates, means, int(facts["n"]), int(facts["events"]), ties, alpha, init, scale, singular_ok)
+    return model_of(found, covariates, means, int(facts["n"]), events, ties, alpha, init, scale, singular_ok)
 
 
 def model_of(found: Optimum, covariates: Sequence[str], means: np.ndarray, n: int, events: int, ties: str, alpha: float, init: np.ndarray, scale: np.ndarray | None = None, singular_ok: bool = False) -> CoxModel:
@@ -145,7 +167,7 @@ def model_of(found: Optimum, covariates: Sequence[str], means: np.ndarray, n: in
     inverse = (inverse + inverse.T) / 2
     return CoxModel(
         tuple(covariates), found.beta / scale, inverse / np.outer(scale, scale), -found.loss_init, -found.loss, found.score,
-        -found.gradient * scale, means, n, events, ties, alpha, init, found.evaluations,
+        -found.gradient * scale, means, n, events, ties, alpha, init, found.evaluations, alpha * float(found.beta @ found.beta),
     )
 
 
@@ -155,7 +177,32 @@ def cox(formula: str, df: DataFrame, **options) -> CoxModel:
     if not f.covariates:
         raise ValueError("no covariates")
     if f.start is None:
-        rows = df.select(F.lit(0).alias("__start"), f.stop, f.event, *f.covariates)
+        kept = [options["weight"]] if options.get("weight") else []
+        rows = panel.drop_missing(df.select(F.lit(0).cast(df.schema[f.stop].dataType).alias("__start"), f.stop, f.event, *f.covariates, *kept), [f.stop, f.event, *f.covariates, *kept])
+        if options.get("risk_set") == "interval":
+            return cox_fit(rows, f.covariates, f.stop, f.event, "__start", **options)
         rows = panel.split_at(rows, panel.death_times(rows, f.stop, f.event).select(f.stop), "__start", f.stop, f.event)
         return cox_fit(rows, f.covariates, f.stop, f.event, "__start", **options)
     return cox_fit(df, f.covariates, f.stop, f.event, f.start, **options)
+
+
+@dataclass(frozen=True)
+class CoxBootstrap:
+    """A model and the fits (b, term, coef, se, loglik) of its replicates, replicate 0 the sample."""
+
+    model: CoxModel
+    fits: DataFrame
+
+    def confint(self, level: float = 0.95) -> DataFrame:
+        """(term, lo, hi): quantiles of the coefficients over replicates."""
+        return replicates.quantiles(self.fits, ["term"], "coef", level)
+
+
+def cox_bootstrap(formula: str, df: DataFrame, count: int, batchsize: int = 0, unit: str = "row", seed: int = 1, id: str = "id", all_results: bool = False, **options) -> CoxBootstrap:
+    """cox with three columns in Surv, and its replicates, in one call. Without all_results only the sample's fit has se and loglik."""
+    f = parse(formula, df.columns)
+    if f.start is None:
+        raise ValueError("replicates are drawn from (start, stop, event] rows: cut the table with split_at first")
+    kept = {k: v for k, v in options.items() if k in ("ties", "alpha", "maxiter")}
+    fits = replicates.bootstrap_fits(df, f.covariates, count, batchsize, unit, seed=seed, id=id, stop=f.stop, event=f.event, all_results=all_results, **kept)
+    return CoxBootstrap(cox(formula, df, **options), fits)

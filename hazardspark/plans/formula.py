@@ -25,6 +25,8 @@ def parse(text: str, columns: Sequence[str] = ()) -> Formula:
         raise ValueError("Surv takes (time, status) or (start, stop, event)")
     if re.search(r"\b(?:strata|cluster|tt|offset)\s*\(", m[2]):
         raise ValueError("strata, cluster, tt and offset are not supported")
+    if not re.fullmatch(r"-?\s*[\w.]+(?:\s*[+-]\s*[\w.]+)*", m[2]):
+        raise ValueError("terms are columns joined by + and -")
     terms: list[str] = []
     for sign, term in re.findall(r"([+-]?)\s*([\w.]+)", m[2]):
         named = [c for c in columns if c not in response] if term == "." else [term]

@@ -60,6 +60,36 @@ def newton(loss: Loss, init: np.ndarray, maxiter: int = 20, eps: float = 1e-9, s
     return Optimum(best, first[0], value, *at_best, first[1], evaluations)
 
 
+def newton_many(loss: Callable[[dict], dict], inits: dict, maxiter: int = 20, eps: float = 1e-9, singular_ok: bool = False) -> dict:
+    """newton for many problems at once: loss takes a candidate for each key that is not done and gives (f, g, h) for each."""
+    if maxiter < 1:
+        raise ValueError("maxiter must be 1 or more")
+    candidate = {k: np.asarray(b, dtype=float) for k, b in inits.items()}
+    state = {k: [b, np.inf, None, None, 0, 0] for k, b in candidate.items()}  # best, its value, (g, h) there, the first (f, score), rejections, evaluations
+    going = list(candidate)
+    for _ in range(maxiter):
+        if not going:
+            break
+        found = loss({k: candidate[k] for k in going})
+        left = []
+        for k in going:
+            best, value, at_best, first, rejected, evaluations = state[k]
+            f, g, h = found[k]
+            step = solve(h, g, singular_ok)
+            first = first or (f, float(step @ g))
+            if f < value or at_best is None:
+                best, value, at_best, rejected = candidate[k], f, (g, h), 0
+                candidate[k] = best - step
+            else:
+                rejected += 1
+                candidate[k] = (candidate[k] + rejected * best) / (1 + rejected)
+            state[k] = [best, value, at_best, first, rejected, evaluations + 1]
+            if np.abs(candidate[k] - best).max(initial=0.0) > eps * (1 + np.abs(best).max(initial=0.0)):
+                left.append(k)
+        going = left
+    return {k: Optimum(best, first[0], value, *at_best, first[1], n) for k, (best, value, at_best, first, _, n) in state.items()}
+
+
 class Kernel:
     """Rows in time order, and the loss, gradient and Hessian of their partial likelihood."""
 

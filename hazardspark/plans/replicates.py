@@ -1,4 +1,8 @@
-"""Many fits at once: bootstrap replicates and exposure channels, each fitted whole in a task."""
+"""Many fits at once: bootstrap replicates and exposure channels.
+
+Data that fit a task travel there whole and a task makes many fits. Beyond that all fits share their aggregations: rows are compacted by fit
+and each evaluation is one Spark job with a row a fit as its result.
+"""
 
 from __future__ import annotations
 
@@ -10,31 +14,69 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hazardspark.operators import panel, resample
-from hazardspark.plans.newton import Kernel, newton
-
-#: Rows that a task may hold for a fit.
-TASK_ROWS = 2_000_000
-
-
-def _table(df: DataFrame, columns: Sequence[str], limit: int) -> pd.DataFrame:
-    if df.limit(limit + 1).count() > limit:
-        raise ValueError(f"more than {limit} rows at death times: fit the replicates one by one with cox_fit and a weight")
-    return df.select(*columns).toPandas()
-
-
-def bootstrap_fits(df: DataFrame, covariates: Sequence[str], replicates: int, batchsize: int = 0, unit: str = "row", ties: str = "efron", alpha: float = 0.0, maxiter: int = 20, seed: int = 1, id: str = "id", stop: str = "stop", event: str = "event") -> DataFrame:
-    """(b, term, coef, loglik): replicate 0 is the sample.
-
-    Rows at death times travel to the tasks once (checked against TASK_ROWS); a task fits batchsize replicates (0: as
-    many as make 4 tasks a core). unit: what is drawn, row (after the death-time filter) or subject.
+from hazardspark.operators import panel, resample, riskset
+from hazardspark.plans.newton import Kernel, newton, newton_many
+
+#: Rows times columns that a task may hold for a fit.
+TASK_VALUES = 10_000_000
+
+
+def grouped_fits(rows: DataFrame, by: Sequence[str], covariates: Sequence[str], stop: str = "stop", event: str = "event", weight: str | None = None, ties: str = "efron", alpha: float = 0.0, maxiter: int = 20) -> DataFrame:
+    """by, term, coef, se, loglik: a fit for each group, all evaluated in one aggregation after another. Groups without events have no row."""
+    spark, names, d = rows.sparkSession, list(covariates), len(covariates)
+    small = riskset.compact(rows.withColumns({c: F.col(c).cast("double") for c in names}), names, stop, event, weight=weight, by=by).persist()
+    kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in by)
+    try:
+        keys = [tuple(r) for r in small.where(F.col(event) == 1).select(*by).distinct().collect()]  # a row a fit
+
+        def loss(candidates: dict) -> dict:
+            at = spark.createDataFrame([(*k, *map(float, b)) for k, b in candidates.items()], f"{kinds}, " + ", ".join(f"__b{i} double" for i in range(d)))
+            # a row a fit
+            joined = small.join(F.broadcast(at), list(by))
+            sums = riskset.sums(joined, names, [F.col(f"__b{i}") for i in range(d)], stop, event, by=by)
+            out = {}
+            for r in riskset.likelihood(sums, d, ties, by).collect():
+                k = tuple(r[c] for c in by)
+                h = np.array([[r[f"h_{min(i, j)}_{max(i, j)}"] for j in range(d)] for i in range(d)]) + 2 * alpha * np.eye(d)
+                b = candidates[k]
+                out[k] = (r["loss"] + alpha * float(b @ b), np.array([r[f"g_{i}"] for i in range(d)]) + 2 * alpha * b, h)
+            return out
+
+        found = newton_many(loss, {k: np.zeros(d) for k in keys}, maxiter, singular_ok=True)
+    finally:
+        small.unpersist()
+    fits = []
+    for k, fit in found.items():
+        se = np.sqrt(np.maximum(0, np.diag(np.linalg.pinv(fit.hessian))))
+        fits += [(*k, t, float(c), float(s), -fit.loss) for t, c, s in zip(names, fit.beta, se)]
+    return spark.createDataFrame(fits, f"{kinds}, term string, coef double, se double, loglik double")
+
+
+def bootstrap_fits(df: DataFrame, covariates: Sequence[str], replicates: int, batchsize: int = 0, unit: str = "row", ties: str = "efron", alpha: float = 0.0, maxiter: int = 20, seed: int = 1, id: str = "id", stop: str = "stop", event: str = "event", all_results: bool = True, task_values: int = TASK_VALUES) -> DataFrame:
+    """(b, term, coef, se, loglik): replicate 0 is the sample. Without all_results only replicate 0 has se and loglik.
+
+    unit: what is drawn, row (after the death-time filter) or subject. Up to task_values values, rows at death times travel to the tasks once and a
+    task fits batchsize replicates (0: as many as make 4 tasks a core); beyond it the draws are a table and all replicates are fitted by shared aggregations.
     """
     if batchsize and replicates % batchsize:
         raise ValueError("batchsize must divide replicates")
     spark, names = df.sparkSession, list(covariates)
-    rows = _table(panel.at_death_times(panel.drop_missing(df, [stop, event, *names]), stop, event), [id, stop, event, *names], TASK_ROWS)
+    rows = panel.at_death_times(panel.drop_missing(df, [stop, event, *names]), stop, event).select(id, stop, event, *names)
+    limit = task_values // (len(names) + 3)
+    if rows.limit(limit + 1).count() > limit:
+        drawn = resample.row_bootstrap(rows, replicates, seed, id, stop) if unit == "row" else resample.subject_bootstrap(rows, replicates, seed, id)
+        found = grouped_fits(drawn, ["b"], names, stop, event, "w", ties, alpha, maxiter)
+    else:
+        found = _task_fits(rows.toPandas(), spark, names, replicates, batchsize, unit, ties, alpha, maxiter, seed, id, stop, event)
+    if all_results:
+        return found
+    return found.select("b", "term", "coef", *[F.when(F.col("b") == 0, F.col(c)).alias(c) for c in ("se", "loglik")])
+
+
+def _task_fits(rows: pd.DataFrame, spark, names: list[str], replicates: int, batchsize: int, unit: str, ties: str, alpha: float, maxiter: int, seed: int, id: str, stop: str, event: str) -> DataFrame:
     rows = rows.sort_values([id, stop], kind="stable")
     subject = np.unique(rows[id].to_numpy(), return_inverse=True)[1]
+    # of at most TASK_VALUES values
     data = spark.sparkContext.broadcast((rows[stop].to_numpy(), rows[event].to_numpy(), rows[names].to_numpy(dtype=float), subject))
 
     def run(batches):
@@ -47,11 +89,12 @@ def bootstrap_fits(df: DataFrame, covariates: Sequence[str], replicates: int, ba
                 w = w[of] if unit == "subject" else w
                 some = w > 0
                 fit = newton(Kernel(at[some], dead[some], x[some], w[some], None, ties, alpha), np.zeros(len(names)), maxiter, singular_ok=True)
-                out += [(int(b), t, float(c), -fit.loss) for t, c in zip(names, fit.beta)]
-            yield pd.DataFrame(out, columns=["b", "term", "coef", "loglik"])
+                se = np.sqrt(np.maximum(0, np.diag(np.linalg.pinv(fit.hessian))))
+                out += [(int(b), t, float(c), float(s), -fit.loss) for t, c, s in zip(names, fit.beta, se)]
+            yield pd.DataFrame(out, columns=["b", "term", "coef", "se", "loglik"])
 
     tasks = replicates // batchsize if batchsize else min(replicates, 4 * spark.sparkContext.defaultParallelism)
-    return spark.range(0, replicates, numPartitions=max(1, tasks)).mapInPandas(run, "b long, term string, coef double, loglik double")
+    return spark.range(0, replicates, numPartitions=max(1, tasks)).mapInPandas(run, "b long, term string, coef double, se double, loglik double")
 
 
 def quantiles(df: DataFrame, by: Sequence[str], value: str, level: float = 0.95) -> DataFrame:
@@ -60,14 +103,17 @@ def quantiles(df: DataFrame, by: Sequence[str], value: str, level: float = 0.95)
     return df.groupBy(*by).agg(q.alias("q")).select(*by, F.element_at("q", 1).alias("lo"), F.element_at("q", 2).alias("hi"))
 
 
-def channel_fits(df: DataFrame, channel: str, covariates: Sequence[str], ties: str = "efron", alpha: float = 0.0, maxiter: int = 20, stop: str = "stop", event: str = "event") -> DataFrame:
+def channel_fits(df: DataFrame, channel: str, covariates: Sequence[str], ties: str = "efron", alpha: float = 0.0, maxiter: int = 20, stop: str = "stop", event: str = "event", task_values: int = TASK_VALUES) -> DataFrame:
     """(channel, term, coef, se, loglik): the same outcome on each channel's own covariates.
 
-    df has a block of rows a channel; each block is compacted before the shuffle and fitted in one task.
+    df has a block of rows a channel; each is compacted before the shuffle. If all compacted blocks have at most task_values values each is fitted in
+    one task; else all channels are fitted by shared aggregations.
     """
     names = list(covariates)
-    rows = df.groupBy(channel, stop, event, *names).agg(F.count("*").cast("double").alias("n"))
-    rows = rows.join(df.where(F.col(event) == 1).select(channel, stop).distinct(), [channel, stop], "left_semi")
+    rows = riskset.compact(df, names, stop, event, by=[channel])
+    most = rows.groupBy(channel).count().agg(F.max("count")).first()[0] or 0
+    if most * (len(names) + 3) > task_values:
+        return grouped_fits(rows, [channel], names, stop, event, "n", ties, alpha, maxiter)
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         found = newton(Kernel(pdf[stop], pdf[event], pdf[names], pdf["n"], None, ties, alpha), np.zeros(len(names)), maxiter, singular_ok=True)
@@ -75,7 +121,12 @@ def channel_fits(df: DataFrame, channel: str, covariates: Sequence[str], ties: s
         return pd.DataFrame({channel: pdf[channel].iloc[0], "term": names, "coef": found.beta, "se": se, "loglik": -found.loss})
 
     kind = df.schema[channel].dataType.simpleString()
-    return rows.groupBy(channel).applyInPandas(fit, f"{channel} {kind}, term string, coef double, se double, loglik double")
+    return rows.groupBy(channel).applyInPandas(fit, f"`{channel}` {kind}, term string, coef double, se double, loglik double")
+
+
+def channel_bootstrap(df: DataFrame, channel: str, covariates: Sequence[str], replicates: int, seed: int = 1, id: str = "id", ties: str = "efron", maxiter: int = 20, stop: str = "stop", event: str = "event") -> DataFrame:
+    """(channel, b, term, coef, se, loglik): each channel's fit in each replicate of the subjects; a replicate's draws are the same for all channels."""
+    return grouped_fits(resample.subject_bootstrap(df, replicates, seed, id), [channel, "b"], covariates, stop, event, "w", ties, 0.0, maxiter)
 
 
 def total_risk(fits: DataFrame, areas: dict[str, float], by: Sequence[str]) -> DataFrame:

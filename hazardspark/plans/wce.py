@@ -8,9 +8,11 @@ from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from hazardspark.functions import splines, tails
 from hazardspark.operators import exposure
+from hazardspark.plans import replicates
 from hazardspark.plans.cox import CoxModel, cox_fit
 
 
@@ -53,30 +55,81 @@ class WceModel:
         return -2 * self.cox.loglik + (2 * p if criterion == "aic" else p * math.log(self.cox.events))
 
     def hazard_ratio(self, exposed: Sequence[float], reference: Sequence[float], level: float = 0.95) -> dict[str, float]:
-        """Ratio of two dose histories (most recent dose first), with its Gaussian interval on the log scale."""
+        """Ratio of two dose histories (most recent dose first), with its Gaussian interval on the log scale (lo, hi) and on the ratio's own (plain_lo, plain_hi)."""
         if len(exposed) != self.cutoff or len(reference) != self.cutoff:
             raise ValueError(f"dose vectors must have length {self.cutoff}")
         a = (np.asarray(exposed, dtype=float) - np.asarray(reference, dtype=float)) @ self.atoms
         log, sd = float(a @ self.spline_coef), math.sqrt(float(a @ self.spline_vcov @ a))
         q = tails.normal_quantile((1 + level) / 2)
-        return {"hr": math.exp(log), "lo": math.exp(log - q * sd), "hi": math.exp(log + q * sd)}
+        hr = math.exp(log)
+        return {"hr": hr, "lo": math.exp(log - q * sd), "hi": math.exp(log + q * sd), "plain_lo": hr - q * sd, "plain_hi": hr + q * sd}
 
     def total_risk(self) -> dict[str, float]:
-        """Sum of the curve over lags, its standard deviation, and the most that a coefficient's band moves."""
+        """Sum of the curve over lags, and its standard deviation."""
         a = self.atoms.sum(0)
         return {"risk": float(a @ self.spline_coef), "sd": math.sqrt(float(a @ self.spline_vcov @ a))}
 
+    def risk_band(self, level: float = 0.95) -> np.ndarray:
+        """How far each spline coefficient moves when the total risk moves to the edge of its interval."""
+        v = self.spline_vcov @ self.atoms.sum(0)
+        return tails.normal_quantile((1 + level) / 2) * v / self.total_risk()["sd"]
 
-def wce_fit(df: DataFrame, covariates: Sequence[str], cutoff: int, nknots: int = 1, order: int = 3, constrained: str | None = None, id: str = "id", stop: str = "stop", event: str = "event", dose: str = "dose", maxiter: int = 20) -> WceModel:
-    """Cox fit on covariates and spline features of the dose history."""
+    def summary(self, spark: SparkSession, level: float = 0.95) -> DataFrame:
+        """One row per covariate and spline coefficient, as of a Cox model, with the part of the model that it belongs to."""
+        of = [(t, "covariate" if t in self.covariates else "exposure") for t in self.cox.covariates]
+        return self.cox.summary(spark, level).join(spark.createDataFrame(of, "term string, part string"), "term")
+
+
+def wce_fit(df: DataFrame, covariates: Sequence[str], cutoff: int, nknots: int = 1, order: int = 3, constrained: str | None = None, id: str = "id", stop: str = "stop", event: str = "event", dose: str = "dose", **options) -> WceModel:
+    """Cox fit on covariates and spline features of the dose history; options are cox_fit's (ties, alpha, init, maxiter and so on)."""
     atoms = splines.atoms(cutoff, nknots, order, constrained)
-    found = exposure.features(df, atoms, id, stop, dose)
-    rows = df.select(id, stop, event, *covariates).join(found, [id, stop])
-    names = [f"D{k + 1}" for k in range(atoms.shape[1])]
-    model = cox_fit(rows, [*covariates, *names], stop, event, maxiter=maxiter)
+    rows, names = wce_rows(df, covariates, atoms, id, stop, event, dose)
+    model = cox_fit(rows, [*covariates, *names], stop, event, **options)
     return WceModel(model, tuple(covariates), atoms, nknots, cutoff, constrained)
 
 
+def wce_rows(df: DataFrame, covariates: Sequence[str], atoms: np.ndarray, id: str = "id", stop: str = "stop", event: str = "event", dose: str = "dose") -> tuple[DataFrame, list[str]]:
+    """The outcome, the covariates and the spline features of each row, and the features' names."""
+    rows = df.select(id, stop, event, *covariates).join(exposure.features(df, atoms, id, stop, dose), [id, stop])
+    return rows, [f"D{k + 1}" for k in range(atoms.shape[1])]
+
+
+@dataclass(frozen=True)
+class WceBootstrap:
+    """A model and the fits (b, term, coef, se, loglik) of its replicates, replicate 0 the sample."""
+
+    model: WceModel
+    fits: DataFrame
+
+    def curves(self) -> DataFrame:
+        """(b, lag, weight)."""
+        # a row for each lag and spline, both few
+        atoms = splines.atoms_table(self.fits.sparkSession, self.model.atoms).withColumn("term", F.concat(F.lit("D"), "k"))
+        return self.fits.join(F.broadcast(atoms), "term").groupBy("b", "lag").agg(F.sum(F.col("coef") * F.col("value")).alias("weight"))
+
+    def curve(self, level: float = 0.95) -> DataFrame:
+        """(lag, lo, hi): quantiles of the weight over replicates."""
+        return replicates.quantiles(self.curves(), ["lag"], "weight", level)
+
+    def hazard_ratio(self, exposed: Sequence[float], reference: Sequence[float], level: float = 0.95) -> DataFrame:
+        """(contrast, lo, hi): quantiles over replicates of the ratio of two dose histories, most recent dose first."""
+        areas = (np.asarray(exposed, dtype=float) - np.asarray(reference, dtype=float)) @ self.model.atoms
+        log = replicates.total_risk(self.fits, {f"D{k + 1}": float(a) for k, a in enumerate(areas)}, ["b"])
+        return replicates.quantiles(log.select(F.lit("exposed against reference").alias("contrast"), F.exp("risk").alias("hr")), ["contrast"], "hr", level)
+
+    def coefficients(self, level: float = 0.95) -> DataFrame:
+        """(term, lo, hi): quantiles over replicates."""
+        return replicates.quantiles(self.fits, ["term"], "coef", level)
+
+
+def wce_bootstrap(df: DataFrame, covariates: Sequence[str], cutoff: int, count: int, batchsize: int = 0, nknots: int = 1, order: int = 3, constrained: str | None = None, unit: str = "row", seed: int = 1, id: str = "id", stop: str = "stop", event: str = "event", dose: str = "dose", **options) -> WceBootstrap:
+    """wce_fit and its replicates in one call; features are computed once."""
+    model = wce_fit(df, covariates, cutoff, nknots, order, constrained, id, stop, event, dose, **options)
+    rows, names = wce_rows(df, covariates, model.atoms, id, stop, event, dose)
+    kept = {k: v for k, v in options.items() if k in ("ties", "alpha", "maxiter")}
+    return WceBootstrap(model, replicates.bootstrap_fits(rows, [*covariates, *names], count, batchsize, unit, seed=seed, id=id, stop=stop, event=event, **kept))
+
+
 def select_knots(df: DataFrame, covariates: Sequence[str], cutoff: int, candidates: Sequence[int] = (1, 2, 3), criterion: str = "bic", **options) -> tuple[WceModel, dict[int, float]]:
     """The model of least information criterion among numbers of inner knots, and all their criteria."""
     models = {k: wce_fit(df, covariates, cutoff, k, **options) for k in candidates}

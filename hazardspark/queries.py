@@ -8,8 +8,9 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from hazardspark import oracle
 from hazardspark.functions import splines
-from hazardspark.operators import exposure, panel, resample, riskset
+from hazardspark.operators import exposure, ordered, panel, resample, riskset
 from hazardspark.plans import cox, replicates, wce
 from hazardspark.sources import panels
 
@@ -157,16 +158,20 @@ def centred_risk_score(spark, sf_dir):
 
 @query("WITH m AS (SELECT avg(age) AS mean FROM panel), s AS (SELECT sum(abs(age - mean)) AS total FROM panel, m) SELECT id, stop, round((age - mean) / total * 1e6, 6) + 0.0 AS age_scaled FROM panel, m, s")
 def scaled_covariate(spark, sf_dir):
-    df = _panel(spark, sf_dir)
-    mean = df.agg(F.avg("age")).first()[0]
-    total = df.agg(F.sum(F.abs(F.col("age") - F.lit(mean)))).first()[0]
-    return _rounded(df.select("id", "stop", ((F.col("age") - F.lit(mean)) / F.lit(total) * 1e6).alias("age_scaled")))
+    return _rounded(cox.scaled(_panel(spark, sf_dir), "age", "age_scaled", 1e6).select("id", "stop", "age_scaled"))
+
+
+@query("""WITH ends AS (SELECT id, sum(dose) AS total FROM panel GROUP BY id), u AS (SELECT DISTINCT total AS t FROM ends),
+    c AS (SELECT t, sum(CASE WHEN t - l < 0.001 THEN 0 ELSE 1 END) OVER (ORDER BY t) AS g FROM (SELECT t, lag(t) OVER (ORDER BY t) AS l FROM u) q), m AS (SELECT t, min(t) OVER (PARTITION BY g) AS merged FROM c)
+    SELECT id, round(merged, 4) AS merged FROM ends JOIN m ON total = t""")
+def tie_repair(spark, sf_dir):
+    totals = _panel(spark, sf_dir).groupBy("id").agg(F.sum("dose").alias("merged"))
+    return _rounded(panel.merge_times(totals, "merged", 3), 4)
 
 
-@query("SELECT id, day, CAST(event_type = 'click' AS INTEGER) AS event_type_click, CAST(event_type = 'error' AS INTEGER) AS event_type_error, round(value, 1) AS merged FROM ev", EVENTS_SQL)
-def one_hot_and_tie_repair(spark, sf_dir):
-    ev = panel.merge_times(panels.events(spark, sf_dir).withColumn("merged", F.col("value")), "merged", 1)
-    return panel.one_hot(ev, "event_type", ["view", "click", "error"]).select("id", "day", "event_type_click", "event_type_error", "merged")
+@query("SELECT id, day, CAST(event_type = 'click' AS INTEGER) AS event_type_click, CAST(event_type = 'error' AS INTEGER) AS event_type_error FROM ev", EVENTS_SQL)
+def one_hot(spark, sf_dir):
+    return panel.one_hot(panels.events(spark, sf_dir), "event_type", ["view", "click", "error"]).select("id", "day", "event_type_click", "event_type_error")
 
 
 # --- joins
@@ -190,47 +195,49 @@ def cumulative_merge(spark, sf_dir):
     return panel.merge_cumulative(_panel(spark, sf_dir).select("id", "stop"), new, "id", "stop", "day", "one", "events_so_far")
 
 
-def _atoms_sql(values: np.ndarray) -> str:
-    rows = ", ".join(f"({lag}, {k + 1}, CAST({float(x)!r} AS DOUBLE))" for lag, row in enumerate(values) for k, x in enumerate(row))
-    return f"atoms(lag, k, value) AS (VALUES {rows})"
-
-
-def _features_sql(values: np.ndarray) -> str:
-    d = ", ".join(f"coalesce(sum(s.dose * a.value) FILTER (a.k = {k + 1}), 0.0) AS D{k + 1}" for k in range(values.shape[1]))
-    return f"""{_atoms_sql(values)}, src AS (SELECT id, stop AS s, dose FROM panel WHERE dose <> 0),
-    feat AS (SELECT p.id, p.stop, {d} FROM panel p LEFT JOIN src s ON s.id = p.id AND s.s BETWEEN p.stop - {values.shape[0] - 1} AND p.stop LEFT JOIN atoms a ON a.lag = p.stop - s.s GROUP BY p.id, p.stop)"""
-
+#: Columns that a right constraint leaves of the five splines of a single inner knot, and a left one.
+RIGHT, LEFT = (0, 1, 2), (2, 3, 4)
 
-def _feature_query(name: str, **options) -> None:
-    values = splines.atoms(**options)
 
+def _feature_query(name: str, count: int, kept: tuple[int, ...] | None = None, **options) -> None:
     def run(spark, sf_dir):
-        found = exposure.features(_panel(spark, sf_dir), values)
+        found = exposure.wce_features(_panel(spark, sf_dir), **options)
         return _rounded(found.select("id", "stop", *[(F.col(c) + TIE).alias(c) for c in found.columns[2:]]), 5)
 
     run.__name__ = name
-    columns = ", ".join(f"round(D{k + 1} + {TIE}, 5) + 0.0 AS D{k + 1}" for k in range(values.shape[1]))
-    query(f"WITH {_features_sql(values)} SELECT id, stop, {columns} FROM feat")(run)
+    columns = ", ".join(f"round(D{k + 1} + {TIE}, 5) + 0.0 AS D{k + 1}" for k in range(count))
+    query(f"WITH {oracle.atoms_sql(options['cutoff'], options['nknots'], kept)}, {oracle.features_sql(count, options['cutoff'])} SELECT id, stop, {columns} FROM feat")(run)
 
 
-_feature_query("wce_features", cutoff=CUTOFF, nknots=KNOTS)
-_feature_query("wce_features_right", cutoff=CUTOFF, nknots=KNOTS, constrained="Right")
-_feature_query("wce_features_left", cutoff=CUTOFF, nknots=KNOTS, constrained="left")
-_feature_query("wce_features_3_knots", cutoff=10, nknots=3)
+_feature_query("wce_features", 5, cutoff=CUTOFF, nknots=KNOTS)
+_feature_query("wce_features_right", 3, RIGHT, cutoff=CUTOFF, nknots=KNOTS, constrained="Right")
+_feature_query("wce_features_left", 3, LEFT, cutoff=CUTOFF, nknots=KNOTS, constrained="left")
+_feature_query("wce_features_3_knots", 7, cutoff=10, nknots=3)
 
 
-@query("""WITH src AS (SELECT id, stop AS s, dose FROM panel WHERE dose <> 0)
-    SELECT p.id, p.stop, round(coalesce(sum(s.dose * 7 * exp(-7 * ((p.stop - s.s) * 6.0) / 365) / 365), 0.0), 6) AS wce
-    FROM panel p LEFT JOIN src s ON s.id = p.id AND s.s BETWEEN p.stop - 29 AND p.stop GROUP BY p.id, p.stop""")
-def true_wce_exponential(spark, sf_dir):
-    return _rounded(panels.true_exposure(_panel(spark, sf_dir), "exponential", 30, 6.0))
+#: The published weight functions of a lag in years (u) or in days from 1 (d), in DuckDB's words (fixed values).
+WEIGHTS_SQL = {
+    "exponential": "7 * exp(-7 * u)",
+    "bilinear": "CASE WHEN u <= 50 / 365.0::DOUBLE THEN 1 - u / (50 / 365.0::DOUBLE) ELSE 0 END",
+    "early_peak": "exp(-power((d / 365.0::DOUBLE - 0.04) / 0.05, 2) / 2) / 0.05 / sqrt(2 * pi()) / 365",
+    "inverted_u": "exp(-power((d / 365.0::DOUBLE - 0.2) / 0.06, 2) / 2) / 0.06 / sqrt(2 * pi()) / 365",
+    "constant": "CASE WHEN u >= 0 AND u <= 180 / 365.0::DOUBLE THEN 1 / 180.0::DOUBLE ELSE 0 END",
+}
 
 
-@query("""WITH src AS (SELECT id, stop AS s, dose FROM panel WHERE dose <> 0)
-    SELECT p.id, p.stop, round(coalesce(sum(s.dose * CASE WHEN (p.stop - s.s) * 6.0 <= 50 THEN (1 - (p.stop - s.s) * 6.0 / 50.0) / 25.5 ELSE 0 END), 0.0), 6) AS wce
-    FROM panel p LEFT JOIN src s ON s.id = p.id AND s.s BETWEEN p.stop - 29 AND p.stop GROUP BY p.id, p.stop""")
-def true_wce_bilinear(spark, sf_dir):
-    return _rounded(panels.true_exposure(_panel(spark, sf_dir), "bilinear", 30, 6.0))
+def _weight_query(shape: str) -> None:
+    def run(spark, sf_dir):
+        # days of the panel count as a week each, so that its month covers the functions
+        return _rounded(panels.true_exposure(_panel(spark, sf_dir), shape, 7.0).withColumn("wce", F.col("wce") + TIE))
+
+    run.__name__ = f"true_wce_{shape}"
+    query(f"""WITH src AS (SELECT id, stop AS s, dose FROM panel WHERE dose <> 0),
+        far AS (SELECT p.id, p.stop, s.dose, (p.stop - s.s) * 7.0::DOUBLE / 365 AS u, (p.stop - s.s) * 7.0::DOUBLE + 1 AS d FROM panel p LEFT JOIN src s ON s.id = p.id AND s.s <= p.stop)
+        SELECT id, stop, round(coalesce(sum(dose * ({WEIGHTS_SQL[shape]})), 0.0) + {TIE}, 6) + 0.0 AS wce FROM far GROUP BY id, stop""")(run)
+
+
+for _shape in WEIGHTS_SQL:
+    _weight_query(_shape)
 
 
 # --- aggregations
@@ -252,60 +259,9 @@ def covariate_means(spark, sf_dir):
     return _rounded(_panel(spark, sf_dir).agg(F.count("*").alias("n"), F.sum("event").alias("n_events"), F.avg("sex").alias("mean_sex"), F.avg("age").alias("mean_age")))
 
 
-def _eval_sql(d: int, ties: str, alpha: float, beta: str, source: str) -> str:
-    """One row per row of source (columns i, b1[, b2]): loss, gradient and Hessian over the compacted table g."""
-    x = [f"x{j + 1}" for j in range(d)]
-    lp = " + ".join(f"b{j + 1} * {v}" for j, v in enumerate(x))
-    pairs = [(a, b) for a in range(d) for b in range(a, d)]
-    terms = {"0": "1", **{f"{j + 1}": v for j, v in enumerate(x)}, **{f"{a + 1}{b + 1}": f"{x[a]} * {x[b]}" for a, b in pairs}}
-    s = ", ".join(f"sum(CASE WHEN event = {e} THEN n * exp({lp}) * {t} ELSE 0 END) AS {k}{m}" for e, k in ((0, "a"), (1, "d")) for m, t in terms.items())
-    xs = ", ".join(f"sum(CASE WHEN event = 1 THEN n * {v} ELSE 0 END) AS l{j + 1}" for j, v in enumerate(x))
-    bs = ", ".join(f"b{j + 1}" for j in range(d))
-    c, times, join = ("k / w", "1", "k <= w") if ties == "efron" else ("1.0", "w", "k = 1")
-    ss = ", ".join(f"a{m} + {c} * d{m} AS s{m}" for m in terms)
-    g = ", ".join(f"sum({times} * s{j + 1} / s0 - CASE WHEN k = 1 THEN l{j + 1} ELSE 0 END) + 2 * {alpha} * b{j + 1} AS g{j + 1}" for j in range(d))
-    h = ", ".join(f"sum({times} * (s{a + 1}{b + 1} / s0 - s{a + 1} * s{b + 1} / (s0 * s0))) + {2 * alpha if a == b else 0} AS h{a + 1}{b + 1}" for a, b in pairs)
-    ridge = " + ".join(f"b{j + 1} * b{j + 1}" for j in range(d))
-    return f"""SELECT i, {bs}, sum({times} * ln(s0) - CASE WHEN k = 1 THEN l ELSE 0 END) + {alpha} * ({ridge}) AS f, {g}, {h}
-        FROM (SELECT i, {bs}, k, w, l, {", ".join(f"l{j + 1}" for j in range(d))}, {ss}
-            FROM (SELECT i, {bs}, stop, {s}, sum(CASE WHEN event = 1 THEN n ELSE 0 END) AS w, sum(CASE WHEN event = 1 THEN n * ({lp}) ELSE 0 END) AS l, {xs}
-                FROM {source}, g GROUP BY i, {bs}, stop) q, generate_series(1, (SELECT max(n_dead) FROM top)) AS ks(k) WHERE {join}) r
-        GROUP BY i, {bs}"""
-
-
-def _compact_sql(covariates: list[str], table: str = "panel") -> str:
-    xs = ", ".join(f"{c} AS x{j + 1}" for j, c in enumerate(covariates))
-    by = ", ".join(covariates)
-    return f"""top AS (SELECT CAST(max(c) AS BIGINT) AS n_dead FROM (SELECT count(*) AS c FROM {table} WHERE event = 1 GROUP BY stop) q),
-    g AS MATERIALIZED (SELECT stop, event, {xs}, CAST(count(*) AS DOUBLE) AS n FROM {table} WHERE stop IN (SELECT stop FROM {table} WHERE event = 1) GROUP BY stop, event, {by})"""
-
-
-def _newton_sql(covariates: list[str], ties: str = "efron", alpha: float = 0.0, rounds: int = 8, table: str = "panel") -> str:
-    d = len(covariates)
-    zero = ", ".join(f"CAST(0 AS DOUBLE) AS b{j + 1}" for j in range(d))
-    if d == 1:
-        step = "b1 - g1 / h11 AS b1"
-    else:
-        det = "(h11 * h22 - h12 * h12)"
-        step = f"b1 - (h22 * g1 - h12 * g2) / {det} AS b1, b2 - (h11 * g2 - h12 * g1) / {det} AS b2"
-    return f"""{_compact_sql(covariates, table)},
-    it AS ({_eval_sql(d, ties, alpha, "", f"(SELECT 0 AS i, {zero}) z")}
-        UNION ALL {_eval_sql(d, ties, alpha, "", f"(SELECT i + 1 AS i, {step} FROM it WHERE i < {rounds}) z")})"""
-
-
 def _fit_rows_sql(covariates: list[str], rounds: int = 8) -> str:
     """term, coef, se, loglik_init, loglik, score of the last iteration."""
-    last, first = f"(SELECT * FROM it WHERE i = {rounds}) l", "(SELECT * FROM it WHERE i = 0) z"
-    if len(covariates) == 1:
-        score, ses = "z.g1 * z.g1 / z.h11", ["sqrt(1 / l.h11)"]
-    else:
-        score = "(z.h22 * z.g1 * z.g1 - 2 * z.h12 * z.g1 * z.g2 + z.h11 * z.g2 * z.g2) / (z.h11 * z.h22 - z.h12 * z.h12)"
-        det = "(l.h11 * l.h22 - l.h12 * l.h12)"
-        ses = [f"sqrt(l.h22 / {det})", f"sqrt(l.h11 / {det})"]
-    return " UNION ALL ".join(
-        f"SELECT '{c}' AS term, round(l.b{j + 1}, 6) AS coef, round({ses[j]}, 6) AS se, round(-z.f, 5) AS loglik_init, round(-l.f, 5) AS loglik, round({score}, 5) AS score FROM {last}, {first}"
-        for j, c in enumerate(covariates)
-    )
+    return f"SELECT term, round(coef, 6) AS coef, round(se, 6) AS se, round(loglik_init, 5) AS loglik_init, round(loglik, 5) AS loglik, round(score, 5) AS score FROM ({oracle.fits_sql(covariates, rounds)}) q"
 
 
 def _fit_rows(spark: SparkSession, model: cox.CoxModel) -> DataFrame:
@@ -318,7 +274,7 @@ def _fit_query(name: str, covariates: list[str], ties: str = "efron", alpha: flo
         return _fit_rows(spark, cox.cox_fit(_panel(spark, sf_dir), covariates, ties=ties, alpha=alpha, **options))
 
     run.__name__ = name
-    query(f"WITH {_newton_sql(covariates, ties, alpha)} {_fit_rows_sql(covariates)}")(run)
+    query(f"WITH {oracle.newton_sql(covariates, ties, alpha)} {_fit_rows_sql(covariates)}")(run)
 
 
 _fit_query("cox_efron_1", ["sex"])
@@ -330,11 +286,41 @@ _fit_query("cox_doscale", ["sex", "age"], doscale=True)
 _fit_query("cox_distributed", ["sex", "age"], driver_rows=0)
 
 
-@query(f"WITH {_newton_sql(['sex', 'age'])} {_fit_rows_sql(['sex', 'age'])}")
+@query(f"WITH {oracle.newton_sql(['sex', 'age'])} {_fit_rows_sql(['sex', 'age'])}")
 def cox_formula(spark, sf_dir):
     return _fit_rows(spark, cox.cox("Surv(start, stop, event) ~ sex + age", _panel(spark, sf_dir)))
 
 
+#: The weekly intervals once for each death time that they cover, as rows that stop there.
+COVERED_SQL = WEEKLY_SQL + ", dt AS (SELECT DISTINCT stop AS t FROM weekly WHERE event = 1), covered AS (SELECT t AS stop, CASE WHEN event = 1 AND stop = t THEN 1 ELSE 0 END AS event, sex, age FROM weekly JOIN dt ON start < t AND t <= stop)"
+#: One row a subject, with follow-up and status, and the same for each death time that it covers.
+ONCE_SQL = "once AS (SELECT id, max(stop) AS time, max(event) AS status, max(sex) AS sex, max(age) AS age FROM panel GROUP BY id)"
+ONCE_COVERED_SQL = ONCE_SQL + ", dt AS (SELECT DISTINCT time AS t FROM once WHERE status = 1), covered AS (SELECT t AS stop, CASE WHEN status = 1 AND time = t THEN 1 ELSE 0 END AS event, sex, age FROM once JOIN dt ON t <= time)"
+
+
+@query(f"WITH {COVERED_SQL}, {oracle.newton_sql(['sex', 'age'], table='covered')} {_fit_rows_sql(['sex', 'age'])}")
+def cox_interval_unsplit(spark, sf_dir):
+    return _fit_rows(spark, cox.cox("Surv(start, stop, event) ~ sex + age", _weekly(_panel(spark, sf_dir)), risk_set="interval"))
+
+
+def _once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Time, status and covariates of each subject, without the subject: many rows are equal."""
+    rows = _panel(spark, sf_dir).groupBy("id").agg(*[F.max(c).alias(n) for c, n in (("stop", "time"), ("event", "status"), ("sex", "sex"), ("age", "age"))])
+    return rows.select("time", "status", "sex", "age")
+
+
+@query(f"WITH {ONCE_COVERED_SQL}, {oracle.newton_sql(['sex'], table='covered')} {_fit_rows_sql(['sex'])}")
+def cox_right_censored(spark, sf_dir):
+    return _fit_rows(spark, cox.cox("Surv(time, status) ~ sex", _once(spark, sf_dir)))
+
+
+@query(f"WITH {ONCE_COVERED_SQL}, {oracle.newton_sql(['sex'], 'breslow', table='covered', weight='1')} {_fit_rows_sql(['sex'])}")
+def cox_weighted_rows(spark, sf_dir):
+    # equal rows as one with their number as weight
+    rows = _once(spark, sf_dir).groupBy("time", "status", "sex").agg(F.count("*").alias("w"))
+    return _fit_rows(spark, cox.cox("Surv(time, status) ~ sex", rows, ties="breslow", weight="w"))
+
+
 @query("SELECT 'sex' AS term, 0.0::DOUBLE AS coef UNION ALL SELECT 'age', 0.0::DOUBLE")
 def cox_one_iteration(spark, sf_dir):
     m = cox.cox_fit(_panel(spark, sf_dir), ["sex", "age"], maxiter=1)
@@ -350,7 +336,7 @@ def _likelihood_query(name: str, ties: str) -> None:
     run.__name__ = name
     columns = ", ".join(f"round({c}, 4) + 0.0 AS {c}" for c in ("f", "g1", "g2", "h11", "h12", "h22"))
     at = f"(SELECT 0 AS i, CAST({BETA[0]} AS DOUBLE) AS b1, CAST({BETA[1]} AS DOUBLE) AS b2) z"
-    query(f"WITH {_compact_sql(['sex', 'age'])} SELECT {columns} FROM ({_eval_sql(2, ties, 0.0, '', at)}) q")(run)
+    query(f"WITH {oracle.compact_sql(['sex', 'age'])} SELECT {columns} FROM ({oracle.eval_sql(2, ties, 0.0, at)}) q")(run)
 
 
 _likelihood_query("negloglik_efron", "efron")
@@ -416,6 +402,14 @@ def martingale_right_censored(spark, sf_dir):
     return _rounded(riskset.martingale(one, start=None, ties="breslow"))
 
 
+@query(f"""WITH {ONCE_SQL}, one AS (SELECT time, status, exp({BETA[0]} * sex) AS risk FROM once),
+    hz AS (SELECT e.time AS t, count(*) * 1.0 / (SELECT sum(risk) FROM one WHERE one.time >= e.time) AS h FROM one e WHERE status = 1 GROUP BY e.time)
+    SELECT time, status, round(status - risk * coalesce((SELECT sum(h) FROM hz WHERE t <= time), 0), 6) + 0.0 AS resid FROM one""")
+def martingale_repeated_rows(spark, sf_dir):
+    rows = _once(spark, sf_dir).select("time", "status", F.exp(riskset.predictor(["sex"], BETA[:1])).alias("risk"))
+    return _rounded(riskset.martingale(rows, start=None, stop="time", event="status", ties="breslow", keys=["time", "status"]))
+
+
 @query(f"""WITH {RISK_SQL}, s AS (SELECT start, stop, event, round(risk, 9) AS x, id FROM r),
     p AS (SELECT a.x AS x1, b.x AS x FROM s a JOIN s b ON b.start < a.stop AND a.stop <= b.stop AND NOT (b.event = 1 AND b.stop = a.stop) WHERE a.event = 1),
     c AS (SELECT count(*) FILTER (x1 > x) AS concordant, count(*) FILTER (x1 < x) AS discordant, count(*) FILTER (x1 = x) AS tied_x FROM p),
@@ -444,6 +438,13 @@ def interval_check(spark, sf_dir):
     return panel.interval_check(days.select("id", (F.col("day") - 1).alias("start"), F.col("day").alias("stop")))
 
 
+@query("""WITH u AS (SELECT id, day, min(event_type) AS before, max(event_type) AS after FROM ev GROUP BY id, day), l AS (SELECT day - 1 - lag(day) OVER w AS gap, before <> lag(after) OVER w AS other FROM u WINDOW w AS (PARTITION BY id ORDER BY day))
+    SELECT count(*) FILTER (gap < 0) AS overlaps, count(*) FILTER (gap > 0) AS gaps, count(*) FILTER (gap > 0 AND other) AS jumps, count(*) FILTER (gap = 0 AND other) AS teleports FROM l""", EVENTS_SQL)
+def state_check(spark, sf_dir):
+    days = panels.events(spark, sf_dir).groupBy("id", "day").agg(F.min("event_type").alias("before"), F.max("event_type").alias("after"))
+    return panel.state_check(days.select("id", (F.col("day") - 1).alias("start"), F.col("day").alias("stop"), "before", "after"), "id", "start", "stop", "before", "after")
+
+
 STATES_SQL = "st AS (SELECT id, day, min(event_type) AS state FROM ev GROUP BY id, day)"
 
 
@@ -470,36 +471,26 @@ def last_row_per_id(spark, sf_dir):
 
 @query(f"WITH {DEATHS_SQL} SELECT t AS stop, n AS deaths, dense_rank() OVER (ORDER BY t) AS grp, CAST(sum(n) OVER (ORDER BY t ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS BIGINT) AS later FROM deaths")
 def run_length_and_suffix_sum(spark, sf_dir):
-    # over distinct times only
-    by = Window.orderBy("stop")
-    return panel.death_times(_panel(spark, sf_dir)).select("stop", "deaths", F.dense_rank().over(by).cast("long").alias("grp"), F.sum("deaths").over(by.rowsBetween(0, Window.unboundedFollowing)).alias("later"))
+    deaths = ordered.runs(panel.death_times(_panel(spark, sf_dir)), "stop", "grp")
+    return ordered.suffix_sums(deaths, "stop", "deaths", "later")
 
 
 @query("""WITH d AS (SELECT id, sum(dose) AS dose FROM panel GROUP BY id)
     SELECT id, round(cume_dist() OVER (PARTITION BY id % 4 ORDER BY round(dose, 6)), 6) AS ecdf, rank() OVER (PARTITION BY id % 4 ORDER BY round(dose, 6)) AS rank FROM d""")
 def ecdf_and_ranks(spark, sf_dir):
-    d = _panel(spark, sf_dir).groupBy("id").agg(F.round(F.sum("dose"), 6).alias("dose"))
-    by = Window.partitionBy(F.col("id") % 4).orderBy("dose")
-    return _rounded(d.select("id", F.cume_dist().over(by).alias("ecdf"), F.rank().over(by).cast("long").alias("rank")))
+    d = _panel(spark, sf_dir).groupBy("id").agg(F.round(F.sum("dose"), 6).alias("dose")).withColumn("part", F.col("id") % 4)
+    return _rounded(ordered.distribution(d, "dose", ["part"]).select("id", "ecdf", "rank"))
 
 
 @query("SELECT id, stop, CAST(coalesce(lag(dose, 1) OVER w, 0) > 0 AND coalesce(lag(dose, 2) OVER w, 0) > 0 AS INTEGER) AS danger FROM panel WINDOW w AS (PARTITION BY id ORDER BY stop)")
 def lagged_danger(spark, sf_dir):
-    by = Window.partitionBy("id").orderBy("stop")
-    return _panel(spark, sf_dir).select("id", "stop", ((F.lag("dose", 1, 0.0).over(by) > 0) & (F.lag("dose", 2, 0.0).over(by) > 0)).cast("int").alias("danger"))
+    return _panel(spark, sf_dir).select("id", "stop", ordered.preceded_by("id", "stop", F.col("dose") > 0, 2).cast("int").alias("danger"))
 
 
 @query("""WITH q AS (SELECT id, stop, rank() OVER (PARTITION BY stop ORDER BY age) + (count(*) OVER (PARTITION BY stop, age) - 1) / 2.0 AS r, count(*) OVER (PARTITION BY stop) AS n FROM panel)
     SELECT id, stop, round((r - 0.5) / (0.5 + n - r), 6) AS obrien FROM q""")
 def obrien_transform(spark, sf_dir):
-    # the ranks of a death day are those of its distinct ages, counted first
-    df = _panel(spark, sf_dir)
-    ages = df.groupBy("stop", "age").agg(F.count("*").alias("m"))
-    by = Window.partitionBy("stop")
-    below = F.coalesce(F.sum("m").over(by.orderBy("age").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    r = below + 1 + (F.col("m") - 1) / 2
-    ranked = ages.select("stop", "age", ((r - 0.5) / (0.5 + F.sum("m").over(by) - r)).alias("obrien"))
-    return _rounded(df.select("id", "stop", "age").join(ranked, ["stop", "age"]).select("id", "stop", "obrien"))
+    return _rounded(ordered.logit_ranks(_panel(spark, sf_dir).select("id", "stop", "age"), "stop", "age").select("id", "stop", "obrien"))
 
 
 @query("SELECT stop, event, count(*) AS n FROM panel GROUP BY stop, event ORDER BY stop, event")
@@ -514,59 +505,66 @@ def unpivot_covariates(spark, sf_dir):
 
 # --- resampling
 
-HASH_SQL = "(((((j * 48271 + b * 69621 + 1) % 2147483647) * ((j * 48271 + b * 69621 + 1) % 2147483647)) % 2147483647 + ((j * 48271 + b * 69621 + 1) % 2147483647) * 16807 + 12345) % 2147483647)"
-
-
-def _drawn_sql(count: str, replicates: int) -> str:
-    h2 = HASH_SQL
-    h3 = f"(({h2} * {h2}) % 2147483647 + {h2} * 48271 + b) % 2147483647"
-    return f"""draws AS (SELECT b, CASE WHEN b = 0 THEN j ELSE {h3} % ({count}) END AS i FROM generate_series(0, {replicates - 1}) bs(b), (SELECT unnest(range(({count})::BIGINT)) AS j) js),
-    weights AS (SELECT b, i, count(*) AS w FROM draws GROUP BY b, i)"""
-
-
-@query(f"WITH f AS (SELECT row_number() OVER (ORDER BY id, stop) - 1 AS i, id, stop FROM panel WHERE stop IN (SELECT stop FROM panel WHERE event = 1)), {_drawn_sql('SELECT count(*) FROM f', 3)} SELECT id, stop, b, w FROM f JOIN weights USING (i)")
+@query(f"WITH f AS (SELECT row_number() OVER (ORDER BY id, stop) - 1 AS i, id, stop FROM panel WHERE stop IN (SELECT stop FROM panel WHERE event = 1)), {oracle.drawn_sql('SELECT count(*) FROM f', 3)} SELECT id, stop, b, w FROM f JOIN weights USING (i)")
 def bootstrap_weights_row(spark, sf_dir):
     rows = panel.at_death_times(_panel(spark, sf_dir)).select("id", "stop")
     return resample.row_bootstrap(rows, 3).select("id", "stop", "b", "w")
 
 
-@query(f"WITH f AS (SELECT row_number() OVER (ORDER BY id) - 1 AS i, id FROM subj), {_drawn_sql('SELECT count(*) FROM f', 3)} SELECT p.id, stop, b, w FROM panel p JOIN f USING (id) JOIN weights USING (i)")
+@query(f"WITH f AS (SELECT row_number() OVER (ORDER BY id) - 1 AS i, id FROM subj), {oracle.drawn_sql('SELECT count(*) FROM f', 3)} SELECT p.id, stop, b, w FROM panel p JOIN f USING (id) JOIN weights USING (i)")
 def bootstrap_weights_subject(spark, sf_dir):
     return resample.subject_bootstrap(_panel(spark, sf_dir).select("id", "stop"), 3).select("id", "stop", "b", "w")
 
 
-@query(f"WITH f AS (SELECT row_number() OVER (ORDER BY id) - 1 AS i, id FROM subj), {_drawn_sql('SELECT count(*) FROM f', 3)} SELECT id, b, copy FROM f JOIN weights USING (i), generate_series(1, 100) c(copy) WHERE copy <= w")
+@query(f"WITH f AS (SELECT row_number() OVER (ORDER BY id) - 1 AS i, id FROM subj), {oracle.drawn_sql('SELECT count(*) FROM f', 3)} SELECT id, b, copy FROM f JOIN weights USING (i), generate_series(1, 100) c(copy) WHERE copy <= w")
 def repeated_subjects(spark, sf_dir):
     ids = _panel(spark, sf_dir).select("id").distinct()
     return resample.repeat_rows(resample.subject_bootstrap(ids, 3)).select("id", "b", F.col("copy").cast("long").alias("copy"))
 
 
-@query(f"""WITH f AS (SELECT row_number() OVER (ORDER BY id) - 1 AS j, id FROM subj), k AS (SELECT b AS p, j, id, row_number() OVER (PARTITION BY b ORDER BY CASE WHEN b = 0 THEN j ELSE {'((' + HASH_SQL + ' * ' + HASH_SQL + ') % 2147483647 + ' + HASH_SQL + ' * 48271 + b) % 2147483647'} END, j) - 1 AS r FROM f, generate_series(0, 4) bs(b))
-    SELECT l.p, l.id, o.id AS other FROM k l JOIN k o ON l.p = o.p AND l.j = o.r""")
+@query(f"WITH {oracle.permuted_sql('subj', 4)} SELECT p, id, other FROM perm")
 def permutation_table(spark, sf_dir):
     return resample.permutations(_panel(spark, sf_dir), 4).select(F.col("p").cast("long").alias("p"), "id", "other")
 
 
-@query()
+ROWS_SQL = "f AS (SELECT row_number() OVER (ORDER BY id, stop) - 1 AS i, * FROM panel WHERE stop IN (SELECT stop FROM panel WHERE event = 1))"
+SUBJECTS_SQL = "fs AS (SELECT row_number() OVER (ORDER BY id) - 1 AS i, id FROM (SELECT DISTINCT id FROM panel WHERE stop IN (SELECT stop FROM panel WHERE event = 1)) q)"
+
+
+def _replicates_sql(count: int, unit: str = "row", covariates: tuple[str, ...] = ("sex", "age"), rounds: int = 8) -> str:
+    """Tables up to fits (b, term, coef, se, loglik, ...) of replicates of the panel."""
+    names = ", ".join(covariates)
+    if unit == "row":
+        drawn = f"{ROWS_SQL}, {oracle.drawn_sql('SELECT count(*) FROM f', count)}, bt AS (SELECT b, stop, event, {names}, w FROM f JOIN weights USING (i))"
+    else:
+        drawn = f"{SUBJECTS_SQL}, {oracle.drawn_sql('SELECT count(*) FROM fs', count)}, bt AS (SELECT b, stop, event, {names}, w FROM panel JOIN fs USING (id) JOIN weights USING (i))"
+    return f"{drawn}, {oracle.newton_sql(list(covariates), table='bt', keys=('b',), weight='w', rounds=rounds)}, fits AS ({oracle.fits_sql(list(covariates), rounds, ('b',))})"
+
+
+@query(f"WITH {_replicates_sql(40)} SELECT term, round(quantile_cont(coef, 0.025), 6) AS lo, round(quantile_cont(coef, 0.975), 6) AS hi FROM fits GROUP BY term")
 def cox_bootstrap_ci(spark, sf_dir):
-    fits = replicates.bootstrap_fits(_panel(spark, sf_dir), ["sex", "age"], 40)
-    return _rounded(replicates.quantiles(fits, ["term"], "coef"))
+    return _rounded(cox.cox_bootstrap("Surv(start, stop, event) ~ sex + age", _panel(spark, sf_dir), 40).confint())
 
 
-@query()
+@query(f"WITH {_replicates_sql(20, 'subject')} SELECT b, term, round(coef, 6) AS coef, round(se, 6) AS se, round(loglik, 6) AS loglik FROM fits")
 def cox_bootstrap_subjects(spark, sf_dir):
     return _rounded(replicates.bootstrap_fits(_panel(spark, sf_dir), ["sex", "age"], 20, batchsize=5, unit="subject"))
 
 
+@query(f"WITH {_replicates_sql(6)} SELECT b, term, round(coef, 6) AS coef, CASE WHEN b = 0 THEN round(se, 6) END AS se, CASE WHEN b = 0 THEN round(loglik, 6) END AS loglik FROM fits")
+def cox_bootstrap_distributed(spark, sf_dir):
+    return _rounded(replicates.bootstrap_fits(_panel(spark, sf_dir), ["sex", "age"], 6, all_results=False, task_values=0))
+
+
 # --- exposure models
 
 
-@query(f"WITH {_atoms_sql(splines.atoms(CUTOFF, KNOTS))} SELECT lag, k, round(value, 8) AS value FROM atoms", EVENTS_SQL)
+@query(f"WITH {oracle.atoms_sql(CUTOFF, KNOTS)} SELECT lag, k, round(value, 8) + 0.0 AS value FROM atoms", EVENTS_SQL)
 def spline_atoms(spark, sf_dir):
     return _rounded(splines.atoms_table(spark, splines.atoms(CUTOFF, KNOTS)), 8)
 
 
-@query(f"WITH {_atoms_sql(splines.atoms(90, 1))} SELECT k, round(sum(value), 6) AS area FROM atoms GROUP BY k", EVENTS_SQL)
+@query(f"WITH {oracle.atoms_sql(90, 1)} SELECT k, round(sum(value), 6) AS area FROM atoms GROUP BY k", EVENTS_SQL)
 def spline_areas(spark, sf_dir):
     return _rounded(splines.atoms_table(spark, splines.atoms(90, 1)).groupBy("k").agg(F.sum("value").alias("area")))
 
@@ -580,31 +578,68 @@ def _wce(spark: SparkSession, sf_dir: str, **options) -> wce.WceModel:
     return wce.wce_fit(_panel(spark, sf_dir), ["sex", "age"], **({"cutoff": CUTOFF, "nknots": KNOTS} | options))
 
 
-def _wce_rows(name: str, **options) -> None:
+#: Newton steps of the exposure models' SQL.
+WCE_ROUNDS = 12
+
+
+def _wce_sql(count: int, cutoff: int = CUTOFF, nknots: int = KNOTS, kept: tuple[int, ...] | None = None, tail: str = "") -> str:
+    """Tables atoms, feat, wp (outcome, covariates, features), it and fits of an exposure model; tail keeps names apart."""
+    names = ["sex", "age", *[f"D{k + 1}" for k in range(count)]]
+    return f"""{oracle.atoms_sql(cutoff, nknots, kept)}, {oracle.features_sql(count, cutoff)}, wp AS MATERIALIZED (SELECT p.id, p.stop, p.event, p.sex, p.age, feat.* EXCLUDE (id, stop) FROM panel p JOIN feat USING (id, stop)),
+        {oracle.newton_sql(names, table='wp', rounds=WCE_ROUNDS)}, fits AS MATERIALIZED ({oracle.fits_sql(names, WCE_ROUNDS)})"""
+
+
+def _wce_rows(name: str, count: int, kept: tuple[int, ...] | None = None, **options) -> None:
     def run(spark, sf_dir):
         m = _wce(spark, sf_dir, **options)
         rows = [(t, float(b), float(s), m.cox.loglik, m.information("bic"), m.information("aic")) for t, b, s in zip(m.cox.covariates, m.cox.coef, m.cox.se)]
         return _rounded(spark.createDataFrame(rows, "term string, coef double, se double, loglik double, bic double, aic double"), 5)
 
     run.__name__ = name
-    query()(run)
+    p = count + 2
+    query(f"""WITH {_wce_sql(count, options.get('cutoff', CUTOFF), options.get('nknots', KNOTS), kept)}
+        SELECT term, round(coef, 5) AS coef, round(se, 5) AS se, round(loglik, 5) AS loglik, round({p} * ln((SELECT sum(event) FROM panel)) - 2 * loglik, 5) AS bic, round({2 * p} - 2 * loglik, 5) AS aic FROM fits""")(run)
 
 
-_wce_rows("wce_fit")
-_wce_rows("wce_fit_right", constrained="Right")
-_wce_rows("wce_fit_left", constrained="Left")
-_wce_rows("wce_fit_2_knots", cutoff=10, nknots=2)
+_wce_rows("wce_fit", 5)
+_wce_rows("wce_fit_right", 3, RIGHT, constrained="Right")
+_wce_rows("wce_fit_left", 3, LEFT, constrained="Left")
+_wce_rows("wce_fit_2_knots", 6, cutoff=10, nknots=2)
 
+#: Of the unconstrained model: covariance of spline coefficients (i, j, v), from the inverse information.
+VCOV_SQL = "inv AS MATERIALIZED (SELECT * FROM " + oracle.solved_sql("(SELECT *, " + ", ".join(f"CAST({int(i == j)} AS DOUBLE) AS u{j}_{i}" for j in range(1, 8) for i in range(1, 8)) + f" FROM it WHERE i = {WCE_ROUNDS})", 7, [f"u{j}_" for j in range(1, 8)], [f"b{j}" for j in range(1, 8)]) + " s), vc AS (" + " UNION ALL ".join(f"SELECT {j - 2} AS i, {i - 2} AS j, u{j}_{i} AS v FROM inv" for j in range(3, 8) for i in range(3, 8)) + ")"
+COEF_SQL = "co AS (SELECT CAST(substr(term, 2) AS INTEGER) AS k, coef FROM fits WHERE term LIKE 'D%')"
+Z95 = 1.959963984540054
 
-@query()
+
+@query(f"""WITH {_wce_sql(5)}, {VCOV_SQL}, {COEF_SQL}, w AS (SELECT lag, sum(value * coef) AS weight FROM atoms JOIN co USING (k) GROUP BY lag),
+    sd AS (SELECT a.lag, sqrt(sum(a.value * v * b.value)) AS sd FROM atoms a JOIN vc ON vc.i = a.k JOIN atoms b ON b.k = vc.j AND b.lag = a.lag GROUP BY a.lag)
+    SELECT lag, round(weight, 5) AS weight, round(weight - {Z95} * sd, 5) AS lo, round(weight + {Z95} * sd, 5) AS hi FROM w JOIN sd USING (lag)""")
 def wce_curve(spark, sf_dir):
     return _rounded(_wce(spark, sf_dir).curve_table(spark), 5)
 
 
-@query()
+TOTAL_SQL = "areas AS (SELECT k, sum(value) AS a FROM atoms GROUP BY k), tr AS (SELECT sum(a * coef) AS risk FROM areas JOIN co USING (k)), ts AS (SELECT sqrt(sum(x.a * v * y.a)) AS sd FROM areas x JOIN vc ON vc.i = x.k JOIN areas y ON y.k = vc.j)"
+
+
+@query(f"""WITH {_wce_sql(5)}, {VCOV_SQL}, {COEF_SQL}, {TOTAL_SQL}
+    SELECT round(exp(risk), 5) AS hr, round(exp(risk - {Z95} * sd), 5) AS lo, round(exp(risk + {Z95} * sd), 5) AS hi, round(exp(risk) - {Z95} * sd, 5) AS plain_lo, round(exp(risk) + {Z95} * sd, 5) AS plain_hi FROM tr, ts""")
 def wce_hazard_ratio(spark, sf_dir):
     hr = _wce(spark, sf_dir).hazard_ratio([1.0] * CUTOFF, [0.0] * CUTOFF)
-    return _rounded(spark.createDataFrame([(hr["hr"], hr["lo"], hr["hi"])], "hr double, lo double, hi double"))
+    return _rounded(spark.createDataFrame([tuple(hr.values())], ", ".join(f"{k} double" for k in hr)), 5)
+
+
+@query(f"""WITH {_wce_sql(5)}, {VCOV_SQL}, {COEF_SQL}, {TOTAL_SQL} SELECT round(risk, 5) AS risk, round(sd, 5) AS sd, round(risk - {Z95} * sd, 5) AS lo, round(risk + {Z95} * sd, 5) AS hi FROM tr, ts""")
+def wce_total_risk(spark, sf_dir):
+    t = _wce(spark, sf_dir).total_risk()
+    return _rounded(spark.createDataFrame([(t["risk"], t["sd"], t["risk"] - Z95 * t["sd"], t["risk"] + Z95 * t["sd"])], "risk double, sd double, lo double, hi double"), 5)
+
+
+@query(f"""WITH {_wce_sql(5)}, {VCOV_SQL}, {COEF_SQL}, {TOTAL_SQL}, va AS (SELECT vc.i AS k, sum(v * a) AS va FROM vc JOIN areas ON areas.k = vc.j GROUP BY vc.i)
+    SELECT k, round({Z95} * va / sd, 5) AS band FROM va, ts""")
+def wce_risk_band(spark, sf_dir):
+    band = _wce(spark, sf_dir).risk_band()
+    return _rounded(spark.createDataFrame([(k + 1, float(b)) for k, b in enumerate(band)], "k int, band double"), 5)
 
 
 @query()
@@ -613,48 +648,62 @@ def wce_knot_selection(spark, sf_dir):
     return _rounded(spark.createDataFrame([(k, v, k == best.nknots) for k, v in values.items()], "nknots int, bic double, chosen boolean"), 4)
 
 
-def _bootstrapped(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, np.ndarray]:
+def _bootstrapped(spark: SparkSession, sf_dir: str) -> wce.WceBootstrap:
     """Replicates of the right-constrained exposure model."""
-    values = splines.atoms(CUTOFF, KNOTS, constrained="Right")
-    df = _panel(spark, sf_dir)
-    rows = df.select("id", "stop", "event", "sex", "age").join(exposure.features(df, values), ["id", "stop"])
-    names = [f"D{k + 1}" for k in range(values.shape[1])]
-    return replicates.bootstrap_fits(rows, ["sex", "age", *names], 20), values
+    return wce.wce_bootstrap(_panel(spark, sf_dir), ["sex", "age"], CUTOFF, 20, nknots=KNOTS, constrained="Right")
 
 
-@query()
-def hr_bootstrap_ci(spark, sf_dir):
-    fits, values = _bootstrapped(spark, sf_dir)
-    log = replicates.total_risk(fits, {f"D{k + 1}": float(a) for k, a in enumerate(values.sum(0))}, ["b"])
-    return _rounded(replicates.quantiles(log.select(F.lit("ever against never").alias("contrast"), F.exp("risk").alias("hr")), ["contrast"], "hr"), 5)
+BOOTSTRAPPED_SQL = f"""{oracle.atoms_sql(CUTOFF, KNOTS, RIGHT)}, {oracle.features_sql(3, CUTOFF)}, wp AS MATERIALIZED (SELECT p.id, p.stop, p.event, p.sex, p.age, D1, D2, D3 FROM panel p JOIN feat USING (id, stop)),
+    {_replicates_sql(20, covariates=("sex", "age", "D1", "D2", "D3"), rounds=WCE_ROUNDS).replace("FROM panel WHERE stop IN (SELECT stop FROM panel", "FROM wp WHERE stop IN (SELECT stop FROM wp")}, {COEF_SQL.replace("coef FROM", "coef, b FROM")}"""
 
 
-@query()
-def wce_total_risk(spark, sf_dir):
-    t = _wce(spark, sf_dir).total_risk()
-    return _rounded(spark.createDataFrame([(t["risk"], t["sd"], t["risk"] - 1.959964 * t["sd"], t["risk"] + 1.959964 * t["sd"])], "risk double, sd double, lo double, hi double"), 5)
+@query(f"""WITH {BOOTSTRAPPED_SQL}, hr AS (SELECT b, exp(sum(value * coef)) AS hr FROM atoms JOIN co USING (k) GROUP BY b)
+    SELECT 'exposed against reference' AS contrast, round(quantile_cont(hr, 0.025), 5) AS lo, round(quantile_cont(hr, 0.975), 5) AS hi FROM hr""")
+def hr_bootstrap_ci(spark, sf_dir):
+    return _rounded(_bootstrapped(spark, sf_dir).hazard_ratio([1.0] * CUTOFF, [0.0] * CUTOFF), 5)
 
 
-@query()
+@query(f"""WITH {BOOTSTRAPPED_SQL}, w AS (SELECT b, lag, sum(value * coef) AS weight FROM atoms JOIN co USING (k) GROUP BY b, lag)
+    SELECT lag, round(quantile_cont(weight, 0.025), 5) AS lo, round(quantile_cont(weight, 0.975), 5) AS hi FROM w GROUP BY lag""")
 def wce_bootstrap_curve(spark, sf_dir):
-    fits, values = _bootstrapped(spark, sf_dir)
-    # a row for each lag and spline, both few
-    atoms = splines.atoms_table(spark, values).withColumn("term", F.concat(F.lit("D"), "k"))
-    curve = fits.join(F.broadcast(atoms), "term").groupBy("b", "lag").agg(F.sum(F.col("coef") * F.col("value")).alias("weight"))
-    return _rounded(replicates.quantiles(curve, ["lag"], "weight"), 5)
+    return _rounded(_bootstrapped(spark, sf_dir).curve(), 5)
 
 
-@query()
+PAIR_SQL = f"{oracle.newton_sql(['sex', 'age'])}, fits AS MATERIALIZED ({oracle.fits_sql(['sex', 'age'])})"
+
+
+@query(f"""WITH {PAIR_SQL}, z AS (SELECT term, coef, se, coef / se AS z FROM fits), p AS ({oracle.normal_two_sided_sql('z', 'z', 'term, coef, se, z')})
+    SELECT term, round(coef, 5) AS coef, round(exp(coef), 5) AS exp_coef, round(exp(-coef), 5) AS exp_minus_coef, round(se, 5) AS se, round(z, 5) AS z, round(p, 5) AS p,
+    round(coef - {Z95} * se, 5) AS coef_lo, round(coef + {Z95} * se, 5) AS coef_hi, round(exp(coef - {Z95} * se), 5) AS lo, round(exp(coef + {Z95} * se), 5) AS hi FROM p""")
 def cox_summary(spark, sf_dir):
     return _rounded(cox.cox_fit(_panel(spark, sf_dir), ["sex", "age"]).summary(spark), 5)
 
 
-@query()
+@query(f"WITH {PAIR_SQL} SELECT term, round(coef - 1.6448536269514722 * se, 5) AS lo, round(coef + 1.6448536269514722 * se, 5) AS hi FROM fits")
+def cox_confint(spark, sf_dir):
+    return _rounded(cox.cox_fit(_panel(spark, sf_dir), ["sex", "age"]).confint(spark, ["age", 1], 0.9), 5)
+
+
+@query(f"""WITH {PAIR_SQL}, n AS (SELECT count(*) AS n FROM panel), t AS (SELECT 2 * (loglik - loglik_init) AS lr, score, loglik_init, n FROM fits, n WHERE term = 'sex'),
+    w AS (SELECT b1 * b1 * h11 + 2 * b1 * b2 * h12 + b2 * b2 * h22 AS wald FROM it WHERE i = 8), a AS (SELECT * FROM t, w)
+    SELECT name, round(value, 5) AS value FROM (SELECT 'df' AS name, 2.0::DOUBLE AS value UNION ALL SELECT 'lr', lr FROM a UNION ALL SELECT 'lr_p', exp(-lr / 2) FROM a UNION ALL SELECT 'wald', wald FROM a UNION ALL SELECT 'wald_p', exp(-wald / 2) FROM a
+    UNION ALL SELECT 'score', score FROM a UNION ALL SELECT 'score_p', exp(-score / 2) FROM a UNION ALL SELECT 'rsq', 1 - exp(-lr / n) FROM a UNION ALL SELECT 'max_rsq', 1 - exp(2 * loglik_init / n) FROM a) q""")
 def cox_tests(spark, sf_dir):
     t = cox.cox_fit(_panel(spark, sf_dir), ["sex", "age"]).tests()
     return _rounded(spark.createDataFrame([(k, float(v)) for k, v in t.items()], "name string, value double"), 5)
 
 
+SCALED_SQL = "sc AS (SELECT (SELECT sum(abs(sex - (SELECT avg(sex) FROM panel))) FROM panel) AS s1, (SELECT sum(abs(age - (SELECT avg(age) FROM panel))) FROM panel) AS s2), sp AS (SELECT stop, event, sex / s1 AS sex, age / s2 AS age FROM panel, sc)"
+
+
+@query(f"""WITH {SCALED_SQL}, {oracle.newton_sql(['sex', 'age'], alpha=1e-9, table='sp')}, fits AS MATERIALIZED ({oracle.fits_sql(['sex', 'age'])})
+    SELECT term, round(coef / s, 6) AS coef, round(se / s, 6) AS se, round(loglik, 5) AS loglik FROM (SELECT *, CASE WHEN term = 'sex' THEN s1 ELSE s2 END AS s FROM fits, sc) q""")
+def cox_doscale_ridge(spark, sf_dir):
+    m = cox.cox_fit(_panel(spark, sf_dir), ["sex", "age"], doscale=True, alpha=1e-9)
+    rows = [(t, round(float(b), 6), round(float(s), 6), round(m.loglik, 5)) for t, b, s in zip(m.covariates, m.coef, m.se)]
+    return spark.createDataFrame(rows, "term string, coef double, se double, loglik double")
+
+
 # --- channels
 
 
@@ -684,44 +733,77 @@ def _channel_features(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, np.n
     return ch.select("channel", "id", "stop", "event").join(found, ["channel", "id", "stop"]), values
 
 
-@query()
+CHANNEL_FEATURES_SQL = f"{CHANNELS_SQL}, {oracle.atoms_sql(CUTOFF, KNOTS, RIGHT)}, {oracle.features_sql(3, CUTOFF, 'ch', ('channel',))}, cf AS MATERIALIZED (SELECT c.channel, c.id, c.stop, c.event, D1, D2, D3 FROM ch c JOIN feat USING (channel, id, stop))"
+SPLINES = ["D1", "D2", "D3"]
+
+
+@query(f"WITH {CHANNEL_FEATURES_SQL}, {oracle.newton_sql(SPLINES, table='cf', keys=('channel',), rounds=WCE_ROUNDS)} SELECT channel, term, round(coef, 5) AS coef, round(se, 5) AS se, round(loglik, 5) AS loglik FROM ({oracle.fits_sql(SPLINES, WCE_ROUNDS, ('channel',))}) q")
 def mass_univariate_cox(spark, sf_dir):
     rows, values = _channel_features(spark, sf_dir)
-    return _rounded(replicates.channel_fits(rows, "channel", [f"D{k + 1}" for k in range(values.shape[1])]), 5)
+    return _rounded(replicates.channel_fits(rows, "channel", SPLINES), 5)
+
+
+@query(f"""WITH {CHANNEL_FEATURES_SQL}, fs AS (SELECT row_number() OVER (ORDER BY id) - 1 AS i, id FROM subj), {oracle.drawn_sql('SELECT count(*) FROM fs', 3)}, cb AS (SELECT channel, b, stop, event, D1, D2, D3, w FROM cf JOIN fs USING (id) JOIN weights USING (i)),
+    {oracle.newton_sql(SPLINES, table='cb', keys=('channel', 'b'), weight='w', rounds=WCE_ROUNDS)} SELECT channel, b, term, round(coef, 5) AS coef, round(se, 5) AS se, round(loglik, 5) AS loglik FROM ({oracle.fits_sql(SPLINES, WCE_ROUNDS, ('channel', 'b'))}) q""")
+def channel_bootstrap(spark, sf_dir):
+    return _rounded(replicates.channel_bootstrap(_channel_features(spark, sf_dir)[0], "channel", SPLINES, 3), 5)
 
 
 def _risks(spark: SparkSession, sf_dir: str, count: int) -> DataFrame:
     rows, values = _channel_features(spark, sf_dir)
-    names = [f"D{k + 1}" for k in range(values.shape[1])]
     table = resample.permutations(rows, count)
     outcome = rows.select("channel", "id", "stop", "event")
-    given = rows.select("channel", F.col("id").alias("other"), "stop", *names)
-    moved = outcome.join(table, "id").join(given, ["channel", "other", "stop"], "left").fillna(0.0, names)
+    given = rows.select("channel", F.col("id").alias("other"), "stop", *SPLINES)
+    moved = outcome.join(table, "id").join(given, ["channel", "other", "stop"], "left").fillna(0.0, SPLINES)
     moved = moved.withColumn("cell", F.concat_ws("|", "channel", "p"))
-    fits = replicates.channel_fits(moved, "cell", names, maxiter=10)
-    risks = replicates.total_risk(fits, dict(zip(names, map(float, values.sum(0)))), ["cell"])
+    fits = replicates.channel_fits(moved, "cell", SPLINES)
+    risks = replicates.total_risk(fits, dict(zip(SPLINES, map(float, values.sum(0)))), ["cell"])
     part = F.split("cell", r"\|")
-    return risks.select(part[0].alias("channel"), part[1].cast("int").alias("p"), F.round("risk", 8).alias("risk"))
+    return risks.select(part[0].alias("channel"), part[1].cast("int").alias("p"), F.round("risk", 6).alias("risk"))
 
 
-@query()
+def _risks_sql(count: int) -> str:
+    """Tables up to risks (channel, p, risk)."""
+    return f"""{CHANNEL_FEATURES_SQL}, {oracle.permuted_sql('subj', count)},
+        mv AS MATERIALIZED (SELECT c.channel, p.p, c.stop, c.event, coalesce(o.D1, 0.0) AS D1, coalesce(o.D2, 0.0) AS D2, coalesce(o.D3, 0.0) AS D3 FROM cf c JOIN perm p ON p.id = c.id LEFT JOIN cf o ON o.channel = c.channel AND o.id = p.other AND o.stop = c.stop),
+        {oracle.newton_sql(SPLINES, table='mv', keys=('channel', 'p'), rounds=WCE_ROUNDS)}, fits AS MATERIALIZED ({oracle.fits_sql(SPLINES, WCE_ROUNDS, ('channel', 'p'))}),
+        risks AS MATERIALIZED (SELECT channel, p, round(sum(coef * a), 6) AS risk FROM fits JOIN (SELECT 'D' || k AS term, sum(value) AS a FROM atoms GROUP BY k) ar USING (term) GROUP BY channel, p)"""
+
+
+@query(f"WITH {_risks_sql(0)} SELECT channel, round(risk, 5) AS risk FROM risks")
 def total_risk_by_channel(spark, sf_dir):
     return _rounded(_risks(spark, sf_dir, 0).select("channel", "risk"), 5)
 
 
-@query()
+@query(f"""WITH {_risks_sql(19)}, rk AS (SELECT *, rank() OVER (PARTITION BY channel ORDER BY abs(risk)) AS rank FROM risks), tp AS (SELECT p, max(rank) AS top FROM rk GROUP BY p)
+    SELECT r.channel, round(r.risk, 5) AS risk, r.rank, round((SELECT avg(CASE WHEN o.rank >= r.rank THEN 1.0 ELSE 0.0 END) FROM rk o WHERE o.channel = r.channel), 5) AS p_value, round((SELECT avg(CASE WHEN top >= r.rank THEN 1.0 ELSE 0.0 END) FROM tp), 5) AS adjusted_p FROM rk r WHERE p = 0""")
 def permutation_test(spark, sf_dir):
-    return _rounded(replicates.permutation_test(_risks(spark, sf_dir, 19), "channel"), 5)
+    return _rounded(replicates.permutation_test(_risks(spark, sf_dir, 19), "channel").withColumn("rank", F.col("rank").cast("long")), 5)
 
 
 # --- simulators
 
 
-@query()
+COHORT_SQL = f"""dd AS (SELECT d AS drug, c // 100 AS patient, c % 100 AS t, {oracle.hash_sql('c', 'd')} % 2 AS dose FROM generate_series(0, 3) ds(d), generate_series(0, 9999) cs(c)),
+    hh AS (SELECT patient, t, CAST(coalesce(lag(dose, 1) OVER w, 0) = 1 AND coalesce(lag(dose, 2) OVER w, 0) = 1 AND {oracle.hash_sql('patient * 100 + t', '4')} % 10 < 8 AS INTEGER) AS hit FROM dd WHERE drug = 0 WINDOW w AS (PARTITION BY patient ORDER BY t)),
+    ee AS (SELECT patient, t, hit + 2 * coalesce(sum(hit) OVER (PARTITION BY patient ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS event FROM hh)"""
+
+
+@query(f"WITH {COHORT_SQL} SELECT CAST(event AS INTEGER) AS event, count(*) AS n FROM ee GROUP BY 1", EVENTS_SQL)
 def drug_cohort(spark, sf_dir):
     return panels.drug_cohort(spark, 4, 100, 100)[1].groupBy("event").agg(F.count("*").alias("n"))
 
 
+@query(f"WITH {COHORT_SQL} SELECT CAST(patient AS INTEGER) AS patient, CAST(t AS INTEGER) AS t, CAST(dose AS INTEGER) AS dose FROM dd WHERE drug = 2", EVENTS_SQL)
+def drug_of_interest(spark, sf_dir):
+    return panels.interest(panels.drug_cohort(spark, 4, 100, 100)[0], 2)
+
+
+@query("SELECT id AS row, CAST(1 + " + oracle.hash_sql("id", "0") + " % 50 AS INTEGER) AS time, CAST(" + oracle.hash_sql("id", "1") + " % 10000 < 1000 AS INTEGER) AS death, " + ", ".join(f"round(sqrt(-2 * ln((" + oracle.hash_sql("id", str(2 + 2 * i)) + " + 1) / 2147483648.0::DOUBLE)) * cos(2 * pi() * (" + oracle.hash_sql("id", str(3 + 2 * i)) + " + 1) / 2147483648.0::DOUBLE), 6) + 0.0 AS x" + str(i + 1) for i in range(5)) + " FROM generate_series(0, 999) r(id)", EVENTS_SQL)
+def random_benchmark_frame(spark, sf_dir):
+    return _rounded(panels.random_frame(spark, 1000, 50, 5))
+
+
 @query()
 def dose_history(spark, sf_dir):
     return panels.dose_histories(spark, 50, 365)

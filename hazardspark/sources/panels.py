@@ -61,20 +61,45 @@ def person_days(spark: SparkSession, sf_dir: str, kind: str = "click") -> DataFr
 def drug_cohort(spark: SparkSession, drugs: int, patients: int, times: int, seed: int = 1) -> tuple[DataFrame, DataFrame]:
     """Doses (drug, patient, t, dose) and events (patient, t, event) with 1 at the event and 2 or more afterwards.
 
-    Doses are fair coin tosses; two doses of drug 0 on the two days before bring the event with probability 0.8.
+    Doses are fair coin tosses; two doses of drug 0 on the two days before bring the event with probability 0.8. Both are drawn by the
+    portable hash of (patient, t) and drug, so every task, retry and engine draws the same.
     """
+    from hazardspark.operators.resample import portable_hash
+
     cells = spark.range(drugs * patients * times)
+    cell = F.col("id") % (patients * times)
     dose = cells.select(
-        (F.col("id") / (patients * times)).cast("int").alias("drug"), ((F.col("id") / times).cast("int") % patients).alias("patient"),
-        (F.col("id") % times).cast("int").alias("t"), (F.rand(seed) < 0.5).cast("int").alias("dose"),
+        F.floor(F.col("id") / (patients * times)).cast("int").alias("drug"), F.floor(cell / times).cast("int").alias("patient"), (cell % times).cast("int").alias("t"),
+        (portable_hash(cell, F.floor(F.col("id") / (patients * times)).cast("long"), seed) % 2).cast("int").alias("dose"),
     )
     by = Window.partitionBy("patient").orderBy("t")
     risk = (F.lag("dose", 1, 0).over(by) == 1) & (F.lag("dose", 2, 0).over(by) == 1)
-    event = dose.where("drug = 0").withColumn("hit", (risk & (F.rand(seed + 1) < 0.8)).cast("int"))
+    lucky = portable_hash((F.col("patient") * times + F.col("t")).cast("long"), F.lit(drugs).cast("long"), seed) % 10 >= 8
+    event = dose.where("drug = 0").withColumn("hit", (risk & ~lucky).cast("int"))
     event = event.withColumn("before", F.coalesce(F.sum("hit").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     return dose, event.select("patient", "t", (F.col("hit") + 2 * F.col("before")).cast("int").alias("event"))
 
 
+def interest(doses: DataFrame, drug: int) -> DataFrame:
+    """The histories of one drug."""
+    return doses.where(F.col("drug") == drug).drop("drug")
+
+
+def random_frame(spark: SparkSession, rows: int, times: int, features: int, deaths: float = 0.1, seed: int = 1) -> DataFrame:
+    """(row, time, death, x1, x2, ...): uniform times from 1, deaths with the given share, standard normal covariates, by the portable hash."""
+    from hazardspark.operators.resample import P, portable_hash
+
+    def draw(b: int):
+        return portable_hash(F.col("id"), F.lit(b).cast("long"), seed)
+
+    def normal(b: int):
+        u, v = ((draw(k) + 1) / F.lit(float(P + 1)) for k in (b, b + 1))
+        return F.sqrt(-2 * F.log(u)) * F.cos(2 * F.pi() * v)
+
+    xs = [normal(2 + 2 * i).alias(f"x{i + 1}") for i in range(features)]
+    return spark.range(rows).select(F.col("id").alias("row"), (1 + draw(0) % times).cast("int").alias("time"), (draw(1) % 10_000 < int(10_000 * deaths)).cast("int").alias("death"), *xs)
+
+
 def dose_histories(spark: SparkSession, ids: int, days: int, seed: int = 1) -> DataFrame:
     """(id, day, dose): alternating spells with and without a dose, of log-normal numbers of weeks."""
 
@@ -115,20 +140,20 @@ def permutational_events(histories: DataFrame, times: pd.DataFrame, log_hazard:
     return histories.groupBy("scenario").applyInPandas(draw, "scenario long, id long, follow_up int, status int")
 
 
-#: Weight functions of lags (in days) over a window of 180, as Spark SQL over the column lag.
+#: Weight functions of lags in days, as Spark SQL over the column lag (fixed values).
 TRUE_WEIGHTS = {
-    "exponential": "7 * exp(-7 * lag / 365) / 365",
-    "bilinear": "CASE WHEN lag <= 50 THEN (1 - lag / 50.0) / 25.5 ELSE 0 END",
-    "early_peak": "exp(-0.5 * power((lag / 365.0 - 0.04) / 0.05, 2)) / (0.05 * sqrt(2 * pi())) / 365",
-    "inverted_u": "exp(-0.5 * power((lag / 365.0 - 0.2) / 0.06, 2)) / (0.06 * sqrt(2 * pi())) / 365",
-    "constant": "CASE WHEN lag < 180 THEN 1 / 180.0 ELSE 0 END",
+    "exponential": "7 * exp(-7 * lag / 365)",
+    "bilinear": "CASE WHEN lag <= 50 THEN 1 - lag / 50.0D ELSE 0 END",
+    "early_peak": "exp(-0.5 * power(((lag + 1) / 365.0D - 0.04) / 0.05, 2)) / (0.05 * sqrt(2 * pi())) / 365",
+    "inverted_u": "exp(-0.5 * power(((lag + 1) / 365.0D - 0.2) / 0.06, 2)) / (0.06 * sqrt(2 * pi())) / 365",
+    "constant": "CASE WHEN lag BETWEEN 0 AND 180 THEN 1 / 180.0D ELSE 0 END",
 }
 
 
-def true_exposure(panel: DataFrame, shape: str, cutoff: int, unit: float = 1.0) -> DataFrame:
-    """(id, stop, wce): doses of the last cutoff days weighed by a known function of the lag times unit."""
+def true_exposure(panel: DataFrame, shape: str, unit: float = 1.0) -> DataFrame:
+    """(id, stop, wce): all doses up to each row, weighed by a known function of the lag times unit."""
     target = panel.select("id", "stop")
     source = panel.where("dose <> 0").select(F.col("id").alias("sid"), F.col("stop").alias("s"), "dose")
-    pairs = target.join(source, (F.col("id") == F.col("sid")) & F.col("s").between(F.col("stop") - (cutoff - 1), F.col("stop")), "left")
+    pairs = target.join(source, (F.col("id") == F.col("sid")) & (F.col("s") <= F.col("stop")), "left")
     weight = F.expr(TRUE_WEIGHTS[shape].replace("lag", f"(CAST(stop - s AS DOUBLE) * {float(unit)}D)"))
     return pairs.groupBy("id", "stop").agg(F.coalesce(F.sum(weight * F.col("dose")), F.lit(0.0)).alias("wce"))
