@@ -89,7 +89,7 @@ def likelihood(stops: DataFrame, d: int, ties: str = "efron", by: Sequence[str]
     w = F.col("deaths").cast("int")
     ks = F.sequence(F.lit(1), w) if ties == "efron" else F.array(w)
     rows = stops.select("*", F.explode(ks).alias("k"))
-    c = F.col("k") / F.col("deaths")
+    c = F.col("k") / F.col("deaths") if ties == "efron" else F.lit(1.0)
     times = F.lit(1.0) if ties == "efron" else F.col("deaths")
     s = {m: F.col(_name("a", m)) + c * F.col(_name("d", m)) for m in moments(d)}
     last = F.when(F.col("k") == w, 1.0).otherwise(0.0)  # what is counted once a time

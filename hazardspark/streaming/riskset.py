@@ -15,4 +15,4 @@ def running_counts(stream: DataFrame, covariates: Sequence[str] = (), stop: str
 
 def daily_events(stream: DataFrame, time: str, late: str = "2 days") -> DataFrame:
     """Events and summed values by day and type, with a watermark for late rows."""
-    return stream.withWatermark(time, late).groupBy(F.window(time, "1 day").alias("day"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+    return stream.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late).groupBy(F.window(time, "1 day").alias("day"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))

@@ -1,13 +1,16 @@
 """Published and hand-derived values, invariants and degenerate cases of the models."""
 
 import math
+import re
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from hazardspark.functions import splines, tails
-from hazardspark.operators import exposure, panel, resample, riskset
+from hazardspark.operators import exposure, ordered, panel, resample, riskset
 from hazardspark.plans import cox, replicates, wce
 from hazardspark.plans.formula import parse
 from hazardspark.plans.newton import Kernel, Singular, newton
@@ -124,13 +127,178 @@ def test_intervals_and_aligned_sets_differ_on_unsplit_data(spark):
 
 
 @pytest.mark.parametrize("rows,error", [
-    ([], "no .* observations"), ([(1, 0, 1.0)], "no events"), ([(1, 2, 1.0)], "0 or 1"), ([(1, 1, float("inf")), (1, 0, 0.0)], "infinite"),
+    ([], "no rows are left"), ([(1, 2, 1.0)], "0 or 1"), ([(1, 1, float("inf")), (1, 0, 0.0)], "not finite"),
 ])
 def test_bad_input(spark, rows, error):
     with pytest.raises(ValueError, match=error):
         cox.cox_fit(spark.createDataFrame(rows, "stop int, event int, x double"), ["x"])
 
 
+def test_no_events_give_no_coefficients(spark):
+    m = cox.cox_fit(spark.createDataFrame([(1, 0, 1.0), (2, 0, 3.0)], "stop int, event int, x double"), ["x"])
+    assert np.isnan(m.coef).all() and (m.vcov == 0).all() and (m.loglik_init, m.loglik, m.events, m.n) == (0.0, 0.0, 0, 2) and m.means.tolist() == [2.0]
+
+
+def test_weights(spark):
+    rows = [(t, d, x, w) for t, d, x, w in zip((1, 1, 2, 2, 3, 4), (1, 1, 0, 1, 1, 0), (0.0, 1.0, 1.0, 0.0, 1.0, 0.0), (2, 1, 3, 2, 1, 2))]
+    df = spark.createDataFrame(rows, "time int, status int, x double, w int")
+    many = resample.repeat_rows(df)
+    for ties in ("efron", "breslow"):
+        a, b = cox.cox("Surv(time, status) ~ x", df, weight="w", ties=ties), cox.cox("Surv(time, status) ~ x", many, ties=ties)
+        assert np.allclose((a.coef[0], a.loglik), (b.coef[0], b.loglik), atol=1e-9)
+    half = df.withColumn("w", F.col("w") / 4)
+    with pytest.raises(ValueError, match="whole|fractions"):
+        cox.cox("Surv(time, status) ~ x", half, weight="w")
+    fits = [cox.cox("Surv(time, status) ~ x", half, weight="w", ties="breslow", driver_rows=n).coef[0] for n in (0, 1000)]
+    assert np.allclose(fits, cox.cox("Surv(time, status) ~ x", df, weight="w", ties="breslow").coef[0], atol=1e-8)
+    with pytest.raises(ValueError, match="negative"):
+        cox.cox("Surv(time, status) ~ x", df.withColumn("w", -F.col("w")), weight="w", ties="breslow")
+    some = df.withColumn("w", F.when(F.col("time") != 3, F.col("w")))  # null weights and starts drop the row
+    assert cox.cox("Surv(time, status) ~ x", some, weight="w").n == cox.cox("Surv(time, status) ~ x", some.na.drop(), weight="w").n
+
+
+TIES = st.lists(st.tuples(st.integers(0, 3), st.integers(1, 4), st.integers(0, 1), st.integers(0, 2)), min_size=2, max_size=12)
+
+
+def brute_residuals(rows, ties):
+    out = []
+    for s, t, d, x in rows:
+        used = 0.0
+        for u in sorted({q for _, q, e, _ in rows if e}):
+            if s < u <= t:
+                den = sum(1.0 + y for a, b, _, y in rows if a < u <= b)
+                dead = [1.0 + y for _, b, e, y in rows if e and b == u]
+                n, eden = len(dead), sum(dead)
+                mine = d and u == t
+                for k in range(n):
+                    part = 1 / (den - (k / n) * eden) if ties == "efron" else 1 / den
+                    used += part * ((1 - k / n) if mine and ties == "efron" else 1)
+        out.append((s, t, d, x, round(d - (1.0 + x) * used, 9)))
+    return sorted(out)
+
+
+@settings(deadline=None, max_examples=6)
+@given(TIES)
+def test_repeated_rows_are_rows(spark, drawn):
+    rows = [(s, s + n, d, x) for s, n, d, x in drawn]
+    rows += rows[: len(rows) // 2 + 1]  # repeat some
+    df = spark.createDataFrame(rows, "start int, stop int, event int, x int").withColumn("risk", 1.0 + F.col("x"))
+    for ties in ("efron", "breslow"):
+        got = riskset.martingale(df, ties=ties, keys=["start", "stop", "event", "x"]).collect()
+        want = brute_residuals(rows, ties)
+        assert np.allclose(sorted((*r[:4], r[4]) for r in got), want, atol=1e-6)
+    cuts = sorted({t for _, t, d, _ in rows if d})
+    split = panel.split_at(df.drop("risk"), spark.createDataFrame([(c,) for c in [*cuts, 3]], "c int"))
+    want = []
+    for s, t, d, x in rows:
+        ends = [c for c in sorted({*cuts, 3}) if s < c < t] + [t]
+        want += [(a, b, d if b == t else 0, x) for a, b in zip([s, *ends], ends)]
+    assert sorted(map(tuple, split.select("start", "stop", "event", "x").collect())) == sorted(want)
+    pairs = [(y, z) for s, t, d, y in rows if d for a, b, e, z in rows if a < t <= b and not (e and b == t)]
+    c = riskset.concordance(df, "risk").first()
+    assert (c.concordant, c.discordant, c.tied_x) == (sum(a > b for a, b in pairs), sum(a < b for a, b in pairs), sum(a == b for a, b in pairs))
+    kept = panel.ever_at_risk(df).count()
+    assert kept == sum(any(s < u <= t for u in cuts) for s, t, _, _ in rows)
+
+
+def test_plans_have_no_nested_loops_or_windows_over_everything(spark, days):
+    risky = days.withColumn("risk", F.exp(0.1 * F.col("age")))
+    for df in (
+        riskset.martingale(risky), panel.ever_at_risk(days), panel.split_at(days.select("start", "stop", "event"), panel.death_times(days).select("stop")),
+        riskset.members(days), riskset.hazards(risky), riskset.sums(riskset.compact(days, ["sex"], start="start"), ["sex"], [0.1], start="start"), resample.permutations(days, 3),
+    ):
+        hold_plan(df)
+    hold_plan(riskset._pairs_by_score(risky, "risk", "start", "stop", "event")[1])
+
+
+def hold_plan(df):
+    """No nested loops, and windows without a partition only over the ranges' totals, of which there are few."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "CartesianProduct" not in plan
+    assert set(re.findall(r"windowspecdefinition\((\w+)#\d+L? (?:ASC|DESC)", plan)) <= {"__range"}
+
+
+def test_prefix_sums_over_outlying_times(spark):
+    rows = [(g, t, float(v)) for g in (1, 2) for t, v in zip([-1e9, 0.0, 0.25, 1.0, 7.5, 1e12], [1, 2, 3, 4, 5, 6])]
+    df = spark.createDataFrame(rows, "g int, t double, v double")
+    up = {(r.g, r.t): r.v for r in ordered.prefix_sums(df, "t", ["v"], ["g"]).collect()}
+    down = {(r.g, r.t): r.v for r in ordered.prefix_sums(df, "t", ["v"], ["g"], descending=True).collect()}
+    for g, t, _ in rows:
+        assert up[g, t] == sum(v for h, u, v in rows if h == g and u <= t) and down[g, t] == sum(v for h, u, v in rows if h == g and u >= t)
+    assert ordered.prefix_sums(df.limit(0), "t", ["v"]).count() == 0
+
+
+def test_times_of_a_chain_become_one(spark):
+    df = spark.createDataFrame([(x,) for x in (1.0, 1.0 + 4e-10, 1.0 + 8e-10, 2.0, None)], "t double")
+    got = [r.t for r in panel.merge_times(df, "t").collect()]
+    assert sorted(x for x in got if x) == [1.0, 1.0, 1.0, 2.0] and None in got
+
+
+def test_confint_summary_and_bands(spark, days):
+    m = cox.cox_fit(days, ["sex", "age"])
+    rows = m.confint(spark, ["age", 1], 0.9).collect()
+    assert [r.term for r in rows] == ["age", "sex"] and rows[0].lo < m.coef[1] < rows[0].hi
+    for bad in (["size"], [3], [0]):
+        with pytest.raises(ValueError):
+            m.confint(spark, bad)
+    w = wce.wce_fit(days, ["sex"], 7, ties="breslow", alpha=0.01)
+    s = {r.term: r for r in w.summary(spark).collect()}
+    assert s["sex"].part == "covariate" and s["D1"].part == "exposure" and abs(s["D1"].exp_minus_coef - math.exp(-w.cox.coef[1])) < 1e-9
+    hr, t, se = w.hazard_ratio([1] * 7, [0] * 7), w.total_risk(), w.std()
+    assert math.isclose(hr["hr"] - hr["plain_lo"], hr["plain_hi"] - hr["hr"]) and np.isclose(w.risk_band() @ w.atoms.sum(0), 1.959964 * t["sd"], rtol=1e-5)
+    assert len(se[0]) == 1 and len(se[1]) == 5 and w.cox.loglik_data > w.cox.loglik
+
+
+def test_penalty_is_on_the_scaled_covariates(days):
+    a = cox.cox_fit(days, ["sex", "age"], doscale=True, alpha=1e-9)
+    scaled = cox.scaled(cox.scaled(days, "sex", "s"), "age", "a")
+    b = cox.cox_fit(scaled, ["s", "a"], alpha=1e-9)
+    total = [float(days.agg(F.sum(F.abs(F.col(c) - F.lit(m)))).first()[0]) for c, m in zip(("sex", "age"), a.means)]
+    assert np.allclose(a.coef * total, b.coef, rtol=1e-6) and math.isclose(a.loglik, b.loglik, rel_tol=1e-9)
+
+
+def test_risk_scores_do_not_overflow(spark):
+    df = spark.createDataFrame([(1, 900.0), (2, 1500.0), (3, 0.0)], "id int, x double")
+    m = cox.CoxModel(("x",), np.array([1.0]), np.eye(1), 0.0, 0.0, 0.0, np.zeros(1), np.zeros(1), 1, 1, "efron")
+    risk = {r.id: r.risk for r in m.risk(df).collect()}
+    assert all(math.isfinite(x) for x in risk.values()) and math.isclose(math.log(risk[2] / risk[1]), 600, rel_tol=1e-9)
+
+
+def test_bootstrap_paths_agree_and_batches_change_nothing(days):
+    for unit in ("row", "subject"):
+        a, b, c = (replicates.bootstrap_fits(days, ["sex", "age"], 4, unit=unit, **o).toPandas().sort_values(["b", "term"]) for o in ({}, {"task_values": 0}, {"batchsize": 2}))
+        assert np.allclose(a[["coef", "se", "loglik"]], b[["coef", "se", "loglik"]], atol=1e-7) and np.allclose(a.coef, c.coef)
+    both = cox.cox_bootstrap("Surv(start, stop, event) ~ sex", days, 3)
+    rows = both.fits.toPandas().set_index("b")
+    assert np.allclose(rows.loc[0, ["coef", "se", "loglik"]].astype(float), (both.model.coef[0], both.model.se[0], both.model.loglik)) and rows.se.isna().sum() == 2
+
+
+def test_channels_of_any_size_agree(days):
+    rows = days.select(F.explode(F.array(F.lit("a"), F.lit("b"))).alias("channel"), "id", "stop", "event", F.col("age").cast("double").alias("age"))
+    rows = rows.withColumn("age", F.when(F.col("channel") == "b", F.col("age") % 7).otherwise(F.col("age")))
+    a, b = (replicates.channel_fits(rows, "channel", ["age"], **o).toPandas().sort_values("channel") for o in ({}, {"task_values": 0}))
+    assert np.allclose(a[["coef", "se", "loglik"]], b[["coef", "se", "loglik"]], atol=1e-7) and list(a.channel) == ["a", "b"]
+
+
+def test_sinks_and_readers(spark, days, tmp_path):
+    panels.write_results(days, str(tmp_path / "p"), ["sex"])
+    back = panels.read_panel(spark, str(tmp_path / "p"), ["id", "stop", "dose"])
+    assert back.columns == ["id", "stop", "dose"] and sorted(back.collect()) == sorted(days.select("id", "stop", "dose").collect())
+
+
+def test_daily_events_with_a_watermark(spark, tmp_path):
+    from hazardspark.streaming.riskset import daily_events
+
+    ev = spark.read.parquet(f"{SF}/events.parquet").select("ts", "event_type", "value")
+    ev.repartition(2).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(ev.schema).parquet(str(tmp_path / "in"))
+    q = daily_events(stream, "ts", "60 days").writeStream.outputMode("complete").format("memory").queryName("daily").trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    want = ev.groupBy(F.to_date("ts").alias("d"), "event_type").agg(F.count("*").alias("n")).collect()
+    got = spark.table("daily").select(F.to_date("day.start").alias("d"), "event_type", "n").collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want))
+
+
 def test_singular_information(spark):
     df = spark.createDataFrame([(t, t in (1, 3, 5), 1.0 * t) for t in range(1, 13)], "stop int, event boolean, x double").withColumn("event", F.col("event").cast("int"))
     with pytest.raises(Singular):
@@ -157,7 +325,7 @@ def test_newton_on_a_convex_loss():
 def test_formulas():
     assert parse("Surv(a, b, c) ~ x + y").covariates == ("x", "y") and parse("Surv(t, s) ~ x").start is None
     assert parse("Surv(a, b, c) ~ . - y", ["a", "b", "c", "x", "y", "z"]).covariates == ("x", "z")
-    for bad in ("x ~ y", "Surv(a) ~ x", "Surv(a, b, c) ~ strata(x)"):
+    for bad in ("x ~ y", "Surv(a) ~ x", "Surv(a, b, c) ~ strata(x)", "Surv(a, b, c) ~ x*y", "Surv(a, b, c) ~ x:y", "Surv(a, b) ~ log(x)", "Surv(a, b) ~ x y"):
         with pytest.raises(ValueError):
             parse(bad)
     with pytest.raises(ValueError):
