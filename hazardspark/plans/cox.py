@@ -172,17 +172,16 @@ def model_of(found: Optimum, covariates: Sequence[str], means: np.ndarray, n: in
 
 
 def cox(formula: str, df: DataFrame, **options) -> CoxModel:
-    """cox_fit from a formula; right-censored Surv(time, status) is cut at its death times first."""
+    """cox_fit from a formula; right-censored Surv(time, status) are intervals that begin before all times, with their true risk sets."""
     f = parse(formula, df.columns)
     if not f.covariates:
         raise ValueError("no covariates")
     if f.start is None:
         kept = [options["weight"]] if options.get("weight") else []
-        rows = panel.drop_missing(df.select(F.lit(0).cast(df.schema[f.stop].dataType).alias("__start"), f.stop, f.event, *f.covariates, *kept), [f.stop, f.event, *f.covariates, *kept])
-        if options.get("risk_set") == "interval":
-            return cox_fit(rows, f.covariates, f.stop, f.event, "__start", **options)
-        rows = panel.split_at(rows, panel.death_times(rows, f.stop, f.event).select(f.stop), "__start", f.stop, f.event)
-        return cox_fit(rows, f.covariates, f.stop, f.event, "__start", **options)
+        first = df.agg(F.min(f.stop)).first()[0]
+        start = F.lit((first if first is not None else 0) - 1).cast(df.schema[f.stop].dataType).alias("__start")
+        rows = panel.drop_missing(df.select(start, f.stop, f.event, *f.covariates, *kept), [f.stop, f.event, *f.covariates, *kept])
+        return cox_fit(rows, f.covariates, f.stop, f.event, "__start", **{**options, "risk_set": "interval"})
     return cox_fit(df, f.covariates, f.stop, f.event, f.start, **options)
 
 
