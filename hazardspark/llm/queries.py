@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hazardspark.llm import html, linededup, lm, mix, ordinal, pack, quality, search, shard, simhash
+from hazardspark.llm import audit, html, linededup, lm, mix, ordinal, pack, quality, search, shard, simhash
 from hazardspark.llm.common import table, text_bytes
 
 
@@ -64,8 +64,12 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.mix(rows, size="n_words").select("doc_id", "size", "source_size", "target", "taken", "pieces")
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_simhash_near_dedup, op2_attention_scoring, op3_online_packing, op4_line_chunk_dedup, op5_token_fertility, op6_block_max_search, op7_hypergeometric_sharding, op8_html_extraction, op9_ordinal_toxicity, op10_source_mixing)
+    f.__name__: f for f in (op1_simhash_near_dedup, op2_attention_scoring, op3_online_packing, op4_line_chunk_dedup, op5_token_fertility, op6_block_max_search, op7_hypergeometric_sharding, op8_html_extraction, op9_ordinal_toxicity, op10_source_mixing, op12_filter_audit)
 }
 
 #: DuckDB SQL of the queries that SQL can express whole.
@@ -84,4 +88,31 @@ ORACLE_SQL: dict[str, str] = {
             WHERE q.doc_id % 100 = 0 GROUP BY ALL),
         ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM scored)
         SELECT query_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked WHERE rank <= 10""",
+    "op12_filter_audit": """
+        WITH w AS (
+            SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+        marks AS (SELECT doc_id, max(CAST(quality = 1 AS INTEGER)) AS good, max(CAST(toxic = 1 AS INTEGER)) AS toxic FROM labels GROUP BY doc_id),
+        flags AS (
+            SELECT part, CAST(len(words) < 50 AS INTEGER) AS a, CAST(100 * len(list_distinct(words)) < 65 * len(words) AS INTEGER) AS b,
+                CAST(100 * (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g'))) > 5 * length(text) AS INTEGER) AS c, CAST(regexp_matches(text, '[#$%&*|]') AS INTEGER) AS d,
+                CAST(coalesce(doc_id > min(doc_id) OVER (PARTITION BY text), FALSE) AS INTEGER) AS e, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic
+            FROM w LEFT JOIN marks USING (doc_id)),
+        cells AS (SELECT part, a + 2 * b + 4 * c + 8 * d + 16 * e AS mask, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM flags GROUP BY ALL),
+        f(letter, bit) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+        orders AS (
+            SELECT p.letter || q.letter || r.letter || s.letter || t.letter AS filter_order, [p.bit, q.bit, r.bit, s.bit, t.bit] AS bits FROM f p, f q, f r, f s, f t
+            WHERE p.bit | q.bit | r.bit | s.bit | t.bit = 31),
+        steps AS (SELECT filter_order, k AS step, bits[k] AS bit, list_sum(bits[:k - 1]) AS before FROM orders, generate_series(1, 5) ks(k)),
+        run AS (
+            SELECT part, filter_order, step, bit, sum(CASE WHEN mask & (coalesce(before, 0)::INTEGER | bit) = 0 THEN n ELSE 0 END) AS kept,
+                sum(CASE WHEN mask & coalesce(before, 0)::INTEGER = 0 AND mask & bit > 0 THEN n ELSE 0 END) AS removed,
+                sum(CASE WHEN mask & coalesce(before, 0)::INTEGER > 0 AND mask & bit > 0 THEN n ELSE 0 END) AS redundant,
+                sum(CASE WHEN mask = bit THEN n ELSE 0 END) AS unique_fails,
+                sum(CASE WHEN mask & coalesce(before, 0)::INTEGER = 0 AND mask & bit > 0 THEN good ELSE 0 END) AS good_lost,
+                sum(CASE WHEN mask & coalesce(before, 0)::INTEGER = 0 AND mask & bit > 0 THEN toxic ELSE 0 END) AS toxic_lost
+            FROM cells, steps GROUP BY ALL)
+        SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+            CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+            CAST(sum(removed) OVER (PARTITION BY part, bit) AS BIGINT) AS shapley
+        FROM run""",
 }
