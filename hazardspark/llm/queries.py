@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hazardspark.llm import audit, html, linededup, lm, mix, ordinal, pack, quality, search, shard, simhash
-from hazardspark.llm.common import table, text_bytes
+from hazardspark.llm import audit, html, linededup, lm, mix, ordinal, pack, quality, runs, search, shard, simhash
+from hazardspark.llm.common import WORD_PATTERN, table, text_bytes
 
 
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,8 +68,33 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.audit_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def _made_periodic(doc_id: Column, text: Column) -> Column:
+    """The contract's text: of one doc_id in ten, words from a place on repeat a stretch of words (a null doc_id is none of them)."""
+    h = F.crc32(doc_id.cast("string").cast("binary"))
+    words = F.regexp_extract_all(text, F.lit(WORD_PATTERN), F.lit(0))
+    n, g = F.size(words), F.floor(h / 10)
+    a = g % n
+    p = 1 + F.floor((n - a) / (3 + g % 8))
+    of = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get(words, F.when(i < a, i).otherwise(a + (i - a) % p).cast("int")))
+    return F.when((h % 10 == 0) & text.rlike(WORD_PATTERN), F.array_join(of, " ")).otherwise(text)
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").select("doc_id", _made_periodic(F.col("doc_id"), F.col("text")).alias("text"))
+    found = runs.find_runs(rows)
+    # runs are in order of start and period, so the first of equal exponents stays
+    better = lambda x, best: best.isNull() | (x["length"] * best["period"] > best["length"] * x["period"])
+    none = F.lit(None).cast("struct<start:bigint,length:bigint,period:bigint>")
+    found = found.withColumn("best", F.aggregate("runs", none, lambda best, x: F.when(better(x, best), x).otherwise(best)))
+    lines = F.transform("runs", lambda r: F.concat(r["start"], F.lit(","), r["length"], F.lit(","), r["period"], F.lit("\n")))
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), *[F.col("best").getField(c).alias(c) for c in ("start", "length", "period")],
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"), F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_simhash_near_dedup, op2_attention_scoring, op3_online_packing, op4_line_chunk_dedup, op5_token_fertility, op6_block_max_search, op7_hypergeometric_sharding, op8_html_extraction, op9_ordinal_toxicity, op10_source_mixing, op12_filter_audit)
+    f.__name__: f for f in (op1_simhash_near_dedup, op2_attention_scoring, op3_online_packing, op4_line_chunk_dedup, op5_token_fertility, op6_block_max_search, op7_hypergeometric_sharding, op8_html_extraction, op9_ordinal_toxicity, op10_source_mixing, op12_filter_audit, op13_periodic_runs)
 }
 
 #: DuckDB SQL of the queries that SQL can express whole.
