@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hazardspark.llm import audit, html, linededup, lm, mix, ordinal, pack, quality, runs, search, shard, simhash
+from hazardspark.llm import audit, html, linededup, lm, mix, ordinal, pack, phrases, quality, runs, search, shard, simhash
 from hazardspark.llm.common import WORD_PATTERN, table, text_bytes
 
 
@@ -64,6 +64,13 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.mix(rows, size="n_words").select("doc_id", "size", "source_size", "target", "taken", "pieces")
 
 
+def op11_phrase_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = phrases.contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated"
+    )
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.audit_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -94,7 +101,7 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_simhash_near_dedup, op2_attention_scoring, op3_online_packing, op4_line_chunk_dedup, op5_token_fertility, op6_block_max_search, op7_hypergeometric_sharding, op8_html_extraction, op9_ordinal_toxicity, op10_source_mixing, op12_filter_audit, op13_periodic_runs)
+    f.__name__: f for f in (op1_simhash_near_dedup, op2_attention_scoring, op3_online_packing, op4_line_chunk_dedup, op5_token_fertility, op6_block_max_search, op7_hypergeometric_sharding, op8_html_extraction, op9_ordinal_toxicity, op10_source_mixing, op11_phrase_decontamination, op12_filter_audit, op13_periodic_runs)
 }
 
 #: DuckDB SQL of the queries that SQL can express whole.
@@ -113,6 +120,23 @@ ORACLE_SQL: dict[str, str] = {
             WHERE q.doc_id % 100 = 0 GROUP BY ALL),
         ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM scored)
         SELECT query_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked WHERE rank <= 10""",
+    "op11_phrase_decontamination": r"""
+        WITH d AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+        i AS (
+            SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+            FROM benchmark),
+        windows AS (
+            SELECT DISTINCT item, n, array_to_string(w[k:k + n - 1], ' ') AS phrase
+            FROM (SELECT item, w, n, unnest(generate_series(1, len(w) - n + 1)) AS k FROM (SELECT *, least(len(w), 10) AS n FROM i WHERE len(w) > 0) q) r),
+        places AS (
+            SELECT doc_id, n, p, array_to_string(w[p:p + n - 1], ' ') AS phrase
+            FROM (SELECT doc_id, w, n, unnest(generate_series(1, len(w) - n + 1)) AS p FROM d, (SELECT DISTINCT n FROM windows) s) q),
+        found AS (SELECT DISTINCT doc_id, item, p, n FROM places JOIN windows USING (n, phrase)),
+        hit AS (SELECT doc_id, count(DISTINCT p + k) AS n_hit FROM found, generate_series(0, 9) ks(k) WHERE k < n GROUP BY doc_id),
+        of_items AS (SELECT doc_id, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM found GROUP BY doc_id)
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN of_items USING (doc_id)""",
     "op12_filter_audit": """
         WITH w AS (
             SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
