@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -22,7 +24,7 @@ def _columns(i: Column, b: Column, seed: int) -> Column:
     return portable_hash(i.cast("long"), b.cast("long"), seed)
 
 
-def dense_index(df: DataFrame, id: str, order: str, out: str = "i") -> DataFrame:
+def dense_index(df: DataFrame, id: str, order: str | Sequence[str], out: str = "i") -> DataFrame:
     """Index from 0 in order of (id, order): counts of ranges of ids, then ranks within a range."""
     low, high = df.agg(F.min(id), F.max(id)).first()
     width = max(1, ((high or 0) - (low or 0)) // BUCKETS + 1)
@@ -30,7 +32,7 @@ def dense_index(df: DataFrame, id: str, order: str, out: str = "i") -> DataFrame
     counts = rows.groupBy("__range").agg(F.count("*").alias("__n"))
     # at most BUCKETS rows
     base = counts.withColumn("__base", F.coalesce(F.sum("__n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    rank = F.row_number().over(Window.partitionBy("__range").orderBy(id, order)) - 1
+    rank = F.row_number().over(Window.partitionBy("__range").orderBy(id, *([order] if isinstance(order, str) else order))) - 1
     return rows.join(F.broadcast(base.drop("__n")), "__range").withColumn(out, (F.col("__base") + rank).cast("long")).drop("__range", "__base")
 
 
@@ -48,7 +50,7 @@ def draws_of(n: int, b: int, seed: int = 1) -> np.ndarray:
     return np.bincount(portable_hash(np.arange(n, dtype=np.int64), np.int64(b), seed) % n, minlength=n)
 
 
-def row_bootstrap(df: DataFrame, replicates: int, seed: int = 1, id: str = "id", order: str = "stop") -> DataFrame:
+def row_bootstrap(df: DataFrame, replicates: int, seed: int = 1, id: str = "id", order: str | Sequence[str] = "stop") -> DataFrame:
     """df's rows with replicate b and weight w."""
     indexed = dense_index(df, id, order)
     return indexed.join(draws(df.sparkSession, df.count(), replicates, seed), "i")

@@ -1,24 +1,33 @@
 """Risk-set sums and partial likelihoods as DataFrame aggregations.
 
 aligned: the risk set of a death time is the rows that stop there (right for panels cut at death times).
-interval: all rows with start < t <= stop; its sums are differences of two cumulative sums over times, so no row is
-joined to more than one time.
+interval: all rows with start < t <= stop. Death times are the leaves of a binary tree; an interval counts in the few nodes that make it up, and a
+time sums the nodes above it, so no row is joined to its times and nothing is ever taken away from a sum.
+
+Risks exp(lp) are summed by bands of lp, a band a range of 32 of it, and bands are put together at the greatest one of a time. So sums of any lp are exact to rounding,
+without a shift known beforehand: scaled_sums gives them with the logarithm of their scale.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 from itertools import combinations_with_replacement
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hazardspark.operators import ordered
 
+#: Width of a band of linear predictors, within which exponentials are summed at one scale.
+BAND = 32.0
+#: Tied deaths that a row stands for; times of more are several rows, in several tasks.
+TIES = 4096
+
 
-def compact(df: DataFrame, covariates: Sequence[str], stop: str = "stop", event: str = "event", start: str | None = None, weight: str | None = None, by: Sequence[str] = ()) -> DataFrame:
+def compact(df: DataFrame, covariates: Sequence[str], stop: str = "stop", event: str = "event", start: str | None = None, weight: str | None = None, by: Sequence[str] = (), offset: str | None = None) -> DataFrame:
     """Equal rows as one with their weight in ``n``; aligned data lose the rows that no death time reads."""
-    keys = [*by, *([start] if start else []), stop, event, *covariates]
+    keys = [*by, *([start] if start else []), stop, event, *covariates, *([offset] if offset else [])]
     w = F.sum(weight) if weight else F.count("*")
     out = df.groupBy(*keys).agg(w.cast("double").alias("n"))
     if start:
@@ -50,11 +59,67 @@ def _name(kind: str, m: tuple[int, ...]) -> str:
     return "_".join([kind, *map(str, m)])
 
 
-def sums(rows: DataFrame, covariates: Sequence[str], beta: Sequence[float | Column], stop: str = "stop", event: str = "event", start: str | None = None, by: Sequence[str] = (), shift: float = 0.0) -> DataFrame:
-    """Per death time: a_* (survivors) and d_* (dead) sums of n exp(lp - shift) times 1, x_i, x_i x_j; deaths; lp; x_i of the dead."""
-    lp = predictor(covariates, beta)
-    rows = rows.withColumn("__lp", lp).withColumn("__r", F.col("n") * F.exp(F.col("__lp") - F.lit(float(shift))))
-    dead = F.col(event) == 1
+@dataclass(frozen=True)
+class Cover:
+    """Interval risk sets as nodes of a binary tree over death times, made once for any number of coefficients.
+
+    alive: by, level, node, covariates, n; dead: by, no, covariates, n; times: t and its number no; levels of the tree.
+    """
+
+    alive: DataFrame
+    dead: DataFrame
+    times: DataFrame
+    levels: int
+
+    def persist(self) -> Cover:
+        return Cover(self.alive.persist(), self.dead.persist(), self.times.persist(), self.levels)
+
+    def unpersist(self) -> None:
+        for df in (self.alive, self.dead, self.times):
+            df.unpersist()
+
+
+def cover(rows: DataFrame, covariates: Sequence[str], stop: str, event: str, start: str, by: Sequence[str] = (), offset: str | None = None) -> Cover:
+    """Compacted rows (with n) as nodes. A row that fails is alive up to its last time but one, and dead at its last; rows that cover no death time go."""
+    kept = [*covariates, *([offset] if offset else [])]
+    times = ordered.dense_ranks(rows.where(F.col(event) == 1).select(F.col(stop).alias("t")), "t", "no")
+    numbered = ordered.up_to(rows, times.withColumn("__no", F.lit(1).cast("long")), "t", ["__no"], [start, stop])
+    first, last, dead = F.col(f"__no_{start}"), F.col(f"__no_{stop}"), F.col(event) == 1
+    total = F.sum("n").alias("n")
+    levels = max(1, int(times.count()).bit_length())
+    ranges = numbered.select(*by, first.alias("first"), (last - dead.cast("long")).alias("last"), *kept, "n").where("first < last").groupBy(*by, "first", "last", *kept).agg(total)
+    # at level k a range [l, r) of nodes of 2**k times gives away its odd ends
+    def nodes(k: Column) -> Column:
+        width = F.call_function("shiftleft", F.lit(1).cast("long"), k)
+        low, high = F.call_function("shiftright", F.col("first") + width - 1, k), F.call_function("shiftright", F.col("last"), k)
+        node = lambda odd, at: F.when((low < high) & (odd % 2 == 1), F.struct(k.alias("level"), at.alias("node")))
+        return F.array(node(low, low), node(high, high - 1))
+
+    ends = F.filter(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(levels - 1)), nodes)), lambda x: x.isNotNull())
+    alive = ranges.select(*by, F.inline(ends), *kept, "n").groupBy(*by, "level", "node", *kept).agg(total)
+    died = numbered.where(dead).select(*by, (last - 1).alias("no"), *kept, "n").groupBy(*by, "no", *kept).agg(total)
+    return Cover(alive, died, times.select("t", "no"), levels)
+
+
+def _banded(rows: DataFrame, covariates: Sequence[str], beta: Sequence[float | Column], offset: str | None) -> DataFrame:
+    """rows with the linear predictor __lp, its band and __r, the risk at the band's scale."""
+    lp = predictor(covariates, beta) + (F.col(offset) if offset else F.lit(0.0))
+    rows = rows.withColumn("__lp", lp).withColumn("__band", F.floor(F.col("__lp") / BAND))
+    return rows.withColumn("__r", F.col("n") * F.exp(F.col("__lp") - F.col("__band") * BAND))
+
+
+def _one_scale(bands: DataFrame, keys: Sequence[str], scaled: Sequence[str], plain: Sequence[str]) -> DataFrame:
+    """Sums of the bands of each key at the scale of its greatest one, whose logarithm is top."""
+    rows = bands.withColumn("__top", F.max("__band").over(Window.partitionBy(*keys)))
+    factor = F.exp((F.col("__band") - F.col("__top")) * BAND)
+    return rows.groupBy(*keys).agg(*[F.sum(F.col(c) * factor).alias(c) for c in scaled], *[F.sum(c).alias(c) for c in plain], (F.max("__top") * BAND).alias("top"))
+
+
+def scaled_sums(rows: DataFrame | Cover, covariates: Sequence[str], beta: Sequence[float | Column], stop: str = "stop", event: str = "event", start: str | None = None, by: Sequence[str] = (), offset: str | None = None) -> DataFrame:
+    """Per death time: a_* (survivors) and d_* (dead) sums of n exp(lp - top) times 1, x_i, x_i x_j; top; deaths; lp; x_i of the dead.
+
+    rows: compacted rows, or with start their cover(), whose rows may have more columns (as beta) beside by.
+    """
     names = moments(len(covariates))
 
     def term(m: tuple[int, ...]) -> Column:
@@ -64,38 +129,59 @@ def sums(rows: DataFrame, covariates: Sequence[str], beta: Sequence[float | Colu
         return out
 
     none = F.lit(0.0)
-    of_dead = [F.sum(F.when(dead, term(m)).otherwise(none)).alias(_name("d", m)) for m in names]
-    of_dead += [F.sum(F.when(dead, F.col("n")).otherwise(none)).alias("deaths"), F.sum(F.when(dead, F.col("n") * F.col("__lp")).otherwise(none)).alias("lp")]
-    of_dead += [F.sum(F.when(dead, F.col("n") * F.col(c)).otherwise(none)).alias(f"x_{i}") for i, c in enumerate(covariates)]
-    if start is None:
-        alive = [F.sum(F.when(dead, none).otherwise(term(m))).alias(_name("a", m)) for m in names]
-        return rows.groupBy(*by, F.col(stop).alias("t")).agg(*alive, *of_dead).where("deaths > 0")
-    # everyone at risk at t: rows that stop at t or later less rows that start there or later
-    ends = rows.groupBy(*by, F.col(stop).alias("t")).agg(*[F.sum(term(m)).alias(_name("s", m)) for m in names], *of_dead)
-    begins = rows.groupBy(*by, F.col(start).alias("t")).agg(*[(-F.sum(term(m))).alias(_name("s", m)) for m in names])
-    both = ends.unionByName(begins, allowMissingColumns=True).groupBy(*by, "t").agg(
-        *[F.sum(_name("s", m)).alias(_name("s", m)) for m in names],
-        *[F.coalesce(F.sum(c), none).alias(c) for c in [*[_name("d", m) for m in names], "deaths", "lp", *[f"x_{i}" for i in range(len(covariates))]]],
-    )
-    at_risk = ordered.prefix_sums(both, "t", [_name("s", m) for m in names], by, descending=True)
-    alive = [(F.col(_name("s", m)) - F.col(_name("d", m))).alias(_name("a", m)) for m in names]
-    return at_risk.select("*", *alive).drop(*[_name("s", m) for m in names]).where("deaths > 0")
-
-
-def likelihood(stops: DataFrame, d: int, ties: str = "efron", by: Sequence[str] = (), shift: float = 0.0) -> DataFrame:
-    """Per group: loss (negative log partial likelihood), g_i and h_i_j from the sums of its death times."""
+    of_alive, of_dead, plain = ([_name("a", m) for m in names], [_name("d", m) for m in names], ["deaths", "lp", *[f"x_{i}" for i in range(len(covariates))]])
+    counts = [F.col("n"), F.col("n") * F.col("__lp"), *[F.col("n") * F.col(c) for c in covariates]]
+    if isinstance(rows, DataFrame) and start is not None:
+        rows = cover(rows, covariates, stop, event, start, by, offset)
+    if isinstance(rows, DataFrame):
+        dead = F.col(event) == 1
+        bands = _banded(rows, covariates, beta, offset).groupBy(*by, F.col(stop).alias("t"), "__band").agg(
+            *[F.sum(F.when(dead, none).otherwise(term(m))).alias(c) for m, c in zip(names, of_alive)], *[F.sum(F.when(dead, term(m)).otherwise(none)).alias(c) for m, c in zip(names, of_dead)],
+            *[F.sum(F.when(dead, c).otherwise(none)).alias(k) for c, k in zip(counts, plain)],
+        )
+        return _one_scale(bands, [*by, "t"], [*of_alive, *of_dead], plain).where("deaths > 0")
+    nodes = _banded(rows.alive, covariates, beta, offset).groupBy(*by, "level", "node", "__band").agg(*[F.sum(term(m)).alias(c) for m, c in zip(names, of_alive)])
+    leaves = rows.dead.select(*by, "no").distinct().select(*by, "no", F.explode(F.sequence(F.lit(0), F.lit(rows.levels - 1))).alias("level"))
+    above = leaves.withColumn("node", F.call_function("shiftright", F.col("no"), F.col("level"))).join(nodes, [*by, "level", "node"])
+    died = _banded(rows.dead, covariates, beta, offset).groupBy(*by, "no", "__band").agg(
+        *[F.sum(term(m)).alias(c) for m, c in zip(names, of_dead)], *[F.sum(c).alias(k) for c, k in zip(counts, plain)]
+    )
+    # a time has a row a level and band
+    both = above.select(*by, "no", "__band", *of_alive, *[none.alias(c) for c in [*of_dead, *plain]])
+    both = both.unionByName(died.select(*by, "no", "__band", *[none.alias(c) for c in of_alive], *of_dead, *plain))
+    return _one_scale(both, [*by, "no"], [*of_alive, *of_dead], plain).join(rows.times, "no").drop("no")
+
+
+def sums(rows: DataFrame, covariates: Sequence[str], beta: Sequence[float | Column], stop: str = "stop", event: str = "event", start: str | None = None, by: Sequence[str] = (), shift: float = 0.0, offset: str | None = None) -> DataFrame:
+    """scaled_sums at one scale: per death time a_* and d_* of n exp(lp - shift) times 1, x_i, x_i x_j; deaths; lp; x_i of the dead."""
+    out = scaled_sums(rows, covariates, beta, stop, event, start, by, offset)
+    scale = F.exp(F.col("top") - F.lit(float(shift)))
+    return out.select(*[(F.col(c) * scale).alias(c) if c.split("_")[0] in ("a", "d") and c not in by else F.col(c) for c in out.columns if c != "top"])
+
+
+def likelihood(stops: DataFrame, d: int, ties: str = "efron", by: Sequence[str] = (), shift: float = 0.0, most_ties: int | None = None) -> DataFrame:
+    """Per group: loss (negative log partial likelihood), g_i and h_i_j from the sums of its death times (scaled_sums, or sums with their shift).
+
+    A time of W tied deaths is W rows, made from chunks of at most TIES; where most_ties says that a time has more, chunks are dealt out to the tasks first.
+    """
     if ties not in ("efron", "breslow"):
         raise ValueError("ties is efron or breslow")
     w = F.col("deaths").cast("int")
-    ks = F.sequence(F.lit(1), w) if ties == "efron" else F.array(w)
-    rows = stops.select("*", F.explode(ks).alias("k"))
+    if ties == "efron":
+        rows = stops.select("*", F.explode(F.sequence(F.lit(0), F.floor((w - 1) / TIES).cast("int"))).alias("chunk"))
+        if most_ties is not None and most_ties > TIES:
+            rows = rows.repartition(*by, "t", "chunk")
+        rows = rows.select("*", F.explode(F.sequence(F.col("chunk") * TIES + 1, F.least(w, (F.col("chunk") + 1) * TIES))).alias("k"))
+    else:
+        rows = stops.withColumn("k", w)
     c = F.col("k") / F.col("deaths") if ties == "efron" else F.lit(1.0)
     times = F.lit(1.0) if ties == "efron" else F.col("deaths")
+    log_scale = F.col("top") if "top" in stops.columns else F.lit(float(shift))
     s = {m: F.col(_name("a", m)) + c * F.col(_name("d", m)) for m in moments(d)}
     last = F.when(F.col("k") == w, 1.0).otherwise(0.0)  # what is counted once a time
-    out = [F.sum(times * (F.log(s[()]) + shift) - last * F.col("lp")).alias("loss")]
+    out = [F.sum(times * (F.log(s[()]) + log_scale) - last * F.col("lp")).alias("loss")]
     out += [F.sum(times * s[(i,)] / s[()] - last * F.col(f"x_{i}")).alias(f"g_{i}") for i in range(d)]
-    out += [F.sum(times * (s[m] / s[()] - s[m[:1]] * s[m[1:]] / (s[()] * s[()]))).alias(_name("h", m)) for m in moments(d) if len(m) == 2]
+    out += [F.sum(times * (s[m] / s[()] - (s[m[:1]] / s[()]) * (s[m[1:]] / s[()]))).alias(_name("h", m)) for m in moments(d) if len(m) == 2]
     return rows.groupBy(*by).agg(*out) if by else rows.agg(*out)
 
 

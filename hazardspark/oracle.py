@@ -26,10 +26,10 @@ def solved_sql(relation: str, d: int, sides: list[str], keep: list[str]) -> str:
     return relation
 
 
-def eval_sql(d: int, ties: str, alpha: float, source: str, keys: tuple[str, ...] = ()) -> str:
+def eval_sql(d: int, ties: str, alpha: float, source: str, keys: tuple[str, ...] = (), offset: bool = False) -> str:
     """One row per row of source (columns keys, i, b1, b2, ...): loss f, gradient and Hessian over the compacted table g."""
     x = [f"x{j + 1}" for j in range(d)]
-    lp = " + ".join(f"b{j + 1} * {v}" for j, v in enumerate(x))
+    lp = " + ".join([f"b{j + 1} * {v}" for j, v in enumerate(x)] + (["off"] if offset else []))
     pairs = [(a, b) for a in range(d) for b in range(a, d)]
     terms = {"0": "1", **{f"{j + 1}": v for j, v in enumerate(x)}, **{f"{a + 1}{b + 1}": f"{x[a]} * {x[b]}" for a, b in pairs}}
     s = ", ".join(f"sum(CASE WHEN event = {e} THEN n * exp({lp}) * {t} ELSE 0 END) AS {k}{m}" for e, k in ((0, "a"), (1, "d")) for m, t in terms.items())
@@ -48,15 +48,16 @@ def eval_sql(d: int, ties: str, alpha: float, source: str, keys: tuple[str, ...]
         GROUP BY {by}"""
 
 
-def compact_sql(covariates: list[str], table: str = "panel", keys: tuple[str, ...] = (), weight: str = "1") -> str:
+def compact_sql(covariates: list[str], table: str = "panel", keys: tuple[str, ...] = (), weight: str = "1", offset: str | None = None) -> str:
     """Tables top (the most deaths at a time) and g (equal rows as one)."""
-    xs = ", ".join(f"{c} AS x{j + 1}" for j, c in enumerate(covariates))
+    xs = ", ".join([f"{c} AS x{j + 1}" for j, c in enumerate(covariates)] + ([f"{offset} AS off"] if offset else []))
+    covariates = [*covariates, *([offset] if offset else [])]
     by = ", ".join([*keys, "stop"])
     return f"""top AS (SELECT CAST(max(c) AS BIGINT) AS n_dead FROM (SELECT sum({weight}) AS c FROM {table} WHERE event = 1 GROUP BY {by}) q),
     g AS MATERIALIZED (SELECT {by}, event, {xs}, CAST(sum({weight}) AS DOUBLE) AS n FROM {table} WHERE stop IN (SELECT stop FROM {table} WHERE event = 1) GROUP BY {by}, event, {", ".join(covariates)})"""
 
 
-def newton_sql(covariates: list[str], ties: str = "efron", alpha: float = 0.0, rounds: int = 8, table: str = "panel", keys: tuple[str, ...] = (), weight: str = "1") -> str:
+def newton_sql(covariates: list[str], ties: str = "efron", alpha: float = 0.0, rounds: int = 8, table: str = "panel", keys: tuple[str, ...] = (), weight: str = "1", offset: str | None = None) -> str:
     """Tables top, g and it: Newton steps from zero, numbered i, for each value of keys."""
     d = len(covariates)
     zero = ", ".join([*keys, *[f"CAST(0 AS DOUBLE) AS b{j + 1}" for j in range(d)]])
@@ -64,7 +65,8 @@ def newton_sql(covariates: list[str], ties: str = "efron", alpha: float = 0.0, r
     bs = [f"b{j + 1}" for j in range(d)]
     last = solved_sql(f"(SELECT * FROM it WHERE i < {rounds})", d, ["g"], ["i", *keys, *bs])
     step = f"(SELECT i + 1 AS i, {', '.join([*keys, *[f'b{j + 1} - g{j + 1} AS b{j + 1}' for j in range(d)]])} FROM {last} v) z"
-    return f"{compact_sql(covariates, table, keys, weight)}, it AS ({eval_sql(d, ties, alpha, start, keys)} UNION ALL {eval_sql(d, ties, alpha, step, keys)})"
+    both = " UNION ALL ".join(eval_sql(d, ties, alpha, source, keys, offset is not None) for source in (start, step))
+    return f"{compact_sql(covariates, table, keys, weight, offset)}, it AS ({both})"
 
 
 def fits_sql(covariates: list[str], rounds: int = 8, keys: tuple[str, ...] = (), alpha: float = 0.0) -> str:

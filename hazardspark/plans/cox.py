@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from hazardspark.functions import tails
 from hazardspark.operators import panel, riskset
 from hazardspark.plans import replicates
-from hazardspark.plans.formula import parse
-from hazardspark.plans.newton import Kernel, Optimum, newton
+from hazardspark.plans.formula import Design, Formula, design, parse
+from hazardspark.plans.newton import Kernel, Optimum, aliased, inverse, newton
 
 #: Compacted rows up to which a fit runs on the driver; beyond it every evaluation is a Spark aggregation.
 DRIVER_ROWS = 100_000
@@ -37,6 +37,20 @@ class CoxModel:
     init: np.ndarray = field(default_factory=lambda: np.zeros(0))
     evaluations: int = 0
     penalty: float = 0.0
+    #: Terms without information of their own: their coefficients count as 0, with zero variance, and are not a number in results.
+    aliased: tuple[bool, ...] = ()
+    design: Design | None = None
+    offset: str | None = None
+
+    @property
+    def df(self) -> int:
+        """Terms that are not aliased."""
+        return len(self.coef) - sum(self.aliased)
+
+    def coefficients(self) -> dict[str, float]:
+        """By term, not a number for an aliased one."""
+        gone = self.aliased or (False,) * len(self.coef)
+        return {t: math.nan if g else float(b) for t, b, g in zip(self.covariates, self.coef, gone)}
 
     @property
     def se(self) -> np.ndarray:
@@ -48,10 +62,10 @@ class CoxModel:
 
     def tests(self) -> dict[str, float]:
         """Likelihood-ratio, Wald and score tests, their p values, pseudo R squared and its maximum."""
-        df = len(self.coef)
+        df = self.df
         lr = 2 * (self.loglik - self.loglik_init)
         away = self.coef - self.init
-        wald = float(away @ np.linalg.pinv(self.vcov) @ away)
+        wald = float(away @ inverse(self.vcov) @ away)
         return {
             "df": df, "lr": lr, "lr_p": tails.chi2_tail(lr, df), "wald": wald, "wald_p": tails.chi2_tail(wald, df),
             "score": self.score, "score_p": tails.chi2_tail(self.score, df),
@@ -62,7 +76,8 @@ class CoxModel:
         """One row per term: coef, exp_coef, se, z, p, and the interval of coef and of exp(coef)."""
         q = tails.normal_quantile((1 + level) / 2)
         rows = []
-        for name, b, s in zip(self.covariates, self.coef, self.se):
+        for (name, b), s in zip(self.coefficients().items(), self.se):
+            s = math.nan if math.isnan(b) else s
             z = b / s if s > 0 else float("nan")
             rows.append((name, float(b), math.exp(b), math.exp(-b), float(s), float(z), tails.normal_two_sided(z), float(b - q * s), float(b + q * s), math.exp(b - q * s), math.exp(b + q * s)))
         return spark.createDataFrame(rows, "term string, coef double, exp_coef double, exp_minus_coef double, se double, z double, p double, coef_lo double, coef_hi double, lo double, hi double")
@@ -74,20 +89,24 @@ class CoxModel:
             if (t not in self.covariates) if isinstance(t, str) else not 1 <= t <= len(self.covariates):
                 raise ValueError(f"no such term: {t}")
             i = self.covariates.index(t) if isinstance(t, str) else t - 1
-            rows.append((self.covariates[i], float(self.coef[i] - q * self.se[i]), float(self.coef[i] + q * self.se[i])))
+            b = self.coefficients()[self.covariates[i]]
+            rows.append((self.covariates[i], float(b - q * self.se[i]), float(b + q * self.se[i])))
         return spark.createDataFrame(rows, "term string, lo double, hi double")
 
     def aic(self) -> float:
-        return -2 * self.loglik + 2 * len(self.coef)
+        return -2 * self.loglik + 2 * self.df
 
     def bic(self) -> float:
-        return -2 * self.loglik + len(self.coef) * math.log(self.events)
+        return -2 * self.loglik + self.df * math.log(self.events)
 
     def linear_predictor(self, df: DataFrame, out: str = "lp") -> DataFrame:
-        """df with lp = coef . (x - mean); columns whose values lie in -1, 0, 1 are not centred."""
-        checks = df.agg(*[F.min(F.col(c).isin(-1, 0, 1)).alias(c) for c in self.covariates]).first()
-        centre = [0.0 if checks[c] else float(m) for c, m in zip(self.covariates, self.means)]
-        return df.withColumn(out, riskset.predictor(self.covariates, self.coef, centre))
+        """df with lp = coef . (x - mean), and the offset if the model has one; columns whose values lie in -1, 0, 1 are not centred."""
+        names = self.design.names if self.design else list(self.covariates)
+        rows = self.design.matrix(df) if self.design else df
+        checks = rows.agg(*[F.min(F.col(c).isin(-1, 0, 1)).alias(c) for c in names]).first()
+        centre = [0.0 if checks[c] else float(m) for c, m in zip(names, self.means)]
+        lp = riskset.predictor(names, self.coef, centre) + (F.col(self.offset) if self.offset else F.lit(0.0))
+        return rows.withColumn(out, lp).drop(*[n for n in names if n not in df.columns])
 
     def risk(self, df: DataFrame, out: str = "risk") -> DataFrame:
         """df with exp(lp), shifted where it would overflow."""
@@ -103,10 +122,11 @@ def scaled(df: DataFrame, column: str, out: str, unit: float = 1.0) -> DataFrame
     return df.withColumn(out, (F.col(column) - F.lit(mean)) / F.lit(total) * F.lit(float(unit)))
 
 
-def evaluate(rows: DataFrame, covariates: Sequence[str], beta: np.ndarray, stop: str, event: str, start: str | None, ties: str, alpha: float, span: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-    """One aggregation job over compacted rows; span: largest absolute value of each covariate."""
-    d, shift = len(covariates), float(np.abs(beta) @ span)
-    got = riskset.likelihood(riskset.sums(rows, covariates, beta, stop, event, start, shift=shift), d, ties, shift=shift).first()
+def evaluate(rows: DataFrame | riskset.Cover, covariates: Sequence[str], beta: np.ndarray, stop: str, event: str, ties: str, alpha: float, most_ties: int | None = None, offset: str | None = None) -> tuple[float, np.ndarray, np.ndarray]:
+    """One aggregation job over compacted rows, or over the cover of interval risk sets."""
+    d = len(covariates)
+    sums = riskset.scaled_sums(rows, covariates, beta, stop, event, offset=offset)
+    got = riskset.likelihood(sums, d, ties, most_ties=most_ties).first()
     g = np.array([got[f"g_{i}"] for i in range(d)]) + 2 * alpha * beta
     h = np.zeros((d, d))
     for i in range(d):
@@ -115,12 +135,13 @@ def evaluate(rows: DataFrame, covariates: Sequence[str], beta: np.ndarray, stop:
     return got["loss"] + alpha * float(beta @ beta), g, h + 2 * alpha * np.eye(d)
 
 
-def cox_fit(df: DataFrame, covariates: Sequence[str], stop: str = "stop", event: str = "event", start: str | None = None, ties: str = "efron", risk_set: str = "aligned", alpha: float = 0.0, maxiter: int = 20, init: Sequence[float] | None = None, doscale: bool = False, weight: str | None = None, singular_ok: bool = False, driver_rows: int = DRIVER_ROWS) -> CoxModel:
-    """Fit by Newton iterations on compacted rows, on the driver if these are few and by Spark aggregations if not.
+def cox_fit(df: DataFrame, covariates: Sequence[str], stop: str = "stop", event: str = "event", start: str | None = None, ties: str = "efron", risk_set: str = "aligned", alpha: float = 0.0, maxiter: int = 20, init: Sequence[float] | None = None, doscale: bool = False, weight: str | None = None, singular_ok: bool = False, driver_rows: int = DRIVER_ROWS, offset: str | None = None) -> CoxModel:
+    """Fit by Newton iterations on compacted rows, on the driver if these are few and by Spark aggregations if not; both sum risks at each risk set's own scale.
 
     risk_set: aligned (rows with equal stop) or interval (start < t <= stop, needs start). doscale divides covariates by the sum of absolute
     deviations from their mean for the iterations (constant ones stay), and the penalty alpha is on that scale; results are on the original one. Rows with nulls in
-    used columns are dropped. weight: numbers of equal rows, or any with Breslow's ties. Without events the coefficients are not a number, with zero variance.
+    used columns are dropped. weight: numbers of equal rows, or any with Breslow's ties. offset: a column added to the linear predictor. Without events the coefficients are not a number,
+    with zero variance. Information that is singular (a term is a combination of those before it) raises; with singular_ok such terms are aliased.
     """
     covariates = list(covariates)
     if risk_set not in ("aligned", "interval") or (risk_set == "interval" and not start):
@@ -131,58 +152,74 @@ def cox_fit(df: DataFrame, covariates: Sequence[str], stop: str = "stop", event:
     init = np.zeros(len(covariates)) if init is None else np.asarray(init, dtype=float)
     if len(init) != len(covariates):
         raise ValueError("init needs a value for each covariate")
-    columns = [*([start] if start else []), stop, event, *covariates, *([weight] if weight else [])]
+    columns = [*([start] if start else []), stop, event, *covariates, *([weight] if weight else []), *([offset] if offset else [])]
     rows = panel.drop_missing(df.select(*{c: None for c in columns}), columns)
-    rows = rows.withColumns({c: F.col(c).cast("double") for c in covariates})
-    events = panel.validate(rows, stop, event, covariates, start, weight, ties == "efron")
-    facts = rows.agg(
-        F.count("*").alias("n"), *[F.avg(c).alias(f"m_{i}") for i, c in enumerate(covariates)], *[F.max(F.abs(c)).alias(f"a_{i}") for i, c in enumerate(covariates)],
-    ).first()
+    rows = rows.withColumns({c: F.col(c).cast("double") for c in [*covariates, *([offset] if offset else [])]})
+    events = panel.validate(rows, stop, event, [*covariates, *([offset] if offset else [])], start, weight, ties == "efron")
+    facts = rows.agg(F.count("*").alias("n"), *[F.avg(c).alias(f"m_{i}") for i, c in enumerate(covariates)]).first()
     means = np.array([facts[f"m_{i}"] for i in range(len(covariates))])
     if not events:
         none = np.full(len(covariates), np.nan)
-        return CoxModel(tuple(covariates), none, np.zeros((len(none), len(none))), 0.0, 0.0, 0.0, np.zeros(len(none)), means, int(facts["n"]), 0, ties, alpha, init)
+        return CoxModel(tuple(covariates), none, np.zeros((len(none), len(none))), 0.0, 0.0, 0.0, np.zeros(len(none)), means, int(facts["n"]), 0, ties, alpha, init, offset=offset)
     scale = np.ones(len(covariates))
     if doscale:
-        spread = rows.agg(*[F.sum(F.abs(F.col(c) - F.lit(float(m)))).alias(f"s_{i}") for i, (c, m) in enumerate(zip(covariates, means))]).first()
-        scale = np.array([x or 1.0 for x in spread])
-        rows = rows.withColumns({c: F.col(c) / float(s) for c, s in zip(covariates, scale)})
-    span = np.array([facts[f"a_{i}"] for i in range(len(covariates))]) / scale
-    small = riskset.compact(rows, covariates, stop, event, used, weight).persist()
+        scale = spread(rows, covariates, means)
+    small = riskset.compact(rows, covariates, stop, event, used, weight, offset=offset).persist()
+    held = [small]
     try:
         if small.limit(driver_rows + 1).count() <= driver_rows:
             table = small.toPandas()
-            loss = Kernel(table[stop], table[event], table[covariates], table["n"], table[used] if used else None, ties, alpha)
+            loss = Kernel(table[stop], table[event], table[covariates] / scale, table["n"], table[used] if used else None, ties, alpha, table[offset] if offset else None)
         else:
-            loss = lambda b: evaluate(small, covariates, b, stop, event, used, ties, alpha, span)
+            # the likelihood does not change when covariates are centred, and rounding is the better for it
+            centred = small.withColumns({c: (F.col(c) - float(m)) / float(s) for c, m, s in zip(covariates, means, scale)})
+            most = int(small.where(F.col(event) == 1).groupBy(stop).agg(F.sum("n").alias("n")).agg(F.max("n")).first()[0])
+            if used:
+                centred = riskset.cover(centred, covariates, stop, event, used, offset=offset).persist()
+                held.append(centred)
+            loss = lambda b: evaluate(centred, covariates, b, stop, event, ties, alpha, most, offset)
         found = newton(loss, init * scale, maxiter, singular_ok=singular_ok)
     finally:
-        small.unpersist()
-    return model_of(found, covariates, means, int(facts["n"]), events, ties, alpha, init, scale, singular_ok)
+        for df in held:
+            df.unpersist()
+    return replace(model_of(found, covariates, means, int(facts["n"]), events, ties, alpha, init, scale), offset=offset)
+
 
+def spread(rows: DataFrame, covariates: Sequence[str], means: np.ndarray) -> np.ndarray:
+    """Sum of absolute deviations of each covariate from its mean; 1 for a constant one."""
+    got = rows.agg(*[F.sum(F.abs(F.col(c) - F.lit(float(m)))).alias(f"s_{i}") for i, (c, m) in enumerate(zip(covariates, means))]).first()
+    return np.array([x or 1.0 for x in got])
 
-def model_of(found: Optimum, covariates: Sequence[str], means: np.ndarray, n: int, events: int, ties: str, alpha: float, init: np.ndarray, scale: np.ndarray | None = None, singular_ok: bool = False) -> CoxModel:
+
+def model_of(found: Optimum, covariates: Sequence[str], means: np.ndarray, n: int, events: int, ties: str, alpha: float, init: np.ndarray, scale: np.ndarray | None = None) -> CoxModel:
     scale = np.ones(len(covariates)) if scale is None else scale
-    inverse = np.linalg.pinv(found.hessian) if singular_ok else np.linalg.inv(found.hessian)
-    inverse = (inverse + inverse.T) / 2
     return CoxModel(
-        tuple(covariates), found.beta / scale, inverse / np.outer(scale, scale), -found.loss_init, -found.loss, found.score,
-        -found.gradient * scale, means, n, events, ties, alpha, init, found.evaluations, alpha * float(found.beta @ found.beta),
+        tuple(covariates), found.beta / scale, inverse(found.hessian) / np.outer(scale, scale), -found.loss_init, -found.loss, found.score,
+        -found.gradient * scale, means, n, events, ties, alpha, init, found.evaluations, alpha * float(found.beta @ found.beta), tuple(map(bool, aliased(found.hessian))),
     )
 
 
-def cox(formula: str, df: DataFrame, **options) -> CoxModel:
-    """cox_fit from a formula; right-censored Surv(time, status) are intervals that begin before all times, with their true risk sets."""
+def _modelled(formula: str, df: DataFrame, options: dict, more: Sequence[str] = ()) -> tuple[Formula, Design, DataFrame, dict]:
+    """The formula, its design, rows with the design's columns, and cox_fit's options; right-censored times are intervals that begin before all times."""
     f = parse(formula, df.columns)
-    if not f.covariates:
+    d = design(f, df)
+    if not d.names:
         raise ValueError("no covariates")
+    kept = list(dict.fromkeys([f.stop, f.event, *d.names, *([f.offset] if f.offset else []), *([options["weight"]] if options.get("weight") else []), *more]))
+    rows = d.matrix(df)
     if f.start is None:
-        kept = [options["weight"]] if options.get("weight") else []
         first = df.agg(F.min(f.stop)).first()[0]
         start = F.lit((first if first is not None else 0) - 1).cast(df.schema[f.stop].dataType).alias("__start")
-        rows = panel.drop_missing(df.select(start, f.stop, f.event, *f.covariates, *kept), [f.stop, f.event, *f.covariates, *kept])
-        return cox_fit(rows, f.covariates, f.stop, f.event, "__start", **{**options, "risk_set": "interval"})
-    return cox_fit(df, f.covariates, f.stop, f.event, f.start, **options)
+        # also here: rows with nulls in variables of the formula are dropped, whatever columns they make
+        rows = panel.drop_missing(rows, [f.stop, f.event, *f.used()]).select(start, *kept)
+        return f, d, rows, {**options, "start": "__start", "risk_set": "interval", "offset": f.offset}
+    return f, d, rows.select(f.start, *[c for c in kept if c != f.start]), {**options, "start": f.start, "offset": f.offset}
+
+
+def cox(formula: str, df: DataFrame, **options) -> CoxModel:
+    """cox_fit from a formula; right-censored Surv(time, status) are intervals that begin before all times, with their true risk sets."""
+    f, d, rows, options = _modelled(formula, df, options)
+    return replace(cox_fit(rows, d.names, f.stop, f.event, **options), covariates=d.labels, design=d)
 
 
 @dataclass(frozen=True)
@@ -197,11 +234,14 @@ class CoxBootstrap:
         return replicates.quantiles(self.fits, ["term"], "coef", level)
 
 
-def cox_bootstrap(formula: str, df: DataFrame, count: int, batchsize: int = 0, unit: str = "row", seed: int = 1, id: str = "id", all_results: bool = False, **options) -> CoxBootstrap:
-    """cox with three columns in Surv, and its replicates, in one call. Without all_results only the sample's fit has se and loglik."""
-    f = parse(formula, df.columns)
-    if f.start is None:
-        raise ValueError("replicates are drawn from (start, stop, event] rows: cut the table with split_at first")
-    kept = {k: v for k, v in options.items() if k in ("ties", "alpha", "maxiter")}
-    fits = replicates.bootstrap_fits(df, f.covariates, count, batchsize, unit, seed=seed, id=id, stop=f.stop, event=f.event, all_results=all_results, **kept)
-    return CoxBootstrap(cox(formula, df, **options), fits)
+def cox_bootstrap(formula: str, df: DataFrame, count: int, batchsize: int = 0, unit: str = "row", seed: int = 1, id: str = "id", all_results: bool = False, task_values: int = replicates.TASK_VALUES, **options) -> CoxBootstrap:
+    """cox and its replicates, in one call, of any formula and with all of cox_fit's options. Without all_results only the sample's fit has se and loglik.
+
+    Replicates are drawn from the rows in order of id and stop; tables without the column id (unit row only) in order of all used columns.
+    """
+    f, d, rows, options = _modelled(formula, df, options, [id] if id in df.columns else [])
+    model = replace(cox_fit(rows, d.names, f.stop, f.event, **options), covariates=d.labels, design=d)
+    options = {k: v for k, v in options.items() if k not in ("singular_ok", "driver_rows")}
+    fits = replicates.bootstrap_fits(rows, d.names, count, batchsize, unit, seed=seed, id=id if id in df.columns else None, stop=f.stop, event=f.event, all_results=all_results, task_values=task_values, **options)
+    label = F.create_map(*[F.lit(x) for pair in zip(d.names, d.labels) for x in pair])
+    return CoxBootstrap(model, fits.withColumn("term", F.element_at(label, F.col("term"))))

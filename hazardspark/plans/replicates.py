@@ -6,7 +6,6 @@ and each evaluation is one Spark job with a row a fit as its result.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -15,82 +14,127 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hazardspark.operators import panel, resample, riskset
-from hazardspark.plans.newton import Kernel, newton, newton_many
+from hazardspark.plans.newton import Kernel, inverse, newton, newton_many
 
 #: Rows times columns that a task may hold for a fit.
 TASK_VALUES = 10_000_000
+#: Values of Hessians that come to the driver at a time, from fits that share their aggregations.
+DRIVER_VALUES = 4_000_000
 
 
-def grouped_fits(rows: DataFrame, by: Sequence[str], covariates: Sequence[str], stop: str = "stop", event: str = "event", weight: str | None = None, ties: str = "efron", alpha: float = 0.0, maxiter: int = 20) -> DataFrame:
-    """by, term, coef, se, loglik: a fit for each group, all evaluated in one aggregation after another. Groups without events have no row."""
+def _se(hessian: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum(0, np.diag(inverse(hessian))))
+
+
+def grouped_fits(rows: DataFrame, by: Sequence[str], covariates: Sequence[str], stop: str = "stop", event: str = "event", weight: str | None = None, ties: str = "efron", alpha: float = 0.0, maxiter: int = 20, start: str | None = None, offset: str | None = None, init: np.ndarray | None = None, driver_values: int = DRIVER_VALUES) -> DataFrame:
+    """by, term, coef, se, loglik: a fit for each group, evaluated in one aggregation after another by all groups of a batch. Groups without events have no row.
+
+    start: risk sets are of intervals. Batches are as large as their coefficients and Hessians fit the driver.
+    """
     spark, names, d = rows.sparkSession, list(covariates), len(covariates)
-    small = riskset.compact(rows.withColumns({c: F.col(c).cast("double") for c in names}), names, stop, event, weight=weight, by=by).persist()
+    init = np.zeros(d) if init is None else np.asarray(init, dtype=float)
+    small = riskset.compact(rows.withColumns({c: F.col(c).cast("double") for c in [*names, *([offset] if offset else [])]}), names, stop, event, start, weight, by, offset).persist()
+    held = [small]
     kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in by)
+    fits, at_once = [], max(1, driver_values // (d + 1) ** 2)
     try:
-        keys = [tuple(r) for r in small.where(F.col(event) == 1).select(*by).distinct().collect()]  # a row a fit
+        # the likelihood does not change when covariates are centred, and rounding is the better for it
+        means = small.agg(*[F.avg(c) for c in names]).first()
+        centred = small.withColumns({c: F.col(c) - float(m or 0.0) for c, m in zip(names, means)})
+        dead = small.where(F.col(event) == 1)
+        most = dead.groupBy(*by, stop).agg(F.sum("n").alias("n")).agg(F.max("n")).first()[0]
+        if start:
+            centred = riskset.cover(centred, names, stop, event, start, by, offset).persist()
+            held.append(centred)
+        keys = sorted((tuple(r) for r in dead.select(*by).distinct().collect()), key=str)  # a row a fit
 
         def loss(candidates: dict) -> dict:
             at = spark.createDataFrame([(*k, *map(float, b)) for k, b in candidates.items()], f"{kinds}, " + ", ".join(f"__b{i} double" for i in range(d)))
-            # a row a fit
-            joined = small.join(F.broadcast(at), list(by))
-            sums = riskset.sums(joined, names, [F.col(f"__b{i}") for i in range(d)], stop, event, by=by)
+            # at most at_once rows
+            beside = lambda df: df.join(F.broadcast(at), list(by))
+            joined = riskset.Cover(beside(centred.alive), beside(centred.dead), centred.times, centred.levels) if start else beside(centred)
+            sums = riskset.scaled_sums(joined, names, [F.col(f"__b{i}") for i in range(d)], stop, event, by=by, offset=offset)
             out = {}
-            for r in riskset.likelihood(sums, d, ties, by).collect():
+            for r in riskset.likelihood(sums, d, ties, by, most_ties=int(most)).collect():
                 k = tuple(r[c] for c in by)
                 h = np.array([[r[f"h_{min(i, j)}_{max(i, j)}"] for j in range(d)] for i in range(d)]) + 2 * alpha * np.eye(d)
                 b = candidates[k]
                 out[k] = (r["loss"] + alpha * float(b @ b), np.array([r[f"g_{i}"] for i in range(d)]) + 2 * alpha * b, h)
             return out
 
-        found = newton_many(loss, {k: np.zeros(d) for k in keys}, maxiter, singular_ok=True)
+        for low in range(0, len(keys), at_once):
+            found = newton_many(loss, {k: init for k in keys[low : low + at_once]}, maxiter, singular_ok=True)
+            for k, fit in found.items():
+                fits += [(*k, t, float(c), float(s), -fit.loss) for t, c, s in zip(names, fit.beta, _se(fit.hessian))]
     finally:
-        small.unpersist()
-    fits = []
-    for k, fit in found.items():
-        se = np.sqrt(np.maximum(0, np.diag(np.linalg.pinv(fit.hessian))))
-        fits += [(*k, t, float(c), float(s), -fit.loss) for t, c, s in zip(names, fit.beta, se)]
+        for df in held:
+            df.unpersist()
     return spark.createDataFrame(fits, f"{kinds}, term string, coef double, se double, loglik double")
 
 
-def bootstrap_fits(df: DataFrame, covariates: Sequence[str], replicates: int, batchsize: int = 0, unit: str = "row", ties: str = "efron", alpha: float = 0.0, maxiter: int = 20, seed: int = 1, id: str = "id", stop: str = "stop", event: str = "event", all_results: bool = True, task_values: int = TASK_VALUES) -> DataFrame:
+def bootstrap_fits(df: DataFrame, covariates: Sequence[str], replicates: int, batchsize: int = 0, unit: str = "row", ties: str = "efron", alpha: float = 0.0, maxiter: int = 20, seed: int = 1, id: str | None = "id", stop: str = "stop", event: str = "event", all_results: bool = True, task_values: int = TASK_VALUES, start: str | None = None, risk_set: str = "aligned", weight: str | None = None, init: Sequence[float] | None = None, doscale: bool = False, offset: str | None = None) -> DataFrame:
     """(b, term, coef, se, loglik): replicate 0 is the sample. Without all_results only replicate 0 has se and loglik.
 
-    unit: what is drawn, row (after the death-time filter) or subject. Up to task_values values, rows at death times travel to the tasks once and a
+    unit: what is drawn, row (with aligned risk sets after the death-time filter) or subject. Up to task_values values, rows travel to the tasks once and a
     task fits batchsize replicates (0: as many as make 4 tasks a core); beyond it the draws are a table and all replicates are fitted by shared aggregations.
+    Without an id rows are numbered in order of all their columns. The other options are cox_fit's; a replicate's weights multiply the rows' own.
     """
     if batchsize and replicates % batchsize:
         raise ValueError("batchsize must divide replicates")
+    if risk_set not in ("aligned", "interval") or (risk_set == "interval" and not start):
+        raise ValueError("risk_set is aligned, or interval with start")
+    if unit not in ("row", "subject") or (unit == "subject" and not id):
+        raise ValueError("unit is row, or subject with an id")
     spark, names = df.sparkSession, list(covariates)
-    rows = panel.at_death_times(panel.drop_missing(df, [stop, event, *names]), stop, event).select(id, stop, event, *names)
+    start = start if risk_set == "interval" else None
+    more = [c for c in (start, weight, offset) if c]
+    rows = panel.drop_missing(df, [stop, event, *names, *more]).select(*dict.fromkeys([*([id] if id else []), stop, event, *names, *more]))
+    scale = np.ones(len(names))
+    if doscale:
+        facts = rows.agg(*[F.avg(c) for c in names]).first()
+        got = rows.agg(*[F.sum(F.abs(F.col(c) - F.lit(float(m)))) for c, m in zip(names, facts)]).first()
+        scale = np.array([x or 1.0 for x in got])
+        rows = rows.withColumns({c: F.col(c) / float(s) for c, s in zip(names, scale)})
+    init = np.zeros(len(names)) if init is None else np.asarray(init, dtype=float) * scale
+    if start is None:
+        rows = panel.at_death_times(rows, stop, event)
+    order = [id, stop] if id else [stop, event, *[c for c in rows.columns if c not in (stop, event)]]
     limit = task_values // (len(names) + 3)
     if rows.limit(limit + 1).count() > limit:
-        drawn = resample.row_bootstrap(rows, replicates, seed, id, stop) if unit == "row" else resample.subject_bootstrap(rows, replicates, seed, id)
-        found = grouped_fits(drawn, ["b"], names, stop, event, "w", ties, alpha, maxiter)
+        drawn = resample.row_bootstrap(rows, replicates, seed, order[0], order[1:]) if unit == "row" else resample.subject_bootstrap(rows, replicates, seed, id)
+        if weight:
+            drawn = drawn.withColumn("w", F.col("w") * F.col(weight))
+        found = grouped_fits(drawn, ["b"], names, stop, event, "w", ties, alpha, maxiter, start, offset, init)
     else:
-        found = _task_fits(rows.toPandas(), spark, names, replicates, batchsize, unit, ties, alpha, maxiter, seed, id, stop, event)
+        found = _task_fits(rows.toPandas(), spark, names, replicates, batchsize, unit, ties, alpha, maxiter, seed, order, stop, event, start, weight, offset, init)
+    if doscale:
+        size = F.element_at(F.create_map(*[F.lit(x) for pair in zip(names, map(float, scale)) for x in pair]), F.col("term"))
+        found = found.withColumn("coef", F.col("coef") / size).withColumn("se", F.col("se") / size)
     if all_results:
         return found
     return found.select("b", "term", "coef", *[F.when(F.col("b") == 0, F.col(c)).alias(c) for c in ("se", "loglik")])
 
 
-def _task_fits(rows: pd.DataFrame, spark, names: list[str], replicates: int, batchsize: int, unit: str, ties: str, alpha: float, maxiter: int, seed: int, id: str, stop: str, event: str) -> DataFrame:
-    rows = rows.sort_values([id, stop], kind="stable")
-    subject = np.unique(rows[id].to_numpy(), return_inverse=True)[1]
+def _task_fits(rows: pd.DataFrame, spark, names: list[str], replicates: int, batchsize: int, unit: str, ties: str, alpha: float, maxiter: int, seed: int, order: list[str], stop: str, event: str, start: str | None, weight: str | None, offset: str | None, init: np.ndarray) -> DataFrame:
+    rows = rows.sort_values(order, kind="stable")
+    subject = np.unique(rows[order[0]].to_numpy(), return_inverse=True)[1]
+    extra = [rows[c].to_numpy() if c else None for c in (start, weight, offset)]
     # of at most TASK_VALUES values
-    data = spark.sparkContext.broadcast((rows[stop].to_numpy(), rows[event].to_numpy(), rows[names].to_numpy(dtype=float), subject))
+    data = spark.sparkContext.broadcast((rows[stop].to_numpy(), rows[event].to_numpy(), rows[names].to_numpy(dtype=float), subject, *extra))
 
     def run(batches):
-        at, dead, x, of = data.value
+        at, dead, x, of, begin, own, added = data.value
         n = int(of.max()) + 1 if unit == "subject" else len(at)
         for batch in batches:
             out = []
             for b in batch["id"]:
                 w = resample.draws_of(n, int(b), seed)
                 w = w[of] if unit == "subject" else w
+                w = w if own is None else w * own
                 some = w > 0
-                fit = newton(Kernel(at[some], dead[some], x[some], w[some], None, ties, alpha), np.zeros(len(names)), maxiter, singular_ok=True)
-                se = np.sqrt(np.maximum(0, np.diag(np.linalg.pinv(fit.hessian))))
-                out += [(int(b), t, float(c), float(s), -fit.loss) for t, c, s in zip(names, fit.beta, se)]
+                kernel = Kernel(at[some], dead[some], x[some], w[some], None if begin is None else begin[some], ties, alpha, None if added is None else added[some])
+                fit = newton(kernel, init, maxiter, singular_ok=True)
+                out += [(int(b), t, float(c), float(s), -fit.loss) for t, c, s in zip(names, fit.beta, _se(fit.hessian))]
             yield pd.DataFrame(out, columns=["b", "term", "coef", "se", "loglik"])
 
     tasks = replicates // batchsize if batchsize else min(replicates, 4 * spark.sparkContext.defaultParallelism)
@@ -117,8 +161,7 @@ def channel_fits(df: DataFrame, channel: str, covariates: Sequence[str], ties: s
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         found = newton(Kernel(pdf[stop], pdf[event], pdf[names], pdf["n"], None, ties, alpha), np.zeros(len(names)), maxiter, singular_ok=True)
-        se = np.sqrt(np.maximum(0, np.diag(np.linalg.pinv(found.hessian))))
-        return pd.DataFrame({channel: pdf[channel].iloc[0], "term": names, "coef": found.beta, "se": se, "loglik": -found.loss})
+        return pd.DataFrame({channel: pdf[channel].iloc[0], "term": names, "coef": found.beta, "se": _se(found.hessian), "loglik": -found.loss})
 
     kind = df.schema[channel].dataType.simpleString()
     return rows.groupBy(channel).applyInPandas(fit, f"`{channel}` {kind}, term string, coef double, se double, loglik double")
@@ -149,6 +192,3 @@ def permutation_test(risks: DataFrame, channel: str, p: str = "p") -> DataFrame:
     joint = joint.groupBy(channel).agg(F.count("*").alias("__n")).join(F.broadcast(risks.agg(F.countDistinct(p).alias("__all"))))
     return real.join(single, channel).join(joint.select(channel, (F.col("__n") / F.col("__all")).alias("adjusted_p")), channel)
 
-
-def log_ratio(model_coef: np.ndarray, atoms: np.ndarray, exposed: Sequence[float], reference: Sequence[float]) -> float:
-    return math.fsum(((np.asarray(exposed, float) - np.asarray(reference, float)) @ atoms) * model_coef)

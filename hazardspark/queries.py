@@ -321,12 +321,66 @@ def cox_weighted_rows(spark, sf_dir):
     return _fit_rows(spark, cox.cox("Surv(time, status) ~ sex", rows, ties="breslow", weight="w"))
 
 
+PAIR_FITS_SQL = f"{oracle.newton_sql(['sex', 'age'])}, fits AS MATERIALIZED ({oracle.fits_sql(['sex', 'age'])})"
+
+
+def _large(df: DataFrame) -> DataFrame:
+    """Covariates far from zero, whose exponentials overflow unless sums find their own scale."""
+    return df.select("id", "start", "stop", "event", "sex", (F.col("age") + 200_000).alias("year"), (-3 * F.col("age") - 90_000).alias("below"))
+
+
+#: The same covariates about their means, where SQL can take exponentials; coefficients are the same.
+LARGE_SQL = "lg AS (SELECT id, start, stop, event, sex, age - (SELECT avg(age) FROM panel) AS year FROM panel)"
+
+
+@query(f"WITH {LARGE_SQL}, {oracle.newton_sql(['sex', 'year'], table='lg')} {_fit_rows_sql(['sex', 'year'])}")
+def cox_large_covariates(spark, sf_dir):
+    return _fit_rows(spark, cox.cox_fit(_large(_panel(spark, sf_dir)), ["sex", "year"], driver_rows=0))
+
+
+@query(f"WITH {LARGE_SQL}, {oracle.newton_sql(['sex', 'year'], 'breslow', table='lg')} {_fit_rows_sql(['sex', 'year'])}")
+def cox_interval_distributed(spark, sf_dir):
+    return _fit_rows(spark, cox.cox_fit(_large(_panel(spark, sf_dir)), ["sex", "year"], start="start", ties="breslow", risk_set="interval", driver_rows=0))
+
+
+@query(f"""WITH {PAIR_FITS_SQL}
+    SELECT term, round(coef, 6) AS coef, round(se, 6) AS se, round(loglik, 5) AS loglik, 2 AS df FROM fits UNION ALL SELECT 'below', NULL, NULL, round(loglik, 5), 2 FROM fits WHERE term = 'sex'""")
+def cox_aliased_term(spark, sf_dir):
+    m = cox.cox_fit(_large(_panel(spark, sf_dir)).withColumn("age", F.col("year") - 200_000), ["sex", "age", "below"], singular_ok=True)
+    rows = [(t, None if b != b else round(b, 6), None if b != b else round(float(s), 6), round(m.loglik, 5), m.df) for (t, b), s in zip(m.coefficients().items(), m.se)]
+    return spark.createDataFrame(rows, "term string, coef double, se double, loglik double, df int")
+
+
+DESIGN_SQL = """ds AS (SELECT stop, event, sex AS c1, CAST(id % 3 = 1 AS INTEGER) AS c2, CAST(id % 3 = 2 AS INTEGER) AS c3, sex * CAST(id % 3 = 1 AS INTEGER) AS c4, sex * CAST(id % 3 = 2 AS INTEGER) AS c5, age / 100.0::DOUBLE AS z FROM panel)"""
+
+
+def _banded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _panel(spark, sf_dir).withColumn("band", F.col("id") % 3).withColumn("z", F.col("age") / 100)
+
+
+@query(f"""WITH {DESIGN_SQL}, {oracle.newton_sql(['c1', 'c2', 'c3', 'c4', 'c5'], table='ds', offset='z')}, q AS ({_fit_rows_sql(['c1', 'c2', 'c3', 'c4', 'c5'])})
+    SELECT l.label AS term, q.* EXCLUDE (term) FROM q JOIN (VALUES ('c1', 'sex'), ('c2', 'factor(band)1'), ('c3', 'factor(band)2'), ('c4', 'sex:factor(band)1'), ('c5', 'sex:factor(band)2')) l(term, label) USING (term)""")
+def cox_factors_and_offset(spark, sf_dir):
+    return _fit_rows(spark, cox.cox("Surv(start, stop, event) ~ sex * factor(band) + offset(z)", _banded(spark, sf_dir)))
+
+
 @query("SELECT 'sex' AS term, 0.0::DOUBLE AS coef UNION ALL SELECT 'age', 0.0::DOUBLE")
 def cox_one_iteration(spark, sf_dir):
     m = cox.cox_fit(_panel(spark, sf_dir), ["sex", "age"], maxiter=1)
     return spark.createDataFrame([(t, float(b)) for t, b in zip(m.covariates, m.coef)], "term string, coef double")
 
 
+LP_SQL = f"{DESIGN_SQL}, {oracle.newton_sql(['c1', 'c2', 'c3'], table='ds')}, b AS (SELECT * FROM it WHERE i = 8)"
+
+
+@query(f"WITH {LP_SQL} SELECT id, stop, round(b1 * sex + b2 * CAST(id % 3 = 1 AS INTEGER) + b3 * CAST(id % 3 = 2 AS INTEGER), 6) + 0.0 AS lp FROM panel, b")
+def design_prediction(spark, sf_dir):
+    # the model's columns are made again for the rows that are predicted
+    rows = _banded(spark, sf_dir)
+    model = cox.cox("Surv(start, stop, event) ~ sex + factor(band)", rows)
+    return _rounded(model.linear_predictor(rows.select("id", "stop", "sex", "band")).select("id", "stop", "lp"))
+
+
 def _likelihood_query(name: str, ties: str) -> None:
     def run(spark, sf_dir):
         rows = riskset.compact(_panel(spark, sf_dir), ["sex", "age"])
@@ -556,6 +610,23 @@ def cox_bootstrap_distributed(spark, sf_dir):
     return _rounded(replicates.bootstrap_fits(_panel(spark, sf_dir), ["sex", "age"], 6, all_results=False, task_values=0))
 
 
+@query(f"""WITH {WEEKLY_SQL}, f AS (SELECT row_number() OVER (ORDER BY id, stop) - 1 AS i, * FROM weekly), {oracle.drawn_sql('SELECT count(*) FROM f', 5)}, dt AS (SELECT DISTINCT stop AS t FROM weekly WHERE event = 1),
+    bt AS (SELECT b, t AS stop, CASE WHEN event = 1 AND stop = t THEN 1 ELSE 0 END AS event, sex, age, w FROM f JOIN weights USING (i) JOIN dt ON start < t AND t <= stop),
+    {oracle.newton_sql(['sex', 'age'], table='bt', keys=('b',), weight='w')} SELECT b, term, round(coef, 6) AS coef, round(se, 6) AS se, round(loglik, 5) AS loglik FROM ({oracle.fits_sql(['sex', 'age'], 8, ('b',))}) q""")
+def cox_bootstrap_intervals(spark, sf_dir):
+    rows = cox.cox_bootstrap("Surv(start, stop, event) ~ sex + age", _weekly(_panel(spark, sf_dir)), 5, risk_set="interval", all_results=True).fits
+    return _rounded(rows.withColumn("loglik", F.round("loglik", 5)))
+
+
+@query(f"""WITH {ONCE_SQL}, f AS (SELECT row_number() OVER (ORDER BY time, status, sex) - 1 AS i, * FROM once), {oracle.drawn_sql('SELECT count(*) FROM f', 4)}, dt AS (SELECT DISTINCT time AS t FROM once WHERE status = 1),
+    bt AS (SELECT b, t AS stop, CASE WHEN status = 1 AND time = t THEN 1 ELSE 0 END AS event, sex, w FROM f JOIN weights USING (i) JOIN dt ON t <= time),
+    {oracle.newton_sql(['sex'], 'breslow', table='bt', keys=('b',), weight='w')} SELECT b, term, round(coef, 6) AS coef, round(se, 6) AS se, round(loglik, 5) AS loglik FROM ({oracle.fits_sql(['sex'], 8, ('b',))}) q""")
+def cox_bootstrap_right_censored(spark, sf_dir):
+    # beyond what a task may hold: the replicates share their aggregations
+    rows = cox.cox_bootstrap("Surv(time, status) ~ sex", _once(spark, sf_dir), 4, ties="breslow", all_results=True, task_values=0).fits
+    return _rounded(rows.withColumn("loglik", F.round("loglik", 5)))
+
+
 # --- exposure models
 
 
@@ -669,7 +740,7 @@ def wce_bootstrap_curve(spark, sf_dir):
     return _rounded(_bootstrapped(spark, sf_dir).curve(), 5)
 
 
-PAIR_SQL = f"{oracle.newton_sql(['sex', 'age'])}, fits AS MATERIALIZED ({oracle.fits_sql(['sex', 'age'])})"
+PAIR_SQL = PAIR_FITS_SQL
 
 
 @query(f"""WITH {PAIR_SQL}, z AS (SELECT term, coef, se, coef / se AS z FROM fits), p AS ({oracle.normal_two_sided_sql('z', 'z', 'term, coef, se, z')})
@@ -743,6 +814,13 @@ def mass_univariate_cox(spark, sf_dir):
     return _rounded(replicates.channel_fits(rows, "channel", SPLINES), 5)
 
 
+@query(f"WITH {CHANNEL_FEATURES_SQL}, {oracle.newton_sql(SPLINES, table='cf', keys=('channel',), rounds=WCE_ROUNDS)} SELECT channel, term, round(coef, 5) AS coef, round(se, 5) AS se, round(loglik, 5) AS loglik FROM ({oracle.fits_sql(SPLINES, WCE_ROUNDS, ('channel',))}) q")
+def channel_large_covariates(spark, sf_dir):
+    # features far from zero, fitted by shared aggregations
+    rows = _channel_features(spark, sf_dir)[0].withColumns({c: F.col(c) + 50_000 for c in SPLINES})
+    return _rounded(replicates.channel_fits(rows, "channel", SPLINES, task_values=0), 5)
+
+
 @query(f"""WITH {CHANNEL_FEATURES_SQL}, fs AS (SELECT row_number() OVER (ORDER BY id) - 1 AS i, id FROM subj), {oracle.drawn_sql('SELECT count(*) FROM fs', 3)}, cb AS (SELECT channel, b, stop, event, D1, D2, D3, w FROM cf JOIN fs USING (id) JOIN weights USING (i)),
     {oracle.newton_sql(SPLINES, table='cb', keys=('channel', 'b'), weight='w', rounds=WCE_ROUNDS)} SELECT channel, b, term, round(coef, 5) AS coef, round(se, 5) AS se, round(loglik, 5) AS loglik FROM ({oracle.fits_sql(SPLINES, WCE_ROUNDS, ('channel', 'b'))}) q""")
 def channel_bootstrap(spark, sf_dir):

@@ -325,7 +325,7 @@ def test_newton_on_a_convex_loss():
 def test_formulas():
     assert parse("Surv(a, b, c) ~ x + y").covariates == ("x", "y") and parse("Surv(t, s) ~ x").start is None
     assert parse("Surv(a, b, c) ~ . - y", ["a", "b", "c", "x", "y", "z"]).covariates == ("x", "z")
-    for bad in ("x ~ y", "Surv(a) ~ x", "Surv(a, b, c) ~ strata(x)", "Surv(a, b, c) ~ x*y", "Surv(a, b, c) ~ x:y", "Surv(a, b) ~ log(x)", "Surv(a, b) ~ x y"):
+    for bad in ("x ~ y", "Surv(a) ~ x", "Surv(a, b, c) ~ strata(x)", "Surv(a, b, c) ~ x*", "Surv(a, b, c) ~ :y", "Surv(a, b) ~ offset(x) + offset(y)", "Surv(a, b) ~ log(x)", "Surv(a, b) ~ x y"):
         with pytest.raises(ValueError):
             parse(bad)
     with pytest.raises(ValueError):
