@@ -82,8 +82,9 @@ def _made_periodic(doc_id: Column, text: Column) -> Column:
     n, g = F.size(words), F.floor(h / 10)
     a = g % n
     p = 1 + F.floor((n - a) / (3 + g % 8))
-    of = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get(words, F.when(i < a, i).otherwise(a + (i - a) % p).cast("int")))
-    return F.when((h % 10 == 0) & text.rlike(WORD_PATTERN), F.array_join(of, " ")).otherwise(text)
+    tail = F.flatten(F.array_repeat(F.slice(words, a.cast("int") + 1, p.cast("int")), F.ceil((n - a) / p).cast("int")))
+    made = F.slice(F.concat(F.slice(words, F.lit(1), a.cast("int")), tail), F.lit(1), n)
+    return F.when((h % 10 == 0) & text.rlike(WORD_PATTERN), F.array_join(made, " ")).otherwise(text)
 
 
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
