@@ -202,14 +202,18 @@ def hazards(df: DataFrame, risk: str = "risk", start: str | None = "start", stop
         begins = df.groupBy(F.col(start).alias("t")).agg((-F.sum(risk)).alias("s"), F.lit(0.0).alias("eden"), F.lit(0).cast("long").alias("deaths"))
         ends = ends.union(begins).groupBy("t").agg(F.sum("s").alias("s"), F.sum("eden").alias("eden"), F.sum("deaths").alias("deaths"))
     t = ordered.prefix_sums(ends.withColumn("den", F.col("s")), "t", ["den"], descending=True).where("deaths > 0")
-    i = F.sequence(F.lit(0), (F.col("deaths") - 1).cast("int"))
     if ties == "efron":
+        # a time of many ties is several rows of at most TIES of them
+        chunks = t.select("*", F.explode(F.sequence(F.lit(0), F.floor((F.col("deaths") - 1) / TIES).cast("int"))).alias("chunk"))
+        ks = F.sequence(F.col("chunk") * TIES, F.least(F.col("deaths").cast("int"), (F.col("chunk") + 1) * TIES) - 1)
         part = lambda k: 1.0 / (F.col("den") - k / F.col("deaths") * F.col("eden"))
-        h = F.aggregate(i, F.lit(0.0), lambda a, k: a + part(k))
-        e = F.aggregate(i, F.lit(0.0), lambda a, k: a + (1 - k / F.col("deaths")) * part(k))
+        h = F.aggregate(ks, F.lit(0.0), lambda a, k: a + part(k))
+        e = F.aggregate(ks, F.lit(0.0), lambda a, k: a + (1 - k / F.col("deaths")) * part(k))
+        t = chunks.repartition("t", "chunk").groupBy("t", "deaths").agg(F.sum(h).alias("h"), F.sum(e).alias("e"))
     else:
-        h = e = F.col("deaths") / F.col("den")
-    return ordered.prefix_sums(t.select("t", "deaths", h.alias("h"), e.alias("e"), h.alias("cumhaz")), "t", ["cumhaz"])
+        h = F.col("deaths") / F.col("den")
+        t = t.select("t", "deaths", h.alias("h"), h.alias("e"))
+    return ordered.prefix_sums(t.withColumn("cumhaz", F.col("h")), "t", ["cumhaz"])
 
 
 def martingale(df: DataFrame, risk: str = "risk", start: str | None = "start", stop: str = "stop", event: str = "event", ties: str = "efron", keys: Sequence[str] = ("id", "stop")) -> DataFrame:

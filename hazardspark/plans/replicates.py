@@ -85,42 +85,42 @@ def bootstrap_fits(df: DataFrame, covariates: Sequence[str], replicates: int, ba
         raise ValueError("risk_set is aligned, or interval with start")
     if unit not in ("row", "subject") or (unit == "subject" and not id):
         raise ValueError("unit is row, or subject with an id")
-    spark, names = df.sparkSession, list(covariates)
-    start = start if risk_set == "interval" else None
-    more = [c for c in (start, weight, offset) if c]
-    rows = panel.drop_missing(df, [stop, event, *names, *more]).select(*dict.fromkeys([*([id] if id else []), stop, event, *names, *more]))
+    spark, terms = df.sparkSession, list(covariates)
+    used = {"__stop": stop, "__event": event, **{f"__v{i}": c for i, c in enumerate(terms)}}
+    used |= {k: c for k, c in (("__id", id), ("__start", start if risk_set == "interval" else None), ("__own", weight), ("__offset", offset)) if c}
+    # names of our own, which the draws' b, i and w can't clash with
+    rows = panel.drop_missing(df.select(*[F.col(c).alias(k) for k, c in used.items()]), [k for k in used if k != "__id"])
+    names = [f"__v{i}" for i in range(len(terms))]
+    begin, own, added, whose = (k if k in used else None for k in ("__start", "__own", "__offset", "__id"))
     scale = np.ones(len(names))
     if doscale:
-        facts = rows.agg(*[F.avg(c) for c in names]).first()
-        got = rows.agg(*[F.sum(F.abs(F.col(c) - F.lit(float(m)))) for c, m in zip(names, facts)]).first()
+        means = rows.agg(*[F.avg(c) for c in names]).first()
+        got = rows.agg(*[F.sum(F.abs(F.col(c) - F.lit(float(m)))) for c, m in zip(names, means)]).first()
         scale = np.array([x or 1.0 for x in got])
         rows = rows.withColumns({c: F.col(c) / float(s) for c, s in zip(names, scale)})
     init = np.zeros(len(names)) if init is None else np.asarray(init, dtype=float) * scale
-    if start is None:
-        rows = panel.at_death_times(rows, stop, event)
-    order = [id, stop] if id else [stop, event, *[c for c in rows.columns if c not in (stop, event)]]
+    if begin is None:
+        rows = panel.at_death_times(rows, "__stop", "__event")
+    order = [whose, "__stop"] if whose else ["__stop", "__event", *[c for c in rows.columns if c not in ("__stop", "__event")]]
     limit = task_values // (len(names) + 3)
     if rows.limit(limit + 1).count() > limit:
-        drawn = resample.row_bootstrap(rows, replicates, seed, order[0], order[1:]) if unit == "row" else resample.subject_bootstrap(rows, replicates, seed, id)
-        if weight:
-            drawn = drawn.withColumn("w", F.col("w") * F.col(weight))
-        found = grouped_fits(drawn, ["b"], names, stop, event, "w", ties, alpha, maxiter, start, offset, init)
+        drawn = resample.row_bootstrap(rows, replicates, seed, order[0], order[1:]) if unit == "row" else resample.subject_bootstrap(rows, replicates, seed, whose)
+        if own:
+            drawn = drawn.withColumn("w", F.col("w") * F.col(own))
+        found = grouped_fits(drawn, ["b"], names, "__stop", "__event", "w", ties, alpha, maxiter, begin, added, init)
     else:
-        found = _task_fits(rows.toPandas(), spark, names, replicates, batchsize, unit, ties, alpha, maxiter, seed, order, stop, event, start, weight, offset, init)
-    if doscale:
-        size = F.element_at(F.create_map(*[F.lit(x) for pair in zip(names, map(float, scale)) for x in pair]), F.col("term"))
-        found = found.withColumn("coef", F.col("coef") / size).withColumn("se", F.col("se") / size)
-    if all_results:
-        return found
-    return found.select("b", "term", "coef", *[F.when(F.col("b") == 0, F.col(c)).alias(c) for c in ("se", "loglik")])
+        found = _task_fits(rows.toPandas(), spark, names, replicates, batchsize, unit, ties, alpha, maxiter, seed, order, begin, own, added, init)
+    of = lambda values: F.element_at(F.create_map(*[F.lit(x) for pair in zip(names, values) for x in pair]), F.col("term"))
+    size, sample = of(map(float, scale)), (F.lit(True) if all_results else F.col("b") == 0)
+    return found.select("b", of(terms).alias("term"), (F.col("coef") / size).alias("coef"), F.when(sample, F.col("se") / size).alias("se"), F.when(sample, F.col("loglik")).alias("loglik"))
 
 
-def _task_fits(rows: pd.DataFrame, spark, names: list[str], replicates: int, batchsize: int, unit: str, ties: str, alpha: float, maxiter: int, seed: int, order: list[str], stop: str, event: str, start: str | None, weight: str | None, offset: str | None, init: np.ndarray) -> DataFrame:
+def _task_fits(rows: pd.DataFrame, spark, names: list[str], replicates: int, batchsize: int, unit: str, ties: str, alpha: float, maxiter: int, seed: int, order: list[str], start: str | None, weight: str | None, offset: str | None, init: np.ndarray) -> DataFrame:
     rows = rows.sort_values(order, kind="stable")
     subject = np.unique(rows[order[0]].to_numpy(), return_inverse=True)[1]
     extra = [rows[c].to_numpy() if c else None for c in (start, weight, offset)]
     # of at most TASK_VALUES values
-    data = spark.sparkContext.broadcast((rows[stop].to_numpy(), rows[event].to_numpy(), rows[names].to_numpy(dtype=float), subject, *extra))
+    data = spark.sparkContext.broadcast((rows["__stop"].to_numpy(), rows["__event"].to_numpy(), rows[names].to_numpy(dtype=float), subject, *extra))
 
     def run(batches):
         at, dead, x, of, begin, own, added = data.value

@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from hazardspark.functions import splines, tails
 from hazardspark.operators import exposure, ordered, panel, resample, riskset
 from hazardspark.plans import cox, replicates, wce
-from hazardspark.plans.formula import parse
-from hazardspark.plans.newton import Kernel, Singular, newton
+from hazardspark.plans.formula import design, parse
+from hazardspark.plans.newton import Kernel, Singular, aliased, factor, inverse, newton, solve
 from hazardspark.sources import panels
 
 SF = "/root/testdata/sf0.01"
@@ -385,3 +385,121 @@ def test_streaming_counts_match_batch(spark, days, tmp_path):
     q.awaitTermination(60)
     want = days.groupBy("stop", "event").count().collect()
     assert sorted(map(tuple, spark.table("running").collect())) == sorted(map(tuple, want))
+
+
+def _odd_table(spark, seed, n=120):
+    """Large, negative and nearly collinear covariates, ties and weights."""
+    r = np.random.default_rng(seed)
+    start = r.integers(0, 4, n)
+    stop = start + r.integers(1, 6, n)
+    a = 2000 + r.integers(-15, 15, n)
+    rows = [(int(s), int(t), int(d), float(y), float(-4e5 - 3 * y + z), float(z), int(w)) for s, t, d, y, z, w in zip(start, stop, r.random(n) < 0.5, a, r.normal(size=n), r.integers(1, 4, n))]
+    return spark.createDataFrame(rows, "start int, stop int, event int, a double, b double, c double, w int")
+
+
+def test_paths_agree_on_large_negative_and_collinear_covariates(spark):
+    df = _odd_table(spark, 1).persist()
+    for options, boot in (
+        ({"ties": "breslow", "weight": "w", "doscale": True, "init": [0.01, 0.0]}, True), ({"start": "start", "risk_set": "interval", "weight": "w", "alpha": 0.3}, False), ({"start": "start", "risk_set": "interval", "offset": "c"}, True),
+    ):
+        m, s = (cox.cox_fit(df, ["a", "b"], driver_rows=n, **options) for n in (10**6, 0))
+        assert np.allclose(m.coef, s.coef, atol=1e-7) and np.allclose(m.se, s.se, rtol=1e-6) and math.isclose(m.loglik, s.loglik, rel_tol=1e-9), options
+        g, t = (replicates.bootstrap_fits(df, ["a", "b"], 2, id=None, task_values=n if boot else 10**7, **options).toPandas().sort_values(["b", "term"]) for n in (10**7, 0))
+        assert np.allclose(g[["coef", "se", "loglik"]], t[["coef", "se", "loglik"]], rtol=1e-6, atol=1e-7), options
+        assert np.allclose(g[g.b == 0].coef, m.coef, atol=1e-7) and np.allclose(g[g.b == 0].se, m.se, rtol=1e-6), options
+    away = np.array([5.0, -7.0])  # far from the optimum risks differ by factors beyond any double
+    for start in (None, "start"):
+        small = riskset.compact(df, ["a", "b"], start=start)
+        rows = riskset.cover(small, ["a", "b"], "stop", "event", start) if start else small
+        f, g, h = cox.evaluate(rows, ["a", "b"], away, "stop", "event", "efron", 0.0)
+        table = small.toPandas()
+        k = Kernel(table["stop"], table["event"], table[["a", "b"]], table["n"], table[start] if start else None)(away)
+        assert math.isclose(f, k[0], rel_tol=1e-9) and np.allclose(g, k[1], rtol=1e-7) and np.allclose(h, k[2], rtol=1e-5, atol=1e-3)
+    df.unpersist()
+
+
+def test_interval_sums_at_every_time(spark):
+    df = _odd_table(spark, 5)
+    got = {r.t: r for r in riskset.sums(riskset.compact(df, ["c"], start="start"), ["c"], [0.5], start="start").collect()}
+    rows = df.toPandas()
+    for t in sorted(rows[rows.event == 1].stop.unique()):
+        at, dead = rows[(rows.start < t) & (rows.stop >= t)], rows[(rows.stop == t) & (rows.event == 1)]
+        assert math.isclose(got[t].a + got[t].d, np.exp(0.5 * at.c).sum()) and math.isclose(got[t].a_0 + got[t].d_0, (at.c * np.exp(0.5 * at.c)).sum()) and got[t].deaths == len(dead)
+    assert len(got) == rows[rows.event == 1].stop.nunique()
+
+
+def test_ties_in_chunks(spark, monkeypatch):
+    df = spark.createDataFrame([(1 + i % 3, int(i % 4 < 3), i % 7 / 3) for i in range(200)], "stop int, event int, x double")
+    small = riskset.compact(df, ["x"])
+    want = riskset.likelihood(riskset.scaled_sums(small, ["x"], [0.3]), 1).first()
+    monkeypatch.setattr(riskset, "TIES", 7)
+    rows = riskset.likelihood(riskset.scaled_sums(small, ["x"], [0.3]), 1, most_ties=60)
+    assert np.allclose(list(want), list(rows.first()), rtol=1e-12) and "hashpartitioning(t" in rows._jdf.queryExecution().executedPlan().toString()
+    risky = df.withColumn("risk", F.exp(F.col("x")))
+    a = riskset.hazards(risky, start=None).orderBy("t").toPandas()
+    monkeypatch.setattr(riskset, "TIES", 4096)
+    assert np.allclose(a, riskset.hazards(risky, start=None).orderBy("t").toPandas(), rtol=1e-12)
+
+
+def test_rank_revealing_factor():
+    r = np.random.default_rng(2)
+    x = r.normal(size=(40, 4)) * [1, 1e4, 1e-3, 1]
+    x = np.column_stack([x[:, 0], x[:, 1], 2 * x[:, 0] - x[:, 1], x[:, 2], np.zeros(40), x[:, 3]])
+    h = x.T @ x
+    gone = aliased(h)
+    assert gone.tolist() == [False, False, True, False, True, False]
+    keep = ~gone
+    want = np.zeros((6, 6))
+    want[np.ix_(keep, keep)] = np.linalg.inv(h[np.ix_(keep, keep)])
+    assert np.allclose(inverse(h), want, rtol=1e-6)
+    g = r.normal(size=6)
+    assert np.allclose(solve(h, g, singular_ok=True), want @ g, rtol=1e-6)
+    with pytest.raises(Singular):
+        solve(h, g)
+    l, d = factor(h[np.ix_(keep, keep)])
+    assert np.allclose(l @ np.diag(d) @ l.T, h[np.ix_(keep, keep)]) and (inverse(np.zeros((2, 2))) == 0).all()
+
+
+def test_aliased_terms(spark):
+    df = _odd_table(spark, 3).withColumn("twice", 2 * F.col("a") + 7)
+    for rows in (0, 10**6):
+        m = cox.cox("Surv(start, stop, event) ~ a + twice + c", df, singular_ok=True, driver_rows=rows)
+        k = cox.cox("Surv(start, stop, event) ~ a + c", df)
+        assert m.aliased == (False, True, False) and m.df == 2 and np.allclose(m.coef, [k.coef[0], 0, k.coef[1]], atol=1e-7)
+        assert math.isclose(m.aic(), k.aic(), rel_tol=1e-9) and np.allclose(m.tests()["wald"], k.tests()["wald"]) and m.tests()["df"] == 2
+        s = {r.term: r for r in m.summary(spark).collect()}
+        assert math.isnan(s["twice"].coef) and math.isnan(s["twice"].p) and math.isclose(s["c"].se, k.se[1], rel_tol=1e-6)
+        with pytest.raises(Singular):
+            cox.cox("Surv(start, stop, event) ~ a + twice + c", df, driver_rows=rows)
+
+
+def test_designs(spark):
+    rows = [(1, 0, 1.5, "x", True, 3), (2, 1, 2.5, "y", False, 1), (3, 1, 0.5, "z", True, 2), (4, 0, None, "q", False, 9), (5, 1, 1.0, "x", None, 1)]
+    df = spark.createDataFrame(rows, "time int, status int, a double, g string, b boolean, k int")
+    of = lambda text: design(parse(f"Surv(time, status) ~ {text}", df.columns), df)
+    d = of("a + g")  # the row without a has the only q
+    assert d.labels == ("a", "gy", "gz") and d.names == ["a", "__x2", "__x3"]
+    got = {r.time: (r.a, r["__x2"], r["__x3"]) for r in d.matrix(df).collect()}
+    assert got[1] == (1.5, 0, 0) and got[2] == (2.5, 1, 0) and got[3] == (0.5, 0, 1) and got[4] == (None, None, None)
+    assert of("a * b").labels == ("a", "bTrue", "a:bTrue") and of("a:g").labels == ("a:gx", "a:gy", "a:gz") and of("a + a:g").labels == ("a", "a:gy", "a:gz")
+    assert of("g:b").labels == ("gq:bFalse", "gx:bFalse", "gy:bFalse", "gz:bFalse", "gq:bTrue", "gx:bTrue", "gy:bTrue", "gz:bTrue")
+    assert of("factor(k)").labels == ("factor(k)2", "factor(k)3", "factor(k)9") and of("a*factor(k) - a:factor(k)").labels == ("a", "factor(k)2", "factor(k)3")
+    assert of("a + offset(k)").offset == "k" and of("offset(k) + a").labels == ("a",) and of("a - 1").labels == ("a",)
+    assert set(of("a*b*k").labels) == {"a", "bTrue", "k", "a:bTrue", "a:k", "bTrue:k", "a:bTrue:k"}
+    with pytest.raises(ValueError, match="factors and numbers"):
+        of("k + factor(k)")
+    with pytest.raises(ValueError):
+        cox.cox("Surv(time, status) ~ offset(a)", df)
+
+
+def test_design_of_text_is_that_of_indicators(spark):
+    df = _odd_table(spark, 8, 200).withColumn("g", F.when(F.col("c") > 0.4, "hi").when(F.col("c") < -0.4, "lo").otherwise("mid"))
+    m = cox.cox("Surv(start, stop, event) ~ a * g", df)
+    by_hand = df.withColumns({"lo": (F.col("g") == "lo").cast("int"), "mid": (F.col("g") == "mid").cast("int")})
+    by_hand = by_hand.withColumns({"alo": F.col("a") * F.col("lo"), "amid": F.col("a") * F.col("mid")})
+    k = cox.cox_fit(by_hand, ["a", "lo", "mid", "alo", "amid"])
+    assert m.covariates == ("a", "glo", "gmid", "a:glo", "a:gmid") and np.allclose(m.coef, k.coef, rtol=1e-6)
+    got = m.linear_predictor(df).select("a", "g", "lp").collect()
+    assert "__x2" not in m.linear_predictor(df).columns and all(r.lp is not None for r in got)
+    boot = cox.cox_bootstrap("Surv(start, stop, event) ~ a * g", df, 2, all_results=True)
+    assert {r.term for r in boot.fits.collect()} == set(m.covariates)
