@@ -1,10 +1,10 @@
 """Main text of web pages by line-block distribution.
 
-Markup is stripped to lines, one for each block of the page. Weights are summed over a sliding window of lines: a run of
-lines between two dives, where the sum is zero, is text if the sum surges above a threshold in it, and text is kept in page
-order. A line weighs its characters outside links; nothing in a container that is no part of an article (menus, footers, adverts
-and such). Where articles hold much of a page's characters, lines outside them weigh less and lines in them more, in proportion, so that markup tips the
-scales but the sums decide.
+Markup is stripped to lines, one for each block of the page. A line weighs its characters, and their sums over a sliding window of lines show where text is
+dense: a stretch of lines between two dives, where the sum is low, is text if the sum surges above a threshold in it, and its lines are kept in page order.
+Characters in links weigh nothing, so lists of links make dives. What markup says is a factor of the weights: lines of menus, footers, adverts, comments and such containers weigh
+a fiftieth, and their sums are taken apart from the others'; where articles hold much of a page's characters, lines outside them weigh less in proportion, and lines in
+them more. So a long text is found wherever it stands, and an article of links is none.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from html import unescape
+from itertools import accumulate
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -131,42 +132,70 @@ def page_lines(html: str) -> list[tuple[str, int, bool, bool]]:
     return page.lines
 
 
-def line_weights(lines: list[tuple[str, int, bool, bool]], surge: int) -> list[float]:
+#: Weight of a character in containers that are no part of an article, and least weight of one outside the articles.
+FAINT = 0.02
+#: How much more a character weighs in the articles of a page that hold at least half of its characters.
+DENSE = 0.5
+
+
+def line_weights(lines: list[tuple[str, int, bool, bool]]) -> list[float]:
     """What each line adds to the sums of its windows.
 
-    With share the part of the characters that are in articles: a line in one weighs its characters and up to surge more (in full from a
-    share of a half), a line outside weighs its characters times what twice the share leaves of one.
+    With share the part of the characters outside links that are in articles, pull is twice that, one at most. A line in an article weighs its characters outside links, and its others in
+    proportion to pull, each 1 + DENSE * pull; a line outside the articles 1 - pull (FAINT at least) a character outside links; an aside line FAINT a character.
     """
-    inside = sum(len(text) for text, _, article, aside in lines if article and not aside)
-    total = sum(len(text) if article else plain for text, plain, article, aside in lines if not aside)
+    inside = sum(plain for _, plain, article, aside in lines if article and not aside)
+    total = sum(plain for _, plain, _, aside in lines if not aside)
     pull = min(1.0, 2 * inside / total) if total else 0.0
-    return [0.0 if aside else plain + pull * (surge + len(text) - plain) if article else plain * (1 - pull) for text, plain, article, aside in lines]
+    out = []
+    for text, plain, article, aside in lines:
+        if aside:
+            out.append(FAINT * plain)
+        elif article:
+            out.append((plain + pull * (len(text) - plain)) * (1 + DENSE * pull))
+        else:
+            out.append(plain * max(FAINT, 1 - pull))
+    return out
 
 
-def main_text(html: str, window: int = 3, surge: int = 86) -> str:
-    """Kept lines of the page joined by a line feed; empty if there are none.
+def dense_lines(weights: list[float], window: int, surge: float, dive: float) -> list[int]:
+    """Numbers of the lines with weight in the stretches whose sums are all above dive and somewhere above surge.
 
-    On pages of little text the threshold is a quarter of the largest sum, so the densest run of lines is text.
+    A sum is of the window's lines around a line.
     """
-    lines = page_lines(html)
-    weights = line_weights(lines, surge)
-    sums = [sum(weights[i : i + window]) for i in range(len(weights))]
-    least = min(surge, max(sums, default=0) / 4)
+    before = window // 2
+    ends = [0.0, *accumulate(weights)]
+    n = len(weights)
+    sums = [ends[min(n, i - before + window)] - ends[max(0, i - before)] for i in range(n)]
     out, i = [], 0
-    while i < len(lines):
-        if not sums[i]:
+    while i < n:
+        first = i
+        while i < n and sums[i] > dive:
             i += 1
-            continue
-        dive = i
-        while dive < len(lines) and sums[dive]:
-            dive += 1
-        if max(sums[i:dive]) > least:
-            out += [lines[n][0] for n in range(i, dive) if weights[n] > 0]
-        i = dive
-    return "\n".join(out)
+        if i > first and max(sums[first:i]) > surge:
+            out += [k for k in range(first, i) if weights[k] > 0]
+        i += 1
+    return out
+
+
+def main_text(html: str, window: int = 3, surge: float = 86, dive: float = 2, short: float = 172) -> str:
+    """Kept lines of the page joined by a line feed; empty if there are none.
+
+    Sums run over the lines in articles, the lines outside and the aside lines each by themselves, so that an advert in an article neither parts it nor is carried by it. On a page whose
+    lines weigh no more than short together, nothing surges, and its heaviest kind of lines is text whole.
+    """
+    lines = page_lines(html)
+    weights = line_weights(lines)
+    kinds = [[i for i, (_, _, article, aside) in enumerate(lines) if (2 if aside else int(article)) == kind] for kind in range(3)]
+    if sum(weights) <= short:
+        heaviest = max(kinds[:2], key=lambda of: sum(weights[i] for i in of))
+        kept = [i for i in heaviest if weights[i] > 0 and surge < short]
+    else:
+        kept = sorted(of[k] for of in kinds for k in dense_lines([weights[i] for i in of], window, surge, dive))
+    return "\n".join(lines[i][0] for i in kept)
 
 
-def extract(pages: DataFrame, html: str = "html", window: int = 3, surge: int = 86) -> DataFrame:
+def extract(pages: DataFrame, html: str = "html", window: int = 3, surge: float = 86, dive: float = 2, short: float = 172) -> DataFrame:
     """pages without html, with text and n_chars (code points).
 
     Null or empty html, and pages without text, give an empty text; every row gives one row, repeated rows alike; pages are read whole,
@@ -174,7 +203,7 @@ def extract(pages: DataFrame, html: str = "html", window: int = 3, surge: int =
     """
 
     def make():
-        return lambda raw: (main_text(raw.decode("utf-8", "replace"), window, surge),)
+        return lambda raw: (main_text(raw.decode("utf-8", "replace"), window, surge, dive, short),)
 
     own = [c for c in pages.columns if c not in (html, "text", "n_chars")]
     rows = map_texts(pages.select(packed(own).alias("own"), text_bytes(f"`{html}`").alias("__text")), T.StructType([T.StructField("text", T.StringType())]), make)

@@ -61,9 +61,50 @@ def test_articles_tip_the_scales_only(page):
 
 def test_weights_of_lines():
     lines = [("menu", 0, False, False), ("in article", 10, True, False), ("linked", 0, True, False), ("outside", 7, False, False), ("aside", 5, True, True)]
-    assert html.line_weights(lines, 50) == [0, 60, 56, 0, 0]
-    lines[3] = ("outside " * 16, 112, False, False)  # articles have 16 of 128 characters, so a quarter of the pull
-    assert html.line_weights(lines, 50) == [0, 10 + 50 / 4, (50 + 6) / 4, 84, 0]
+    assert np.allclose(html.line_weights(lines), [0, 15, 9, 7 * 0.02, 0.1])
+    lines[3] = ("outside " * 9, 70, False, False)  # articles have 10 of 80 characters, so a quarter of the pull
+    assert np.allclose(html.line_weights(lines), [0, 10 * 1.125, 6 / 4 * 1.125, 70 * 0.75, 0.1])
+
+
+def test_dense_lines_between_dives():
+    weights = [0, 50, 60, 0, 0, 1, 0, 20, 9, 0, 0, 0, 1, 90]
+    assert html.dense_lines(weights, 3, 86, 2) == [1, 2, 12, 13]
+    assert html.dense_lines(weights, 3, 20, 2) == [1, 2, 7, 8, 12, 13] and html.dense_lines([], 3, 86, 2) == []
+
+
+def test_surge_and_dive_change_results():
+    pages = [p["html"] for p in ds.dataset(f"{data.DATA}/sf0.01/pages.parquet").to_table().to_pylist()]
+    usual = [html.main_text(p) for p in pages]
+    for options in ({"surge": 0}, {"surge": 1000}, {"surge": 10_000}):
+        assert sum(html.main_text(p, **options) != t for p, t in zip(pages, usual)) > len(pages) / 10
+    page = "<div>" + "".join(f"<p>{'long words of a paragraph ' * n}</p><p>short {n}</p><p>so</p><p>it</p><p>goes</p>" for n in (4, 5)) + "</div>"
+    assert html.main_text(page).count("\n") == 9 and html.main_text(page, dive=20).count("\n") < 9
+
+
+def test_pages_without_any_names():
+    """All blocks are divs: the sums find all of the text, and leave what is apart from it."""
+    found = right = 0
+    pages = ds.dataset(f"{data.DATA}/sf0.01/pages.parquet").to_table().to_pylist()
+    for p in pages:
+        want = html.main_text(p["html"]).split("\n")
+        plain = re.sub(r"<(/?)(nav|footer|article|ul|li|header)\b[^>]*>", r"<\1div>", re.sub(r' class="[^"]*"', "", p["html"]))
+        got = html.main_text(plain).split("\n")
+        found += set(want) <= set(got)
+        right += sum(len(x) for x in got if x in set(want)) / sum(map(len, got))
+    assert found >= 0.98 * len(pages) and right >= 0.8 * len(pages)
+    menu = "".join(f"<div><a href=x>Entry {i} of the menu</a></div>" for i in range(9))
+    assert html.main_text(f"<div>Log in</div>{menu}{BODY}{menu}<div>About us</div>") == "\n".join(TEXT)
+
+
+def test_article_around_navigation():
+    menu = "".join(f"<li><a href=x>Entry {i} of a long menu of many words</a></li>" for i in range(9))
+    assert html.main_text(f"<article><ul>{menu}</ul></article><div>{BODY}</div>") == "\n".join(TEXT)
+    assert html.main_text(f"<article>{BODY}<p><a href=x>A linked line of the text</a></p></article>") == "\n".join([*TEXT, "A linked line of the text"])
+
+
+def test_long_text_in_a_misnamed_container():
+    long_ = "".join(f"<p>{t * 30}</p>" for t in TEXT)
+    assert html.main_text(f"<div class=sidebar>{long_}</div><div>Short</div>") == "\n".join(t * 30 for t in TEXT)
 
 
 def test_deep_pages_take_linear_time():
