@@ -1,4 +1,8 @@
-"""Ordered operators whose windows are of bounded size: prefix sums, as-of lookups, counts below, runs, ranks and shifts."""
+"""Ordered operators whose windows are of bounded size: prefix sums, as-of lookups, counts below, runs, ranks and shifts.
+
+They cut an ordered table into ranges of about equal numbers of rows, whatever the values are, and work within ranges and over the ranges' totals. The ranges are
+written to the scratch folder, so that the table behind them is computed once.
+"""
 
 from __future__ import annotations
 
@@ -7,23 +11,34 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Ranges of times over which prefix sums are taken in two levels.
-BUCKETS = 1024
+from hazardspark.sources.scratch import written
+
+
+def ranges(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """df with __range, the number of the row's range in order of keys; of the ranges all keys of one are before all of the next."""
+    return written(df.repartitionByRange(*keys).withColumn("__range", F.spark_partition_id()))
+
+
+def numbered(df: DataFrame, keys: Sequence[str], out: str) -> DataFrame:
+    """df with the number from 0 of each row in order of keys."""
+    rows = ranges(df, keys)
+    counts = rows.groupBy("__range").agg(F.count("*").alias("__n"))
+    # a row a range
+    base = counts.select("__range", F.coalesce(F.sum("__n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__base"))
+    rank = F.row_number().over(Window.partitionBy("__range").orderBy(*keys)) - 1
+    return rows.join(base, "__range").withColumn(out, (F.col("__base") + rank).cast("long")).drop("__range", "__base")
 
 
 def prefix_sums(df: DataFrame, time: str, values: Sequence[str], by: Sequence[str] = (), descending: bool = False) -> DataFrame:
     """df with values replaced by their sums over all rows of by up to (or, descending, from) the row's time.
 
-    df has one row a time and group. Sums are taken within ranges of times and over the ranges' totals, so no window holds all times.
+    df has one row a time and group. Sums are taken within ranges of rows and over the ranges' totals, so no window holds all times.
     """
-    at = F.col(time).cast("double")
-    ends = df.agg(F.min(at), F.max(at)).first()
-    low, width = ends[0] or 0.0, ((ends[1] or 0.0) - (ends[0] or 0.0)) / BUCKETS or 1.0
-    rows = df.withColumn("__range", F.floor((at - F.lit(low)) / F.lit(width)).cast("int"))
+    rows = ranges(df, [*by, time])
     order = (lambda c: F.desc(c)) if descending else (lambda c: F.asc(c))
     totals = rows.groupBy(*by, "__range").agg(*[F.sum(c).alias(f"__t_{i}") for i, c in enumerate(values)])
     over = Window.partitionBy(*by, F.lit(0)).orderBy(order("__range")).rowsBetween(Window.unboundedPreceding, -1)
-    # at most BUCKETS + 1 rows a group
+    # a row a range and group
     totals = totals.select(*by, "__range", *[F.coalesce(F.sum(f"__t_{i}").over(over), F.lit(0)).alias(f"__b_{i}") for i in range(len(values))])
     within = Window.partitionBy(*by, "__range").orderBy(order(time)).rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.join(totals, [*by, "__range"])
@@ -36,10 +51,7 @@ def up_to(df: DataFrame, marks: DataFrame, time: str, values: Sequence[str], at:
 
     marks: time and values. The sums are looked up by equality, for distinct times of both tables; no row meets more than one of them.
     """
-    wanted = [df.select(F.col(c).alias("__time")) for c in at]
-    times = wanted[0]
-    for w in wanted[1:]:
-        times = times.union(w)
+    times = df.select(F.explode(F.array(*[F.col(c) for c in at])).alias("__time"))
     times = times.where("__time IS NOT NULL").distinct().select("__time", *[F.lit(0).cast(marks.schema[v].dataType).alias(v) for v in values])
     both = times.union(marks.select(F.col(time).alias("__time"), *values)).groupBy("__time").agg(*[F.sum(v).alias(v) for v in values])
     sums = prefix_sums(both, "__time", values)
@@ -55,14 +67,13 @@ def counts_below(points: DataFrame, queries: DataFrame, levels: int) -> DataFram
     Ranks are whole numbers below 2**levels. A point counts in one node of each level of a binary tree over ranks, and what lies below a query
     is the nodes to the left of its path, so the work grows with rows times levels, and no pairs are made.
     """
-    level = F.explode(F.sequence(F.lit(0), F.lit(levels))).alias("level")
-    node = lambda: F.call_function("shiftright", F.col("rank"), F.col("level"))
-    of_points = points.select("pos", "rank", "n", level).select("level", node().alias("node"), "pos", "n").groupBy("level", "node", "pos").agg(F.sum("n").alias("n"))
-    asked = queries.select("q", "pos", "rank", level).select("q", "level", node().alias("node"), "pos")
-    left = asked.where(f"node % 2 = 1 AND level < {levels}").select("q", "level", (F.col("node") - 1).alias("node"), "pos", F.lit("below").alias("kind"))
-    own = asked.where("level = 0").select("q", "level", "node", "pos", F.lit("equal").alias("kind"))
-    whole = asked.where(f"level = {levels}").select("q", "level", "node", "pos", F.lit("all").alias("kind"))
-    asked = left.union(own).union(whole)
+    node = lambda level: F.call_function("shiftright", F.col("rank"), level)
+    of_points = points.select("pos", "rank", "n", F.explode(F.sequence(F.lit(0), F.lit(levels))).alias("level"))
+    of_points = of_points.select("level", node(F.col("level")).alias("node"), "pos", "n").groupBy("level", "node", "pos").agg(F.sum("n").alias("n"))
+    place = lambda level, at, kind: F.struct(level.alias("level"), at.alias("node"), F.lit(kind).alias("kind"))
+    left = F.transform(F.sequence(F.lit(0), F.lit(levels - 1)), lambda level: F.when(node(level) % 2 == 1, place(level, node(level) - 1, "below")))
+    ends = F.array(place(F.lit(0), node(F.lit(0)), "equal"), place(F.lit(levels), node(F.lit(levels)), "all"))
+    asked = written(queries.select("q", "pos", F.inline(F.concat(F.filter(left, lambda x: x.isNotNull()), ends))))
     places = asked.select("level", "node", "pos", F.lit(0).cast("long").alias("n")).union(of_points.select("level", "node", "pos", F.col("n").cast("long")))
     sums = prefix_sums(places.groupBy("level", "node", "pos").agg(F.sum("n").alias("n")), "pos", ["n"], ["level", "node"], descending=True)
     found = asked.join(sums, ["level", "node", "pos"])
@@ -71,7 +82,7 @@ def counts_below(points: DataFrame, queries: DataFrame, levels: int) -> DataFram
 
 def dense_ranks(df: DataFrame, value: str, out: str) -> DataFrame:
     """(value, out): distinct values and their places from 0."""
-    return prefix_sums(df.select(value).where(F.col(value).isNotNull()).distinct().withColumn(out, F.lit(1).cast("long")), value, [out]).withColumn(out, F.col(out) - 1)
+    return numbered(df.select(value).where(F.col(value).isNotNull()).distinct(), [value], out)
 
 
 def runs(df: DataFrame, time: str, out: str = "run") -> DataFrame:

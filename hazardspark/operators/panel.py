@@ -103,11 +103,9 @@ def merge_times(df: DataFrame, column: str, digits: int = 9) -> DataFrame:
     """
     step = 10.0**-digits
     times = df.select(F.col(column).alias("__t")).where("__t IS NOT NULL").distinct()
-    ends = times.agg(F.min("__t").cast("double"), F.max("__t").cast("double")).first()
-    width = ((ends[1] or 0.0) - (ends[0] or 0.0)) / ordered.BUCKETS or 1.0
-    times = times.withColumn("__range", F.floor((F.col("__t").cast("double") - F.lit(ends[0] or 0.0)) / width))
+    times = ordered.ranges(times, ["__t"])
     edges = times.groupBy("__range").agg(F.max("__t").alias("__last"))
-    # at most BUCKETS + 1 rows
+    # a row a range
     edges = edges.select("__range", F.max("__last").over(Window.partitionBy(F.lit(0)).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)).alias("__edge"))
     before = F.coalesce(F.lag("__t").over(Window.partitionBy("__range").orderBy("__t")), F.col("__edge"))
     marked = times.join(edges, "__range").withColumn("__new", (before.isNull() | (F.col("__t") - before >= step)).cast("long"))

@@ -8,8 +8,10 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from hazardspark.operators import ordered
+
 P = 2_147_483_647
-#: Ranges of ids over which dense_index counts rows.
+#: Ranges of a hash over which places of a permutation are counted.
 BUCKETS = 1024
 
 
@@ -25,15 +27,9 @@ def _columns(i: Column, b: Column, seed: int) -> Column:
 
 
 def dense_index(df: DataFrame, id: str, order: str | Sequence[str], out: str = "i") -> DataFrame:
-    """Index from 0 in order of (id, order): counts of ranges of ids, then ranks within a range."""
-    low, high = df.agg(F.min(id), F.max(id)).first()
-    width = max(1, ((high or 0) - (low or 0)) // BUCKETS + 1)
-    rows = df.withColumn("__range", F.floor((F.col(id) - F.lit(low or 0)) / width))
-    counts = rows.groupBy("__range").agg(F.count("*").alias("__n"))
-    # at most BUCKETS rows
-    base = counts.withColumn("__base", F.coalesce(F.sum("__n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    rank = F.row_number().over(Window.partitionBy("__range").orderBy(id, *([order] if isinstance(order, str) else order))) - 1
-    return rows.join(F.broadcast(base.drop("__n")), "__range").withColumn(out, (F.col("__base") + rank).cast("long")).drop("__range", "__base")
+    """Index from 0 in order of (id, order)."""
+    keys = [id, *([order] if isinstance(order, str) else order)]
+    return ordered.numbered(df, list(dict.fromkeys(keys)), out)
 
 
 def draws(spark: SparkSession, n: int, replicates: int, seed: int = 1) -> DataFrame:

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hazardspark.operators import ordered
+from hazardspark.sources.scratch import written
 
 #: Width of a band of linear predictors, within which exponentials are summed at one scale.
 BAND = 32.0
@@ -195,12 +196,11 @@ def members(df: DataFrame, id: str = "id", start: str = "start", stop: str = "st
 def hazards(df: DataFrame, risk: str = "risk", start: str | None = "start", stop: str = "stop", event: str = "event", ties: str = "efron") -> DataFrame:
     """Per death time: increment h of the cumulative hazard, increment e that its own dead get, and cumhaz."""
     dead = F.col(event) == 1
-    ends = df.groupBy(F.col(stop).alias("t")).agg(
-        F.sum(risk).alias("s"), F.sum(F.when(dead, F.col(risk)).otherwise(0.0)).alias("eden"), F.sum(F.when(dead, 1).otherwise(0)).alias("deaths")
-    )
+    end = lambda at, s, eden, deaths: F.struct(F.col(at).alias("t"), s.alias("s"), eden.alias("eden"), deaths.alias("deaths"))
+    both = [end(stop, F.col(risk), F.when(dead, F.col(risk)).otherwise(0.0), F.when(dead, 1).otherwise(0))]
     if start:
-        begins = df.groupBy(F.col(start).alias("t")).agg((-F.sum(risk)).alias("s"), F.lit(0.0).alias("eden"), F.lit(0).cast("long").alias("deaths"))
-        ends = ends.union(begins).groupBy("t").agg(F.sum("s").alias("s"), F.sum("eden").alias("eden"), F.sum("deaths").alias("deaths"))
+        both.append(end(start, -F.col(risk), F.lit(0.0), F.lit(0)))
+    ends = df.select(F.inline(F.array(*both))).groupBy("t").agg(*[F.sum(c).alias(c) for c in ("s", "eden", "deaths")])
     t = ordered.prefix_sums(ends.withColumn("den", F.col("s")), "t", ["den"], descending=True).where("deaths > 0")
     if ties == "efron":
         # a time of many ties is several rows of at most TIES of them
@@ -234,10 +234,12 @@ def _pairs_by_score(df: DataFrame, score: str, start: str, stop: str, event: str
     A time t takes the places 2 r (rows that fail at t) and 2 r + 1 (the event at t itself, other rows that end or begin there), so those
     that fail together are no pairs.
     """
-    groups = df.groupBy(F.col(start).alias("s"), F.col(stop).alias("t"), F.col(event).alias("d"), F.round(score, 9).alias("x")).agg(F.count("*").alias("n"))
-    times = ordered.dense_ranks(groups.select("t").union(groups.select(F.col("s").alias("t"))), "t", "r")
+    groups = written(df.groupBy(F.col(start).alias("s"), F.col(stop).alias("t"), F.col(event).alias("d"), F.round(score, 9).alias("x")).agg(F.count("*").alias("n")))
+    times = ordered.dense_ranks(groups.select(F.explode(F.array("s", "t")).alias("t")), "t", "r")
     ranks = ordered.dense_ranks(groups, "x", "rank")
     groups = groups.join(ranks, "x").join(times.select("t", (2 * F.col("r")).alias("end")), "t").join(times.select(F.col("t").alias("s"), (2 * F.col("r") + 1).alias("begin")), "s")
+    # read for points, failures and events
+    groups = written(groups)
     # a row is counted from its end back, and taken away from its beginning back
     ends = groups.select((F.col("end") + (F.col("d") != 1).cast("long")).alias("pos"), "rank", "n")
     points = ends.union(groups.select(F.col("begin").alias("pos"), "rank", -F.col("n")))
@@ -245,7 +247,7 @@ def _pairs_by_score(df: DataFrame, score: str, start: str, stop: str, event: str
     levels = max(1, (ranks.count() or 1).bit_length())
     asked = fails.select(F.struct("t", "x").alias("q"), (F.col("end") + 1).alias("pos"), "rank")
     found = ordered.counts_below(points, asked, levels).select("q.t", "q.x", "below", "equal", (F.col("all") - F.col("below") - F.col("equal")).alias("above"))
-    return groups, fails.join(found, ["t", "x"]).withColumn("levels", F.lit(levels))
+    return groups, written(fails.join(found, ["t", "x"]).withColumn("levels", F.lit(levels)))
 
 
 def concordance(df: DataFrame, score: str, start: str = "start", stop: str = "stop", event: str = "event") -> DataFrame:

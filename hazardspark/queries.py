@@ -630,19 +630,36 @@ def cox_bootstrap_right_censored(spark, sf_dir):
 # --- exposure models
 
 
-@query(f"WITH {oracle.atoms_sql(CUTOFF, KNOTS)} SELECT lag, k, round(value, 8) + 0.0 AS value FROM atoms", EVENTS_SQL)
+def _lags(df: DataFrame, reach: int) -> DataFrame:
+    """(lag, pairs, mass): pairs of a row and a dose before it at each lag, and their doses."""
+    source = df.where("dose <> 0").select("id", F.col("stop").alias("__s"), F.col("dose").alias("__dose"))
+    pairs = exposure.within_reach(df.select("id", "stop"), source, ["id"], "stop", reach).where("__s IS NOT NULL")
+    return pairs.groupBy((F.col("stop") - F.col("__s")).cast("int").alias("lag")).agg(F.count("*").alias("pairs"), F.sum("__dose").alias("mass"))
+
+
+LAGS_SQL = "lags AS (SELECT CAST(p.stop - s.stop AS INTEGER) AS lag, count(*) AS pairs, sum(s.dose) AS mass FROM panel p JOIN panel s ON s.id = p.id AND s.dose <> 0 AND s.stop <= p.stop GROUP BY 1)"
+
+
+@query(f"WITH {LAGS_SQL}, {oracle.atoms_sql(CUTOFF, KNOTS)} SELECT lag, k, round(value, 8) + 0.0 AS value, pairs FROM atoms JOIN lags USING (lag)")
 def spline_atoms(spark, sf_dir):
-    return _rounded(splines.atoms_table(spark, splines.atoms(CUTOFF, KNOTS)), 8)
+    # the basis at the lags that the panel's doses have
+    atoms = splines.atoms_table(spark, splines.atoms(CUTOFF, KNOTS))
+    return _rounded(atoms.join(_lags(_panel(spark, sf_dir), CUTOFF).select("lag", "pairs"), "lag"), 8)
 
 
-@query(f"WITH {oracle.atoms_sql(90, 1)} SELECT k, round(sum(value), 6) AS area FROM atoms GROUP BY k", EVENTS_SQL)
+@query(f"WITH {LAGS_SQL}, {oracle.atoms_sql(90, 1)} SELECT k, round(sum(value), 6) AS area, round(sum(value * coalesce(mass, 0)), 4) + 0.0 AS mass FROM atoms LEFT JOIN lags USING (lag) GROUP BY k")
 def spline_areas(spark, sf_dir):
-    return _rounded(splines.atoms_table(spark, splines.atoms(90, 1)).groupBy("k").agg(F.sum("value").alias("area")))
+    # of each spline, and of the panel's doses under it
+    found = splines.atoms_table(spark, splines.atoms(90, 1)).join(_lags(_panel(spark, sf_dir), 90), "lag", "left").groupBy("k")
+    return found.agg(F.round(F.sum("value"), 6).alias("area"), (F.round(F.sum(F.col("value") * F.coalesce("mass", F.lit(0.0))), 4) + 0.0).alias("mass"))
 
 
-@query("SELECT * FROM (VALUES (0, -3.0::DOUBLE), (1, -2.0), (2, -1.0), (3, 0.0), (4, 46.0), (5, 90.0), (6, 91.0), (7, 92.0), (8, 93.0)) v(i, knot)", EVENTS_SQL)
+@query("""WITH c AS (SELECT max(stop) AS cutoff FROM panel)
+    SELECT CAST(v AS INTEGER) AS i, CAST(v - 3 AS DOUBLE) AS knot FROM generate_series(0, 3) q(v) UNION ALL SELECT 4, CAST(round_even((1 + cutoff) / 2.0, 0) AS DOUBLE) FROM c UNION ALL SELECT CAST(v + 5 AS INTEGER), CAST(cutoff + v AS DOUBLE) FROM c, generate_series(0, 3) q(v)""")
 def spline_knots(spark, sf_dir):
-    return spark.createDataFrame(list(enumerate(splines.knots(90, 1))), "i int, knot double")
+    # for a window as long as the panel's longest follow-up
+    cutoff = _panel(spark, sf_dir).agg(F.max("stop")).first()[0]
+    return spark.createDataFrame(list(enumerate(splines.knots(int(cutoff), 1))), "i int, knot double")
 
 
 def _wce(spark: SparkSession, sf_dir: str, **options) -> wce.WceModel:
@@ -713,7 +730,12 @@ def wce_risk_band(spark, sf_dir):
     return _rounded(spark.createDataFrame([(k + 1, float(b)) for k, b in enumerate(band)], "k int, band double"), 5)
 
 
-@query()
+def _bic_sql(count: int, nknots: int) -> str:
+    """A query of nknots and bic of an exposure model of its own."""
+    return f"(WITH RECURSIVE {_wce_sql(count, CUTOFF, nknots)} SELECT {nknots} AS nknots, {count + 2} * ln((SELECT sum(event) FROM panel)) - 2 * loglik AS bic FROM fits WHERE term = 'sex')"
+
+
+@query(f"WITH both_ AS ({_bic_sql(5, 1)} UNION ALL {_bic_sql(6, 2)}) SELECT nknots, round(bic, 4) AS bic, bic = (SELECT min(bic) FROM both_) AS chosen FROM both_")
 def wce_knot_selection(spark, sf_dir):
     best, values = wce.select_knots(_panel(spark, sf_dir), ["sex", "age"], CUTOFF, (1, 2))
     return _rounded(spark.createDataFrame([(k, v, k == best.nknots) for k, v in values.items()], "nknots int, bic double, chosen boolean"), 4)
@@ -859,29 +881,40 @@ def permutation_test(spark, sf_dir):
     return _rounded(replicates.permutation_test(_risks(spark, sf_dir, 19), "channel").withColumn("rank", F.col("rank").cast("long")), 5)
 
 
-# --- simulators
+# --- cohorts: exposures that the table has, outcomes and covariates drawn for its subjects
 
 
-COHORT_SQL = f"""dd AS (SELECT d AS drug, c // 100 AS patient, c % 100 AS t, {oracle.hash_sql('c', 'd')} % 2 AS dose FROM generate_series(0, 3) ds(d), generate_series(0, 9999) cs(c)),
-    hh AS (SELECT patient, t, CAST(coalesce(lag(dose, 1) OVER w, 0) = 1 AND coalesce(lag(dose, 2) OVER w, 0) = 1 AND {oracle.hash_sql('patient * 100 + t', '4')} % 10 < 8 AS INTEGER) AS hit FROM dd WHERE drug = 0 WINDOW w AS (PARTITION BY patient ORDER BY t)),
+COHORT_SQL = f"""kinds(drug, kind) AS (VALUES {', '.join(f"({i}, '{c}')" for i, c in enumerate(CHANNELS))}),
+    dd AS (SELECT k.drug, p.id AS patient, p.stop AS t, CAST(EXISTS (SELECT 1 FROM ev WHERE ev.id = p.id AND ev.day = p.stop AND ev.event_type = k.kind) AS INTEGER) AS dose FROM panel p, kinds k),
+    hh AS (SELECT patient, t, CAST(coalesce(lag(dose, 1) OVER w, 0) = 1 AND coalesce(lag(dose, 2) OVER w, 0) = 1 AND {oracle.hash_sql('patient * 30 + t', '4')} % 10 < 8 AS INTEGER) AS hit FROM dd WHERE drug = 0 WINDOW w AS (PARTITION BY patient ORDER BY t)),
     ee AS (SELECT patient, t, hit + 2 * coalesce(sum(hit) OVER (PARTITION BY patient ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS event FROM hh)"""
 
 
-@query(f"WITH {COHORT_SQL} SELECT CAST(event AS INTEGER) AS event, count(*) AS n FROM ee GROUP BY 1", EVENTS_SQL)
+def _drugs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return panels.observed_doses(panels.events(spark, sf_dir), CHANNELS)
+
+
+@query(f"WITH {COHORT_SQL} SELECT patient, t, CAST(event AS INTEGER) AS event FROM ee")
 def drug_cohort(spark, sf_dir):
-    return panels.drug_cohort(spark, 4, 100, 100)[1].groupBy("event").agg(F.count("*").alias("n"))
+    return panels.dose_outcomes(_drugs(spark, sf_dir).where("drug = 0"), panels.DAYS, len(CHANNELS))
 
 
-@query(f"WITH {COHORT_SQL} SELECT CAST(patient AS INTEGER) AS patient, CAST(t AS INTEGER) AS t, CAST(dose AS INTEGER) AS dose FROM dd WHERE drug = 2", EVENTS_SQL)
+@query(f"WITH {COHORT_SQL} SELECT patient, t, dose FROM dd WHERE drug = 2")
 def drug_of_interest(spark, sf_dir):
-    return panels.interest(panels.drug_cohort(spark, 4, 100, 100)[0], 2)
+    return panels.interest(_drugs(spark, sf_dir), 2)
+
+
+def _normal_sql(b: str) -> str:
+    return f"sqrt(-2 * ln(({oracle.hash_sql('id', b)} + 1) / 2147483648.0::DOUBLE)) * cos(2 * pi() * (({oracle.hash_sql('id', f'({b} + 1)')} + 1) / 2147483648.0::DOUBLE))"
 
 
-@query("SELECT id AS row, CAST(1 + " + oracle.hash_sql("id", "0") + " % 50 AS INTEGER) AS time, CAST(" + oracle.hash_sql("id", "1") + " % 10000 < 1000 AS INTEGER) AS death, " + ", ".join(f"round(sqrt(-2 * ln((" + oracle.hash_sql("id", str(2 + 2 * i)) + " + 1) / 2147483648.0::DOUBLE)) * cos(2 * pi() * (" + oracle.hash_sql("id", str(3 + 2 * i)) + " + 1) / 2147483648.0::DOUBLE), 6) + 0.0 AS x" + str(i + 1) for i in range(5)) + " FROM generate_series(0, 999) r(id)", EVENTS_SQL)
+@query("SELECT id, CAST(1 + " + oracle.hash_sql("id", "0") + " % 50 AS INTEGER) AS time, CAST(" + oracle.hash_sql("id", "1") + " % 10000 < 1000 AS INTEGER) AS death, " + ", ".join(f"round({_normal_sql(str(2 + 2 * i))}, 6) + 0.0 AS x{i + 1}" for i in range(5)) + " FROM subj")
 def random_benchmark_frame(spark, sf_dir):
-    return _rounded(panels.random_frame(spark, 1000, 50, 5))
+    return _rounded(panels.random_frame(panels.subjects(panels.events(spark, sf_dir)), 50, 5))
 
 
-@query()
+@query(f"""WITH sp AS (SELECT id, k, 7 * (1 + CAST(floor(exp(0.5 + 0.8 * {_normal_sql('(3 * k)')})) AS BIGINT)) AS n, 0.5 * (1 + {oracle.hash_sql('id', '(3 * k + 2)')} % 6) AS dose FROM subj, generate_series(0, 52) ks(k)),
+    bs AS (SELECT *, 1 + coalesce(sum(n) OVER (PARTITION BY id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS begun FROM sp)
+    SELECT id, CAST(unnest(generate_series(CAST(begun AS BIGINT), CAST(least(365, begun + n - 1) AS BIGINT))) AS BIGINT) AS day, dose::DOUBLE AS dose FROM bs WHERE begun <= 365 AND k % 2 = 0""")
 def dose_history(spark, sf_dir):
-    return panels.dose_histories(spark, 50, 365)
+    return panels.dose_histories(panels.subjects(panels.events(spark, sf_dir)).select("id"), 365)

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Days of the event stream, the first one, and what ends a history.
@@ -59,11 +59,7 @@ def person_days(spark: SparkSession, sf_dir: str, kind: str = "click") -> DataFr
 
 
 def drug_cohort(spark: SparkSession, drugs: int, patients: int, times: int, seed: int = 1) -> tuple[DataFrame, DataFrame]:
-    """Doses (drug, patient, t, dose) and events (patient, t, event) with 1 at the event and 2 or more afterwards.
-
-    Doses are fair coin tosses; two doses of drug 0 on the two days before bring the event with probability 0.8. Both are drawn by the
-    portable hash of (patient, t) and drug, so every task, retry and engine draws the same.
-    """
+    """Doses (drug, patient, t, dose), fair coin tosses by the portable hash, and the events that they bring (dose_outcomes of drug 0)."""
     from hazardspark.operators.resample import portable_hash
 
     cells = spark.range(drugs * patients * times)
@@ -72,12 +68,33 @@ def drug_cohort(spark: SparkSession, drugs: int, patients: int, times: int, seed
         F.floor(F.col("id") / (patients * times)).cast("int").alias("drug"), F.floor(cell / times).cast("int").alias("patient"), (cell % times).cast("int").alias("t"),
         (portable_hash(cell, F.floor(F.col("id") / (patients * times)).cast("long"), seed) % 2).cast("int").alias("dose"),
     )
+    return dose, dose_outcomes(dose.where("drug = 0"), times, drugs, seed)
+
+
+def observed_doses(ev: DataFrame, drugs: Sequence[str]) -> DataFrame:
+    """(drug, patient, t, dose): 1 on days with an event of the kind that a drug stands for (drugs are numbered from 0), for every day of the follow-up."""
+    from hazardspark.operators.panel import expand
+
+    days = expand(subjects(ev), "id", "follow_up", "status").select(F.col("id").alias("patient"), F.col("stop").alias("t"))
+    kinds = F.array(*[F.struct(F.lit(i).alias("drug"), F.lit(k).alias("kind")) for i, k in enumerate(drugs)])
+    taken = ev.select(F.col("id").alias("patient"), F.col("day").alias("t"), F.col("event_type").alias("kind"), F.lit(1).alias("dose")).distinct()
+    cells = days.select("*", F.inline(kinds)).join(taken, ["patient", "t", "kind"], "left")
+    return cells.select("drug", "patient", "t", F.coalesce("dose", F.lit(0)).alias("dose"))
+
+
+def dose_outcomes(doses: DataFrame, times: int, salt: int, seed: int = 1) -> DataFrame:
+    """(patient, t, event): doses on both days before bring the event with probability 0.8, by the portable hash; 1 at an event, 2 more for each event before.
+
+    Every task, retry and engine draws the same.
+    """
+    from hazardspark.operators.resample import portable_hash
+
     by = Window.partitionBy("patient").orderBy("t")
     risk = (F.lag("dose", 1, 0).over(by) == 1) & (F.lag("dose", 2, 0).over(by) == 1)
-    lucky = portable_hash((F.col("patient") * times + F.col("t")).cast("long"), F.lit(drugs).cast("long"), seed) % 10 >= 8
-    event = dose.where("drug = 0").withColumn("hit", (risk & ~lucky).cast("int"))
+    lucky = portable_hash((F.col("patient") * times + F.col("t")).cast("long"), F.lit(salt).cast("long"), seed) % 10 >= 8
+    event = doses.withColumn("hit", (risk & ~lucky).cast("int"))
     event = event.withColumn("before", F.coalesce(F.sum("hit").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return dose, event.select("patient", "t", (F.col("hit") + 2 * F.col("before")).cast("int").alias("event"))
+    return event.select("patient", "t", (F.col("hit") + 2 * F.col("before")).cast("int").alias("event"))
 
 
 def interest(doses: DataFrame, drug: int) -> DataFrame:
@@ -85,38 +102,36 @@ def interest(doses: DataFrame, drug: int) -> DataFrame:
     return doses.where(F.col("drug") == drug).drop("drug")
 
 
-def random_frame(spark: SparkSession, rows: int, times: int, features: int, deaths: float = 0.1, seed: int = 1) -> DataFrame:
-    """(row, time, death, x1, x2, ...): uniform times from 1, deaths with the given share, standard normal covariates, by the portable hash."""
+def _normal(id: str, b: Column, seed: int) -> Column:
+    """A standard normal value for each id, from the draws b and b + 1 of the portable hash."""
     from hazardspark.operators.resample import P, portable_hash
 
-    def draw(b: int):
-        return portable_hash(F.col("id"), F.lit(b).cast("long"), seed)
+    u, v = ((portable_hash(F.col(id).cast("long"), k.cast("long"), seed) + 1) / F.lit(float(P + 1)) for k in (b, b + 1))
+    return F.sqrt(-2 * F.log(u)) * F.cos(2 * F.pi() * v)
 
-    def normal(b: int):
-        u, v = ((draw(k) + 1) / F.lit(float(P + 1)) for k in (b, b + 1))
-        return F.sqrt(-2 * F.log(u)) * F.cos(2 * F.pi() * v)
 
-    xs = [normal(2 + 2 * i).alias(f"x{i + 1}") for i in range(features)]
-    return spark.range(rows).select(F.col("id").alias("row"), (1 + draw(0) % times).cast("int").alias("time"), (draw(1) % 10_000 < int(10_000 * deaths)).cast("int").alias("death"), *xs)
+def random_frame(ids: DataFrame, times: int, features: int, deaths: float = 0.1, seed: int = 1, id: str = "id") -> DataFrame:
+    """(id, time, death, x1, x2, ...) for each id given: uniform times from 1, deaths with the given share, standard normal covariates, by the portable hash."""
+    from hazardspark.operators.resample import portable_hash
+
+    def draw(b: int):
+        return portable_hash(F.col(id).cast("long"), F.lit(b).cast("long"), seed)
 
+    xs = [_normal(id, F.lit(2 + 2 * i), seed).alias(f"x{i + 1}") for i in range(features)]
+    return ids.select(id, (1 + draw(0) % times).cast("int").alias("time"), (draw(1) % 10_000 < int(10_000 * deaths)).cast("int").alias("death"), *xs)
 
-def dose_histories(spark: SparkSession, ids: int, days: int, seed: int = 1) -> DataFrame:
-    """(id, day, dose): alternating spells with and without a dose, of log-normal numbers of weeks."""
 
-    def spells(batches):
-        for pdf in batches:
-            out = []
-            for i in pdf["id"]:
-                rng, day, on = np.random.default_rng([seed, int(i)]), 1, True
-                while day <= days:
-                    n = 7 * (1 + int(rng.lognormal(0.5, 0.8)))
-                    if on:
-                        dose = 0.5 * int(rng.integers(1, 7))
-                        out += [(i, d, dose) for d in range(day, min(days, day + n - 1) + 1)]
-                    day, on = day + n, not on
-            yield pd.DataFrame(out, columns=["id", "day", "dose"])
+def dose_histories(ids: DataFrame, days: int, seed: int = 1, id: str = "id") -> DataFrame:
+    """(id, day, dose) for each id given: alternating spells with and without a dose, of log-normal numbers of weeks, by the portable hash."""
+    from hazardspark.operators.resample import portable_hash
 
-    return spark.range(ids).mapInPandas(spells, "id long, day long, dose double")
+    spells = ids.select(id, F.explode(F.sequence(F.lit(0), F.lit(days // 7))).alias("k"))
+    weeks = 1 + F.floor(F.exp(0.5 + 0.8 * _normal(id, 3 * F.col("k"), seed)))
+    spells = spells.select(id, "k", (7 * weeks).alias("n"), (0.5 * (1 + portable_hash(F.col(id).cast("long"), (3 * F.col("k") + 2).cast("long"), seed) % 6)).alias("dose"))
+    # a spell a week at most
+    begin = 1 + F.coalesce(F.sum("n").over(Window.partitionBy(id).orderBy("k").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    spells = spells.withColumn("begin", begin).where(f"begin <= {days} AND k % 2 = 0")
+    return spells.select(id, F.explode(F.sequence(F.col("begin"), F.least(F.lit(days), F.col("begin") + F.col("n") - 1))).alias("day"), "dose")
 
 
 def permutational_events(histories: DataFrame, times: pd.DataFrame, log_hazard: float, seed: int = 1) -> DataFrame:
@@ -150,10 +165,15 @@ TRUE_WEIGHTS = {
 }
 
 
+#: Lags in days from which a weight function is zero, or less than 1e-16 of its largest value.
+SUPPORT = {"exponential": 2000.0, "bilinear": 50.0, "early_peak": 190.0, "inverted_u": 270.0, "constant": 180.5}
+
+
 def true_exposure(panel: DataFrame, shape: str, unit: float = 1.0) -> DataFrame:
-    """(id, stop, wce): all doses up to each row, weighed by a known function of the lag times unit."""
-    target = panel.select("id", "stop")
-    source = panel.where("dose <> 0").select(F.col("id").alias("sid"), F.col("stop").alias("s"), "dose")
-    pairs = target.join(source, (F.col("id") == F.col("sid")) & (F.col("s") <= F.col("stop")), "left")
-    weight = F.expr(TRUE_WEIGHTS[shape].replace("lag", f"(CAST(stop - s AS DOUBLE) * {float(unit)}D)"))
-    return pairs.groupBy("id", "stop").agg(F.coalesce(F.sum(weight * F.col("dose")), F.lit(0.0)).alias("wce"))
+    """(id, stop, wce): the doses up to each row, weighed by a known function of the lag times unit, as far back as the function has a weight."""
+    from hazardspark.operators.exposure import within_reach
+
+    source = panel.where("dose <> 0").groupBy("id", F.col("stop").alias("__s")).agg(F.sum("dose").alias("__dose"))
+    pairs = within_reach(panel.select("id", "stop"), source, ["id"], "stop", SUPPORT[shape] / unit)
+    weight = F.expr(TRUE_WEIGHTS[shape].replace("lag", f"(CAST(stop - __s AS DOUBLE) * {float(unit)}D)"))
+    return pairs.groupBy("id", "__bucket", "stop").agg(F.coalesce(F.sum(weight * F.col("__dose")), F.lit(0.0)).alias("wce")).drop("__bucket")

@@ -367,7 +367,7 @@ def test_summary_tests_and_simulators(spark, days):
     assert abs(m.tests()["lr"] - 2 * (m.loglik - m.loglik_init)) < 1e-12 and m.bic() > m.aic()
     doses, events = panels.drug_cohort(spark, 2, 20, 30)
     assert doses.count() == 1200 and events.where("event = 1").groupBy("patient").count().where("count > 1").count() == 0
-    histories = panels.dose_histories(spark, 5, 60)
+    histories = panels.dose_histories(spark.range(5), 60)
     assert histories.agg(F.max("day")).first()[0] <= 60
     import pandas as pd
 
