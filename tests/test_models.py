@@ -503,3 +503,76 @@ def test_design_of_text_is_that_of_indicators(spark):
     assert "__x2" not in m.linear_predictor(df).columns and all(r.lp is not None for r in got)
     boot = cox.cox_bootstrap("Surv(start, stop, event) ~ a * g", df, 2, all_results=True)
     assert {r.term for r in boot.fits.collect()} == set(m.covariates)
+
+
+def _counted(spark, df):
+    """df, and an accumulator of the rows that are read from it, over all jobs."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def read(batches):
+        for batch in batches:
+            seen.add(len(batch))
+            yield batch
+
+    return df.mapInPandas(read, df.schema), seen
+
+
+@pytest.mark.parametrize("work,most", [
+    (lambda d: riskset.concordance(d, "risk"), 1), (lambda d: riskset.concordance_error(d, "risk"), 1), (lambda d: riskset.hazards(d), 1), (lambda d: riskset.martingale(d), 3), (lambda d: panel.ever_at_risk(d), 3),
+])
+def test_the_source_is_read_few_times(spark, days, work, most):
+    rows = days.withColumn("risk", F.exp(0.1 * F.col("age"))).select("id", "start", "stop", "event", "risk")
+    df, seen = _counted(spark, rows)
+    work(df).count()
+    assert 0 < seen.value <= most * rows.count()
+
+
+def test_ranges_are_balanced_whatever_the_values(spark):
+    rows = spark.range(20_000).select(F.when(F.col("id") < 3, F.lit(-1e15) * (F.col("id") + 1)).otherwise(1e6 + F.col("id") / 1e6).alias("t"), F.lit(1).alias("v"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sizes = [r["count"] for r in ordered.ranges(rows, ["t"]).groupBy("__range").count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(sizes) >= 6 and max(sizes) < 2 * 20_000 / len(sizes)
+    got = ordered.numbered(rows, ["t"], "n").orderBy("t").collect()
+    assert [r.n for r in got] == list(range(20_000))
+
+
+def test_doses_meet_rows_in_buckets(spark, days):
+    for df, key in ((exposure.wce_features(days, 7), "__bucket"), (panels.true_exposure(days, "bilinear"), "__bucket")):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        join = re.search(rf"Join \[id#\d+L?, {key}#\d+L?\]", plan)
+        assert join and "Exchange" not in plan[: join.start()]
+    # a row of a long history meets the doses of its window and of one more bucket at most
+    long_ = spark.range(5000).select(F.lit(1).alias("id"), F.col("id").cast("int").alias("stop"), F.lit(1.0).alias("dose"))
+    source = long_.select("id", F.col("stop").alias("__s"), "dose")
+    pairs = exposure.within_reach(long_.select("id", "stop"), source, ["id"], "stop", 10)
+    assert pairs.count() == 10 * 5000 - 45 and pairs.groupBy("__bucket").count().agg(F.max("count")).first()[0] <= 100
+    got = {r.stop: r.D1 for r in exposure.features(long_, np.ones((10, 1))).collect()}
+    assert all(got[t] == min(10, t + 1) for t in range(5000))
+
+
+@settings(deadline=None, max_examples=3, derandomize=True)
+@given(st.lists(st.tuples(st.integers(-40, 40), st.integers(0, 3)), min_size=1, max_size=25, unique_by=lambda r: r[0]))
+def test_features_of_any_times(spark, drawn):
+    values = splines.atoms(9)
+    rows = spark.createDataFrame([(1, t, float(d)) for t, d in drawn], "id int, stop int, dose double")
+    got = {r.stop: r for r in exposure.features(rows, values).collect()}
+    for t, _ in drawn:
+        want = sum(d * values[t - s] for s, d in drawn if 0 <= t - s < 9)
+        assert np.allclose([got[t][f"D{k + 1}"] for k in range(values.shape[1])], want)
+
+
+def test_cohorts_of_a_table(spark):
+    ev = panels.events(spark, SF)
+    doses = panels.observed_doses(ev, ["click", "view"])
+    seen = {(r.id, r.day) for r in ev.where("event_type = 'click'").collect()}
+    rows = doses.where("drug = 0").collect()
+    assert all(r.dose == ((r.patient, r.t) in seen) for r in rows) and len(rows) == panels.person_days(spark, SF).count()
+    out = panels.dose_outcomes(doses.where("drug = 0"), 30, 2).collect()
+    taken = {(r.patient, r.t) for r in rows if r.dose}
+    hits = [r for r in out if r.event % 2]
+    assert hits and all((r.patient, r.t - 1) in taken and (r.patient, r.t - 2) in taken for r in hits)
+    frame = panels.random_frame(panels.subjects(ev), 50, 2)
+    assert frame.select("id").distinct().count() == 150 and frame.agg(F.max("time"), F.min("time")).first()[0] <= 50
