@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from hazardspark.llm.common import materialize, split_words
 
 K1, B = 1.2, 0.75
-#: Text bytes of a shard; queries and query terms of a block, on average.
-SHARD_BYTES, BLOCK_QUERIES, BLOCK_TERMS = 16 << 20, 4096, 1_000_000
+#: Text bytes and documents of a shard; queries and query terms of a block, on average.
+SHARD_BYTES, SHARD_DOCS, BLOCK_QUERIES, BLOCK_TERMS = 16 << 20, 1 << 14, 4096, 1_000_000
 #: Neighbouring documents of an index block; queries scored at a time; scores are rounded to so many digits before ties go to the smaller doc_id.
 BLOCK_DOCS, GROUP, DIGITS = 64, 256, 6
 #: A term is common in a shard where this share of all pairs of documents and queries has it; postings of others are cheaper than columns.
@@ -67,9 +67,9 @@ def shard_of(ids: pa.Array, texts: pa.Array) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(values, _INDEX_NAMES)
 
 
-def _build(shard_bytes: int):
+def _build(shard_bytes: int, shard_docs: int = SHARD_DOCS):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        held, size, count = [], 0, 0
 
         def out() -> pa.RecordBatch:
             whole = pa.Table.from_batches(held).combine_chunks()
@@ -80,13 +80,13 @@ def _build(shard_bytes: int):
             ends, low = np.cumsum(pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False)), 0
             while low < batch.num_rows:
                 before = int(ends[low - 1]) if low else 0
-                high = min(batch.num_rows, int(np.searchsorted(ends, before + shard_bytes - size)) + 1)
+                high = min(batch.num_rows, low + shard_docs - count, int(np.searchsorted(ends, before + shard_bytes - size)) + 1)
                 held.append(batch.slice(low, high - low))
-                size += int(ends[high - 1]) - before
+                size, count = size + int(ends[high - 1]) - before, count + high - low
                 low = high
-                if size >= shard_bytes:
+                if size >= shard_bytes or count >= shard_docs:
                     yield out()
-                    size = 0
+                    size = count = 0
         if held:
             yield out()
 
@@ -220,7 +220,7 @@ class Shard:
             best.add(first + q, score, self.ids[d], self.null[d])
 
 
-def top_k(docs: DataFrame, queries: DataFrame, doc_id: str = "doc_id", query_id: str = "doc_id", text: str = "text", k: int = 10, shard_bytes: int = SHARD_BYTES, block_queries: int = BLOCK_QUERIES, block_terms: int = BLOCK_TERMS) -> DataFrame:
+def top_k(docs: DataFrame, queries: DataFrame, doc_id: str = "doc_id", query_id: str = "doc_id", text: str = "text", k: int = 10, shard_bytes: int = SHARD_BYTES, block_queries: int = BLOCK_QUERIES, block_terms: int = BLOCK_TERMS, shard_docs: int = SHARD_DOCS) -> DataFrame:
     """query_id, rank, doc_id, score: the k documents of most BM25 score for each query text, its own row included.
 
     Terms are words with A-Z lower-cased; a query's terms count once. Documents without a common term are no result, so
@@ -229,7 +229,7 @@ def top_k(docs: DataFrame, queries: DataFrame, doc_id: str = "doc_id", query_id:
     indexed, however long; other columns are ignored; an empty table gives none. Ids are whole numbers (or text of one).
     """
     texts = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("__text"))
-    index = materialize(texts.mapInArrow(_build(shard_bytes), _INDEX))
+    index = materialize(texts.mapInArrow(_build(shard_bytes, shard_docs), _INDEX))
     n, words = (int(x or 0) for x in index.agg(F.sum("n"), F.sum("total")).first())
     average = words / n if n else 0.0
     counts = index.select(F.inline(F.arrays_zip(F.col("words").alias("word"), F.col("df").alias("df")))).groupBy("word").agg(F.sum("df").alias("df"))

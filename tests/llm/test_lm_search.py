@@ -134,3 +134,31 @@ def test_search_edge_tables(spark, kind):
     got = sorted((tuple(r)[:3] for r in search.top_k(df, queries).collect()), key=str)
     want = brute_top(rows, [(d, t) for d, t in rows if d in (1, 2, 3, 5, 9)], 10)
     assert got == [x[:3] for x in want]
+
+
+MANY = """
+import resource
+import numpy as np, pyarrow as pa
+from hazardspark.llm import search
+rng = np.random.default_rng(1)
+words = np.array([f"w{i}" for i in range(2000)])
+def batches():
+    for low in range(0, 1_000_000, 10_000):
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(low, low + 10_000)), pa.array(words[rng.integers(0, 2000, 10_000) // rng.integers(1, 2000, 10_000)])], ["doc_id", "__text"])
+asked = search.Queries(np.arange(1000), pa.array(words), np.ones(2000), np.repeat(np.arange(1000), 3) * 7 % 2000, np.arange(1, 1001) * 3)
+begun = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+best, shards = search.Best(1000, 10), 0
+for row in search._build(search.SHARD_BYTES)(batches()):
+    search.Shard(row, asked, 1.0).search(best)
+    shards += 1
+print(shards, (resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - begun) // 1024)
+"""
+
+
+def test_a_million_short_texts_need_little_memory():
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    out = subprocess.run([sys.executable, "-c", MANY], capture_output=True, text=True, cwd=Path(__file__).resolve().parents[2], timeout=600, check=True).stdout.split()
+    assert int(out[0]) >= 1_000_000 // search.SHARD_DOCS and int(out[1]) < 500
