@@ -5,12 +5,16 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from hazardspark.operators import ordered
 
 P = 2_147_483_647
+#: Rows that are drawn together.
+DRAW_BLOCK = 4096
 #: Ranges of a hash over which places of a permutation are counted.
 BUCKETS = 1024
 
@@ -52,6 +56,67 @@ def row_bootstrap(df: DataFrame, replicates: int, seed: int = 1, id: str = "id",
     return indexed.join(draws(df.sparkSession, df.count(), replicates, seed), "i")
 
 
+class SplitDraws:
+    """How many of a replicate's draws, as many as all rows, fall into each block of the rows.
+
+    Draws are split down a binary tree over the blocks, by a binomial draw at each node on the way to a block. A node's draw depends on seed, replicate and node only, so the blocks'
+    tasks agree on it without a message; the numbers of all blocks have the multinomial law and sum to the rows.
+    """
+
+    def __init__(self, rows: int, block: int = DRAW_BLOCK, seed: int = 1):
+        self.rows, self.block, self.seed = rows, block, seed
+        self.known: dict[tuple[int, int, int], int] = {}
+
+    def count(self, part: int, b: int) -> int:
+        if b == 0:
+            return min(self.block, self.rows - part * self.block)
+        low, high, n = 0, -(-self.rows // self.block), self.rows
+        while high - low > 1:
+            mid = (low + high) // 2
+            if (b, low, high) not in self.known:
+                share = (mid - low) * self.block / (min(self.rows, high * self.block) - low * self.block)
+                self.known[b, low, high] = int(np.random.default_rng([self.seed, b, low, high]).binomial(n, share))
+            left = self.known[b, low, high]
+            low, high, n = (low, mid, left) if part < mid else (mid, high, n - left)
+        return n
+
+    def weights(self, part: int, b: int) -> np.ndarray:
+        """Of the block's rows; replicate 0 is the sample itself. A single block draws what draws_of does."""
+        size = min(self.block, self.rows - part * self.block)
+        if b == 0:
+            return np.ones(size, dtype=np.int64)
+        j = np.arange(self.count(part, b), dtype=np.int64)
+        return np.bincount(portable_hash(j, np.int64(b), (self.seed + 7919 * part) % P) % size, minlength=size)
+
+
+def split_bootstrap(df: DataFrame, replicates: int, seed: int = 1, id: str = "id", order: str | Sequence[str] = "stop", keep: Sequence[str] | None = None, block: int = DRAW_BLOCK) -> DataFrame:
+    """df's columns (or keep) with replicate b and weight w > 0, where no table of draws is made or shuffled.
+
+    Rows are numbered in order of (id, order) and drawn block by block, each in the task that holds it: its number of draws comes down a tree (SplitDraws), its rows from the portable
+    hash. Equal rows of keep are one in a block, with their weights' sum. Tables of one block have the draws of row_bootstrap.
+    """
+    keys = list(dict.fromkeys([id, *([order] if isinstance(order, str) else order)]))
+    keep = list(df.columns if keep is None else keep)
+    rows = ordered.numbered(df, keys, "__n")
+    total = rows.count()
+    rows = rows.select(F.floor(F.col("__n") / block).alias("__part"), "__n", *keep)
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("__n")
+        part, cells = int(table["__part"][0].as_py()), table.select(keep)
+        draws, out = SplitDraws(total, block, seed), []
+        for b in range(replicates):
+            w = draws.weights(part, b)
+            some = np.flatnonzero(w)
+            drawn = cells.take(pa.array(some)).append_column("w", pa.array(w[some])).group_by(keep).aggregate([("w", "sum")])
+            out.append(drawn.select([*keep, "w_sum"]).rename_columns([*keep, "w"]).append_column("b", pa.array(np.full(len(drawn), b))))
+        return pa.concat_tables(out).select([*keep, "b", "w"])
+
+    kinds = T.StructType([*[df.schema[c] for c in keep], T.StructField("b", T.LongType()), T.StructField("w", T.LongType())])
+    # block rows a group
+    return rows.groupBy("__part").applyInArrow(run, kinds)
+
+
 def subject_bootstrap(df: DataFrame, replicates: int, seed: int = 1, id: str = "id") -> DataFrame:
     """df's rows with replicate b and the weight w of their subject."""
     ids = dense_index(df.select(id).distinct(), id, id)

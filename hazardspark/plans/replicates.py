@@ -76,7 +76,8 @@ def bootstrap_fits(df: DataFrame, covariates: Sequence[str], replicates: int, ba
     """(b, term, coef, se, loglik): replicate 0 is the sample. Without all_results only replicate 0 has se and loglik.
 
     unit: what is drawn, row (with aligned risk sets after the death-time filter) or subject. Up to task_values values, rows travel to the tasks once and a
-    task fits batchsize replicates (0: as many as make 4 tasks a core); beyond it the draws are a table and all replicates are fitted by shared aggregations.
+    task fits batchsize replicates (0: as many as make 4 tasks a core); beyond it rows are drawn block by block where they lie, and all replicates are fitted by shared aggregations. A
+    row table of up to resample.DRAW_BLOCK rows has the same draws in both ways, a larger one draws of the same law.
     Without an id rows are numbered in order of all their columns. The other options are cox_fit's; a replicate's weights multiply the rows' own.
     """
     if batchsize and replicates % batchsize:
@@ -104,7 +105,7 @@ def bootstrap_fits(df: DataFrame, covariates: Sequence[str], replicates: int, ba
     order = [whose, "__stop"] if whose else ["__stop", "__event", *[c for c in rows.columns if c not in ("__stop", "__event")]]
     limit = task_values // (len(names) + 3)
     if rows.limit(limit + 1).count() > limit:
-        drawn = resample.row_bootstrap(rows, replicates, seed, order[0], order[1:]) if unit == "row" else resample.subject_bootstrap(rows, replicates, seed, whose)
+        drawn = resample.split_bootstrap(rows, replicates, seed, order[0], order[1:], [c for c in rows.columns if c != "__id"]) if unit == "row" else resample.subject_bootstrap(rows, replicates, seed, whose)
         if own:
             drawn = drawn.withColumn("w", F.col("w") * F.col(own))
         found = grouped_fits(drawn, ["b"], names, "__stop", "__event", "w", ties, alpha, maxiter, begin, added, init)

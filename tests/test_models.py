@@ -576,3 +576,33 @@ def test_cohorts_of_a_table(spark):
     assert hits and all((r.patient, r.t - 1) in taken and (r.patient, r.t - 2) in taken for r in hits)
     frame = panels.random_frame(panels.subjects(ev), 50, 2)
     assert frame.select("id").distinct().count() == 150 and frame.agg(F.max("time"), F.min("time")).first()[0] <= 50
+
+
+def test_draws_split_over_blocks(spark):
+    rows, block = 1000, 64
+    draws = resample.SplitDraws(rows, block, 3)
+    parts = -(-rows // block)
+    counts = np.array([[draws.count(p, b) for p in range(parts)] for b in range(400)])
+    assert (counts.sum(1) == rows).all() and counts[0].tolist() == [64] * 15 + [40]
+    # of multinomial law: means, variances and covariances of the blocks
+    share = np.array([64] * 15 + [40]) / rows
+    assert np.allclose(counts[1:].mean(0), rows * share, rtol=0.05) and np.allclose(counts[1:].var(0), rows * share * (1 - share), rtol=0.35)
+    assert abs(np.cov(counts[1:, 0], counts[1:, 1])[0, 1] + rows * share[0] * share[1]) < 15
+    again = resample.SplitDraws(rows, block, 3)  # another task, in another order
+    assert [again.count(p, 7) for p in reversed(range(parts))] == counts[7][::-1].tolist()
+    w = np.concatenate([draws.weights(p, 5) for p in range(parts)])
+    assert w.sum() == rows and abs((w == 0).mean() - math.exp(-1)) < 0.06
+    assert (resample.SplitDraws(500, 4096, 7).weights(0, 2) == resample.draws_of(500, 2, 7)).all()
+
+
+def test_split_bootstrap_keeps_rows_and_shuffles_no_draws(spark, days):
+    one = resample.split_bootstrap(days, 3, keep=["id", "stop"])
+    want = resample.row_bootstrap(days.select("id", "stop"), 3)
+    assert sorted(one.select("id", "stop", "b", "w").collect()) == sorted(want.select("id", "stop", "b", "w").collect())
+    many = resample.split_bootstrap(days, 4, keep=["stop", "event", "sex"], block=500)
+    got = many.groupBy("b").agg(F.sum("w").alias("n")).collect()
+    assert sorted(r.b for r in got) == [0, 1, 2, 3] and all(r.n == days.count() for r in got)
+    sample = many.where("b = 0").groupBy("stop", "event", "sex").agg(F.sum("w").alias("n"))
+    assert sorted(sample.collect()) == sorted(days.groupBy("stop", "event", "sex").count().collect())
+    plan = many._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan.split("FlatMapGroupsInArrow")[0] and "Exchange" not in plan.split("FlatMapGroupsInArrow")[0]
