@@ -61,23 +61,23 @@ def up_to(df: DataFrame, marks: DataFrame, time: str, values: Sequence[str], at:
     return df
 
 
-def counts_below(points: DataFrame, queries: DataFrame, levels: int) -> DataFrame:
-    """queries (q, pos, rank) with below, equal and all: weights of points (pos, rank, n) of pos at least the query's, by rank.
+def counts_below(points: DataFrame, queries: DataFrame, levels: int, by: Sequence[str] = ()) -> DataFrame:
+    """queries (q, pos, rank, and by) with below, equal and all: weights of points (pos, rank, n) of pos at least the query's, by rank, among those of the query's by.
 
     Ranks are whole numbers below 2**levels. A point counts in one node of each level of a binary tree over ranks, and what lies below a query
     is the nodes to the left of its path, so the work grows with rows times levels, and no pairs are made.
     """
     node = lambda level: F.call_function("shiftright", F.col("rank"), level)
-    of_points = points.select("pos", "rank", "n", F.explode(F.sequence(F.lit(0), F.lit(levels))).alias("level"))
-    of_points = of_points.select("level", node(F.col("level")).alias("node"), "pos", "n").groupBy("level", "node", "pos").agg(F.sum("n").alias("n"))
+    of_points = points.select(*by, "pos", "rank", "n", F.explode(F.sequence(F.lit(0), F.lit(levels))).alias("level"))
+    of_points = of_points.select(*by, "level", node(F.col("level")).alias("node"), "pos", "n").groupBy(*by, "level", "node", "pos").agg(F.sum("n").alias("n"))
     place = lambda level, at, kind: F.struct(level.alias("level"), at.alias("node"), F.lit(kind).alias("kind"))
     left = F.transform(F.sequence(F.lit(0), F.lit(levels - 1)), lambda level: F.when(node(level) % 2 == 1, place(level, node(level) - 1, "below")))
     ends = F.array(place(F.lit(0), node(F.lit(0)), "equal"), place(F.lit(levels), node(F.lit(levels)), "all"))
-    asked = written(queries.select("q", "pos", F.inline(F.concat(F.filter(left, lambda x: x.isNotNull()), ends))))
-    places = asked.select("level", "node", "pos", F.lit(0).cast("long").alias("n")).union(of_points.select("level", "node", "pos", F.col("n").cast("long")))
-    sums = prefix_sums(places.groupBy("level", "node", "pos").agg(F.sum("n").alias("n")), "pos", ["n"], ["level", "node"], descending=True)
-    found = asked.join(sums, ["level", "node", "pos"])
-    return found.groupBy("q").agg(*[F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("n"))), F.lit(0)).alias(k) for k in ("below", "equal", "all")])
+    asked = written(queries.select(*by, "q", "pos", F.inline(F.concat(F.filter(left, lambda x: x.isNotNull()), ends))))
+    places = asked.select(*by, "level", "node", "pos", F.lit(0).cast("long").alias("n")).union(of_points.select(*by, "level", "node", "pos", F.col("n").cast("long")))
+    sums = prefix_sums(places.groupBy(*by, "level", "node", "pos").agg(F.sum("n").alias("n")), "pos", ["n"], [*by, "level", "node"], descending=True)
+    found = asked.join(sums, [*by, "level", "node", "pos"])
+    return found.groupBy(*by, "q").agg(*[F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("n"))), F.lit(0)).alias(k) for k in ("below", "equal", "all")])
 
 
 def dense_ranks(df: DataFrame, value: str, out: str) -> DataFrame:

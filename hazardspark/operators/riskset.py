@@ -228,42 +228,43 @@ def martingale(df: DataFrame, risk: str = "risk", start: str | None = "start", s
     return rows.select(*keys, (F.col(event) - F.col(risk) * used).alias("resid"))
 
 
-def _pairs_by_score(df: DataFrame, score: str, start: str, stop: str, event: str) -> tuple[DataFrame, DataFrame]:
-    """(s, t, d, x, n, rank and places) of distinct rows, and per failing (t, x): m and, of the rows at risk that do not fail then, below, equal, above.
+def _pairs_by_score(df: DataFrame, score: str, start: str, stop: str, event: str, by: Sequence[str] = (), weight: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(by, s, t, d, x, n, rank and places) of distinct rows, and per failing (by, t, x): m and, of the rows at risk that do not fail then, below, equal, above.
 
     A time t takes the places 2 r (rows that fail at t) and 2 r + 1 (the event at t itself, other rows that end or begin there), so those
     that fail together are no pairs.
     """
-    groups = written(df.groupBy(F.col(start).alias("s"), F.col(stop).alias("t"), F.col(event).alias("d"), F.round(score, 9).alias("x")).agg(F.count("*").alias("n")))
+    n = F.sum(weight) if weight else F.count("*")
+    groups = written(df.groupBy(*by, F.col(start).alias("s"), F.col(stop).alias("t"), F.col(event).alias("d"), F.round(score, 9).alias("x")).agg(n.cast("long").alias("n")))
     times = ordered.dense_ranks(groups.select(F.explode(F.array("s", "t")).alias("t")), "t", "r")
     ranks = ordered.dense_ranks(groups, "x", "rank")
     groups = groups.join(ranks, "x").join(times.select("t", (2 * F.col("r")).alias("end")), "t").join(times.select(F.col("t").alias("s"), (2 * F.col("r") + 1).alias("begin")), "s")
     # read for points, failures and events
     groups = written(groups)
     # a row is counted from its end back, and taken away from its beginning back
-    ends = groups.select((F.col("end") + (F.col("d") != 1).cast("long")).alias("pos"), "rank", "n")
-    points = ends.union(groups.select(F.col("begin").alias("pos"), "rank", -F.col("n")))
-    fails = groups.where("d = 1").groupBy("t", "x", "rank", "end").agg(F.sum("n").alias("m"))
+    ends = groups.select(*by, (F.col("end") + (F.col("d") != 1).cast("long")).alias("pos"), "rank", "n")
+    points = ends.union(groups.select(*by, F.col("begin").alias("pos"), "rank", -F.col("n")))
+    fails = groups.where("d = 1").groupBy(*by, "t", "x", "rank", "end").agg(F.sum("n").alias("m"))
     levels = max(1, (ranks.count() or 1).bit_length())
-    asked = fails.select(F.struct("t", "x").alias("q"), (F.col("end") + 1).alias("pos"), "rank")
-    found = ordered.counts_below(points, asked, levels).select("q.t", "q.x", "below", "equal", (F.col("all") - F.col("below") - F.col("equal")).alias("above"))
-    return groups, written(fails.join(found, ["t", "x"]).withColumn("levels", F.lit(levels)))
+    asked = fails.select(*by, F.struct("t", "x").alias("q"), (F.col("end") + 1).alias("pos"), "rank")
+    found = ordered.counts_below(points, asked, levels, by).select(*by, "q.t", "q.x", "below", "equal", (F.col("all") - F.col("below") - F.col("equal")).alias("above"))
+    return groups, written(fails.join(found, [*by, "t", "x"]).withColumn("levels", F.lit(levels)))
 
 
-def concordance(df: DataFrame, score: str, start: str = "start", stop: str = "stop", event: str = "event") -> DataFrame:
-    """Counts of concordant, discordant and tied pairs: an event at t against rows at risk then that don't fail then.
+def concordance(df: DataFrame, score: str, start: str = "start", stop: str = "stop", event: str = "event", by: Sequence[str] = (), weight: str | None = None) -> DataFrame:
+    """by, and counts of concordant, discordant and tied pairs: an event at t against rows at risk then that don't fail then. weight: numbers of equal rows.
 
-    A pair is concordant if the one that fails has the higher score. Pairs are counted by sums over a tree of scores, not made.
+    A pair is concordant if the one that fails has the higher score. Pairs are counted by sums over a tree of scores, one for all values of by, not made.
     """
-    fails = _pairs_by_score(df, score, start, stop, event)[1]
+    fails = _pairs_by_score(df, score, start, stop, event, by, weight)[1]
     total = lambda c, name: F.coalesce(F.sum(F.col("m") * F.col(c)), F.lit(0)).cast("long").alias(name)
-    counts = fails.agg(total("below", "concordant"), total("above", "discordant"), total("equal", "tied_x"))
-    same = fails.groupBy("t").agg(F.sum("m").alias("a"), F.sum(F.col("m") * F.col("m")).alias("b"), F.sum(F.col("m") * (F.col("m") - 1) / 2).alias("c"))
-    ties = same.agg(
-        F.coalesce(F.sum((F.col("a") * F.col("a") - F.col("b")) / 2), F.lit(0.0)).cast("long").alias("tied_y"), F.coalesce(F.sum("c"), F.lit(0.0)).cast("long").alias("tied_xy")
+    counts = fails.groupBy(*by).agg(total("below", "concordant"), total("above", "discordant"), total("equal", "tied_x"))
+    same = fails.groupBy(*by, "t").agg(F.sum("m").alias("__a"), F.sum(F.col("m") * F.col("m")).alias("__b"), F.sum(F.col("m") * (F.col("m") - 1) / 2).alias("__c"))
+    ties = same.groupBy(*by).agg(
+        F.coalesce(F.sum((F.col("__a") * F.col("__a") - F.col("__b")) / 2), F.lit(0.0)).cast("long").alias("tied_y"), F.coalesce(F.sum("__c"), F.lit(0.0)).cast("long").alias("tied_xy")
     )
-    # one row each
-    out = counts.crossJoin(F.broadcast(ties))
+    # without by one row each
+    out = counts.join(ties, list(by)) if by else counts.crossJoin(F.broadcast(ties))
     total_ = F.col("concordant") + F.col("discordant") + F.col("tied_x")
     return out.withColumn("concordance", (F.col("concordant") + F.col("tied_x") / 2) / F.when(total_ > 0, total_))
 

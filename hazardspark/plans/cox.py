@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass, field, replace
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -15,9 +16,12 @@ from hazardspark.operators import panel, riskset
 from hazardspark.plans import replicates
 from hazardspark.plans.formula import Design, Formula, design, parse
 from hazardspark.plans.newton import Kernel, Optimum, aliased, inverse, newton
+from hazardspark.sources.scratch import written
 
 #: Compacted rows up to which a fit runs on the driver; beyond it every evaluation is a Spark aggregation.
 DRIVER_ROWS = 100_000
+#: Replicates whose coefficients are literals of one plan.
+LITERALS = 200
 
 
 @dataclass(frozen=True)
@@ -224,15 +228,45 @@ def cox(formula: str, df: DataFrame, **options) -> CoxModel:
 
 @dataclass(frozen=True)
 class CoxBootstrap:
-    """A model and the fits (b, term, coef, se, loglik) of its replicates, replicate 0 the sample."""
+    """A model and the fits (b, term, coef, se, loglik) of its replicates, replicate 0 the sample; with all results also their statistics, and the rows that they are of."""
 
     model: CoxModel
     fits: DataFrame
+    rows: DataFrame | None = None
+    times: tuple[str, str, str] = ("start", "stop", "event")
 
     def confint(self, level: float = 0.95) -> DataFrame:
         """(term, lo, hi): quantiles of the coefficients over replicates."""
         return replicates.quantiles(self.fits, ["term"], "coef", level)
 
+    def predictors(self) -> DataFrame:
+        """(b, start, stop, event, n, lp): each replicate's linear predictor, without centring, of the distinct rows, n of each.
+
+        Rows are compacted first. Coefficients, a row a replicate, reach the tasks as literals, LITERALS replicates at a time.
+        """
+        if self.rows is None:
+            raise ValueError("replicates have predictors with all_results only")
+        names = self.model.design.names
+        found: dict[int, dict[str, float]] = {}
+        for r in self.fits.select("b", "term", "coef").collect():  # a row a replicate and term
+            found.setdefault(r["b"], {})[r["term"]] = r["coef"]
+        extra = [self.model.offset] if self.model.offset else []
+        small = self.rows.groupBy(*self.times, *names, *extra).agg(F.count("*").alias("n"))
+        parts, order = [], sorted(found)
+        for low in range(0, len(order), LITERALS):
+            betas = [F.struct(F.lit(b).cast("long").alias("b"), F.array(*[F.lit(found[b][t]) for t in self.model.covariates]).alias("beta")) for b in order[low : low + LITERALS]]
+            each = small.select(*self.times, *names, *extra, "n", F.inline(F.array(*betas)))
+            lp = riskset.predictor(names, [F.get("beta", i) for i in range(len(names))])
+            parts.append(each.select("b", *self.times, "n", (lp + F.col(extra[0]) if extra else lp).alias("lp")))
+        return reduce(DataFrame.unionAll, parts)
+
+    def results(self) -> DataFrame:
+        """A row a replicate: b, loglik, STATISTICS, df, and concordant, discordant, tied_x and concordance of its own predictor on the rows."""
+        start, stop, event = self.times
+        fits = self.fits.groupBy("b").agg(*[F.first(c).alias(c) for c in ("loglik", *replicates.STATISTICS)], F.count(F.when(F.col("se") > 0, 1)).cast("int").alias("df"))
+        pairs = riskset.concordance(self.predictors(), "lp", start, stop, event, ["b"], "n")
+        return fits.join(pairs.select("b", "concordant", "discordant", "tied_x", "concordance"), "b")
+
 
 def cox_bootstrap(formula: str, df: DataFrame, count: int, batchsize: int = 0, unit: str = "row", seed: int = 1, id: str = "id", all_results: bool = False, task_values: int = replicates.TASK_VALUES, **options) -> CoxBootstrap:
     """cox and its replicates, in one call, of any formula and with all of cox_fit's options. Without all_results only the sample's fit has se and loglik.
@@ -242,6 +276,10 @@ def cox_bootstrap(formula: str, df: DataFrame, count: int, batchsize: int = 0, u
     f, d, rows, options = _modelled(formula, df, options, [id] if id in df.columns else [])
     model = replace(cox_fit(rows, d.names, f.stop, f.event, **options), covariates=d.labels, design=d)
     options = {k: v for k, v in options.items() if k not in ("singular_ok", "driver_rows")}
-    fits = replicates.bootstrap_fits(rows, d.names, count, batchsize, unit, seed=seed, id=id if id in df.columns else None, stop=f.stop, event=f.event, all_results=all_results, task_values=task_values, **options)
+    fits = replicates.bootstrap_fits(rows, d.names, count, batchsize, unit, seed=seed, id=id if id in df.columns else None, stop=f.stop, event=f.event, all_results=all_results, task_values=task_values, statistics=all_results, **options)
     label = F.create_map(*[F.lit(x) for pair in zip(d.names, d.labels) for x in pair])
-    return CoxBootstrap(model, fits.withColumn("term", F.element_at(label, F.col("term"))))
+    fits = fits.withColumn("term", F.element_at(label, F.col("term")))
+    if not all_results:
+        return CoxBootstrap(model, fits)
+    # read again for predictors and results
+    return CoxBootstrap(model, written(fits), panel.drop_missing(rows, [f.stop, f.event, *d.names]), (options["start"], f.stop, f.event))

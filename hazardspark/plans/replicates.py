@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hazardspark.operators import panel, resample, riskset
-from hazardspark.plans.newton import Kernel, inverse, newton, newton_many
+from hazardspark.plans.newton import Kernel, Optimum, inverse, newton, newton_many
 
 #: Rows times columns that a task may hold for a fit.
 TASK_VALUES = 10_000_000
@@ -22,12 +22,26 @@ TASK_VALUES = 10_000_000
 DRIVER_VALUES = 4_000_000
 
 
+#: What a fit is beside its coefficients: by name, its value.
+STATISTICS = ("loglik_init", "score", "wald")
+
+
+def _fit_rows(key: tuple, names: Sequence[str], fit: Optimum, init: np.ndarray) -> list[tuple]:
+    """key, term, coef, se, loglik and the statistics, a row a term; the Wald test is of the distance from init."""
+    away = fit.beta - init
+    rest = (-fit.loss, -fit.loss_init, fit.score, float(away @ fit.hessian @ away))
+    return [(*key, t, float(c), float(s), *rest) for t, c, s in zip(names, fit.beta, _se(fit.hessian))]
+
+
+_FIT_ROW = "term string, coef double, se double, loglik double, " + ", ".join(f"{c} double" for c in STATISTICS)
+
+
 def _se(hessian: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(0, np.diag(inverse(hessian))))
 
 
 def grouped_fits(rows: DataFrame, by: Sequence[str], covariates: Sequence[str], stop: str = "stop", event: str = "event", weight: str | None = None, ties: str = "efron", alpha: float = 0.0, maxiter: int = 20, start: str | None = None, offset: str | None = None, init: np.ndarray | None = None, driver_values: int = DRIVER_VALUES) -> DataFrame:
-    """by, term, coef, se, loglik: a fit for each group, evaluated in one aggregation after another by all groups of a batch. Groups without events have no row.
+    """by, term, coef, se, loglik and STATISTICS: a fit for each group, evaluated in one aggregation after another by all groups of a batch. Groups without events have no row.
 
     start: risk sets are of intervals. Batches are as large as their coefficients and Hessians fit the driver.
     """
@@ -65,15 +79,15 @@ def grouped_fits(rows: DataFrame, by: Sequence[str], covariates: Sequence[str],
         for low in range(0, len(keys), at_once):
             found = newton_many(loss, {k: init for k in keys[low : low + at_once]}, maxiter, singular_ok=True)
             for k, fit in found.items():
-                fits += [(*k, t, float(c), float(s), -fit.loss) for t, c, s in zip(names, fit.beta, _se(fit.hessian))]
+                fits += _fit_rows(k, names, fit, init)
     finally:
         for df in held:
             df.unpersist()
-    return spark.createDataFrame(fits, f"{kinds}, term string, coef double, se double, loglik double")
+    return spark.createDataFrame(fits, f"{kinds}, {_FIT_ROW}")
 
 
-def bootstrap_fits(df: DataFrame, covariates: Sequence[str], replicates: int, batchsize: int = 0, unit: str = "row", ties: str = "efron", alpha: float = 0.0, maxiter: int = 20, seed: int = 1, id: str | None = "id", stop: str = "stop", event: str = "event", all_results: bool = True, task_values: int = TASK_VALUES, start: str | None = None, risk_set: str = "aligned", weight: str | None = None, init: Sequence[float] | None = None, doscale: bool = False, offset: str | None = None) -> DataFrame:
-    """(b, term, coef, se, loglik): replicate 0 is the sample. Without all_results only replicate 0 has se and loglik.
+def bootstrap_fits(df: DataFrame, covariates: Sequence[str], replicates: int, batchsize: int = 0, unit: str = "row", ties: str = "efron", alpha: float = 0.0, maxiter: int = 20, seed: int = 1, id: str | None = "id", stop: str = "stop", event: str = "event", all_results: bool = True, task_values: int = TASK_VALUES, start: str | None = None, risk_set: str = "aligned", weight: str | None = None, init: Sequence[float] | None = None, doscale: bool = False, offset: str | None = None, statistics: bool = False) -> DataFrame:
+    """(b, term, coef, se, loglik, with statistics also STATISTICS): replicate 0 is the sample. Without all_results only replicate 0 has more than coef.
 
     unit: what is drawn, row (with aligned risk sets after the death-time filter) or subject. Up to task_values values, rows travel to the tasks once and a
     task fits batchsize replicates (0: as many as make 4 tasks a core); beyond it rows are drawn block by block where they lie, and all replicates are fitted by shared aggregations. A
@@ -113,7 +127,7 @@ def bootstrap_fits(df: DataFrame, covariates: Sequence[str], replicates: int, ba
         found = _task_fits(rows.toPandas(), spark, names, replicates, batchsize, unit, ties, alpha, maxiter, seed, order, begin, own, added, init)
     of = lambda values: F.element_at(F.create_map(*[F.lit(x) for pair in zip(names, values) for x in pair]), F.col("term"))
     size, sample = of(map(float, scale)), (F.lit(True) if all_results else F.col("b") == 0)
-    return found.select("b", of(terms).alias("term"), (F.col("coef") / size).alias("coef"), F.when(sample, F.col("se") / size).alias("se"), F.when(sample, F.col("loglik")).alias("loglik"))
+    return found.select("b", of(terms).alias("term"), (F.col("coef") / size).alias("coef"), F.when(sample, F.col("se") / size).alias("se"), *[F.when(sample, F.col(c)).alias(c) for c in ("loglik", *(STATISTICS if statistics else ()))])
 
 
 def _task_fits(rows: pd.DataFrame, spark, names: list[str], replicates: int, batchsize: int, unit: str, ties: str, alpha: float, maxiter: int, seed: int, order: list[str], start: str | None, weight: str | None, offset: str | None, init: np.ndarray) -> DataFrame:
@@ -135,11 +149,11 @@ def _task_fits(rows: pd.DataFrame, spark, names: list[str], replicates: int, bat
                 some = w > 0
                 kernel = Kernel(at[some], dead[some], x[some], w[some], None if begin is None else begin[some], ties, alpha, None if added is None else added[some])
                 fit = newton(kernel, init, maxiter, singular_ok=True)
-                out += [(int(b), t, float(c), float(s), -fit.loss) for t, c, s in zip(names, fit.beta, _se(fit.hessian))]
-            yield pd.DataFrame(out, columns=["b", "term", "coef", "se", "loglik"])
+                out += _fit_rows((int(b),), names, fit, init)
+            yield pd.DataFrame(out, columns=["b", "term", "coef", "se", "loglik", *STATISTICS])
 
     tasks = replicates // batchsize if batchsize else min(replicates, 4 * spark.sparkContext.defaultParallelism)
-    return spark.range(0, replicates, numPartitions=max(1, tasks)).mapInPandas(run, "b long, term string, coef double, se double, loglik double")
+    return spark.range(0, replicates, numPartitions=max(1, tasks)).mapInPandas(run, f"b long, {_FIT_ROW}")
 
 
 def quantiles(df: DataFrame, by: Sequence[str], value: str, level: float = 0.95) -> DataFrame:
@@ -158,7 +172,7 @@ def channel_fits(df: DataFrame, channel: str, covariates: Sequence[str], ties: s
     rows = riskset.compact(df, names, stop, event, by=[channel])
     most = rows.groupBy(channel).count().agg(F.max("count")).first()[0] or 0
     if most * (len(names) + 3) > task_values:
-        return grouped_fits(rows, [channel], names, stop, event, "n", ties, alpha, maxiter)
+        return grouped_fits(rows, [channel], names, stop, event, "n", ties, alpha, maxiter).drop(*STATISTICS)
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         found = newton(Kernel(pdf[stop], pdf[event], pdf[names], pdf["n"], None, ties, alpha), np.zeros(len(names)), maxiter, singular_ok=True)
@@ -170,7 +184,7 @@ def channel_fits(df: DataFrame, channel: str, covariates: Sequence[str], ties: s
 
 def channel_bootstrap(df: DataFrame, channel: str, covariates: Sequence[str], replicates: int, seed: int = 1, id: str = "id", ties: str = "efron", maxiter: int = 20, stop: str = "stop", event: str = "event") -> DataFrame:
     """(channel, b, term, coef, se, loglik): each channel's fit in each replicate of the subjects; a replicate's draws are the same for all channels."""
-    return grouped_fits(resample.subject_bootstrap(df, replicates, seed, id), [channel, "b"], covariates, stop, event, "w", ties, 0.0, maxiter)
+    return grouped_fits(resample.subject_bootstrap(df, replicates, seed, id), [channel, "b"], covariates, stop, event, "w", ties, 0.0, maxiter).drop(*STATISTICS)
 
 
 def total_risk(fits: DataFrame, areas: dict[str, float], by: Sequence[str]) -> DataFrame:

@@ -614,7 +614,7 @@ def cox_bootstrap_distributed(spark, sf_dir):
     bt AS (SELECT b, t AS stop, CASE WHEN event = 1 AND stop = t THEN 1 ELSE 0 END AS event, sex, age, w FROM f JOIN weights USING (i) JOIN dt ON start < t AND t <= stop),
     {oracle.newton_sql(['sex', 'age'], table='bt', keys=('b',), weight='w')} SELECT b, term, round(coef, 6) AS coef, round(se, 6) AS se, round(loglik, 5) AS loglik FROM ({oracle.fits_sql(['sex', 'age'], 8, ('b',))}) q""")
 def cox_bootstrap_intervals(spark, sf_dir):
-    rows = cox.cox_bootstrap("Surv(start, stop, event) ~ sex + age", _weekly(_panel(spark, sf_dir)), 5, risk_set="interval", all_results=True).fits
+    rows = cox.cox_bootstrap("Surv(start, stop, event) ~ sex + age", _weekly(_panel(spark, sf_dir)), 5, risk_set="interval", all_results=True).fits.drop(*replicates.STATISTICS)
     return _rounded(rows.withColumn("loglik", F.round("loglik", 5)))
 
 
@@ -623,10 +623,21 @@ def cox_bootstrap_intervals(spark, sf_dir):
     {oracle.newton_sql(['sex'], 'breslow', table='bt', keys=('b',), weight='w')} SELECT b, term, round(coef, 6) AS coef, round(se, 6) AS se, round(loglik, 5) AS loglik FROM ({oracle.fits_sql(['sex'], 8, ('b',))}) q""")
 def cox_bootstrap_right_censored(spark, sf_dir):
     # beyond what a task may hold: the replicates share their aggregations
-    rows = cox.cox_bootstrap("Surv(time, status) ~ sex", _once(spark, sf_dir), 4, ties="breslow", all_results=True, task_values=0).fits
+    rows = cox.cox_bootstrap("Surv(time, status) ~ sex", _once(spark, sf_dir), 4, ties="breslow", all_results=True, task_values=0).fits.drop(*replicates.STATISTICS)
     return _rounded(rows.withColumn("loglik", F.round("loglik", 5)))
 
 
+@query(f"""WITH {_replicates_sql(4)}, co AS (SELECT b, max(coef) FILTER (term = 'sex') AS b1, max(coef) FILTER (term = 'age') AS b2 FROM fits GROUP BY b),
+    wa AS (SELECT b, b1 * b1 * h11 + 2 * b1 * b2 * h12 + b2 * b2 * h22 AS wald FROM it WHERE i = 8),
+    sc AS (SELECT b, start, stop, event, round(b1 * sex + b2 * age, 9) AS x, count(*) AS n FROM panel, co GROUP BY ALL),
+    pr AS (SELECT u.b, sum(u.n * v.n) FILTER (u.x > v.x) AS concordant, sum(u.n * v.n) FILTER (u.x < v.x) AS discordant, sum(u.n * v.n) FILTER (u.x = v.x) AS tied_x
+        FROM sc u JOIN sc v ON u.b = v.b AND v.start < u.stop AND u.stop <= v.stop AND NOT (v.event = 1 AND v.stop = u.stop) WHERE u.event = 1 GROUP BY u.b)
+    SELECT f.b, round(f.loglik, 5) AS loglik, round(f.loglik_init, 5) AS loglik_init, round(f.score, 5) AS score, round(wald, 5) AS wald, 2 AS df, CAST(concordant AS BIGINT) AS concordant, CAST(discordant AS BIGINT) AS discordant,
+        CAST(tied_x AS BIGINT) AS tied_x, round((concordant + tied_x / 2) / (concordant + discordant + tied_x), 5) AS concordance FROM fits f JOIN wa USING (b) JOIN pr USING (b) WHERE term = 'sex'""")
+def cox_bootstrap_all_results(spark, sf_dir):
+    return _rounded(cox.cox_bootstrap("Surv(start, stop, event) ~ sex + age", _panel(spark, sf_dir), 4, all_results=True).results(), 5)
+
+
 # --- exposure models
 
 
