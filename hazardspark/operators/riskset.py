@@ -14,14 +14,18 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from itertools import combinations_with_replacement
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from hazardspark.operators import ordered
 from hazardspark.sources.scratch import written
 
 #: Width of a band of linear predictors, within which exponentials are summed at one scale.
 BAND = 32.0
+#: Covariates beyond which predictors and second moments are matrix products in batches of rows, and not columns.
+WIDE = 16
 #: Tied deaths that a row stands for; times of more are several rows, in several tasks.
 TIES = 4096
 
@@ -51,9 +55,9 @@ def log_sum_exp(df: DataFrame, by: Sequence[str], value: str, out: str = "lse")
     return df.join(top, list(by)).groupBy(*by, "__m").agg((F.log(F.sum(F.exp(F.col(value) - F.col("__m")))) + F.col("__m")).alias(out)).drop("__m")
 
 
-def moments(d: int) -> list[tuple[int, ...]]:
+def moments(d: int, order: int = 2) -> list[tuple[int, ...]]:
     """Names of the sums: (), (i,), (i, j)."""
-    return [(), *[(i,) for i in range(d)], *combinations_with_replacement(range(d), 2)]
+    return [m for k in range(order + 1) for m in combinations_with_replacement(range(d), k)]
 
 
 def _name(kind: str, m: tuple[int, ...]) -> str:
@@ -102,10 +106,24 @@ def cover(rows: DataFrame, covariates: Sequence[str], stop: str, event: str, sta
     return Cover(alive, died, times.select("t", "no"), levels)
 
 
+def _multiplied(rows: DataFrame, covariates: Sequence[str], beta: Sequence[float], offset: str | None) -> DataFrame:
+    """rows with the linear predictor __lp by matrix products: an expression of many terms, copied into each sum, would be too large a plan."""
+    names, values = list(covariates), np.asarray(beta, dtype=float)
+
+    def run(batches):
+        for pdf in batches:
+            yield pdf.assign(__lp=pdf[names].to_numpy(dtype=float) @ values + (pdf[offset].to_numpy(dtype=float) if offset else 0.0))
+
+    return rows.mapInPandas(run, T.StructType([*rows.schema.fields, T.StructField("__lp", T.DoubleType())]))
+
+
 def _banded(rows: DataFrame, covariates: Sequence[str], beta: Sequence[float | Column], offset: str | None) -> DataFrame:
     """rows with the linear predictor __lp, its band and __r, the risk at the band's scale."""
-    lp = predictor(covariates, beta) + (F.col(offset) if offset else F.lit(0.0))
-    rows = rows.withColumn("__lp", lp).withColumn("__band", F.floor(F.col("__lp") / BAND))
+    if len(covariates) > WIDE and not any(isinstance(b, Column) for b in beta):
+        rows = _multiplied(rows, covariates, beta, offset)
+    else:
+        rows = rows.withColumn("__lp", predictor(covariates, beta) + (F.col(offset) if offset else F.lit(0.0)))
+    rows = rows.withColumn("__band", F.floor(F.col("__lp") / BAND))
     return rows.withColumn("__r", F.col("n") * F.exp(F.col("__lp") - F.col("__band") * BAND))
 
 
@@ -116,12 +134,12 @@ def _one_scale(bands: DataFrame, keys: Sequence[str], scaled: Sequence[str], pla
     return rows.groupBy(*keys).agg(*[F.sum(F.col(c) * factor).alias(c) for c in scaled], *[F.sum(c).alias(c) for c in plain], (F.max("__top") * BAND).alias("top"))
 
 
-def scaled_sums(rows: DataFrame | Cover, covariates: Sequence[str], beta: Sequence[float | Column], stop: str = "stop", event: str = "event", start: str | None = None, by: Sequence[str] = (), offset: str | None = None) -> DataFrame:
-    """Per death time: a_* (survivors) and d_* (dead) sums of n exp(lp - top) times 1, x_i, x_i x_j; top; deaths; lp; x_i of the dead.
+def scaled_sums(rows: DataFrame | Cover, covariates: Sequence[str], beta: Sequence[float | Column], stop: str = "stop", event: str = "event", start: str | None = None, by: Sequence[str] = (), offset: str | None = None, order: int = 2) -> DataFrame:
+    """Per death time: a_* (survivors) and d_* (dead) sums of n exp(lp - top) times 1, x_i, x_i x_j (up to the order); top; deaths; lp; x_i of the dead.
 
     rows: compacted rows, or with start their cover(), whose rows may have more columns (as beta) beside by.
     """
-    names = moments(len(covariates))
+    names = moments(len(covariates), order)
 
     def term(m: tuple[int, ...]) -> Column:
         out = F.col("__r")
@@ -150,7 +168,8 @@ def scaled_sums(rows: DataFrame | Cover, covariates: Sequence[str], beta: Sequen
     # a time has a row a level and band
     both = above.select(*by, "no", "__band", *of_alive, *[none.alias(c) for c in [*of_dead, *plain]])
     both = both.unionByName(died.select(*by, "no", "__band", *[none.alias(c) for c in of_alive], *of_dead, *plain))
-    return _one_scale(both, [*by, "no"], [*of_alive, *of_dead], plain).join(rows.times, "no").drop("no")
+    out = _one_scale(both, [*by, "no"], [*of_alive, *of_dead], plain).join(rows.times, "no")
+    return out if order < 2 else out.drop("no")
 
 
 def sums(rows: DataFrame, covariates: Sequence[str], beta: Sequence[float | Column], stop: str = "stop", event: str = "event", start: str | None = None, by: Sequence[str] = (), shift: float = 0.0, offset: str | None = None) -> DataFrame:
@@ -186,6 +205,26 @@ def likelihood(stops: DataFrame, d: int, ties: str = "efron", by: Sequence[str]
     return rows.groupBy(*by).agg(*out) if by else rows.agg(*out)
 
 
+def weighted_rows(rows: DataFrame | Cover, times: DataFrame, covariates: Sequence[str], beta: Sequence[float], stop: str = "stop", event: str = "event", by: Sequence[str] = (), offset: str | None = None) -> DataFrame:
+    """(covariates, w): of rows or nodes, w such that the sum of w x x' is the part of the Hessian that is of second moments.
+
+    times: by, t (no for a cover), top, alpha and beta, what a unit of survivors' and of the dead's second moments adds. So no second moments are kept for each time.
+    """
+    if isinstance(rows, DataFrame):
+        joined = _banded(rows, covariates, beta, offset).join(times.withColumnRenamed("t", stop), [*by, stop])
+        w = F.col("n") * F.exp(F.col("__lp") - F.col("top")) * F.when(F.col(event) == 1, F.col("beta")).otherwise(F.col("alpha"))
+        return joined.select(*covariates, w.alias("w"))
+    alive = _banded(rows.alive, covariates, beta, offset)
+    bands = alive.select(*by, "level", "node", "__band").distinct()
+    leaves = times.select(*by, "no", "top", "alpha", F.explode(F.sequence(F.lit(0), F.lit(rows.levels - 1))).alias("level"))
+    leaves = leaves.withColumn("node", F.call_function("shiftright", F.col("no"), F.col("level")))
+    # a band of a node above a time is never beyond the time's own scale
+    nodes = bands.join(leaves, [*by, "level", "node"]).groupBy(*by, "level", "node", "__band").agg(F.sum(F.col("alpha") * F.exp(F.col("__band") * BAND - F.col("top"))).alias("each"))
+    living = alive.join(nodes, [*by, "level", "node", "__band"]).select(*covariates, (F.col("__r") * F.col("each")).alias("w"))
+    dead = _banded(rows.dead, covariates, beta, offset).join(times.select(*by, "no", "top", "beta"), [*by, "no"])
+    return living.union(dead.select(*covariates, (F.col("n") * F.exp(F.col("__lp") - F.col("top")) * F.col("beta")).alias("w")))
+
+
 def members(df: DataFrame, id: str = "id", start: str = "start", stop: str = "stop", event: str = "event") -> DataFrame:
     """(t, id) for every death time and row at risk then; as many rows as risk sets have members. Times are met by their numbers."""
     t = ordered.dense_ranks(df.where(F.col(event) == 1).select(F.col(stop).alias("t")), "t", "no").withColumn("n", F.lit(1).cast("long"))

@@ -84,6 +84,22 @@ def fits_sql(covariates: list[str], rounds: int = 8, keys: tuple[str, ...] = (),
     return f"WITH last_fit AS MATERIALIZED (SELECT * FROM {last} a), first_fit AS MATERIALIZED (SELECT * FROM {first} b) {rows}"
 
 
+def regression_sql(y: str, covariates: list[str], kind: str, rounds: int = 10, table: str = "panel") -> str:
+    """Tables g and it as newton_sql's, of a logistic or Poisson regression on covariates (of which one may be the constant 1)."""
+    d, x = len(covariates), [f"x{j + 1}" for j in range(len(covariates))]
+    lp = " + ".join(f"b{j + 1} * {v}" for j, v in enumerate(x))
+    mean, loss, var = {"logistic": (f"1 / (1 + exp(-({lp})))", f"ln(1 + exp({lp}))", "m * (1 - m)"), "poisson": (f"exp({lp})", f"exp({lp})", "m")}[kind]
+    by = ", ".join(["i", *[f"b{j + 1}" for j in range(d)]])
+    sums = ", ".join([f"sum(n * (l - y * ({lp}))) AS f", *[f"sum(n * (m - y) * {v}) AS g{j + 1}" for j, v in enumerate(x)], *[f"sum(n * {var} * {x[a]} * {x[b]}) AS h{a + 1}{b + 1}" for a in range(d) for b in range(a, d)]])
+    value = lambda source: f"SELECT {by}, {sums} FROM (SELECT *, {mean} AS m, {loss} AS l FROM {source}, g) q GROUP BY {by}"
+    bs = [f"b{j + 1}" for j in range(d)]
+    last = solved_sql(f"(SELECT * FROM it WHERE i < {rounds})", d, ["g"], ["i", *bs])
+    begin = f"(SELECT 0 AS i, {', '.join(f'CAST(0 AS DOUBLE) AS {b}' for b in bs)}) z"
+    step = f"(SELECT i + 1 AS i, {', '.join(f'{b} - g{j + 1} AS {b}' for j, b in enumerate(bs))} FROM {last} v) z"
+    cells = ", ".join(f"CAST({c} AS DOUBLE) AS {v}" for c, v in zip(covariates, x))
+    return f"g AS MATERIALIZED (SELECT y, {', '.join(x)}, CAST(count(*) AS DOUBLE) AS n FROM (SELECT {y} AS y, {cells} FROM {table}) q GROUP BY ALL), it AS ({value(begin)} UNION ALL {value(step)})"
+
+
 def atoms_sql(cutoff: int, nknots: int = 1, columns: tuple[int, ...] | None = None, order: int = 3) -> str:
     """Table atoms (lag, k, value): B-splines by the Cox-de Boor recursion at lag + 1; columns: the splines (from 0) that stay."""
     inner = " UNION ALL ".join(f"SELECT {order + j}, CAST(round_even((SELECT quantile_cont(v, {j}.0 / {nknots + 1}) FROM generate_series(1, {cutoff}) q(v)), 0) AS DOUBLE)" for j in range(1, nknots + 1))

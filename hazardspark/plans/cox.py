@@ -8,12 +8,13 @@ from dataclasses import dataclass, field, replace
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hazardspark.functions import tails
 from hazardspark.operators import panel, riskset
-from hazardspark.plans import replicates
+from hazardspark.plans import losses, replicates
 from hazardspark.plans.formula import Design, Formula, design, parse
 from hazardspark.plans.newton import Kernel, Optimum, aliased, inverse, newton
 from hazardspark.sources.scratch import written
@@ -126,10 +127,53 @@ def scaled(df: DataFrame, column: str, out: str, unit: float = 1.0) -> DataFrame
     return df.withColumn(out, (F.col(column) - F.lit(mean)) / F.lit(total) * F.lit(float(unit)))
 
 
-def evaluate(rows: DataFrame | riskset.Cover, covariates: Sequence[str], beta: np.ndarray, stop: str, event: str, ties: str, alpha: float, most_ties: int | None = None, offset: str | None = None) -> tuple[float, np.ndarray, np.ndarray]:
-    """One aggregation job over compacted rows, or over the cover of interval risk sets."""
+def evaluate_wide(rows: DataFrame | riskset.Cover, covariates: Sequence[str], beta: np.ndarray, stop: str, event: str, ties: str, alpha: float, offset: str | None = None, by: Sequence[str] = ()) -> tuple[float, np.ndarray, np.ndarray]:
+    """evaluate for many covariates: sums of first moments by time, then second moments of all rows at once, each weighed by what its times say."""
     d = len(covariates)
-    sums = riskset.scaled_sums(rows, covariates, beta, stop, event, offset=offset)
+    key = [*by, "t" if isinstance(rows, DataFrame) else "no"]
+    columns = lambda kind: [f"{kind}_{i}" for i in range(d)]
+    times = riskset.scaled_sums(rows, covariates, beta, stop, event, by=by, offset=offset, order=1).persist()
+
+    def scales(pdf: pd.DataFrame) -> np.ndarray:
+        """Per time: sums over its ties of 1/s, c/s, 1/s^2, c/s^2, c^2/s^2 and log s, for s = a + c d."""
+        out = np.zeros((len(pdf), 6))
+        for i, (a, dead, w) in enumerate(zip(pdf["a"], pdf["d"], pdf["deaths"])):
+            c, n = (np.arange(1, round(w) + 1) / w, 1.0) if ties == "efron" else (np.ones(1), w)
+            s = a + c * dead
+            out[i] = n * np.array([(1 / s).sum(), (c / s).sum(), (1 / s**2).sum(), (c / s**2).sum(), (c**2 / s**2).sum(), np.log(s).sum()])
+        return out
+
+    def marks(batches):
+        for pdf in batches:
+            q = scales(pdf)
+            yield pd.DataFrame({**{k: pdf[k] for k in key}, "top": pdf["top"], "alpha": q[:, 0], "beta": q[:, 1]})
+
+    def of_times(pdf: pd.DataFrame):
+        q, a, dead = scales(pdf), pdf[columns("a")].to_numpy(), pdf[columns("d")].to_numpy()
+        ties_of = pdf["deaths"].to_numpy()
+        loss = (q[:, 5] + ties_of * pdf["top"] - pdf["lp"]).sum()
+        g = q[:, 0] @ a + q[:, 1] @ dead - pdf[columns("x")].to_numpy().sum(0)
+        cross = a.T @ (q[:, 3, None] * dead)
+        return np.array([loss]), g, a.T @ (q[:, 2, None] * a) + cross + cross.T + dead.T @ (q[:, 4, None] * dead)
+
+    def of_rows(pdf: pd.DataFrame):
+        x = pdf[covariates].to_numpy()
+        return (x.T @ (pdf["w"].to_numpy()[:, None] * x),)
+
+    try:
+        loss, g, outer = losses.summed(times, of_times, [(1,), (d,), (d, d)])
+        kinds = ", ".join(f"`{k}` {times.schema[k].dataType.simpleString()}" for k in key)
+        marked = times.select(*key, "top", "a", "d", "deaths").mapInPandas(marks, f"{kinds}, top double, alpha double, beta double")
+        second = losses.summed(riskset.weighted_rows(rows, marked, covariates, beta, stop, event, by, offset), of_rows, [(d, d)])[0]
+    finally:
+        times.unpersist()
+    return float(loss[0]) + alpha * float(beta @ beta), g + 2 * alpha * beta, second - outer + 2 * alpha * np.eye(d)
+
+
+def evaluate(rows: DataFrame | riskset.Cover, covariates: Sequence[str], beta: np.ndarray, stop: str, event: str, ties: str, alpha: float, most_ties: int | None = None, offset: str | None = None, by: Sequence[str] = ()) -> tuple[float, np.ndarray, np.ndarray]:
+    """One aggregation job over compacted rows, or over the cover of interval risk sets; by: strata, whose risk sets are their own."""
+    d = len(covariates)
+    sums = riskset.scaled_sums(rows, covariates, beta, stop, event, by=by, offset=offset)
     got = riskset.likelihood(sums, d, ties, most_ties=most_ties).first()
     g = np.array([got[f"g_{i}"] for i in range(d)]) + 2 * alpha * beta
     h = np.zeros((d, d))
@@ -139,12 +183,13 @@ def evaluate(rows: DataFrame | riskset.Cover, covariates: Sequence[str], beta: n
     return got["loss"] + alpha * float(beta @ beta), g, h + 2 * alpha * np.eye(d)
 
 
-def cox_fit(df: DataFrame, covariates: Sequence[str], stop: str = "stop", event: str = "event", start: str | None = None, ties: str = "efron", risk_set: str = "aligned", alpha: float = 0.0, maxiter: int = 20, init: Sequence[float] | None = None, doscale: bool = False, weight: str | None = None, singular_ok: bool = False, driver_rows: int = DRIVER_ROWS, offset: str | None = None) -> CoxModel:
+def cox_fit(df: DataFrame, covariates: Sequence[str], stop: str = "stop", event: str = "event", start: str | None = None, ties: str = "efron", risk_set: str = "aligned", alpha: float = 0.0, maxiter: int = 20, init: Sequence[float] | None = None, doscale: bool = False, weight: str | None = None, singular_ok: bool = False, driver_rows: int = DRIVER_ROWS, offset: str | None = None, strata: str | None = None) -> CoxModel:
     """Fit by Newton iterations on compacted rows, on the driver if these are few and by Spark aggregations if not; both sum risks at each risk set's own scale.
 
     risk_set: aligned (rows with equal stop) or interval (start < t <= stop, needs start). doscale divides covariates by the sum of absolute
     deviations from their mean for the iterations (constant ones stay), and the penalty alpha is on that scale; results are on the original one. Rows with nulls in
-    used columns are dropped. weight: numbers of equal rows, or any with Breslow's ties. offset: a column added to the linear predictor. Without events the coefficients are not a number,
+    used columns are dropped. weight: numbers of equal rows, or any with Breslow's ties. offset: a column added to the linear predictor. strata: a column whose values have risk sets and a
+    baseline of their own. Without events the coefficients are not a number,
     with zero variance. Information that is singular (a term is a combination of those before it) raises; with singular_ok such terms are aliased.
     """
     covariates = list(covariates)
@@ -156,7 +201,7 @@ def cox_fit(df: DataFrame, covariates: Sequence[str], stop: str = "stop", event:
     init = np.zeros(len(covariates)) if init is None else np.asarray(init, dtype=float)
     if len(init) != len(covariates):
         raise ValueError("init needs a value for each covariate")
-    columns = [*([start] if start else []), stop, event, *covariates, *([weight] if weight else []), *([offset] if offset else [])]
+    columns = [*([start] if start else []), stop, event, *covariates, *([weight] if weight else []), *([offset] if offset else []), *([strata] if strata else [])]
     rows = panel.drop_missing(df.select(*{c: None for c in columns}), columns)
     rows = rows.withColumns({c: F.col(c).cast("double") for c in [*covariates, *([offset] if offset else [])]})
     events = panel.validate(rows, stop, event, [*covariates, *([offset] if offset else [])], start, weight, ties == "efron")
@@ -168,20 +213,25 @@ def cox_fit(df: DataFrame, covariates: Sequence[str], stop: str = "stop", event:
     scale = np.ones(len(covariates))
     if doscale:
         scale = spread(rows, covariates, means)
-    small = riskset.compact(rows, covariates, stop, event, used, weight, offset=offset).persist()
+    by = [strata] if strata else []
+    small = riskset.compact(rows, covariates, stop, event, used, weight, by, offset).persist()
     held = [small]
     try:
         if small.limit(driver_rows + 1).count() <= driver_rows:
             table = small.toPandas()
-            loss = Kernel(table[stop], table[event], table[covariates] / scale, table["n"], table[used] if used else None, ties, alpha, table[offset] if offset else None)
+            parts = [t for _, t in table.groupby(strata)] if strata else [table]
+            loss = of_strata([Kernel(t[stop], t[event], t[covariates] / scale, t["n"], t[used] if used else None, ties, 0.0, t[offset] if offset else None) for t in parts], alpha)
         else:
             # the likelihood does not change when covariates are centred, and rounding is the better for it
             centred = small.withColumns({c: (F.col(c) - float(m)) / float(s) for c, m, s in zip(covariates, means, scale)})
-            most = int(small.where(F.col(event) == 1).groupBy(stop).agg(F.sum("n").alias("n")).agg(F.max("n")).first()[0])
+            most = int(small.where(F.col(event) == 1).groupBy(*by, stop).agg(F.sum("n").alias("n")).agg(F.max("n")).first()[0])
             if used:
-                centred = riskset.cover(centred, covariates, stop, event, used, offset=offset).persist()
+                centred = riskset.cover(centred, covariates, stop, event, used, by, offset).persist()
                 held.append(centred)
-            loss = lambda b: evaluate(centred, covariates, b, stop, event, ties, alpha, most, offset)
+            if len(covariates) > riskset.WIDE:
+                loss = lambda b: evaluate_wide(centred, covariates, b, stop, event, ties, alpha, offset, by)
+            else:
+                loss = lambda b: evaluate(centred, covariates, b, stop, event, ties, alpha, most, offset, by)
         found = newton(loss, init * scale, maxiter, singular_ok=singular_ok)
     finally:
         for df in held:
@@ -189,6 +239,16 @@ def cox_fit(df: DataFrame, covariates: Sequence[str], stop: str = "stop", event:
     return replace(model_of(found, covariates, means, int(facts["n"]), events, ties, alpha, init, scale), offset=offset)
 
 
+def of_strata(kernels: Sequence[Kernel], alpha: float):
+    """The sum of the kernels' losses, with the penalty once."""
+
+    def loss(beta: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        f, g, h = (sum(x) for x in zip(*[k(beta) for k in kernels]))
+        return f + alpha * float(beta @ beta), g + 2 * alpha * beta, h + 2 * alpha * np.eye(len(beta))
+
+    return loss
+
+
 def spread(rows: DataFrame, covariates: Sequence[str], means: np.ndarray) -> np.ndarray:
     """Sum of absolute deviations of each covariate from its mean; 1 for a constant one."""
     got = rows.agg(*[F.sum(F.abs(F.col(c) - F.lit(float(m)))).alias(f"s_{i}") for i, (c, m) in enumerate(zip(covariates, means))]).first()

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from hazardspark import oracle
 from hazardspark.functions import splines
 from hazardspark.operators import exposure, ordered, panel, resample, riskset
-from hazardspark.plans import cox, replicates, wce
+from hazardspark.plans import cox, losses, multistate, replicates, wce
 from hazardspark.sources import panels
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -370,6 +370,48 @@ def cox_one_iteration(spark, sf_dir):
     return spark.createDataFrame([(t, float(b)) for t, b in zip(m.covariates, m.coef)], "term string, coef double")
 
 
+def _regression_query(name: str, kind: str, y: str, y_sql: str) -> None:
+    def run(spark, sf_dir):
+        p = _panel(spark, sf_dir).withColumn("y", F.expr(y)).withColumn("older", F.col("age") / 50)
+        m = losses.fit(p, "y", ["sex", "older"], getattr(losses, kind))
+        rows = [(t, round(float(b), 6), round(float(s), 6), round(m.loglik, 4), round(m.score, 4)) for t, b, s in zip(m.terms, m.coef, m.se)]
+        return spark.createDataFrame(rows, "term string, coef double, se double, loglik double, score double")
+
+    run.__name__ = name
+    query(f"""WITH {oracle.regression_sql(y_sql, ['1', 'sex', 'age / 50.0::DOUBLE'], kind)} SELECT l.label AS term, round(coef, 6) AS coef, round(se, 6) AS se, round(loglik, 4) AS loglik, round(score, 4) AS score
+        FROM ({oracle.fits_sql(['one', 'sex', 'older'], 10)}) q JOIN (VALUES ('one', '(intercept)'), ('sex', 'sex'), ('older', 'older')) l(term, label) USING (term)""")(run)
+
+
+_regression_query("newton_logistic", "logistic", "event", "event")
+_regression_query("newton_poisson", "poisson", "CAST(floor(dose) AS INT)", "CAST(floor(dose) AS INTEGER)")
+
+#: Transitions between states of a day, with one coefficient of sex for all and one of age for each.
+TRANSITIONS = tuple(multistate.Transition(a, b, {"sex": "sex", "older": f"older {a} {b}"}) for a, b in (("click", "error"), ("click", "view"), ("error", "click")))
+TRANSITIONS_SQL = """sv AS (SELECT id, day AS start, lead(day) OVER w AS stop, state, lead(state) OVER w AS after, CAST(id % 2 AS INTEGER) AS sex, (20 + (id * 7) % 50) / 50.0::DOUBLE AS older
+        FROM (SELECT id, day, min(event_type) AS state FROM ev GROUP BY id, day) q WINDOW w AS (PARTITION BY id ORDER BY day)),
+    tr(k, a, b) AS (VALUES (1, 'click', 'error'), (2, 'click', 'view'), (3, 'error', 'click')),
+    sk AS (SELECT k, start, stop, CAST(after = b AS INTEGER) AS event, sex, older FROM sv JOIN tr ON state = a WHERE stop IS NOT NULL), dt AS (SELECT DISTINCT k, stop AS t FROM sk WHERE event = 1),
+    covered AS (SELECT k * 1000 + t AS stop, CASE WHEN event = 1 AND sk.stop = t THEN 1 ELSE 0 END AS event, sex AS c1, CASE WHEN k = 1 THEN older ELSE 0 END AS c2, CASE WHEN k = 2 THEN older ELSE 0 END AS c3, CASE WHEN k = 3 THEN older ELSE 0 END AS c4
+        FROM sk JOIN dt USING (k) WHERE start < t AND t <= sk.stop)"""
+
+
+def _multistate_query(name: str, **options) -> None:
+    def run(spark, sf_dir):
+        st = panels.events(spark, sf_dir).groupBy("id", "day").agg(F.min("event_type").alias("state"))
+        order = Window.partitionBy("id").orderBy("day")
+        rows = st.select("id", F.col("day").alias("start"), F.lead("day").over(order).alias("stop"), "state", F.lead("state").over(order).alias("after")).where("stop IS NOT NULL")
+        rows = rows.withColumns({"sex": F.col("id") % 2, "older": (20 + (F.col("id") * 7) % 50) / 50})
+        return _fit_rows(spark, multistate.multistate_fit(rows, TRANSITIONS, **options))
+
+    run.__name__ = name
+    query(f"""WITH {TRANSITIONS_SQL}, {oracle.newton_sql(['c1', 'c2', 'c3', 'c4'], table='covered')}, q AS ({_fit_rows_sql(['c1', 'c2', 'c3', 'c4'])})
+        SELECT l.label AS term, q.* EXCLUDE (term) FROM q JOIN (VALUES ('c1', 'sex'), ('c2', 'older click error'), ('c3', 'older click view'), ('c4', 'older error click')) l(term, label) USING (term)""", EVENTS_SQL)(run)
+
+
+_multistate_query("multistate_shared_coefficient")
+_multistate_query("multistate_distributed", driver_rows=0)
+
+
 LP_SQL = f"{DESIGN_SQL}, {oracle.newton_sql(['c1', 'c2', 'c3'], table='ds')}, b AS (SELECT * FROM it WHERE i = 8)"
 
 

@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from hazardspark.functions import splines, tails
 from hazardspark.operators import exposure, ordered, panel, resample, riskset
-from hazardspark.plans import cox, replicates, wce
+from hazardspark.plans import cox, losses, replicates, wce
 from hazardspark.plans.formula import design, parse
+from hazardspark.plans.multistate import Transition, coefficients, stack
 from hazardspark.plans.newton import Kernel, Singular, aliased, factor, inverse, newton, solve
 from hazardspark.sources import panels
 
@@ -606,3 +607,64 @@ def test_split_bootstrap_keeps_rows_and_shuffles_no_draws(spark, days):
     assert sorted(sample.collect()) == sorted(days.groupBy("stop", "event", "sex").count().collect())
     plan = many._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan.split("FlatMapGroupsInArrow")[0] and "Exchange" not in plan.split("FlatMapGroupsInArrow")[0]
+
+
+def test_wide_designs(spark):
+    r = np.random.default_rng(4)
+    n, d = 300, 24
+    x = r.normal(size=(n, d)) + 1000
+    rows = [(int(s), int(s + 1 + k), int(e), str(g), *map(float, v)) for s, k, e, g, v in zip(r.integers(0, 5, n), r.integers(0, 4, n), r.random(n) < 0.6, r.integers(0, 2, n), x)]
+    names = [f"x{i}" for i in range(d)]
+    df = spark.createDataFrame(rows, "start int, stop int, event int, g string, " + ", ".join(f"{c} double" for c in names)).persist()
+    beta = r.normal(size=d) / 3
+    for start, ties, by in ((None, "efron", []), ("start", "breslow", ["g"])):
+        small = riskset.compact(df, names, start=start, by=by)
+        table = small.toPandas()
+        parts = [t for _, t in table.groupby("g")] if by else [table]
+        f, g, h = cox.of_strata([Kernel(t["stop"], t["event"], t[names], t["n"], t[start] if start else None, ties) for t in parts], 0.2)(beta)
+        centred = small.withColumns({c: F.col(c) - 1000.0 for c in names})
+        found = cox.evaluate_wide(riskset.cover(centred, names, "stop", "event", start, by) if start else centred, names, beta, "stop", "event", ties, 0.2, by=by)
+        assert math.isclose(f, found[0], rel_tol=1e-9) and np.allclose(g, found[1], rtol=1e-7, atol=1e-7) and np.allclose(h, found[2], rtol=1e-6, atol=1e-6), (start, ties)
+    a, b = (cox.cox_fit(df, names, driver_rows=k, maxiter=2) for k in (0, 10**6))
+    assert np.allclose(a.coef, b.coef, atol=1e-7) and np.allclose(a.se, b.se, rtol=1e-6)
+    df.unpersist()
+
+
+def test_strata_have_their_own_risk_sets(spark):
+    df = _odd_table(spark, 6).withColumn("g", F.when(F.col("c") > 0, "u").otherwise("v")).persist()
+    for options in ({}, {"start": "start", "risk_set": "interval", "alpha": 0.1}):
+        m, s = (cox.cox_fit(df, ["a"], strata="g", driver_rows=k, **options) for k in (10**6, 0))
+        # strata as times that don't meet
+        apart = df.withColumns({c: F.col(c) + F.when(F.col("g") == "u", 1000).otherwise(0) for c in ("start", "stop")})
+        k = cox.cox_fit(apart, ["a"], **options)
+        assert np.allclose([m.coef[0], m.loglik, m.se[0]], [k.coef[0], k.loglik, k.se[0]], rtol=1e-7) and np.allclose(s.coef, m.coef, atol=1e-8)
+    df.unpersist()
+
+
+def test_stacked_transitions(spark):
+    rows = [(0, 2, "a", "b", 1.0, 5.0), (0, 3, "a", None, 2.0, 6.0), (2, 4, "b", "a", 3.0, 7.0), (1, 5, None, "a", 4.0, 8.0), (1, 5, "c", "a", 4.0, 8.0)]
+    df = spark.createDataFrame(rows, "start int, stop int, state string, after string, x double, z double")
+    ts = [Transition("a", "b", {"x": "x", "z": "z"}), Transition("a", "c", ["x"]), Transition("b", "a", {"z": "x"})]
+    assert coefficients(ts) == ["x", "z", "x_a:c"]
+    got = sorted(map(tuple, stack(df, ts).collect()))
+    assert got == sorted([(0, 2, "a:b", 1, 1.0, 5.0, 0.0), (0, 2, "a:c", 0, 0.0, 0.0, 1.0), (0, 3, "a:b", 0, 2.0, 6.0, 0.0), (0, 3, "a:c", 0, 0.0, 0.0, 2.0), (2, 4, "b:a", 1, 7.0, 0.0, 0.0)])
+    with pytest.raises(ValueError):
+        stack(df, [ts[0], ts[0]])
+
+
+def test_losses_over_a_table(spark):
+    r = np.random.default_rng(9)
+    x = r.normal(size=300)
+    y = (r.random(300) < 1 / (1 + np.exp(-(0.5 + 2 * x)))).astype(int)
+    df = spark.createDataFrame([(float(a), int(b), 1 + i % 3) for i, (a, b) in enumerate(zip(x, y))] + [(None, 1, 1)], "x double, y int, w int")
+    m = losses.fit(df, "y", ["x"], weight="w")
+    p = 1 / (1 + np.exp(-(m.coef[0] + m.coef[1] * x)))
+    w = 1 + np.arange(300) % 3
+    assert np.allclose([(w * (p - y)).sum(), (w * (p - y) * x).sum()], 0, atol=1e-6)
+    assert math.isclose(m.loglik, (w * (y * np.log(p) + (1 - y) * np.log(1 - p))).sum(), rel_tol=1e-9)
+    q = losses.fit(df, "y", ["x"], losses.poisson)
+    assert abs((np.exp(q.coef[0] + q.coef[1] * x) - y).sum()) < 1e-6
+    huge = losses.logistic("y", ["x"])({"y": np.array([0.0, 1.0]), "x": np.array([1e6, -1e6])}, np.array([0.0, 1.0]))
+    assert np.isfinite(huge[0]) and np.isfinite(huge[1]).all()
+    found = losses.minimise(df, ["x"], lambda rows, b: (float(((rows["x"] - b[0]) ** 2).sum()), np.array([-2 * (rows["x"] - b[0]).sum()]), np.array([[2.0 * len(rows["x"])]])), [3.0])
+    assert math.isclose(found.beta[0], x.mean(), rel_tol=1e-9)
