@@ -141,18 +141,20 @@ def _verified(pairs: DataFrame, rows: DataFrame, nodes: DataFrame, width: int, p
     return materialize(both.where(F.col("i") * 100 >= percent * (F.col("x_n") + F.col("y_n") - F.col("i"))).select("a", "b"))
 
 
-def _close(percent: int) -> Column:
-    """Whether a pair of rows x and y may be similar, by sizes and fingerprints."""
+def _close(percent: int, radius: int | None) -> Column:
+    """Whether a pair of rows x and y may be similar, by sizes and (unless radius is None) fingerprints."""
     n, m = F.col("x.n"), F.col("y.n")
     diff = F.col("x.fingerprint").bitwiseXOR(F.col("y.fingerprint"))
-    return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & within(diff, RADIUS, SEGMENTS)
+    sizes = F.least(n, m) * 100 >= F.greatest(n, m) * percent
+    return sizes if radius is None else sizes & within(diff, radius, SEGMENTS)
 
 
-def similar(docs: DataFrame, width: int = 5, percent: int = 80, stars: int = 6, bucket: int = 16) -> tuple[DataFrame, DataFrame]:
+def similar(docs: DataFrame, width: int = 5, percent: int = 80, stars: int = 6, bucket: int = 16, radius: int | None = RADIUS) -> tuple[DataFrame, DataFrame]:
     """docs: doc_id, text. (doc_id, node, fingerprint) of its rows, node naming a set of shingles, and (node, root) of nodes with links.
 
     Null texts, empty texts and texts without words have the empty set. Keys of more than bucket members go through at most stars rounds of
-    comparisons with one member, as long as rounds link a tenth of them.
+    comparisons with one member, as long as rounds link a tenth of them. radius: bits within which fingerprints must agree; None prunes nothing and so finds every pair for certain.
+    Very long texts are compared whole, repeated rows are one node, other columns are ignored, whatever their names, and an empty table gives empty ones.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select("doc_id", F.xxhash64(F.lit(1), text).alias("t1"), F.xxhash64(F.lit(2), text).alias("t2"), text.alias("__text"))
@@ -176,7 +178,7 @@ def similar(docs: DataFrame, width: int = 5, percent: int = 80, stars: int = 6,
         degree = crowded.groupBy("node").agg((-F.count("*") if not salt else F.min(F.xxhash64(F.lit(salt), "node"))).alias("h"))
         head = crowded.join(degree, "node").groupBy("key").agg(F.min(F.struct("h", "node", "n", "fingerprint")).alias("r")).select("key", "r.*")
         x, y = crowded.alias("x"), head.alias("y")
-        pairs = x.join(y, F.col("x.key") == F.col("y.key")).where((F.col("x.node") != F.col("y.node")) & _close(percent))
+        pairs = x.join(y, F.col("x.key") == F.col("y.key")).where((F.col("x.node") != F.col("y.node")) & _close(percent, radius))
         # one comparison a member and round: with the head of least h
         pairs = pairs.groupBy(F.col("x.node").alias("a")).agg(F.min(F.struct("y.h", "y.node")).alias("r")).select("a", F.col("r.node").alias("b"))
         found = verified(pairs)
@@ -185,7 +187,7 @@ def similar(docs: DataFrame, width: int = 5, percent: int = 80, stars: int = 6,
     x, y = live.alias("x"), live.alias("y")
     other = F.col("x.root") != F.col("y.root") if links is not None else F.lit(True)
     pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & other)
-    found = verified(pairs.where(_close(percent)).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct())
+    found = verified(pairs.where(_close(percent, radius)).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct())
     return prints.select("doc_id", "node", "fingerprint"), connected_components(found if links is None else links.union(found))
 
 

@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from hazardspark.llm.common import map_texts, materialize, text_bytes
 from hazardspark.llm.components import connected_components
 from hazardspark.llm.ring import BITS, chained, masks, ring, signed
-from hazardspark.llm.shingles import similar
+from hazardspark.llm.shingles import RADIUS, similar
 
 
 def simhash(text: bytes, width: int = 3, seed: int = 42) -> int:
@@ -100,16 +100,16 @@ def near_links(prints: DataFrame, fingerprint: str = "fingerprint", radius: int
     return pairs.union(stars).distinct()
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 3, seed: int = 42, radius: int = 2, segments: int = 5, bucket_pairs: int | None = None, percent: int | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 3, seed: int = 42, radius: int = 2, segments: int = 5, bucket_pairs: int | None = None, percent: int | None = None, prune: bool = True) -> DataFrame:
     """One row per row of docs: its doc_id, fingerprint (16 hex digits), component_id.
 
     Linked are fingerprints within radius bits or, with percent, texts of that similarity by sets of shingles (the fingerprint is then that of
-    the set; radius and segments are shingles.similar's own). component_id is the smallest doc_id that links lead to, itself included; null only if all of those are null.
+    the set; radius and segments are shingles.similar's own, and without prune fingerprints decide nothing there). component_id is the smallest doc_id that links lead to, itself included; null only if all of those are null.
     Null texts, empty texts and texts without words have fingerprint zero and are linked like any other; very long texts are read whole; repeated
     rows give repeated results; other columns are ignored; an empty table gives an empty table.
     """
     if percent is not None:
-        prints, of = similar(docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")), width, percent, bucket=bucket_pairs or 16)
+        prints, of = similar(docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")), width, percent, bucket=bucket_pairs or 16, radius=RADIUS if prune else None)
     else:
         prints = fingerprints(docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")), width=width, seed=seed)
         prints = materialize(prints.withColumn("node", F.col("fingerprint")))

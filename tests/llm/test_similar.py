@@ -92,3 +92,10 @@ def test_shingles_of_texts():
     got = shingles.shingles(pa.array(texts))
     assert [len(s) for s in got] == [len(shingled(t)) for t in texts] and all((s[:-1] < s[1:]).all() for s in got)
     assert got[3][0] in got[4] and set(got[4].tolist()).isdisjoint(got[2].tolist())
+
+
+def test_pruning_by_fingerprints_loses_no_group_of_documents(spark):
+    rows = [(r[0], r[1]) for r in data.documents("sf0.01", 600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    groups = [{r.doc_id: r.component_id for r in simhash.near_duplicates(df, width=5, percent=80, prune=prune).collect()} for prune in (True, False)]
+    assert groups[0] == groups[1] and len(set(groups[0].values())) < len(rows)
