@@ -131,16 +131,21 @@ def interval_check(df: DataFrame, id: str = "id", start: str = "start", stop: st
     return df.select(id, start, stop, (first.cast("int") + 2 * last.cast("int")).alias("position"), F.signum(F.col(start) - before).cast("int").alias("gap"))
 
 
-def state_check(df: DataFrame, id: str, start: str, stop: str, before: str, after: str) -> DataFrame:
-    """Counts of subjects' intervals that overlap the one before, follow it after a gap, jump (another state after a gap) or teleport (another state without one).
+def state_flags(df: DataFrame, id: str, start: str, stop: str, before: str, after: str) -> DataFrame:
+    """df with overlap (an interval begins before the subject's last one ends), gap, jump (a gap, and another state after it) and teleport (another state without a gap); all false for a subject's first.
 
     before and after: the state at an interval's start and end.
     """
     order = Window.partitionBy(id).orderBy(stop, start)
-    rows = df.select(F.col(start).alias("s"), F.lag(stop).over(order).alias("e"), (F.col(before) != F.lag(after).over(order)).alias("other"))
-    gap = F.signum(F.col("s") - F.col("e"))
-    count = lambda c, name: F.count(F.when(c, 1)).alias(name)
-    return rows.agg(count(gap < 0, "overlaps"), count(gap > 0, "gaps"), count((gap > 0) & F.col("other"), "jumps"), count((gap == 0) & F.col("other"), "teleports"))
+    end, other = F.lag(stop).over(order), F.col(before) != F.lag(after).over(order)
+    marks = {"overlap": F.col(start) < end, "gap": F.col(start) > end, "jump": (F.col(start) > end) & other, "teleport": (F.col(start) == end) & other}
+    return df.withColumns({k: F.coalesce(c, F.lit(False)) for k, c in marks.items()})
+
+
+def state_check(df: DataFrame, id: str, start: str, stop: str, before: str, after: str) -> DataFrame:
+    """How many intervals have each of state_flags."""
+    rows = state_flags(df, id, start, stop, before, after)
+    return rows.agg(*[F.count(F.when(F.col(c), 1)).alias(f"{c}s") for c in ("overlap", "gap", "jump", "teleport")])
 
 
 def transitions(df: DataFrame, id: str, time: str, state: str) -> DataFrame:

@@ -92,7 +92,9 @@ def cover(rows: DataFrame, covariates: Sequence[str], stop: str, event: str, sta
     first, last, dead = F.col(f"__no_{start}"), F.col(f"__no_{stop}"), F.col(event) == 1
     total = F.sum("n").alias("n")
     levels = max(1, int(times.count()).bit_length())
-    ranges = numbered.select(*by, first.alias("first"), (last - dead.cast("long")).alias("last"), *kept, "n").where("first < last").groupBy(*by, "first", "last", *kept).agg(total)
+    # read for those alive and for the dead, again for every sum that is not of a persisted cover
+    ranges = numbered.select(*by, first.alias("first"), (last - dead.cast("long")).alias("last"), dead.alias("dead"), *kept, "n").where("first < last OR dead").groupBy(*by, "first", "last", "dead", *kept).agg(total)
+    ranges = written(ranges)
     # at level k a range [l, r) of nodes of 2**k times gives away its odd ends
     def nodes(k: Column) -> Column:
         width = F.call_function("shiftleft", F.lit(1).cast("long"), k)
@@ -101,8 +103,8 @@ def cover(rows: DataFrame, covariates: Sequence[str], stop: str, event: str, sta
         return F.array(node(low, low), node(high, high - 1))
 
     ends = F.filter(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(levels - 1)), nodes)), lambda x: x.isNotNull())
-    alive = ranges.select(*by, F.inline(ends), *kept, "n").groupBy(*by, "level", "node", *kept).agg(total)
-    died = numbered.where(dead).select(*by, (last - 1).alias("no"), *kept, "n").groupBy(*by, "no", *kept).agg(total)
+    alive = ranges.where("first < last").select(*by, F.inline(ends), *kept, "n").groupBy(*by, "level", "node", *kept).agg(total)
+    died = ranges.where("dead").select(*by, F.col("last").alias("no"), *kept, "n").groupBy(*by, "no", *kept).agg(total)
     return Cover(alive, died, times.select("t", "no"), levels)
 
 

@@ -13,8 +13,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hazardspark.operators import panel, resample, riskset
+from hazardspark.operators import ordered, panel, resample, riskset
 from hazardspark.plans.newton import Kernel, Optimum, inverse, newton, newton_many
+from hazardspark.sources.scratch import written
 
 #: Rows times columns that a task may hold for a fit.
 TASK_VALUES = 10_000_000
@@ -198,12 +199,14 @@ def permutation_test(risks: DataFrame, channel: str, p: str = "p") -> DataFrame:
 
     Ranks are of absolute risks within a channel; the adjusted value compares with each permutation's greatest rank.
     """
+    # of many fits, and read again and again
+    risks = written(risks)
     ranked = risks.withColumn("rank", F.rank().over(Window.partitionBy(channel).orderBy(F.abs("risk"))))
-    top = ranked.groupBy(p).agg(F.max("rank").alias("max_rank"))
-    real = ranked.where(F.col(p) == 0).select(channel, "risk", "rank")
+    top = written(ranked.groupBy(p).agg(F.max("rank").cast("long").alias("max_rank")))
+    real = ranked.where(F.col(p) == 0).select(channel, "risk", F.col("rank").cast("long").alias("rank"), (F.col("rank") - 1).cast("long").alias("__below"))
     single = ranked.join(real.select(channel, F.col("rank").alias("__r")), channel).groupBy(channel).agg(F.avg((F.col("rank") >= F.col("__r")).cast("double")).alias("p_value"))
-    # real has a row per channel
-    joint = top.join(F.broadcast(real.select(channel, F.col("rank").alias("__r"))), F.col("max_rank") >= F.col("__r"))
-    joint = joint.groupBy(channel).agg(F.count("*").alias("__n")).join(F.broadcast(risks.agg(F.countDistinct(p).alias("__all"))))
-    return real.join(single, channel).join(joint.select(channel, (F.col("__n") / F.col("__all")).alias("adjusted_p")), channel)
-
+    # permutations whose greatest rank is under the real one, looked up by equality
+    counts = top.groupBy("max_rank").agg(F.count("*").alias("__n"))
+    joint = ordered.up_to(real, counts, "max_rank", ["__n"], ["__below"])
+    adjusted = 1 - F.coalesce(F.col("__n___below"), F.lit(0)) / F.lit(top.count())
+    return joint.join(single, channel).select(channel, "risk", "rank", "p_value", adjusted.alias("adjusted_p"))

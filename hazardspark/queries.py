@@ -541,6 +541,14 @@ def state_check(spark, sf_dir):
     return panel.state_check(days.select("id", (F.col("day") - 1).alias("start"), F.col("day").alias("stop"), "before", "after"), "id", "start", "stop", "before", "after")
 
 
+@query("""WITH u AS (SELECT id, day, min(event_type) AS before, max(event_type) AS after FROM ev GROUP BY id, day), l AS (SELECT id, day, day - 1 - lag(day) OVER w AS gap, before <> lag(after) OVER w AS other FROM u WINDOW w AS (PARTITION BY id ORDER BY day))
+    SELECT id, day AS stop, coalesce(gap < 0, FALSE) AS overlap, coalesce(gap > 0, FALSE) AS gap, coalesce(gap > 0 AND other, FALSE) AS jump, coalesce(gap = 0 AND other, FALSE) AS teleport FROM l""", EVENTS_SQL)
+def state_flags(spark, sf_dir):
+    days = panels.events(spark, sf_dir).groupBy("id", "day").agg(F.min("event_type").alias("before"), F.max("event_type").alias("after"))
+    rows = days.select("id", (F.col("day") - 1).alias("start"), F.col("day").alias("stop"), "before", "after")
+    return panel.state_flags(rows, "id", "start", "stop", "before", "after").select("id", "stop", "overlap", "gap", "jump", "teleport")
+
+
 STATES_SQL = "st AS (SELECT id, day, min(event_type) AS state FROM ev GROUP BY id, day)"
 
 
