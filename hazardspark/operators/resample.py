@@ -89,23 +89,24 @@ class SplitDraws:
         return np.bincount(portable_hash(j, np.int64(b), (self.seed + 7919 * part) % P) % size, minlength=size)
 
 
-def split_bootstrap(df: DataFrame, replicates: int, seed: int = 1, id: str = "id", order: str | Sequence[str] = "stop", keep: Sequence[str] | None = None, block: int = DRAW_BLOCK) -> DataFrame:
+def split_bootstrap(df: DataFrame, replicates: int, seed: int = 1, id: str = "id", order: str | Sequence[str] = "stop", keep: Sequence[str] | None = None, block: int = DRAW_BLOCK, at_once: int = 256) -> DataFrame:
     """df's columns (or keep) with replicate b and weight w > 0, where no table of draws is made or shuffled.
 
     Rows are numbered in order of (id, order) and drawn block by block, each in the task that holds it: its number of draws comes down a tree (SplitDraws), its rows from the portable
-    hash. Equal rows of keep are one in a block, with their weights' sum. Tables of one block have the draws of row_bootstrap.
+    hash. Equal rows of keep are one in a block, with their weights' sum. Tables of one block have the draws of row_bootstrap. A task makes at_once replicates of a block.
     """
     keys = list(dict.fromkeys([id, *([order] if isinstance(order, str) else order)]))
     keep = list(df.columns if keep is None else keep)
     rows = ordered.numbered(df, keys, "__n")
     total = rows.count()
-    rows = rows.select(F.floor(F.col("__n") / block).alias("__part"), "__n", *keep)
+    slices = F.explode(F.sequence(F.lit(0), F.lit(max(0, replicates - 1) // at_once))).alias("__slice")
+    rows = rows.select(F.floor(F.col("__n") / block).alias("__part"), slices, "__n", *keep)
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("__n")
-        part, cells = int(table["__part"][0].as_py()), table.select(keep)
+        part, first, cells = int(table["__part"][0].as_py()), table["__slice"][0].as_py() * at_once, table.select(keep)
         draws, out = SplitDraws(total, block, seed), []
-        for b in range(replicates):
+        for b in range(first, min(replicates, first + at_once)):
             w = draws.weights(part, b)
             some = np.flatnonzero(w)
             drawn = cells.take(pa.array(some)).append_column("w", pa.array(w[some])).group_by(keep).aggregate([("w", "sum")])
@@ -114,7 +115,7 @@ def split_bootstrap(df: DataFrame, replicates: int, seed: int = 1, id: str = "id
 
     kinds = T.StructType([*[df.schema[c] for c in keep], T.StructField("b", T.LongType()), T.StructField("w", T.LongType())])
     # block rows a group
-    return rows.groupBy("__part").applyInArrow(run, kinds)
+    return rows.groupBy("__part", "__slice").applyInArrow(run, kinds)
 
 
 def subject_bootstrap(df: DataFrame, replicates: int, seed: int = 1, id: str = "id") -> DataFrame:

@@ -605,6 +605,8 @@ def test_split_bootstrap_keeps_rows_and_shuffles_no_draws(spark, days):
     assert sorted(r.b for r in got) == [0, 1, 2, 3] and all(r.n == days.count() for r in got)
     sample = many.where("b = 0").groupBy("stop", "event", "sex").agg(F.sum("w").alias("n"))
     assert sorted(sample.collect()) == sorted(days.groupBy("stop", "event", "sex").count().collect())
+    sliced = resample.split_bootstrap(days, 4, keep=["stop", "event", "sex"], block=500, at_once=3)
+    assert sorted(sliced.collect()) == sorted(many.collect())
     plan = many._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan.split("FlatMapGroupsInArrow")[0] and "Exchange" not in plan.split("FlatMapGroupsInArrow")[0]
 
