@@ -3,7 +3,7 @@
 Shingles are put in one order for all texts, rarest first. Two sets of sizes m and n of similarity t or more
 share one of the first n - ceil(t * n) + 1 shingles of each (prefix filtering), so sharing one makes a candidate. Candidates whose
 fingerprints (of the sets) fail the chains of a ring of segments within ``radius`` bits are pruned. Only the others' texts are read
-again; the last 16 bits of their shingles bound the overlap from above, and whole sets decide. Any order gives the same groups; the counts behind it are of a sample.
+again; the last 16 bits of their shingles bound the overlap from above, and for pairs within that bound whole sets decide. Any order gives the same groups; the counts behind it are of a sample.
 
 A shared shingle of very many like texts is not paired: its members are first compared with one of them, and
 only members that are then still in different groups are paired.
@@ -124,21 +124,30 @@ def _keys(rows: DataFrame, width: int, percent: int) -> DataFrame:
     return _map(rows, "node long, n long, fingerprint long, keys array<long>", width, of)
 
 
+def _sets(wanted: DataFrame, rows: DataFrame, nodes: DataFrame, schema: str, width: int, of: Callable[[np.ndarray], tuple]) -> DataFrame:
+    """The columns that of gives for the sets of the wanted nodes, their texts read again: as often as they occur, and kept once."""
+    texts = few(nodes.join(wanted, "node", "left_semi").select("t1", "t2"), AGAIN)
+    read = _map(rows.join(texts, ["t1", "t2"], "left_semi").select("__text"), schema, width, of)
+    return materialize(read.groupBy("node").agg(*[F.first(c).alias(c) for c in read.columns if c != "node"]))
+
+
 def _verified(pairs: DataFrame, rows: DataFrame, nodes: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets are alike. rows: t1, t2 and __text; nodes: node, n and the t1 and t2 of one of its texts."""
+    """The pairs (a, b) whose sets are alike. rows: t1, t2 and __text; nodes: node and the t1 and t2 of one of its texts.
+
+    The ends of shingles, a quarter of a set's bytes or less, are compared first; whole sets are written only for pairs that these leave.
+    """
+    members = lambda of: of.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    alike = F.col("both") * 100 >= percent * (F.col("x_n") + F.col("y_n") - F.col("both"))
     pairs = materialize(pairs)
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    wanted = few(nodes.join(wanted, "node", "left_semi").select("t1", "t2"), AGAIN)
-    # equal texts are read as often as they occur and kept once
-    sets = _map(rows.join(wanted, ["t1", "t2"], "left_semi").select("__text"), "node long, low array<short>, s array<long>", width, lambda s: (_node(s), np.unique(s.astype(np.int16)), s))
-    sets = materialize(sets.groupBy("node").agg(F.first("low").alias("low"), F.first("s").alias("s")))
-    side = lambda name, values, out: sets.select(F.col("node").alias(name), F.size("s").alias(f"{out}_n"), F.col(values).alias(out))
+    ends = _sets(members(pairs), rows, nodes, "node long, n long, s array<short>", width, lambda s: (_node(s), len(s), np.unique(s.astype(np.int16))))
+    side = lambda sets, name, n, out: sets.select(F.col("node").alias(name), n.alias(f"{out}_n"), F.col("s").alias(out))
     # shared elements have shared ends; as many as a set's elements exceed its distinct ends may be missed
-    likely = pairs.join(side("a", "low", "x"), "a").join(side("b", "low", "y"), "b")
+    likely = pairs.join(side(ends, "a", F.col("n"), "x"), "a").join(side(ends, "b", F.col("n"), "y"), "b")
     most = F.size(F.array_intersect("x", "y")) + F.col("x_n") - F.size("x")
-    likely = likely.where(most * 100 >= percent * (F.col("x_n") + F.col("y_n") - most)).select("a", "b")
-    both = likely.join(side("a", "s", "x"), "a").join(side("b", "s", "y"), "b").withColumn("i", F.size(F.array_intersect("x", "y")))
-    return materialize(both.where(F.col("i") * 100 >= percent * (F.col("x_n") + F.col("y_n") - F.col("i"))).select("a", "b"))
+    likely = materialize(likely.withColumn("both", most).where(alike).select("a", "b"))
+    whole = _sets(members(likely), rows, nodes, "node long, s array<long>", width, lambda s: (_node(s), s))
+    found = likely.join(side(whole, "a", F.size("s"), "x"), "a").join(side(whole, "b", F.size("s"), "y"), "b")
+    return materialize(found.withColumn("both", F.size(F.array_intersect("x", "y"))).where(alike).select("a", "b"))
 
 
 def _close(percent: int, radius: int | None) -> Column:
@@ -159,13 +168,16 @@ def similar(docs: DataFrame, width: int = 5, percent: int = 80, stars: int = 6,
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select("doc_id", F.xxhash64(F.lit(1), text).alias("t1"), F.xxhash64(F.lit(2), text).alias("t2"), text.alias("__text"))
     prints = materialize(_keys(rows, width, percent))
-    nodes = prints.groupBy("node").agg(F.min(F.struct("t1", "t2")).alias("t"), *[F.first(c).alias(c) for c in ("n", "fingerprint", "keys")])
-    nodes = materialize(nodes.select("node", "t.t1", "t.t2", "n", "fingerprint", "keys"))
-    keyed = nodes.select("node", F.explode("keys").alias("key"))
-    shared = keyed.groupBy("key").agg(F.count("*").alias("size"), F.bit_xor("node").alias("x"), F.bit_xor(F.xxhash64(F.lit(3), "node")).alias("y")).where("size > 1")
+    nodes = prints.groupBy("node").agg(F.min(F.struct("t1", "t2")).alias("t"), *[F.first(c).alias(c) for c in ("n", "fingerprint")])
+    nodes = materialize(nodes.select("node", "t.t1", "t.t2", "n", "fingerprint"))
+    keyed = prints.select("node", F.explode("keys").alias("key"))
+    # most keys occur once, so they are counted first without their nodes; repeated texts, which repeat their keys, are one node then
+    shared = keyed.groupBy("key").count().where("count > 1").select("key")
+    met = materialize(keyed.join(shared, "key").distinct())
     # keys of the same members make the same pairs: one of them is enough
-    shared = shared.groupBy("size", "x", "y").agg(F.min("key").alias("key")).select("key", "size")
-    live = materialize(keyed.join(shared, "key").join(nodes.select("node", "n", "fingerprint"), "node"))
+    sizes = met.groupBy("key").agg(F.count("*").alias("size"), F.bit_xor("node").alias("x"), F.bit_xor(F.xxhash64(F.lit(3), "node")).alias("y")).where("size > 1")
+    one = sizes.groupBy("size", "x", "y").agg(F.min("key").alias("key")).select("key", "size")
+    live = materialize(met.join(one, "key").join(nodes.select("node", "n", "fingerprint"), "node"))
     verified = lambda pairs: _verified(pairs, rows.select("t1", "t2", "__text"), nodes.select("node", "t1", "t2"), width, percent)
     links, before = None, None
     for salt in range(stars):
