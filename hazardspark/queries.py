@@ -465,7 +465,7 @@ TIMES_SQL = RISK_SQL + """, dt AS (SELECT t, den, eden, deaths FROM (
 def _hazard_sql(ties: str) -> str:
     part = "1.0 / (den - k / deaths * eden)" if ties == "efron" else "1.0 / den"
     own = f"(1 - k / deaths) * {part}" if ties == "efron" else part
-    return f"{TIMES_SQL}, hz AS (SELECT t, deaths, sum({part}) AS h, sum({own}) AS e FROM (SELECT dt.*, CAST(k AS DOUBLE) AS k FROM dt, generate_series(0, 1000) ks(k) WHERE k < deaths) q GROUP BY t, deaths)"
+    return f"{TIMES_SQL}, hz AS (SELECT t, deaths, sum({part}) AS h, sum({own}) AS e FROM (SELECT dt.*, CAST(k AS DOUBLE) AS k FROM dt, generate_series(0, (SELECT CAST(max(deaths) AS BIGINT) - 1 FROM dt)) ks(k) WHERE k < deaths) q GROUP BY t, deaths)"
 
 
 def _risky(spark: SparkSession, sf_dir: str) -> DataFrame:
