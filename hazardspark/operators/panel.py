@@ -99,7 +99,8 @@ def split_at(df: DataFrame, cuts: DataFrame, start: str = "start", stop: str = "
 def merge_times(df: DataFrame, column: str, digits: int = 9) -> DataFrame:
     """Make times equal that a chain of steps of less than 10**-digits joins: each becomes the least of its chain.
 
-    Chains are found over distinct times, in ranges of times and then across the ranges' edges.
+    Chains are found over distinct times, in ranges of times and then across the ranges' edges. Steps are rounded to six digits more, so that one of 10**-digits is none whatever
+    the difference of the two times rounds to.
     """
     step = 10.0**-digits
     times = df.select(F.col(column).alias("__t")).where("__t IS NOT NULL").distinct()
@@ -108,7 +109,7 @@ def merge_times(df: DataFrame, column: str, digits: int = 9) -> DataFrame:
     # a row a range
     edges = edges.select("__range", F.max("__last").over(Window.partitionBy(F.lit(0)).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)).alias("__edge"))
     before = F.coalesce(F.lag("__t").over(Window.partitionBy("__range").orderBy("__t")), F.col("__edge"))
-    marked = times.join(edges, "__range").withColumn("__new", (before.isNull() | (F.col("__t") - before >= step)).cast("long"))
+    marked = times.join(edges, "__range").withColumn("__new", (before.isNull() | (F.round(F.col("__t") - before, digits + 6) >= step)).cast("long"))
     chains = ordered.prefix_sums(marked.select("__t", "__new"), "__t", ["__new"])
     least = chains.groupBy("__new").agg(F.min("__t").alias("__least"))
     named = chains.join(least, "__new").select("__t", "__least")

@@ -161,11 +161,12 @@ def scaled_covariate(spark, sf_dir):
     return _rounded(cox.scaled(_panel(spark, sf_dir), "age", "age_scaled", 1e6).select("id", "stop", "age_scaled"))
 
 
-@query("""WITH ends AS (SELECT id, sum(dose) AS total FROM panel GROUP BY id), u AS (SELECT DISTINCT total AS t FROM ends),
-    c AS (SELECT t, sum(CASE WHEN t - l < 0.001 THEN 0 ELSE 1 END) OVER (ORDER BY t) AS g FROM (SELECT t, lag(t) OVER (ORDER BY t) AS l FROM u) q), m AS (SELECT t, min(t) OVER (PARTITION BY g) AS merged FROM c)
+@query("""WITH ends AS (SELECT id, round(sum(dose), 6) AS total FROM panel GROUP BY id), u AS (SELECT DISTINCT total AS t FROM ends),
+    c AS (SELECT t, sum(CASE WHEN round(t - l, 9) < 0.001 THEN 0 ELSE 1 END) OVER (ORDER BY t) AS g FROM (SELECT t, lag(t) OVER (ORDER BY t) AS l FROM u) q), m AS (SELECT t, min(t) OVER (PARTITION BY g) AS merged FROM c)
     SELECT id, round(merged, 4) AS merged FROM ends JOIN m ON total = t""")
 def tie_repair(spark, sf_dir):
-    totals = _panel(spark, sf_dir).groupBy("id").agg(F.sum("dose").alias("merged"))
+    # sums of decimals in any order are one number
+    totals = _panel(spark, sf_dir).groupBy("id").agg(F.round(F.sum("dose"), 6).alias("merged"))
     return _rounded(panel.merge_times(totals, "merged", 3), 4)
 
 
