@@ -15,6 +15,8 @@ from hazardspark.operators import ordered
 P = 2_147_483_647
 #: Rows that are drawn together.
 DRAW_BLOCK = 4096
+#: Rows whose weights are made together, draws that are made together, and replicates of one array of weights.
+WEIGHT_BLOCK, DRAWN, SLICE = 1 << 15, 1 << 20, 64
 #: Ranges of a hash over which places of a permutation are counted.
 BUCKETS = 1024
 
@@ -118,6 +120,64 @@ def split_bootstrap(df: DataFrame, replicates: int, seed: int = 1, id: str = "id
     return rows.groupBy("__part", "__slice").applyInArrow(run, kinds)
 
 
+def block_draws(spark: SparkSession, n: int, replicates: int, seed: int = 1, block: int = WEIGHT_BLOCK) -> DataFrame:
+    """(__part, __slice, b, at): the draws of draws_of that fall into each block of n rows, as packed places in the block; replicate 0 is the sample and has none."""
+    parts = -(-n // DRAWN)
+
+    def run(batches):
+        for batch in batches:
+            for cell in batch.column(0).to_pylist():
+                b, k = divmod(cell, parts)
+                if b == 0:
+                    continue
+                j = np.arange(k * DRAWN, min(n, (k + 1) * DRAWN), dtype=np.int64)
+                i = np.sort(portable_hash(j, np.int64(b), seed) % n)
+                some = np.unique(i // block)
+                low, high = np.searchsorted(i, some * block), np.searchsorted(i, (some + 1) * block)
+                packed = [(i[f:l] - p * block).astype("<u2").tobytes() for p, f, l in zip(some, low, high)]
+                yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(np.full(len(some), b // SLICE)), pa.array(np.full(len(some), b)), pa.array(packed, pa.binary())], ["__part", "__slice", "b", "at"])
+
+    tasks = max(1, min(replicates * parts, 4 * spark.sparkContext.defaultParallelism))
+    return spark.range(0, replicates * parts, numPartitions=tasks).mapInArrow(run, "__part long, __slice long, b long, at binary")
+
+
+def weighted_bootstrap(df: DataFrame, replicates: int, seed: int, order: Sequence[str], keep: Sequence[str], block: int = WEIGHT_BLOCK) -> DataFrame:
+    """df's columns keep with __slice and w, the weights of the replicates from __slice * SLICE on, those of draws and draws_of for tables of any size.
+
+    Rows are numbered in order. Draws are made where no row lies and travel as two bytes each to the block of rows that they fall into. Equal rows of keep are one in a block, with
+    their weights' sums; rows that no replicate of a slice draws are left out of it.
+    """
+    if block > 1 << 16:
+        raise ValueError("places in a block are two bytes")
+    keep = list(keep)
+    rows = ordered.numbered(df, list(order), "__n")
+    total = rows.count()
+    slices = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max(0, replicates - 1) // SLICE).cast("long"))).alias("__slice")
+    kind = pa.list_(pa.field("element", pa.int32()))
+    rows = rows.select(F.floor(F.col("__n") / block).alias("__part"), slices, (F.col("__n") % block).cast("int").alias("__at"), *keep)
+
+    def run(table: pa.Table, draws: pa.Table) -> pa.Table:
+        if not len(table):
+            return table.select([*keep, "__slice"]).append_column("w", pa.array([], kind))
+        which = table["__slice"][0].as_py()
+        weights = np.zeros((block, SLICE), dtype=np.int32)
+        if which == 0:
+            weights[:, 0] = 1
+        for b, at in zip(draws["b"].to_pylist(), draws["at"].to_pylist()):
+            weights[:, b - which * SLICE] += np.bincount(np.frombuffer(at, dtype="<u2"), minlength=block).astype(np.int32)
+        cells = table.select([*keep, "__slice", "__at"]).combine_chunks().group_by([*keep, "__slice"], use_threads=False).aggregate([("__at", "list")]).combine_chunks()
+        places = cells["__at_list"].chunk(0)
+        sums = np.add.reduceat(weights[places.flatten().to_numpy()], places.offsets.to_numpy()[:-1] - places.offsets[0].as_py(), axis=0, dtype=np.int32)
+        some = np.flatnonzero(sums.any(axis=1))
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1) * SLICE, pa.int32()), pa.array(sums[some].ravel()), kind)
+        return cells.select([*keep, "__slice"]).take(pa.array(some)).append_column("w", lists)
+
+    kinds = T.StructType([*[df.schema[c] for c in keep], T.StructField("__slice", T.LongType()), T.StructField("w", T.ArrayType(T.IntegerType()))])
+    draws = block_draws(df.sparkSession, total, replicates, seed, block)
+    # block rows, and the draws of SLICE replicates that fall on them
+    return rows.groupBy("__part", "__slice").cogroup(draws.groupBy("__part", "__slice")).applyInArrow(run, kinds)
+
+
 def subject_bootstrap(df: DataFrame, replicates: int, seed: int = 1, id: str = "id") -> DataFrame:
     """df's rows with replicate b and the weight w of their subject."""
     ids = dense_index(df.select(id).distinct(), id, id)

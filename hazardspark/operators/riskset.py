@@ -15,6 +15,8 @@ from dataclasses import dataclass
 from itertools import combinations_with_replacement
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,6 +30,8 @@ BAND = 32.0
 WIDE = 16
 #: Tied deaths that a row stands for; times of more are several rows, in several tasks.
 TIES = 4096
+#: Tied deaths that a task sums at a time.
+PIECE = 1 << 18
 
 
 def compact(df: DataFrame, covariates: Sequence[str], stop: str = "stop", event: str = "event", start: str | None = None, weight: str | None = None, by: Sequence[str] = (), offset: str | None = None) -> DataFrame:
@@ -207,6 +211,131 @@ def likelihood(stops: DataFrame, d: int, ties: str = "efron", by: Sequence[str]
     return rows.groupBy(*by).agg(*out) if by else rows.agg(*out)
 
 
+def _summed(v: np.ndarray, m: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Groups x columns of v x columns of m: sums of products over the rows of each group."""
+    if 16 * len(starts) <= len(v):
+        return np.stack([v[a:b].T @ m[a:b] for a, b in zip(starts, [*starts[1:], len(v)])])
+    return np.stack([np.add.reduceat(v[:, k, None] * m, starts) for k in range(v.shape[1])], axis=1)
+
+
+def vector_sums(rows: DataFrame, covariates: Sequence[str], betas: dict[tuple, tuple[np.ndarray, np.ndarray]], stop: str = "stop", event: str = "event", by: Sequence[str] = (), weight: str | None = None, centre: Sequence[float] | None = None, offset: str | None = None) -> DataFrame:
+    """by, k, t and what scaled_sums has, of aligned rows at many vectors of coefficients at once: rows are summed in batches by matrix products, not once a vector.
+
+    rows: by, stop, event, covariates, n, and weight, by which n is multiplied: an array with a number for each vector, or a whole number with a bit for each (none: a single vector).
+    betas: for each value of by the places k of its vectors among the weights, and the vectors. Rows of other values are left out.
+    """
+    names, labels = list(covariates), moments(len(covariates))
+    first, second = ([m[i] for m in labels if len(m) == 2] for i in (0, 1))
+    middle = np.zeros(len(names)) if centre is None else np.asarray(centre, dtype=float)
+    bits = weight is not None and isinstance(rows.schema[weight].dataType, T.LongType)
+    scaled, plain = [[_name(kind, m) for m in labels] for kind in ("a", "d")], ["deaths", "lp", *[f"x_{i}" for i in range(len(names))]]
+    sent = rows.sparkSession.sparkContext.broadcast(betas)
+
+    def part(key: tuple, batch: pa.RecordBatch, dead: bool) -> pa.RecordBatch | None:
+        places, beta = sent.value[key]
+        column = lambda c: batch.column(c).to_numpy(zero_copy_only=False)
+        w = column("n").astype(float)[:, None]
+        if bits:
+            w = w * np.unpackbits(column(weight).astype("<i8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")[:, places]
+        elif weight:
+            w = w * batch.column(weight).flatten().to_numpy().reshape(batch.num_rows, -1)[:, places]
+        times = batch.column(stop).dictionary_encode()
+        some = np.flatnonzero((w > 0).any(axis=1))
+        if not len(some):
+            return None
+        at = times.indices.to_numpy()[some]
+        order = np.argsort(at, kind="stable")
+        some, at = some[order], at[order]
+        starts = np.flatnonzero(np.diff(at, prepend=-1))
+        of = np.repeat(np.arange(len(starts)), np.diff(starts, append=len(at)))
+        x, w = np.stack([column(c)[some].astype(float) for c in names], axis=1) - middle, w[some]
+        lp = x @ beta.T + (column(offset)[some].astype(float)[:, None] if offset else 0.0)
+        top = np.maximum.reduceat(np.where(w > 0, lp, -np.inf), starts, axis=0)
+        there = np.isfinite(top)
+        band = np.floor(np.where(there, top, 0.0) / BAND)
+        r = w * np.exp(np.minimum(lp - band[of] * BAND, BAND))
+        one = np.ones((len(x), 1))
+        sums = _summed(r, np.concatenate([one, x, x[:, first] * x[:, second]], axis=1), starts)[there]
+        none = np.zeros_like(sums)
+        if dead:
+            counts = np.concatenate([_summed(w, np.concatenate([one, x], axis=1), starts)[there], np.add.reduceat(w * lp, starts, axis=0)[there][:, None]], axis=1)
+            values = [none, sums, counts[:, [0, len(names) + 1]], counts[:, 1:-1]]
+        else:
+            values = [sums, none, np.zeros((len(sums), len(plain)))]
+        g, k = np.nonzero(there)
+        keys = [pa.array([v] * len(g), batch.schema.field(c).type) for c, v in zip(by, key)]
+        found = [*keys, pa.array(places[k], pa.int32()), times.dictionary.take(pa.array(at[starts][g])), pa.array(band[there], pa.float64()), *map(pa.array, np.concatenate(values, axis=1).T.copy())]
+        return pa.RecordBatch.from_arrays(found, [*by, "k", "t", "__band", *scaled[0], *scaled[1], *plain])
+
+    def run(batches):
+        for batch in batches:
+            code = np.zeros(batch.num_rows, dtype=np.int64)
+            for c in by:
+                coded = batch.column(c).dictionary_encode()
+                code = code * max(1, len(coded.dictionary)) + coded.indices.to_numpy()
+            died = batch.column(event).to_numpy(zero_copy_only=False) == 1
+            for u in np.unique(code):
+                mine = np.flatnonzero(code == u)
+                key = tuple(batch.column(c)[int(mine[0])].as_py() for c in by)
+                if key not in sent.value:
+                    continue
+                for dead in (False, True):
+                    at = mine[died[mine] == dead]
+                    found = part(key, batch.take(pa.array(at)), dead) if len(at) else None
+                    if found is not None:
+                        yield found
+
+    numbers = [*scaled[0], *scaled[1], *plain]
+    kinds = T.StructType([*[rows.schema[c] for c in by], T.StructField("k", T.IntegerType()), T.StructField("t", rows.schema[stop].dataType), *[T.StructField(c, T.DoubleType()) for c in ["__band", *numbers]]])
+    used = rows.select(*by, stop, event, *names, "n", *([weight] if weight else []), *([offset] if offset else []))
+    bands = used.mapInArrow(run, kinds).groupBy(*by, "k", "t", "__band").agg(*[F.sum(c).alias(c) for c in numbers])
+    return _one_scale(bands, [*by, "k", "t"], [*scaled[0], *scaled[1]], plain).where("deaths > 0")
+
+
+def tie_sums(a: np.ndarray, dead: np.ndarray, deaths: np.ndarray, ties: str) -> np.ndarray:
+    """Per time: sums over its ties of 1/s, c/s, 1/s^2, c/s^2, c^2/s^2 and log s, for s = a + c d."""
+    if ties == "breslow":
+        s = a + dead
+        return np.stack([deaths / s, deaths / s, deaths / s**2, deaths / s**2, deaths / s**2, deaths * np.log(s)], axis=1)
+    n = np.rint(deaths).astype(np.int64)
+    ends, out = np.cumsum(n), np.zeros((len(n), 6))
+    for low in range(0, int(n.sum()), PIECE):
+        j = np.arange(low, min(low + PIECE, ends[-1]))
+        row = np.searchsorted(ends, j, side="right")
+        c = (j - (ends[row] - n[row]) + 1) / deaths[row]
+        s = a[row] + c * dead[row]
+        i = 1 / s
+        begin = int(row[0])
+        for q, v in enumerate((i, c * i, i * i, c * i * i, c * c * i * i, np.log(s))):
+            found = np.bincount(row - begin, weights=v)
+            out[begin : begin + len(found), q] += found
+    return out
+
+
+def tied_likelihood(stops: DataFrame, d: int, ties: str = "efron", by: Sequence[str] = ()) -> DataFrame:
+    """likelihood of scaled_sums, where a time's tied deaths are summed in a task and are no rows."""
+    labels = [m for m in moments(d) if len(m) == 2]
+    names = ["loss", *[f"g_{i}" for i in range(d)], *[_name("h", m) for m in labels]]
+    i, j = ([m[side] for m in labels] for side in (0, 1))
+
+    def run(batches):
+        for pdf in batches:
+            column = lambda kind: pdf[[_name(kind, (k,)) for k in range(d)]].to_numpy()
+            q = tie_sums(pdf["a"].to_numpy(), pdf["d"].to_numpy(), pdf["deaths"].to_numpy(), ties)
+            a, dead = column("a"), column("d")
+            a2, d2 = (pdf[[_name(kind, m) for m in labels]].to_numpy() for kind in ("a", "d"))
+            each = lambda k: q[:, k, None]
+            loss = q[:, 5] + pdf["deaths"].to_numpy() * pdf["top"].to_numpy() - pdf["lp"].to_numpy()
+            g = each(0) * a + each(1) * dead - column("x")
+            h = each(0) * a2 + each(1) * d2 - each(2) * a[:, i] * a[:, j] - each(3) * (a[:, i] * dead[:, j] + dead[:, i] * a[:, j]) - each(4) * dead[:, i] * dead[:, j]
+            yield pd.concat([pdf[list(by)].reset_index(drop=True), pd.DataFrame(np.concatenate([loss[:, None], g, h], axis=1), columns=names)], axis=1)
+
+    kinds = T.StructType([*[stops.schema[c] for c in by], *[T.StructField(c, T.DoubleType()) for c in names]])
+    rows = stops.mapInPandas(run, kinds)
+    out = [F.sum(c).alias(c) for c in names]
+    return rows.groupBy(*by).agg(*out) if by else rows.agg(*out)
+
+
 def weighted_rows(rows: DataFrame | Cover, times: DataFrame, covariates: Sequence[str], beta: Sequence[float], stop: str = "stop", event: str = "event", by: Sequence[str] = (), offset: str | None = None) -> DataFrame:
     """(covariates, w): of rows or nodes, w such that the sum of w x x' is the part of the Hessian that is of second moments.
 

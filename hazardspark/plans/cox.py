@@ -170,11 +170,16 @@ def evaluate_wide(rows: DataFrame | riskset.Cover, covariates: Sequence[str], be
     return float(loss[0]) + alpha * float(beta @ beta), g + 2 * alpha * beta, second - outer + 2 * alpha * np.eye(d)
 
 
-def evaluate(rows: DataFrame | riskset.Cover, covariates: Sequence[str], beta: np.ndarray, stop: str, event: str, ties: str, alpha: float, most_ties: int | None = None, offset: str | None = None, by: Sequence[str] = ()) -> tuple[float, np.ndarray, np.ndarray]:
+def evaluate(rows: DataFrame | riskset.Cover, covariates: Sequence[str], beta: np.ndarray, stop: str, event: str, ties: str, alpha: float, offset: str | None = None, by: Sequence[str] = ()) -> tuple[float, np.ndarray, np.ndarray]:
     """One aggregation job over compacted rows, or over the cover of interval risk sets; by: strata, whose risk sets are their own."""
     d = len(covariates)
-    sums = riskset.scaled_sums(rows, covariates, beta, stop, event, by=by, offset=offset)
-    got = riskset.likelihood(sums, d, ties, most_ties=most_ties).first()
+    if isinstance(rows, DataFrame):
+        one = (np.zeros(1, dtype=int), np.asarray(beta, dtype=float)[None, :])
+        keys = [tuple(r) for r in rows.select(*by).distinct().collect()] if by else [()]  # a row a stratum
+        sums = riskset.vector_sums(rows, covariates, {k: one for k in keys}, stop, event, by, None, None, offset)
+    else:
+        sums = riskset.scaled_sums(rows, covariates, beta, stop, event, by=by, offset=offset)
+    got = riskset.tied_likelihood(sums, d, ties).first()
     g = np.array([got[f"g_{i}"] for i in range(d)]) + 2 * alpha * beta
     h = np.zeros((d, d))
     for i in range(d):
@@ -224,14 +229,13 @@ def cox_fit(df: DataFrame, covariates: Sequence[str], stop: str = "stop", event:
         else:
             # the likelihood does not change when covariates are centred, and rounding is the better for it
             centred = small.withColumns({c: (F.col(c) - float(m)) / float(s) for c, m, s in zip(covariates, means, scale)})
-            most = int(small.where(F.col(event) == 1).groupBy(*by, stop).agg(F.sum("n").alias("n")).agg(F.max("n")).first()[0])
             if used:
                 centred = riskset.cover(centred, covariates, stop, event, used, by, offset).persist()
                 held.append(centred)
             if len(covariates) > riskset.WIDE:
                 loss = lambda b: evaluate_wide(centred, covariates, b, stop, event, ties, alpha, offset, by)
             else:
-                loss = lambda b: evaluate(centred, covariates, b, stop, event, ties, alpha, most, offset, by)
+                loss = lambda b: evaluate(centred, covariates, b, stop, event, ties, alpha, offset, by)
         found = newton(loss, init * scale, maxiter, singular_ok=singular_ok)
     finally:
         for df in held:

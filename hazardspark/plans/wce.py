@@ -14,6 +14,7 @@ from hazardspark.functions import splines, tails
 from hazardspark.operators import exposure
 from hazardspark.plans import replicates
 from hazardspark.plans.cox import CoxModel, cox_fit
+from hazardspark.sources.scratch import written
 
 
 @dataclass(frozen=True)
@@ -83,9 +84,11 @@ class WceModel:
 def wce_fit(df: DataFrame, covariates: Sequence[str], cutoff: int, nknots: int = 1, order: int = 3, constrained: str | None = None, id: str = "id", stop: str = "stop", event: str = "event", dose: str = "dose", **options) -> WceModel:
     """Cox fit on covariates and spline features of the dose history; options are cox_fit's (ties, alpha, init, maxiter and so on)."""
     atoms = splines.atoms(cutoff, nknots, order, constrained)
-    rows, names = wce_rows(df, covariates, atoms, id, stop, event, dose, _columns(options))
-    model = cox_fit(rows, [*covariates, *names], stop, event, **options)
-    return WceModel(model, tuple(covariates), atoms, nknots, cutoff, constrained)
+    return _fitted(*wce_rows(df, covariates, atoms, id, stop, event, dose, _columns(options)), covariates, atoms, nknots, cutoff, constrained, stop, event, **options)
+
+
+def _fitted(rows: DataFrame, names: list[str], covariates: Sequence[str], atoms: np.ndarray, nknots: int, cutoff: int, constrained: str | None, stop: str, event: str, **options) -> WceModel:
+    return WceModel(cox_fit(rows, [*covariates, *names], stop, event, **options), tuple(covariates), atoms, nknots, cutoff, constrained)
 
 
 def _columns(options: dict) -> list[str]:
@@ -94,9 +97,9 @@ def _columns(options: dict) -> list[str]:
 
 
 def wce_rows(df: DataFrame, covariates: Sequence[str], atoms: np.ndarray, id: str = "id", stop: str = "stop", event: str = "event", dose: str = "dose", more: Sequence[str] = ()) -> tuple[DataFrame, list[str]]:
-    """The outcome, the covariates, more columns and the spline features of each row, and the features' names."""
+    """The outcome, the covariates, more columns and the spline features of each row, and the features' names; written, since fits and replicates read them again and again."""
     kept = dict.fromkeys([id, stop, event, *covariates, *more])
-    rows = df.select(*kept).join(exposure.features(df, atoms, id, stop, dose), [id, stop])
+    rows = written(df.select(*kept).join(exposure.features(df, atoms, id, stop, dose), [id, stop]))
     return rows, [f"D{k + 1}" for k in range(atoms.shape[1])]
 
 
@@ -130,8 +133,9 @@ class WceBootstrap:
 
 def wce_bootstrap(df: DataFrame, covariates: Sequence[str], cutoff: int, count: int, batchsize: int = 0, nknots: int = 1, order: int = 3, constrained: str | None = None, unit: str = "row", seed: int = 1, id: str = "id", stop: str = "stop", event: str = "event", dose: str = "dose", **options) -> WceBootstrap:
     """wce_fit and its replicates in one call; features are computed once."""
-    model = wce_fit(df, covariates, cutoff, nknots, order, constrained, id, stop, event, dose, **options)
-    rows, names = wce_rows(df, covariates, model.atoms, id, stop, event, dose, _columns(options))
+    atoms = splines.atoms(cutoff, nknots, order, constrained)
+    rows, names = wce_rows(df, covariates, atoms, id, stop, event, dose, _columns(options))
+    model = _fitted(rows, names, covariates, atoms, nknots, cutoff, constrained, stop, event, **options)
     kept = {k: v for k, v in options.items() if k not in ("singular_ok", "driver_rows")}
     return WceBootstrap(model, replicates.bootstrap_fits(rows, [*covariates, *names], count, batchsize, unit, seed=seed, id=id, stop=stop, event=event, **kept))
 

@@ -13,6 +13,7 @@ from hazardspark.functions import splines
 from hazardspark.operators import exposure, ordered, panel, resample, riskset
 from hazardspark.plans import cox, losses, multistate, replicates, wce
 from hazardspark.sources import panels
+from hazardspark.sources.scratch import written
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -885,7 +886,8 @@ def _channel_features(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, np.n
     values = splines.atoms(CUTOFF, KNOTS, constrained="Right")
     ch = _channels(spark, sf_dir)
     found = exposure.features(ch, values, by=["channel"])
-    return ch.select("channel", "id", "stop", "event").join(found, ["channel", "id", "stop"]), values
+    # fits read them again and again
+    return written(ch.select("channel", "id", "stop", "event").join(found, ["channel", "id", "stop"])), values
 
 
 CHANNEL_FEATURES_SQL = f"{CHANNELS_SQL}, {oracle.atoms_sql(CUTOFF, KNOTS, RIGHT)}, {oracle.features_sql(3, CUTOFF, 'ch', ('channel',))}, cf AS MATERIALIZED (SELECT c.channel, c.id, c.stop, c.event, D1, D2, D3 FROM ch c JOIN feat USING (channel, id, stop))"
@@ -913,15 +915,9 @@ def channel_bootstrap(spark, sf_dir):
 
 def _risks(spark: SparkSession, sf_dir: str, count: int) -> DataFrame:
     rows, values = _channel_features(spark, sf_dir)
-    table = resample.permutations(rows, count)
-    outcome = rows.select("channel", "id", "stop", "event")
-    given = rows.select("channel", F.col("id").alias("other"), "stop", *SPLINES)
-    moved = outcome.join(table, "id").join(given, ["channel", "other", "stop"], "left").fillna(0.0, SPLINES)
-    moved = moved.withColumn("cell", F.concat_ws("|", "channel", "p"))
-    fits = replicates.channel_fits(moved, "cell", SPLINES)
-    risks = replicates.total_risk(fits, dict(zip(SPLINES, map(float, values.sum(0)))), ["cell"])
-    part = F.split("cell", r"\|")
-    return risks.select(part[0].alias("channel"), part[1].cast("int").alias("p"), F.round("risk", 6).alias("risk"))
+    fits = replicates.permuted_fits(rows, "channel", SPLINES, count) if count else replicates.channel_fits(rows, "channel", SPLINES).withColumn("p", F.lit(0))
+    risks = replicates.total_risk(fits, dict(zip(SPLINES, map(float, values.sum(0)))), ["channel", "p"])
+    return risks.select("channel", "p", F.round("risk", 6).alias("risk"))
 
 
 def _risks_sql(count: int) -> str:
