@@ -41,14 +41,18 @@ def scratch_dir(spark: SparkSession) -> str:
     return _own_scratch()
 
 
-def materialize(df: DataFrame, compression: str = "zstd") -> DataFrame:
-    """Write df to the shared scratch folder and read it back.
+#: For tables of rows of many megabytes: Parquet looks at the size of a row group after each row (not first after 100), and ends it at 16 MB.
+LONG_ROWS = {"parquet.block.size": str(16 << 20), "parquet.page.size.row.check.min": "1"}
+
+
+def materialize(df: DataFrame, compression: str = "zstd", **options: str) -> DataFrame:
+    """Write df to the shared scratch folder, with the writer's options, and read it back.
 
     This cuts the lineage: a lost executor later costs a re-read, never the work done here.
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/hs-{uuid.uuid4().hex}"
-    df.write.option("compression", compression).parquet(path)
+    df.write.options(compression=compression, **options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hazardspark.llm.common import materialize, split_words
+from hazardspark.llm.common import LONG_ROWS, materialize, split_words
 
 K1, B = 1.2, 0.75
 #: Text bytes and documents of a shard; queries and query terms of a block, on average.
@@ -229,7 +229,7 @@ def top_k(docs: DataFrame, queries: DataFrame, doc_id: str = "doc_id", query_id:
     indexed, however long; other columns are ignored; an empty table gives none. Ids are whole numbers (or text of one).
     """
     texts = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("__text"))
-    index = materialize(texts.mapInArrow(_build(shard_bytes, shard_docs), _INDEX))
+    index = materialize(texts.mapInArrow(_build(shard_bytes, shard_docs), _INDEX), **LONG_ROWS)
     n, words = (int(x or 0) for x in index.agg(F.sum("n"), F.sum("total")).first())
     average = words / n if n else 0.0
     counts = index.select(F.inline(F.arrays_zip(F.col("words").alias("word"), F.col("df").alias("df")))).groupBy("word").agg(F.sum("df").alias("df"))
