@@ -12,9 +12,9 @@ word's share of the training corpus is mixed with its spelling under the model:
 where C_k and V_k count the training tokens and distinct tokens that begin in class k.
 
 What is learnt grows with the corpus: word and unit counts, the known units, which unit follows which (and so the classes and the direct
-weights) are counted over all training rows. The attention weights are trained on a fixed share of the training rows, dealt to
-learners of bounded size that start from the same weights; their results are averaged in a tree. Only the scalar m is chosen, by
-leave-one-out likelihood, on ``MIXING_ROWS`` rows. The ``common`` most frequent words' counts travel to the tasks (a bounded table); other occurrences
+weights) are counted over all training rows. The attention weights are trained on all training rows, dealt to
+learners of bounded size that start from the same weights and pass over all their rows; their results are averaged in a tree. The scalar m is that of ``MIXING`` of most
+leave-one-out likelihood over all training rows: rows are scored with each. The ``common`` most frequent words' counts travel to the tasks (a bounded table); other occurrences
 are joined with the full table of counts.
 """
 
@@ -22,35 +22,37 @@ from __future__ import annotations
 
 import functools
 import math
+import re
 from collections import Counter
 from dataclasses import dataclass, replace
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hazardspark.llm import vocab
-from hazardspark.llm.common import materialize, text_bytes
+from hazardspark.llm.common import materialize, split_words, text_bytes
 
 #: Words whose counts are broadcast; distinct words a task counts before it hands them on; bytes scored at a time.
 COMMON, COUNTED, CHUNK = 100_000, 400_000, 1 << 20
-#: One in so many training rows trains the attention weights, and at least so many rows if there are; rows of a learner on average.
-ONE_IN, LEAST_ROWS, LEARNER_ROWS = 64, 1500, 1500
-#: Rows that the scalar m is chosen on; learners whose weights are averaged at a time; parts that the weights are cut into.
-MIXING_ROWS, TOGETHER, PARTS = 400, 64, 16
-#: Bytes of text that a learner gets, on average, and that choose the mixing weight.
-LEARNER_BYTES, MIXING_BYTES = 16 << 20, 16 << 20
+#: Values of the scalar m; learners whose weights are averaged at a time; parts that the weights are cut into.
+MIXING, TOGETHER, PARTS = (0.02, 0.05, 0.1, 0.2, 0.4), 64, 16
+#: Rows and bytes of text that a learner gets, on average.
+LEARNER_ROWS, LEARNER_BYTES = 1500, 16 << 20
 #: Units known one by one; the others share places by frequency and by whether they end a word.
 KNOWN = 3000
-#: Steps of each learner.
-STEPS = 1000
+#: Least steps of each learner, and windows a step: a small learner makes several passes over its rows, and each makes one.
+STEPS, BATCH = 500, 96
 #: Folds of crc32(doc_id): one of them is held out.
 FOLDS, HELD_OUT = 7, 2
 
 
+#: Words of visible ASCII characters and of those from U+00C0 to U+00FF.
+_PLAIN = re.compile(rb"(?:[\x21-\x7e]|\xc3[\x80-\xbf])+")
+
+
 class Speller:
     """Words to units: twice the id of the byte BPE, plus 1 for a word's last id."""
 
@@ -58,14 +60,30 @@ class Speller:
         self.bpe = vocab.byte_bpe(file)
         self.end = 2 * (self.bpe.max_token_value + 1)
         self.units = self.end + 1
+        self.sizes = np.zeros(self.bpe.max_token_value + 1, dtype=np.int64)
+        for word in self.bpe.token_byte_values():
+            self.sizes[self.bpe.encode_single_token(word)] = len(word)
         self.cache = vocab.Cache(self._encode, 200_000)
 
     def _encode(self, words: list[bytes]) -> list[bytes]:
-        out = []
-        for w in words:
-            u = np.array(self.bpe.encode_ordinary(" " + w.decode("utf-8", "replace")), dtype="<i4") * 2
-            u[-1] += 1
-            out.append(u.tobytes())
+        out: list[bytes] = [b""] * len(words)
+        plain = [i for i, w in enumerate(words) if _PLAIN.fullmatch(w)]
+        for at in range(0, len(plain), 4096):
+            # the vocabulary's split begins anew at a space before a visible character, so words joined by spaces have the units that each has by itself
+            group = plain[at : at + 4096]
+            units = np.array(self.bpe.encode_ordinary(" " + " ".join([words[i].decode() for i in group])), dtype="<i4")
+            ends = np.searchsorted(np.cumsum(self.sizes[units]), np.cumsum([len(words[i]) + 1 for i in group]))
+            units *= 2
+            units[ends] += 1
+            low = 0
+            for i, high in zip(group, (ends + 1).tolist()):
+                out[i] = units[low:high].tobytes()
+                low = high
+        for i, w in enumerate(words):
+            if not out[i]:
+                u = np.array(self.bpe.encode_ordinary(" " + w.decode("utf-8", "replace")), dtype="<i4") * 2
+                u[-1] += 1
+                out[i] = u.tobytes()
         return out
 
 
@@ -246,43 +264,71 @@ def initial(pairs: np.ndarray, letters: Alphabet, counts: np.ndarray, end: int,
 WEIGHTS = ("q", "k", "v", "bias", "direct", "out")
 
 
-def trained(model: Attention, texts: list[np.ndarray], steps: int = STEPS, batch: int = 48, seed: int = 3) -> Attention:
-    """A copy of the model trained on these texts."""
+def trained(model: Attention, texts: list[np.ndarray], steps: int = STEPS, batch: int = BATCH, seed: int = 3, block: int = 48) -> Attention:
+    """A copy of the model trained on these texts: each unit is learnt from at least once, in passes over all windows in random order, for at least so many steps."""
     rng = np.random.Generator(np.random.PCG64(seed))
     p = {n: getattr(model, n).copy() for n in WEIGHTS}
     model = replace(model, **p)
     window, dim, classes, start = model.window, model.q.shape[1], model.direct.shape[1], len(model.direct) - 1
-    stream = np.concatenate([np.concatenate([[start], model.row[t]]) for t in texts]) if texts else np.zeros(0, dtype=np.int64)
-    goals = np.concatenate([np.concatenate([model.kind[t], [-1]]) for t in texts]) if texts else stream
-    if len(stream) <= window + 1:
+    if not sum(map(len, texts)):
         return model
-    m1 = {n: np.zeros_like(x) for n, x in p.items()}
-    m2 = {n: np.zeros_like(x) for n, x in p.items()}
+    short = [np.zeros(window, dtype=np.int64)]  # a stream has a window at least
+    stream = np.concatenate([np.concatenate([[start], model.row[t]]) for t in texts] + [short[0] + start])
+    goals = np.concatenate([np.concatenate([model.kind[t], [-1]]) for t in texts] + [short[0] - 1])
+    windows = np.arange(0, len(stream) - window + 1, window)
+    m1, m2, g = ({n: np.zeros_like(x) for n, x in p.items()} for _ in range(3))
     back = np.arange(window)[:, None] - np.arange(window)[None, :]
+    begin = np.arange(0, len(windows), batch)
+    steps = max(steps, len(begin))
     for step in range(1, steps + 1):
-        at = rng.integers(0, len(stream) - window, batch)[:, None] + np.arange(window)
-        x, y = stream[at], goals[at]
-        mixed, q, k, v, a = model.attend(x)
-        d = softmax(p["direct"][x] + mixed @ p["out"])
-        live = y >= 0
-        d[np.nonzero(live) + (y[live],)] -= 1
-        d *= live[..., None] / np.float32(live.sum())
-        g = {n: np.zeros_like(z) for n, z in p.items()}
-        g["out"] = mixed.reshape(-1, dim).T @ d.reshape(-1, classes)
-        np.add.at(g["direct"], x, d)
-        dm = d @ p["out"].T
-        da = np.matmul(dm, v.transpose(0, 2, 1))
-        ds = a * (da - (da * a).sum(-1, keepdims=True))
-        np.add.at(g["v"], x, np.matmul(a.transpose(0, 2, 1), dm))
-        np.add.at(g["q"], x, np.matmul(ds, k) / np.float32(np.sqrt(dim)))
-        np.add.at(g["k"], x, np.matmul(ds.transpose(0, 2, 1), q) / np.float32(np.sqrt(dim)))
-        g["bias"] = np.bincount(np.maximum(back, 0).ravel(), weights=(ds.sum(0) * (back >= 0)).ravel(), minlength=window).astype(np.float32)
+        at = (step - 1) % len(begin)
+        if at == 0:
+            order = rng.permutation(windows)
+        chosen = order[begin[at] : begin[at] + batch]
+        live_all = max(1, int((goals[chosen[:, None] + np.arange(window)] >= 0).sum()))
+        for x in g.values():
+            x.fill(0)
+        for low in range(0, len(chosen), block):
+            places = chosen[low : low + block, None] + np.arange(window)
+            x, y = stream[places], goals[places]
+            mixed, q, k, v, a = model.attend(x)
+            flat, goal, past = x.ravel(), y.ravel(), mixed.reshape(-1, dim)
+            d = p["direct"][flat]
+            d += past @ p["out"]
+            d -= d.max(axis=1, keepdims=True)
+            np.exp(d, out=d)
+            live = goal >= 0
+            d *= (live / (d.sum(axis=1) * np.float32(live_all))).astype(np.float32)[:, None]
+            some = np.flatnonzero(live)
+            d[some, goal[some]] -= np.float32(1 / live_all)
+            g["out"] += past.T @ d
+            dm = (d @ p["out"].T).reshape(mixed.shape)
+            ds = np.matmul(dm, v.transpose(0, 2, 1))
+            ds -= np.einsum("bij,bij->bi", ds, a)[..., None]
+            ds *= a
+            g["bias"] += np.bincount(np.maximum(back, 0).ravel(), weights=(ds.sum(0) * (back >= 0)).ravel(), minlength=window).astype(np.float32)
+            dv = np.matmul(a.transpose(0, 2, 1), dm).reshape(-1, dim)
+            ds *= np.float32(1 / np.sqrt(dim))
+            dq, dk = np.matmul(ds, k).reshape(-1, dim), np.matmul(ds.transpose(0, 2, 1), q).reshape(-1, dim)
+            # sums by input row: places in order of their rows, and a sum from each row's first
+            by = np.argsort(flat, kind="stable")
+            sorted_rows = flat[by]
+            first = np.flatnonzero(np.diff(sorted_rows, prepend=-1))
+            for n, part in (("direct", d), ("v", dv), ("q", dq), ("k", dk)):
+                g[n][sorted_rows[first]] += np.add.reduceat(part[by], first, axis=0)
         rate = 0.02 * min(1.0, 2 * (1 - step / (steps + 1)))
         for n in p:
-            m1[n] += 0.1 * (g[n] - m1[n])
-            m2[n] += 0.01 * (g[n] ** 2 - m2[n])
-            move = rate * (0.1 if n == "direct" else 1.0) * (m1[n] / (1 - 0.9**step)) / (np.sqrt(m2[n] / (1 - 0.99**step)) + 1e-7)
-            p[n] -= move
+            m1[n] *= np.float32(0.9)
+            m1[n] += np.float32(0.1) * g[n]
+            m2[n] *= np.float32(0.99)
+            g[n] *= g[n]
+            m2[n] += np.float32(0.01) * g[n]
+            root = np.sqrt(m2[n])
+            root *= np.float32(1 / math.sqrt(1 - 0.99**step))
+            root += np.float32(1e-7)
+            np.divide(m1[n], root, out=root)
+            root *= np.float32(rate * (0.1 if n == "direct" else 1.0) / (1 - 0.9**step))
+            p[n] -= root
     return model
 
 
@@ -300,11 +346,11 @@ def corpus_follows(rows: DataFrame, letters: Alphabet, file: str) -> np.ndarray:
         letters, spell = sent.value, speller(file)
         total = np.zeros(n * n, dtype=np.int64)
         for texts in _chunks(batches, 0, 4 * CHUNK):
-            words, units, lengths, _ = _spelt(texts, spell)
-            place = letters.place[units]
+            s = spelt(texts, spell)
+            place = letters.place[s.units]
             before = np.empty(len(place), dtype=np.int64)
             before[1:] = place[:-1]
-            before[(np.cumsum(lengths) - lengths)] = letters.start
+            before[np.cumsum(s.lengths) - s.lengths] = letters.start
             before *= n
             before += place
             total += np.bincount(before, minlength=n * n)
@@ -325,10 +371,10 @@ def corpus_trained(model: Attention, sample: DataFrame, learners: int, file: str
     def learn(rows: pa.Table) -> pa.Table:
         learner = rows["learner"][0].as_py()
         texts = sorted(x or b"" for x in rows["__text"].to_pylist())
-        _, units, lengths, _ = _spelt(texts, speller(file))
-        found = trained(sent.value, np.split(units, np.cumsum(lengths)[:-1]), steps, seed=3 + learner)
+        s = spelt(texts, speller(file))
+        found = trained(sent.value, np.split(s.units, np.cumsum(s.lengths)[:-1]), steps, seed=3 + learner)
         whole = np.concatenate([getattr(found, n).ravel() for n in WEIGHTS])
-        return pa.table([pa.array([learner] * PARTS), pa.array(range(PARTS)), pa.array([len(units)] * PARTS), pa.array([x.tobytes() for x in np.array_split(whole, PARTS)])], schema=schema)
+        return pa.table([pa.array([learner] * PARTS), pa.array(range(PARTS)), pa.array([len(s.units)] * PARTS), pa.array([x.tobytes() for x in np.array_split(whole, PARTS)])], schema=schema)
 
     def mean(rows: pa.Table) -> pa.Table:
         rows = rows.sort_by("learner")
@@ -367,10 +413,6 @@ def _chunks(batches, column: int, size: int):
             yield texts
 
 
-def _words_of(texts: list[bytes]) -> list[list[bytes]]:
-    return [t.lower().split() for t in texts]
-
-
 def word_counts(rows: DataFrame) -> DataFrame:
     """(word, c) over the column __text; the empty word stands for a text's end."""
 
@@ -422,19 +464,42 @@ def unit_counts(counts: DataFrame, file: str) -> np.ndarray:
     return total
 
 
+@dataclass
+class Spelt:
+    """Texts, each a row of tokens (its words and its end), with the units of all tokens one after another."""
+
+    words: list[bytes]  # distinct ones
+    token: np.ndarray  # the number of each token's word, len(words) at an end
+    ends: np.ndarray  # after each text's last token
+    units: np.ndarray
+    lengths: np.ndarray  # each text's number of units
+    starts: np.ndarray  # each token's first place
+
+
+def spelt(texts: list[bytes], spell: Speller) -> Spelt:
+    found, of = split_words(pa.array(texts, type=pa.binary()).view(pa.string()))
+    words = found.dictionary.view(pa.binary()).to_pylist()
+    late, get = spell.cache.extend(words), spell.cache.known.__getitem__
+    parts = [*map(get, words), np.array([spell.end], dtype="<i4").tobytes()]
+    spell.cache.forget(late)
+    flat, sizes = np.frombuffer(b"".join(parts), dtype="<i4"), np.fromiter(map(len, parts), dtype=np.int64, count=len(parts)) // 4
+    ends = np.cumsum(np.bincount(of, minlength=len(texts)) + 1)
+    token = np.full(ends[-1] if len(texts) else 0, len(words), dtype=np.int64)
+    inner = np.ones(len(token), dtype=bool)
+    inner[ends - 1] = False
+    token[inner] = found.indices.to_numpy()
+    counts = sizes[token]
+    after = np.cumsum(counts)
+    places = np.repeat((np.cumsum(sizes) - sizes)[token] - (after - counts), counts)
+    places += np.arange(len(places))
+    return Spelt(words, token, ends, flat[places].astype(np.int64), np.diff(after[ends - 1], prepend=0), after - counts)
+
+
 def _spelt(texts: list[bytes], spell: Speller) -> tuple[list[list[bytes]], np.ndarray, np.ndarray, np.ndarray]:
     """Words of each text; units of all texts, each closed by the end; the texts' numbers of units; and each token's first place (the ends' too)."""
-    split = _words_of(texts)
-    late = spell.cache.extend(chain.from_iterable(split))
-    ends, get = np.array([spell.end], dtype="<i4").tobytes(), spell.cache.known.__getitem__
-    parts = [p for words in split for p in (*map(get, words), ends)]
-    spell.cache.forget(late)
-    units = np.frombuffer(b"".join(parts), dtype="<i4").astype(np.int64)
-    sizes = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts)) // 4
-    starts = np.cumsum(sizes) - sizes
-    tokens = np.cumsum([len(words) + 1 for words in split])
-    lengths = np.diff(np.append(starts, len(units))[tokens], prepend=0) if len(tokens) else np.zeros(0, dtype=np.int64)
-    return split, units, lengths, starts
+    s = spelt(texts, spell)
+    split = [[s.words[i] for i in s.token[low : high - 1]] for low, high in zip([0, *s.ends.tolist()], s.ends.tolist())]
+    return split, s.units, s.lengths, s.starts
 
 
 @dataclass
@@ -452,10 +517,14 @@ class Scorer:
         first = kinds[starts].astype(np.float64)
         return self.model.kind[units[starts]], first, np.add.reduceat(whole.astype(np.float64), starts) - first
 
+    def mixture(self, k: np.ndarray, first: np.ndarray, spelt: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """rate, own and new, of which P(w) = (1 - m) * (rate * c + own) + m * new."""
+        new, first, size = np.exp(spelt + first), np.exp(first), np.maximum(1, self.tokens[k] + self.types[k])
+        return first / size, new * np.where(self.tokens[k] > 0, self.types[k] / size, 1.0), new
+
     def parts(self, k: np.ndarray, first: np.ndarray, spelt: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        spelt, first, size = np.exp(spelt), np.exp(first), np.maximum(1, self.tokens[k] + self.types[k])
-        free = np.where(self.tokens[k] > 0, (1 - self.mixing) * self.types[k] / size + self.mixing, 1.0)
-        return first * (1 - self.mixing) / size, first * free * spelt
+        rate, own, new = self.mixture(k, first, spelt)
+        return (1 - self.mixing) * rate, (1 - self.mixing) * own + self.mixing * new
 
 
 def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", byte_file: str | None = None, common: int = COMMON, steps: int = STEPS) -> DataFrame:
@@ -484,22 +553,13 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", byte_file
     letters = alphabet(totals[0], end)
     training = rows.where(~F.col("held_out"))
     model = initial(corpus_follows(training, letters, file), letters, totals[0], end)
-    # a share of hash space: one row in ONE_IN, or what makes LEAST_ROWS of a small table
-    key, space = F.pmod(F.xxhash64(F.lit(9), "doc_id", "__text"), F.lit(1 << 31)), 1 << 31
-    share = min(1.0, max(1 / ONE_IN, LEAST_ROWS / max(1, train_rows)))
     train_bytes = int(counts.agg(F.sum(F.col("c") * (F.length("word") + 1))).first()[0] or 0)
-    learners = max(1, math.ceil(train_rows * share / LEARNER_ROWS), math.ceil(train_bytes * share / LEARNER_BYTES))
+    learners = max(1, math.ceil(train_rows / LEARNER_ROWS), math.ceil(train_bytes / LEARNER_BYTES))
     # by a row's place in the scan too, so that no learner gets all of equal rows
     at = F.xxhash64(F.lit(8), "doc_id", "__text", F.monotonically_increasing_id())
-    sample = training.where(key < int(share * space)).select(F.pmod(at, F.lit(learners)).alias("learner"), "__text")
+    sample = training.select(F.pmod(at, F.lit(learners)).alias("learner"), "__text")
     model = corpus_trained(model, sample, learners, file, steps) if steps else model
     scorer = Scorer(model, *(np.bincount(model.kind, weights=x) for x in totals[1:]), 0.5)
-    near = int(min(1.0, 1.5 * MIXING_ROWS / max(1, train_rows)) * space)
-    chosen = training.where(key < near).orderBy(key, "doc_id", F.xxhash64("__text")).limit(MIXING_ROWS)
-    # of MIXING_ROWS rows those that MIXING_BYTES hold
-    sizes = Window.partitionBy(F.lit(0)).orderBy("at", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    chosen = chosen.select("doc_id", "__text", key.alias("at")).withColumn("before", F.coalesce(F.sum(F.length("__text")).over(sizes), F.lit(0)))
-    scorer.mixing = _mixing(scorer, [bytes(r["__text"]) for r in chosen.where(F.col("before") < MIXING_BYTES).select("__text").collect()], counts, known, file)
     context = spark.sparkContext.broadcast((known, scorer))
 
     def run(batches):
@@ -509,60 +569,48 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", byte_file
         ends = known[b""]
 
         def rows_of(texts: list[bytes]) -> list[tuple]:
-            split, units, lengths, starts = _spelt(texts, spell)
-            rate, rest = scorer.parts(*scorer.logs(units, lengths, starts))
-            c = np.array([x for words in split for x in (*[known.get(w, -1) for w in words], ends)], dtype=np.float64)
+            s = spelt(texts, spell)
+            rate, own, new = scorer.mixture(*scorer.logs(s.units, s.lengths, s.starts))
+            c = np.array([*[known.get(w, -1) for w in s.words], ends], dtype=np.float64)[s.token]
             here = c >= 0
-            base, mixed = np.log10((np.maximum(c, 0) + 1) / (n + v + 1)), np.log10(rate * c + rest + 1e-300, where=here, out=np.zeros(len(c)))
-            base[~here] = 0.0
-            at = np.cumsum([len(words) + 1 for words in split])
-            begins = np.concatenate([[0], at[:-1]])
-            sums = [np.add.reduceat(x, begins) for x in ((c > 0).astype(np.int64), base, mixed)]
-            out = []
-            for i, (words, low, high) in enumerate(zip(split, begins.tolist(), at.tolist())):
-                rare = np.flatnonzero(~here[low:high])
-                out.append((high - low, int(sums[0][i]), float(sums[1][i]), float(sums[2][i]), [words[j] for j in rare.tolist()], rate[low + rare].tolist(), rest[low + rare].tolist()))
+            c = np.maximum(c, 0)
+            begins = np.concatenate([[0], s.ends[:-1]])
+            sums = lambda x: np.add.reduceat(np.where(here, x, 0), begins)
+            base = sums(np.log10((c + 1) / (n + v + 1)))
+            mixed, left = (np.stack([sums(np.log10((1 - m) * (rate * x + own) + m * new + 1e-300)) for m in MIXING], axis=1) for x in (c, np.maximum(c - 1, 0)))
+            some, out = sums(c > 0), []
+            for i, (low, high) in enumerate(zip(begins.tolist(), s.ends.tolist())):
+                rare = low + np.flatnonzero(~here[low:high])
+                words = [s.words[j] for j in s.token[rare]]
+                out.append((high - low, int(some[i]), float(base[i]), mixed[i], left[i], words, rate[rare], own[rare], new[rare]))
             return out
 
         for batch in batches:
             found = [r for texts in _chunks([batch], 2, CHUNK) for r in rows_of(texts)]
-            kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.float64()), pa.list_(pa.float64())]
-            new = [pa.array([r[i] for r in found], type=k) for i, k in enumerate(kinds)]
+            many = pa.list_(pa.float64())
+            kinds = [pa.int64(), pa.int64(), pa.float64(), many, many, pa.list_(pa.binary()), many, many, many]
+            columns = [pa.array([r[i] for r in found], type=k) for i, k in enumerate(kinds)]
             row = pa.array(range(made, made + len(found)), type=pa.int64())
             made += len(found)
-            yield pa.RecordBatch.from_arrays([row, batch.column(0), batch.column(1), *new], ["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "mixed", "rare", "rate", "rest"])
+            yield pa.RecordBatch.from_arrays([row, batch.column(0), batch.column(1), *columns], ["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "mixed", "left", "rare", "rate", "own", "new"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    done = materialize(rows.mapInArrow(run, f"row long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base double, mixed double, rare array<binary>, rate array<double>, rest array<double>"))
-    rare = done.select("row", F.inline(F.arrays_zip(F.col("rare").alias("word"), "rate", "rest")))
+    numbers = "array<double>"
+    done = materialize(rows.mapInArrow(run, f"row long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base double, mixed {numbers}, left {numbers}, rare array<binary>, rate {numbers}, own {numbers}, new {numbers}"))
+    rare = done.select("row", F.inline(F.arrays_zip(F.col("rare").alias("word"), "rate", "own", "new")))
     rare = rare.join(counts, "word", "left").withColumn("c", F.coalesce("c", F.lit(0)))
+    logs = lambda c: [F.sum(F.log10((1 - m) * (F.col("rate") * c + F.col("own")) + m * F.col("new") + F.lit(1e-300))) for m in MIXING]
     rare = rare.groupBy("row").agg(
         F.sum(F.when(F.col("c") > 0, 1).otherwise(0)).alias("known2"), F.sum(F.log10((F.col("c") + 1) / F.lit(float(n + v + 1)))).alias("base2"),
-        F.sum(F.log10(F.col("rate") * F.col("c") + F.col("rest") + F.lit(1e-300))).alias("mixed2"),
+        F.array(*logs(F.col("c"))).alias("mixed2"), F.array(*logs(F.greatest(F.col("c") - 1, F.lit(0)))).alias("left2"),
     )
-    zero = F.lit(0)
-    return done.drop("rare", "rate", "rest").join(rare, "row", "left").select(
-        "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("known2", zero)).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("base2", zero)).alias("base_score"), (F.col("mixed") + F.coalesce("mixed2", zero)).alias("score"),
-    )
-
-
-def _mixing(scorer: Scorer, texts: list[bytes], counts: DataFrame, known: dict[bytes, int], file: str) -> float:
-    """The mixing weight of most leave-one-out likelihood on these training texts."""
-    split, units, lengths, starts = _spelt(texts, speller(file))
-    if not len(units):
-        return 0.5
-    rare = sorted({w for words in split for w in words if w not in known})
-    more = {}
-    if rare:
-        # at most the distinct words of MIXING_ROWS rows
-        asked = counts.sparkSession.createDataFrame([(bytearray(w),) for w in rare], "word binary")
-        more = {bytes(r["word"]): r["c"] for r in counts.join(F.broadcast(asked), "word").collect()}
-    logs = scorer.logs(units, lengths, starts)
-    c = np.maximum(0, np.array([known.get(w, more.get(w, 0)) for words in split for w in (*words, b"")]) - 1.0)
-
-    def fit(m: float) -> float:
-        rate, rest = replace(scorer, mixing=m).parts(*logs)
-        return float(np.log(rate * c + rest + 1e-300).sum())
-
-    return max((0.02, 0.05, 0.1, 0.2, 0.4), key=fit)
+    zero, zeros = F.lit(0), F.array(*[F.lit(0.0)] * len(MIXING))
+    both = lambda a, b: F.zip_with(a, F.coalesce(b, zeros), lambda x, y: x + y)
+    found = materialize(done.drop("rare", "rate", "own", "new").join(rare, "row", "left").select(
+        "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("known2", zero)).alias("n_known"),
+        (F.col("base") + F.coalesce("base2", zero)).alias("base_score"), both("mixed", F.col("mixed2")).alias("mixed"), both("left", F.col("left2")).alias("left"),
+    ))
+    # m: of most leave-one-out likelihood of all training rows
+    total = found.where(~F.col("held_out")).agg(*[F.sum(F.col("left")[i]) for i in range(len(MIXING))]).first()
+    best = max(range(len(MIXING)), key=lambda i: total[i] or 0.0)
+    return found.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", F.col("mixed")[best].alias("score"))

@@ -115,3 +115,44 @@ def test_small_logits_are_no_zero_rows():
     out = model.attend(rng.integers(0, 5, (2, 8)))
     assert np.isfinite(out[0]).all() and np.allclose(out[-1].sum(axis=-1), 1, atol=1e-5)
     assert np.allclose(np.triu(out[-1][0], 1), 0)
+
+
+def test_a_learner_learns_from_all_its_units():
+    rng = np.random.default_rng(5)
+    texts = [np.append(rng.integers(0, 39, 300), 39) for _ in range(10)]
+    counts = np.bincount(np.concatenate(texts), minlength=40)
+    letters = lm.alphabet(counts, 39, 38)
+    model = lm.initial(lm.follows(texts, letters), letters, counts, 39, classes=12, dim=4, window=8)
+    rare = np.append(np.full(30, letters.known[-1]), 39)  # few windows of very many hold it
+    got = lm.trained(model, [*texts, rare], steps=1, batch=2)
+    seen = np.unique(np.concatenate([model.row[t] for t in [*texts, rare]]))
+    assert (got.v[seen] != model.v[seen]).any(axis=1).all()
+    short = lm.trained(model, [rare[-2:]], steps=1)  # less than a window
+    assert (short.out != model.out).any()
+
+
+def test_all_training_rows_train(spark, monkeypatch):
+    rows = [(i, f"word{i % 50} and word{i % 7} of {i % 11}") for i in range(2600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    sizes = []
+    monkeypatch.setattr(lm, "corpus_trained", lambda model, sample, *rest: sizes.append(sample.count()) or model)
+    trained_on = lm.score(df).where("not held_out").count()
+    assert sizes == [trained_on] and trained_on > 2000
+
+
+def test_joined_words_are_spelt_as_each_alone():
+    spell = lm.speller(FILE)
+    words = sorted({w for r in data.documents("sf0.01", 300) for w in r[1].encode().lower().split()}) + [b"\xff\xfea", b"'s", b"don't", b"'", b"123abc", b"...", b"a\x1cb", "a\u00a0".encode(), "\u00d7\u00e9".encode()]
+    alone = [np.array(spell.bpe.encode_ordinary(" " + w.decode("utf-8", "replace"))) * 2 for w in words]
+    got = [np.frombuffer(u, dtype="<i4") for u in spell._encode(words)]
+    assert all((a[:-1] == g[:-1]).all() and a[-1] + 1 == g[-1] and len(a) == len(g) for a, g in zip(alone, got))
+
+
+def test_the_mixing_weight_is_best_over_all_training_rows(spark, monkeypatch):
+    # the first rows of any order by hash are few of these; words of most rows occur once, so left-one-out likelihood wants much spelling
+    rows = [(i, f"odd{i}x{i * 7} word") for i in range(900)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.score for r in lm.score(df, steps=0).collect()}
+    monkeypatch.setattr(lm, "MIXING", (0.4,))
+    alone = {r.doc_id: r.score for r in lm.score(df, steps=0).collect()}
+    assert all(math.isclose(got[d], alone[d], rel_tol=1e-9) for d in got)
