@@ -478,21 +478,15 @@ class Spelt:
 
 def spelt(texts: list[bytes], spell: Speller) -> Spelt:
     found, of = split_words(pa.array(texts, type=pa.binary()).view(pa.string()))
-    words = found.dictionary.view(pa.binary()).to_pylist()
-    late, get = spell.cache.extend(words), spell.cache.known.__getitem__
-    parts = [*map(get, words), np.array([spell.end], dtype="<i4").tobytes()]
-    spell.cache.forget(late)
-    flat, sizes = np.frombuffer(b"".join(parts), dtype="<i4"), np.fromiter(map(len, parts), dtype=np.int64, count=len(parts)) // 4
+    words = found.dictionary.view(pa.binary()).to_numpy(zero_copy_only=False).tolist()
     ends = np.cumsum(np.bincount(of, minlength=len(texts)) + 1)
     token = np.full(ends[-1] if len(texts) else 0, len(words), dtype=np.int64)
     inner = np.ones(len(token), dtype=bool)
     inner[ends - 1] = False
     token[inner] = found.indices.to_numpy()
-    counts = sizes[token]
+    units, counts = vocab.joined([*spell.cache.values(words), np.array([spell.end], dtype="<i4").tobytes()], token)
     after = np.cumsum(counts)
-    places = np.repeat((np.cumsum(sizes) - sizes)[token] - (after - counts), counts)
-    places += np.arange(len(places))
-    return Spelt(words, token, ends, flat[places].astype(np.int64), np.diff(after[ends - 1], prepend=0), after - counts)
+    return Spelt(words, token, ends, units.astype(np.int64), np.diff(after[ends - 1], prepend=0), after - counts)
 
 
 def _spelt(texts: list[bytes], spell: Speller) -> tuple[list[list[bytes]], np.ndarray, np.ndarray, np.ndarray]:

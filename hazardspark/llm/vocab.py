@@ -15,6 +15,9 @@ import re
 from collections.abc import Callable, Iterable
 
 import numpy as np
+import pyarrow as pa
+
+from hazardspark.llm.common import split_words
 
 #: Words that a cache keeps.
 CACHE_WORDS = 300_000
@@ -49,9 +52,27 @@ class Cache:
         for w in words:
             del self.known[w]
 
+    def values(self, words: list[bytes]) -> list:
+        late = self.extend(words)
+        out = list(map(self.known.__getitem__, words))
+        self.forget(late)
+        return out
+
+
+def joined(parts: list[bytes], numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids (4 bytes each) of the parts of these numbers one after another, and how many each has."""
+    sizes = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts)) // 4
+    counts = sizes[numbers]
+    after = np.cumsum(counts)
+    places = np.repeat((np.cumsum(sizes) - sizes)[numbers] - (after - counts), counts)
+    places += np.arange(len(places))
+    return np.frombuffer(b"".join(parts), dtype="<u4")[places], counts
+
 
 #: Words whose characters NFC and lower-casing treat one by one; the others take the library's own path.
 _PLAIN = re.compile(r"[\x21-\x7e\xc0-\xd6\xd8-\xf6\xf8-\xff]+")
+#: Words of lower-case letters of that range.
+_LETTERS = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
 #: The vocabulary's split of such words (fixed values of its file).
 _SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
 
@@ -80,32 +101,43 @@ class WordBpe:
 
     def _encode(self, words: list[bytes]) -> list[bytes]:
         out: list[bytes | None] = [None] * len(words)
-        plain, counts = [], []
+        plain, split, counts = [], [], []
         for i, w in enumerate(words):
+            if _LETTERS.fullmatch(w):  # one part, lower-case as it is
+                plain.append(i)
+                split.append(w)
+                counts.append(1)
+                continue
             s = w.decode("utf-8", "replace")
             if _PLAIN.fullmatch(s):
                 parts = _SPLIT.findall(s.lower())
-                plain.append((i, " ".join(parts)))
+                plain.append(i)
+                split.append(" ".join(parts).encode())
                 counts.append(len(parts))
             else:
                 out[i] = self._whole(s)
-        for at in range(0, len(plain), 256):
-            group = plain[at : at + 256]
-            ids = np.array(self.bare.encode_batch_fast([" ".join(s for _, s in group)], add_special_tokens=False)[0].ids, dtype="<u4")
-            cuts = np.flatnonzero(self.ends[ids])[np.cumsum(counts[at : at + 256]) - 1] + 1
-            low = 0
-            for (i, _), high in zip(group, cuts.tolist()):
-                out[i] = ids[low:high].tobytes()
-                low = high
+        groups = [slice(at, at + 256) for at in range(0, len(plain), 256)]
+        for low in range(0, len(groups), 16):
+            some = groups[low : low + 16]
+            for group, found in zip(some, self.bare.encode_batch_fast([b" ".join(split[g]).decode() for g in some], add_special_tokens=False)):
+                ids = np.array(found.ids, dtype="<u4")
+                cuts = 4 * (np.flatnonzero(self.ends[ids])[np.cumsum(counts[group]) - 1] + 1)
+                whole, at = ids.tobytes(), 0
+                for i, cut in zip(plain[group], cuts.tolist()):
+                    out[i] = whole[at:cut]
+                    at = cut
         return out
 
     def ids(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each UTF-8 text, special tokens' strings included as the library finds them."""
-        split = [t.lower().split() if b"<|" not in t else None for t in texts]
-        late = self.cache.extend(w for ws in split if ws for w in ws)
-        get = self.cache.known.__getitem__
-        out = [b"".join(map(get, ws)) if ws is not None else self._whole(t.decode("utf-8", "replace")) for t, ws in zip(texts, split)]
-        self.cache.forget(late)
+        special = [b"<|" in t for t in texts]
+        words, of = split_words(pa.array([b"" if odd else t for t, odd in zip(texts, special)], type=pa.binary()).view(pa.string()))
+        found, counts = joined(self.cache.values(words.dictionary.view(pa.binary()).to_numpy(zero_copy_only=False).tolist()), words.indices.to_numpy())
+        ends = 4 * np.cumsum(np.bincount(of, weights=counts, minlength=len(texts)).astype(np.int64))
+        whole, low, out = found.tobytes(), 0, []
+        for t, odd, high in zip(texts, special, ends.tolist()):
+            out.append(self._whole(t.decode("utf-8", "replace")) if odd else whole[low:high])
+            low = high
         return out
 
 

@@ -71,3 +71,13 @@ def test_words_give_the_ids_of_whole_texts():
     assert words.ids([t.encode() for t in texts]) == want
     small = vocab.WordBpe(FILE, limit=10)  # a full cache changes nothing
     assert small.ids([t.encode() for t in texts]) == want and len(small.cache.known) <= 10
+
+
+def test_a_chunks_words_are_looked_up_once_each(monkeypatch):
+    words = vocab.WordBpe(vocab.path("word_bpe_49k.json"))
+    seen, values = [], words.cache.values
+    monkeypatch.setattr(words.cache, "values", lambda ws: seen.append(len(ws)) or values(ws))
+    texts = [b"One two  two don't", b"", b"two \xc3\x9cber \xc3\xbcber", b"x <|endoftext|> y", b"a\x1cb\xe2\x80\xa8c \xff"]
+    got = words.ids(texts)
+    assert seen == [7]  # one, two, don't, both forms of ueber, and the two odd words of the last text
+    assert got == [words._whole(t.decode("utf-8", "replace")) for t in texts]
