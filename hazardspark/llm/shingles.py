@@ -6,7 +6,9 @@ fingerprints (of the sets) fail the chains of a ring of segments within ``radius
 again; the last 16 bits of their shingles bound the overlap from above, and for pairs within that bound whole sets decide. Any order gives the same groups; the counts behind it are of a sample.
 
 A shared shingle of very many like texts is not paired: its members are first compared with one of them, and
-only members that are then still in different groups are paired.
+only members that are then still in different groups are paired. Pairs whose odd sketches (which parts of the hash space hold an odd number of a set's elements)
+differ in more bits than similar sets differ in elements are none, which is exact: each differing element turns one bit at most. So
+edited copies that are far from similar to each other are told apart where they meet, and make no rows.
 """
 
 from __future__ import annotations
@@ -33,6 +35,8 @@ AGAIN = 1_000_000
 #: Differing bits of fingerprints, and segments. At similarity 0.8 fingerprints differ in 9.6 bits, with a standard deviation of 2.9 (sets of
 #: five shingles: 12 and 3.1), so pairs beyond 28 bits are less than one in a million even there; unrelated pairs are beyond it in four of five cases.
 RADIUS, SEGMENTS = 28, 8
+#: Bits of an odd sketch, a multiple of 64.
+SKETCH = 1024
 
 
 #: Odd multipliers of the words of a shingle, from the last to the first, and of the final mix (fixed values).
@@ -73,6 +77,12 @@ def set_print(s: np.ndarray) -> int:
     return int.from_bytes(np.packbits(2 * counts > len(s)).tobytes(), "big", signed=True)
 
 
+def odd_sketch(s: np.ndarray) -> np.ndarray:
+    """SKETCH bits as signed 64-bit numbers: whether an odd number of these hashes fall on each."""
+    odd = np.bincount(s & (SKETCH - 1), minlength=SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8)).view(">i8").astype(np.int64)
+
+
 def _map(df: DataFrame, schema: str, width: int, of: Callable[[np.ndarray], tuple]) -> DataFrame:
     """df's columns but the string __text, and the columns that of gives for the text's shingles."""
     new = T._parse_datatype_string(schema).fields
@@ -104,14 +114,14 @@ def _common(rows: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _keys(rows: DataFrame, width: int, percent: int) -> DataFrame:
-    """rows without __text: node (a hash of the set), its size n, its fingerprint, and the shingles of its prefix."""
+    """rows without __text: node (a hash of the set), its size n, its fingerprint, its odd sketch, and the shingles of its prefix."""
     order = rows.sparkSession.sparkContext.broadcast(_common(rows, width))
 
     def of(s: np.ndarray) -> tuple:
         common, count = order.value
         n = len(s)
         if not n:
-            return 0, 0, 0, []
+            return 0, 0, 0, odd_sketch(s), []
         most = n - -(-n * percent // 100) + 1
         at = np.minimum(np.searchsorted(common, s), max(0, len(common) - 1))
         known = common[at] == s if len(common) else np.zeros(n, dtype=bool)
@@ -119,9 +129,9 @@ def _keys(rows: DataFrame, width: int, percent: int) -> DataFrame:
         if len(rare) < most:
             rest, weight = s[known], count[at[known]]
             rare = np.concatenate([rare, rest[np.lexsort((rest, weight))]])
-        return _node(s), n, set_print(s), rare[:most]
+        return _node(s), n, set_print(s), odd_sketch(s), rare[:most]
 
-    return _map(rows, "node long, n long, fingerprint long, keys array<long>", width, of)
+    return _map(rows, "node long, n long, fingerprint long, sketch array<long>, keys array<long>", width, of)
 
 
 def _sets(wanted: DataFrame, rows: DataFrame, nodes: DataFrame, schema: str, width: int, of: Callable[[np.ndarray], tuple]) -> DataFrame:
@@ -158,6 +168,12 @@ def _close(percent: int, radius: int | None) -> Column:
     return sizes if radius is None else sizes & within(diff, radius, SEGMENTS)
 
 
+def _alike(percent: int) -> Column:
+    """Whether the sketches of a pair of rows x and y leave it similar: similar sets differ in at most (100 - percent) / (100 + percent) of their sizes' sum."""
+    turned = [F.bit_count(F.col("x.sketch")[i].bitwiseXOR(F.col("y.sketch")[i])) for i in range(SKETCH // 64)]
+    return sum(turned[1:], turned[0]) * (100 + percent) <= (F.col("x.n") + F.col("y.n")) * (100 - percent)
+
+
 def similar(docs: DataFrame, width: int = 5, percent: int = 80, stars: int = 6, bucket: int = 16, radius: int | None = RADIUS) -> tuple[DataFrame, DataFrame]:
     """docs: doc_id, text. (doc_id, node, fingerprint) of its rows, node naming a set of shingles, and (node, root) of nodes with links.
 
@@ -168,8 +184,8 @@ def similar(docs: DataFrame, width: int = 5, percent: int = 80, stars: int = 6,
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select("doc_id", F.xxhash64(F.lit(1), text).alias("t1"), F.xxhash64(F.lit(2), text).alias("t2"), text.alias("__text"))
     prints = materialize(_keys(rows, width, percent))
-    nodes = prints.groupBy("node").agg(F.min(F.struct("t1", "t2")).alias("t"), *[F.first(c).alias(c) for c in ("n", "fingerprint")])
-    nodes = materialize(nodes.select("node", "t.t1", "t.t2", "n", "fingerprint"))
+    nodes = prints.groupBy("node").agg(F.min(F.struct("t1", "t2")).alias("t"), *[F.first(c).alias(c) for c in ("n", "fingerprint", "sketch")])
+    nodes = materialize(nodes.select("node", "t.t1", "t.t2", "n", "fingerprint", "sketch"))
     keyed = prints.select("node", F.explode("keys").alias("key"))
     # most keys occur once, so they are counted first without their nodes; repeated texts, which repeat their keys, are one node then
     shared = keyed.groupBy("key").count().where("count > 1").select("key")
@@ -196,10 +212,11 @@ def similar(docs: DataFrame, width: int = 5, percent: int = 80, stars: int = 6,
         found = verified(pairs)
         links = found if links is None else links.union(found)
         live = _parted(live.select("key", "node", "n", "fingerprint"), connected_components(links))
-    x, y = live.alias("x"), live.alias("y")
+    sketched = materialize(live.join(nodes.select("node", "sketch"), "node"))
+    x, y = sketched.alias("x"), sketched.alias("y")
     other = F.col("x.root") != F.col("y.root") if links is not None else F.lit(True)
     pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & other)
-    found = verified(pairs.where(_close(percent, radius)).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct())
+    found = verified(pairs.where(_close(percent, radius) & _alike(percent)).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct())
     return prints.select("doc_id", "node", "fingerprint"), connected_components(found if links is None else links.union(found))
 
 

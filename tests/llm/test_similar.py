@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
@@ -99,3 +100,30 @@ def test_pruning_by_fingerprints_loses_no_group_of_documents(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     groups = [{r.doc_id: r.component_id for r in simhash.near_duplicates(df, width=5, percent=80, prune=prune).collect()} for prune in (True, False)]
     assert groups[0] == groups[1] and len(set(groups[0].values())) < len(rows)
+
+
+def test_sketches_turn_a_bit_at_most_for_each_differing_element():
+    rng = np.random.default_rng(4)
+    for n in (1, 40, 700, 5000):
+        a = np.unique(rng.integers(-(1 << 62), 1 << 62, n))
+        b = np.unique(np.concatenate([a[: n - n // 5], rng.integers(-(1 << 62), 1 << 62, n // 5)]))
+        turned = sum(bin(int(x) & (2**64 - 1)).count("1") for x in shingles.odd_sketch(a) ^ shingles.odd_sketch(b))
+        assert turned <= len(np.setxor1d(a, b)) and (turned - len(np.setxor1d(a, b))) % 2 == 0
+
+
+def test_edited_copies_far_from_each_other_make_no_rows(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    base, rows = [f"w{k}" for k in range(500)], []
+    for d in range(60):
+        words = list(base)
+        for k in rng.choice(500, 12, replace=False):
+            words[k] = f"e{d}x{k}"
+        rows.append((d, " ".join(words)))
+    rows += [(100, rows[0][1] + " more"), (101, rows[1][1] + " other")]
+    made, verified = [], shingles._verified
+    monkeypatch.setattr(shingles, "_verified", lambda pairs, *rest: made.append(pairs.count()) or verified(pairs, *rest))
+    docs, roots = shingles.similar(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sum(made) < 200  # all pairs of the group would be 1,891
+    root = {r.node: r.root for r in roots.collect()}
+    of = {r.doc_id: root.get(r.node, r.node) for r in docs.collect()}
+    assert of[0] == of[100] and of[1] == of[101] and len(set(of.values())) == 60
