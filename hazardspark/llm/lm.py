@@ -14,8 +14,8 @@ where C_k and V_k count the training tokens and distinct tokens that begin in cl
 What is learnt grows with the corpus: word and unit counts, the known units, which unit follows which (and so the classes and the direct
 weights) are counted over all training rows. The attention weights are trained on all training rows, dealt to
 learners of bounded size that start from the same weights and pass over all their rows; their results are averaged in a tree. The scalar m is that of ``MIXING`` of most
-leave-one-out likelihood over all training rows: rows are scored with each. The ``common`` most frequent words' counts travel to the tasks (a bounded table); other occurrences
-are joined with the full table of counts.
+leave-one-out likelihood over all training rows: rows are scored with each. The ``common`` most frequent words' counts travel to the tasks (a bounded table). Of other words a block of texts
+asks once each: its words meet the full table of counts by hash, and their counts, alone, come back to the block's numbers.
 """
 
 from __future__ import annotations
@@ -23,17 +23,19 @@ from __future__ import annotations
 import functools
 import math
 import re
+import zlib
 from collections import Counter
 from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hazardspark.llm import vocab
-from hazardspark.llm.common import materialize, split_words, text_bytes
+from hazardspark.llm.common import LONG_ROWS, materialize, split_words, text_bytes
 
 #: Words whose counts are broadcast; distinct words a task counts before it hands them on; bytes scored at a time.
 COMMON, COUNTED, CHUNK = 100_000, 400_000, 1 << 20
@@ -43,6 +45,10 @@ MIXING, TOGETHER, PARTS = (0.02, 0.05, 0.1, 0.2, 0.4), 64, 16
 LEARNER_ROWS, LEARNER_BYTES = 1500, 16 << 20
 #: Units known one by one; the others share places by frequency and by whether they end a word.
 KNOWN = 3000
+#: Learners trained one after another in a group and averaged there, where there are many: at most so many, and so many groups at least.
+GROUPED, GROUPS = 4, 64
+#: Tokens that a block asks counts for, about; bytes of all texts whose words share a part of the table of counts, about.
+BLOCK, SHARED = 300_000, 12 << 20
 #: Least steps of each learner, and windows a step: a small learner makes several passes over its rows, and each makes one.
 STEPS, BATCH = 500, 96
 #: Folds of crc32(doc_id): one of them is held out.
@@ -366,15 +372,19 @@ def corpus_follows(rows: DataFrame, letters: Alphabet, file: str) -> np.ndarray:
 def corpus_trained(model: Attention, sample: DataFrame, learners: int, file: str, steps: int) -> Attention:
     """The model trained by learners, each on its part of sample (learner, __text), and averaged by their units, TOGETHER at a time."""
     sent = sample.sparkSession.sparkContext.broadcast(model)
+    each = max(1, min(GROUPED, learners // GROUPS))
     schema = pa.schema([("learner", pa.int64()), ("part", pa.int32()), ("units", pa.int64()), ("weights", pa.binary())])
 
     def learn(rows: pa.Table) -> pa.Table:
-        learner = rows["learner"][0].as_py()
-        texts = sorted(x or b"" for x in rows["__text"].to_pylist())
-        s = spelt(texts, speller(file))
-        found = trained(sent.value, np.split(s.units, np.cumsum(s.lengths)[:-1]), steps, seed=3 + learner)
-        whole = np.concatenate([getattr(found, n).ravel() for n in WEIGHTS])
-        return pa.table([pa.array([learner] * PARTS), pa.array(range(PARTS)), pa.array([len(s.units)] * PARTS), pa.array([x.tobytes() for x in np.array_split(whole, PARTS)])], schema=schema)
+        number, total, whole = rows["learner"].to_numpy(), 0, 0.0
+        for learner in np.unique(number).tolist():
+            texts = sorted(x or b"" for x in rows["__text"].filter(pa.array(number == learner)).to_pylist())
+            s = spelt(texts, speller(file))
+            found = trained(sent.value, np.split(s.units, np.cumsum(s.lengths)[:-1]), steps, seed=3 + learner)
+            whole = whole + np.concatenate([getattr(found, n).ravel() for n in WEIGHTS]).astype(np.float64) * len(s.units)
+            total += len(s.units)
+        parts = np.array_split((whole / total).astype(np.float32), PARTS)
+        return pa.table([pa.array([int(number[0]) // each] * PARTS), pa.array(range(PARTS), pa.int32()), pa.array([total] * PARTS), pa.array([x.tobytes() for x in parts])], schema=schema)
 
     def mean(rows: pa.Table) -> pa.Table:
         rows = rows.sort_by("learner")
@@ -384,10 +394,10 @@ def corpus_trained(model: Attention, sample: DataFrame, learners: int, file: str
         return pa.table([pa.array([rows["learner"][0].as_py() // TOGETHER]), pa.array([rows["part"][0].as_py()], pa.int32()), pa.array([int(n.sum())]), pa.array([out.tobytes()])], schema=schema)
 
     kind = "learner long, part int, units long, weights binary"
-    level = materialize(sample.groupBy("learner").applyInArrow(learn, kind))
-    while learners > 1:
+    level, left = sample.groupBy(F.floor(F.col("learner") / each)).applyInArrow(learn, kind), -(-learners // each)
+    while left > 1:
         level = materialize(level.groupBy("part", F.floor(F.col("learner") / TOGETHER)).applyInArrow(mean, kind))
-        learners = -(-learners // TOGETHER)
+        left = -(-left // TOGETHER)
     parts = {r["part"]: bytes(r["weights"]) for r in level.collect()}
     if not parts:
         return model
@@ -521,6 +531,98 @@ class Scorer:
         return (1 - self.mixing) * rate, (1 - self.mixing) * own + self.mixing * new
 
 
+#: A block of texts: sums over the tokens whose counts were broadcast, and of the others the class, the logs and the word's number. Words are in order of their shares of the table of counts.
+_BLOCK = (
+    "block long, doc_id array<{}>, held_out array<boolean>, n_tokens array<bigint>, n_known array<bigint>, base array<double>, mixed array<double>, left array<double>, "
+    "rare array<int>, kind array<smallint>, first array<float>, rest array<double>, word array<int>, share array<bigint>, n_words array<int>, words array<binary>"
+)
+_FOUND = "doc_id {}, held_out boolean, n_tokens long, n_known long, base_score double, mixed array<double>, left array<double>"
+
+
+def _logs(rate: np.ndarray, own: np.ndarray, new: np.ndarray, c: np.ndarray, mixing: tuple[float, ...]) -> list[np.ndarray]:
+    """log10 of tokens' probabilities under each value of m, from counts, and with the token itself left out."""
+    return [np.log10((1 - m) * (rate * x + own) + m * new + 1e-300) for x in (c, np.maximum(c - 1, 0)) for m in mixing]
+
+
+def _scored(context, file: str, n: int, v: int, shares: int):
+    def scored(texts: list[bytes]) -> tuple:
+        known, scorer, mixing = context.value
+        s = spelt(texts, speller(file))
+        k, first, rest = scorer.logs(s.units, s.lengths, s.starts)
+        c = np.array([*[known.get(w, -1) for w in s.words], known[b""]], dtype=np.float64)[s.token]
+        here = c >= 0
+        c = np.maximum(c, 0)
+        begins = np.concatenate([[0], s.ends[:-1]])
+        sums = lambda x: np.add.reduceat(np.where(here, x, 0), begins)
+        logs = np.stack([sums(x) for x in _logs(*scorer.mixture(k, first, rest), c, mixing)], axis=1)
+        away = ~here
+        number, of = np.unique(s.token[away], return_inverse=True)
+        return (
+            np.diff(s.ends, prepend=0), sums(c > 0), sums(np.log10((c + 1) / (n + v + 1))), logs[:, : len(mixing)].ravel(), logs[:, len(mixing) :].ravel(),
+            np.add.reduceat(away.astype(np.int64), begins), k[away], first[away], rest[away], of, [s.words[i] for i in number.tolist()],
+        )
+
+    def block(number: int, batch: pa.RecordBatch, parts: list[tuple]) -> pa.RecordBatch:
+        places: dict[bytes, int] = {}
+        word = np.concatenate([np.array([places.setdefault(w, len(places)) for w in p[-1]], dtype=np.int64)[p[-2]] for p in parts])
+        words, share = list(places), np.array([zlib.crc32(w) for w in places], dtype=np.int64) % shares
+        order = np.argsort(share, kind="stable")
+        place = np.empty(len(order), dtype=np.int64)
+        place[order] = np.arange(len(order))
+        used, begins, sizes = np.unique(share[order], return_index=True, return_counts=True)
+        joined = [b" ".join([words[i] for i in order[low : low + size]]) for low, size in zip(begins, sizes)]
+        flat = [np.concatenate(x) for x in list(zip(*parts))[:-2]] + [place[word], used, sizes]
+        kinds = [pa.int64(), pa.int64(), *[pa.float64()] * 3, pa.int32(), pa.int16(), pa.float32(), pa.float64(), pa.int32(), pa.int64(), pa.int32()]
+        lists = [batch.column(0), batch.column(1), *[pa.array(x.astype(t.to_pandas_dtype()), type=t) for x, t in zip(flat, kinds)], pa.array(joined, type=pa.binary())]
+        lists = [pa.ListArray.from_arrays(pa.array([0, len(x)], type=pa.int32()), x) for x in lists]
+        return pa.RecordBatch.from_arrays([pa.array([number]), *lists], [x.split()[0] for x in _BLOCK.split(", ")])
+
+    def run(batches):
+        made = TaskContext.get().partitionId() << 33
+        for batch in batches:
+            low, high, parts = 0, 0, []
+            for texts in _chunks([batch], 2, CHUNK):
+                parts.append(scored(texts))
+                high += len(texts)
+                if high == len(batch) or sum(len(p[-2]) for p in parts) >= BLOCK:
+                    yield block(made, batch.slice(low, high - low), parts)
+                    low, parts, made = high, [], made + 1
+
+    return run
+
+
+def _answered(asked: pa.Table, counted: pa.Table) -> pa.Table:
+    """The counts of each block's words that lie in a share of the table of counts (0 of words that it lacks)."""
+    words = [x.as_py().split(b" ") for x in asked["words"]]
+    at = pc.index_in(pa.array([w for x in words for w in x], type=pa.binary()), value_set=counted["word"].combine_chunks())
+    c = pc.fill_null(counted["c"].combine_chunks().take(at), 0)
+    c = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, words)]), type=pa.int32()), c)
+    return pa.table([asked["block"], asked["share"], c], names=["block", "share", "c"])
+
+
+def _completed(context, n: int, v: int):
+    def completed(done: pa.Table, answers: pa.Table) -> pa.Table:
+        """The rows of a block, with the tokens whose counts were asked for."""
+        _, scorer, mixing = context.value
+        doc_id, held_out, *lists = (done[x].combine_chunks().flatten() for x in done.column_names[1:])
+        n_tokens, n_known, base, mixed, left, rare, kind, first, rest, word, share, n_words = (x.to_numpy() for x in lists)
+        begins = dict(zip(share.tolist(), (np.cumsum(n_words) - n_words).tolist()))
+        c = np.zeros(n_words.sum(), dtype=np.float64)
+        for of, x in zip(answers["share"].to_pylist(), answers["c"]):
+            c[begins[of] : begins[of] + len(x)] = x.values.to_numpy()
+        c = c[word]
+        of = np.repeat(np.arange(len(rare)), rare)
+        sums = lambda x: np.bincount(of, weights=x, minlength=len(rare))
+        logs = np.stack([sums(x) for x in _logs(*scorer.mixture(kind, first.astype(np.float64), rest), c, mixing)], axis=1)
+        m = len(mixing)
+        ends = pa.array(np.arange(len(rare) + 1) * m, type=pa.int32())
+        many = [pa.ListArray.from_arrays(ends, pa.array(x + logs[:, part].ravel())) for x, part in ((mixed, slice(m)), (left, slice(m, None)))]
+        known = n_known + sums(c > 0).astype(np.int64)
+        return pa.table([doc_id, held_out, n_tokens, known, base + sums(np.log10((c + 1) / (n + v + 1))), *many], names=[x.split()[0] for x in _FOUND.split(", ")])
+
+    return completed
+
+
 def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", byte_file: str | None = None, common: int = COMMON, steps: int = STEPS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10) for each row of docs.
 
@@ -554,56 +656,15 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", byte_file
     sample = training.select(F.pmod(at, F.lit(learners)).alias("learner"), "__text")
     model = corpus_trained(model, sample, learners, file, steps) if steps else model
     scorer = Scorer(model, *(np.bincount(model.kind, weights=x) for x in totals[1:]), 0.5)
-    context = spark.sparkContext.broadcast((known, scorer))
-
-    def run(batches):
-        known, scorer = context.value
-        spell = speller(file)
-        made = TaskContext.get().partitionId() << 33
-        ends = known[b""]
-
-        def rows_of(texts: list[bytes]) -> list[tuple]:
-            s = spelt(texts, spell)
-            rate, own, new = scorer.mixture(*scorer.logs(s.units, s.lengths, s.starts))
-            c = np.array([*[known.get(w, -1) for w in s.words], ends], dtype=np.float64)[s.token]
-            here = c >= 0
-            c = np.maximum(c, 0)
-            begins = np.concatenate([[0], s.ends[:-1]])
-            sums = lambda x: np.add.reduceat(np.where(here, x, 0), begins)
-            base = sums(np.log10((c + 1) / (n + v + 1)))
-            mixed, left = (np.stack([sums(np.log10((1 - m) * (rate * x + own) + m * new + 1e-300)) for m in MIXING], axis=1) for x in (c, np.maximum(c - 1, 0)))
-            some, out = sums(c > 0), []
-            for i, (low, high) in enumerate(zip(begins.tolist(), s.ends.tolist())):
-                rare = low + np.flatnonzero(~here[low:high])
-                words = [s.words[j] for j in s.token[rare]]
-                out.append((high - low, int(some[i]), float(base[i]), mixed[i], left[i], words, rate[rare], own[rare], new[rare]))
-            return out
-
-        for batch in batches:
-            found = [r for texts in _chunks([batch], 2, CHUNK) for r in rows_of(texts)]
-            many = pa.list_(pa.float64())
-            kinds = [pa.int64(), pa.int64(), pa.float64(), many, many, pa.list_(pa.binary()), many, many, many]
-            columns = [pa.array([r[i] for r in found], type=k) for i, k in enumerate(kinds)]
-            row = pa.array(range(made, made + len(found)), type=pa.int64())
-            made += len(found)
-            yield pa.RecordBatch.from_arrays([row, batch.column(0), batch.column(1), *columns], ["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "mixed", "left", "rare", "rate", "own", "new"])
-
+    context = spark.sparkContext.broadcast((known, scorer, MIXING))
+    shares = max(1, math.ceil((rows.agg(F.sum(F.length("__text"))).first()[0] or 0) / SHARED))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    numbers = "array<double>"
-    done = materialize(rows.mapInArrow(run, f"row long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base double, mixed {numbers}, left {numbers}, rare array<binary>, rate {numbers}, own {numbers}, new {numbers}"))
-    rare = done.select("row", F.inline(F.arrays_zip(F.col("rare").alias("word"), "rate", "own", "new")))
-    rare = rare.join(counts, "word", "left").withColumn("c", F.coalesce("c", F.lit(0)))
-    logs = lambda c: [F.sum(F.log10((1 - m) * (F.col("rate") * c + F.col("own")) + m * F.col("new") + F.lit(1e-300))) for m in MIXING]
-    rare = rare.groupBy("row").agg(
-        F.sum(F.when(F.col("c") > 0, 1).otherwise(0)).alias("known2"), F.sum(F.log10((F.col("c") + 1) / F.lit(float(n + v + 1)))).alias("base2"),
-        F.array(*logs(F.col("c"))).alias("mixed2"), F.array(*logs(F.greatest(F.col("c") - 1, F.lit(0)))).alias("left2"),
-    )
-    zero, zeros = F.lit(0), F.array(*[F.lit(0.0)] * len(MIXING))
-    both = lambda a, b: F.zip_with(a, F.coalesce(b, zeros), lambda x, y: x + y)
-    found = materialize(done.drop("rare", "rate", "own", "new").join(rare, "row", "left").select(
-        "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("known2", zero)).alias("n_known"),
-        (F.col("base") + F.coalesce("base2", zero)).alias("base_score"), both("mixed", F.col("mixed2")).alias("mixed"), both("left", F.col("left2")).alias("left"),
-    ))
+    done = materialize(rows.mapInArrow(_scored(context, file, n, v, shares), _BLOCK.format(kind)), **LONG_ROWS)
+    asked = done.select("block", F.inline(F.arrays_zip("share", "words")))
+    shared = counts.select((F.crc32("word") % shares).alias("share"), "word", "c")
+    answers = asked.groupBy("share").cogroup(shared.groupBy("share")).applyInArrow(_answered, "block long, share long, c array<bigint>")
+    found = done.drop("words").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_completed(context, n, v), _FOUND.format(kind))
+    found = materialize(found)
     # m: of most leave-one-out likelihood of all training rows
     total = found.where(~F.col("held_out")).agg(*[F.sum(F.col("left")[i]) for i in range(len(MIXING))]).first()
     best = max(range(len(MIXING)), key=lambda i: total[i] or 0.0)

@@ -1,5 +1,7 @@
 import inspect
 import math
+from pathlib import Path
+from urllib.parse import urlparse
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -156,3 +158,55 @@ def test_the_mixing_weight_is_best_over_all_training_rows(spark, monkeypatch):
     monkeypatch.setattr(lm, "MIXING", (0.4,))
     alone = {r.doc_id: r.score for r in lm.score(df, steps=0).collect()}
     assert all(math.isclose(got[d], alone[d], rel_tol=1e-9) for d in got)
+
+
+def scratch_files(monkeypatch):
+    """What materialize() writes for lm: (schema, bytes of the files), table by table."""
+    written, write = [], lm.materialize
+
+    def materialize(df, *args, **options):
+        df = write(df, *args, **options)
+        written.append((df.columns, sum(Path(urlparse(f).path).stat().st_size for f in df.inputFiles())))
+        return df
+
+    monkeypatch.setattr(lm, "materialize", materialize)
+    return written
+
+
+def test_scratch_of_words_that_are_not_broadcast(spark, monkeypatch):
+    rows = data.documents("sf0.01", 500)
+    df = data.frame(spark, rows).coalesce(2)
+    written = scratch_files(monkeypatch)
+    tokens = lm.score(df, common=0, steps=0).agg(F.sum("n_tokens")).first()[0]
+    assert sum(size for _, size in written) < 18 * tokens  # every word is asked for; numbers alone were 24 bytes a token
+
+
+def test_words_are_asked_for_in_any_blocks_and_shares(spark, monkeypatch):
+    rows = data.documents("sf0.01", 300) + [(None, "two words", "en", "b", 1), (-1, None, "en", "b", 1), (-2, "once " * 50 + "unseen\u00e9word", "en", "b", 1)]
+    df = data.frame(spark, rows).coalesce(2)
+    all_here = sorted(map(tuple, lm.score(df, steps=0).collect()), key=str)
+    monkeypatch.setattr(lm, "BLOCK", 1000)
+    monkeypatch.setattr(lm, "CHUNK", 5000)
+    monkeypatch.setattr(lm, "SHARED", 20_000)
+    none_here = sorted(map(tuple, lm.score(df, common=0, steps=0).collect()), key=str)
+    assert len(all_here) == len(none_here) == len(rows)
+    for a, b in zip(all_here, none_here):
+        assert a[:5] == b[:5] and all(math.isclose(x, y, rel_tol=1e-12) for x, y in zip(a[5:], b[5:]))
+
+
+def test_many_learners_are_averaged_in_groups_and_their_weights_not_written_singly(spark, monkeypatch):
+    rows = data.documents("sf0.01", 100)
+    _, units, lengths, _ = lm._spelt([r[1].encode() for r in rows], lm.speller(FILE))
+    end = lm.speller(FILE).end
+    counts = np.bincount(units, minlength=end + 1)
+    letters = lm.alphabet(counts, end, 200)
+    model = lm.initial(lm.follows(np.split(units, np.cumsum(lengths)[:-1]), letters), letters, counts, end, classes=24, dim=4)
+    df = data.frame(spark, rows).select((F.col("doc_id") % 5).alias("learner"), F.col("text").cast("binary").alias("__text"))
+    alone = lm.corpus_trained(model, df, 5, FILE, 10)
+    monkeypatch.setattr(lm, "GROUPED", 2, raising=False)
+    monkeypatch.setattr(lm, "GROUPS", 1, raising=False)
+    written = scratch_files(monkeypatch)
+    got = lm.corpus_trained(model, df, 5, FILE, 10)
+    assert all(np.allclose(getattr(got, n), getattr(alone, n), atol=1e-6) for n in lm.WEIGHTS)
+    size = sum(getattr(model, n).nbytes for n in lm.WEIGHTS)
+    assert len(written) == 1 and written[0][1] < 1.5 * size
